@@ -1,0 +1 @@
+"""Registered queries over the driver's tables, each beside the SQL it must equal."""

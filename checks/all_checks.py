@@ -1,0 +1,6 @@
+"""Importing this module registers every check."""
+
+from checks import column_checks  # noqa: F401
+from checks.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
