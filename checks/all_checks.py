@@ -1,6 +1,6 @@
 """Importing this module registers every check."""
 
-from checks import column_checks, event_checks  # noqa: F401
+from checks import column_checks, event_checks, flow_checks  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
