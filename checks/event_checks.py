@@ -24,6 +24,7 @@ from checks.registry import check
 from millrace.functions.images import RECORD_PATH, any_list_filled, list_union
 from millrace.operators import aggregates, columns, enrich, quality, routing, windows
 from millrace.plans import activations, activity, daily
+from millrace.session import materialize
 from millrace.sources.lookups import joined_lookup, lookup
 
 LOAD_DATE = datetime.date(2024, 2, 1)
@@ -418,7 +419,7 @@ def new_usage(spark, sf):
     ),
 )
 def monthly_merge_rollup(spark, sf):
-    new = new_usage(spark, sf)
+    new = materialize(new_usage(spark, sf))
     months = new.select("year", "month").distinct()
     return aggregates.monthly_rollup(
         frame(spark, sf, "usage_existing"),

@@ -360,7 +360,7 @@ def _upsert(spark, sf, partition_by):
         )
 
     tables.append(daily_of("payment_method <> 'R'"), target)
-    fresh = materialize(daily_of("payment_method = 'R'"))
+    fresh = daily_of("payment_method = 'R'")
     for _ in range(2):
         tables.upsert(fresh, target, daily.SALES_UPSERT_KEY)
     return spark.table(target)
@@ -409,7 +409,7 @@ def sink_monthly_merge(spark, sf):
     )
     target = _new_table(spark, schema, parts)
     tables.append(existing, target)
-    tables.monthly_merge(materialize(new_usage(spark, sf)), target, activations.MERGE_KEYS)
+    tables.monthly_merge(new_usage(spark, sf), target, activations.MERGE_KEYS)
     return spark.table(target)
 
 

@@ -28,15 +28,23 @@ def unique_lookup(
     The survivor is the least by ``order_by`` and then by the returned columns. It is an
     aggregate, so copies of a hot key are reduced before the shuffle.
     """
+    present = lookup.dropna(how="any", subset=list(keys)).groupBy(*keys)
+    if len(returns) == 1 and not order_by:
+        return present.agg(F.min(returns[0]).alias(returns[0]))
     ranked = F.struct(*order_by, *[F.col(c) for c in returns if c not in order_by])
-    return (
-        lookup.dropna(how="any", subset=list(keys))
-        .groupBy(*keys)
-        .agg(F.min(ranked).alias("__row"))
-        .select(*keys, *[F.col(f"__row.{c}").alias(c) for c in returns])
+    return present.agg(F.min(ranked).alias("__row")).select(
+        *keys, *[F.col(f"__row.{c}").alias(c) for c in returns]
     )
 
 
+def single_value(lookup: DataFrame, key: str, value, returns: str) -> Column:
+    """The looked-up value of a constant key, as a scalar subquery: run once, no join.
+
+    NULL when the lookup lacks the key.
+    """
+    return lookup.where(F.col(key) == F.lit(value)).agg(F.min(returns)).scalar()
+
+
 def join_lookups(left: DataFrame, right: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """Inner join of two lookups, done before either is used."""
     condition = [left[a] == right[b] for a, b in on.items()]

@@ -200,20 +200,28 @@ def enrich_usage(enriched: DataFrame, lookups: Mapping[str, DataFrame]) -> DataF
         [("fontsense_id", "fontsense_id"), ("ps_name", "ps_name")],
         {"font_id": "font_id"},
     )
-    named = with_font.withColumns(
+    with_type = enrich.enrich(
+        with_font.withColumn("customer_id", F.col("gcid")),
+        enrich.unique_lookup(lookups["usage_types"], ["name"], ["id"]),
+        {"event_type": "name"},
+        {"usage_type_id": "id"},
+    )
+    with_ids = with_type.withColumns(
         {
-            "customer_id": F.col("gcid"),
-            "source_system": F.lit(SOURCE_SYSTEM),
-            "customer_identifier_type": F.lit(IDENTIFIER_TYPE),
+            "source_system_id": enrich.single_value(
+                lookups["source_systems"], "name", SOURCE_SYSTEM, "id"
+            ),
+            "customer_identifier_type_id": enrich.single_value(
+                lookups["identifier_types"], "name", IDENTIFIER_TYPE, "id"
+            ),
         }
     )
-    with_ids = enrich_type_ids(named, lookups)
     required = ["customer_id", "font_id", "usage_type_id", "source_system_id", "event_date"]
     return quality.mark_rejects(with_ids, [(NO_USAGE, quality.complete(required))])
 
 
 def enrich_type_ids(df: DataFrame, lookups: Mapping[str, DataFrame]) -> DataFrame:
-    """Usage type, source system and identifier type names to their ids."""
+    """Usage type, source system and identifier type names, held in columns, to their ids."""
     for lookup, column, target in (
         ("usage_types", "event_type", "usage_type_id"),
         ("source_systems", "source_system", "source_system_id"),
@@ -236,11 +244,16 @@ def monthly_usage(usage: DataFrame, weight: str | None = None) -> DataFrame:
     return (
         quality.valid_rows(usage)
         .withColumnRenamed("event_type", "usage_type")
-        .groupBy(*MERGE_KEYS)
+        .groupBy("customer_id", "font_id", "year", "month", "usage_type")
         .agg(
             F.min("event_date").alias("first_usage"),
             F.max("event_date").alias("last_usage"),
             total.cast("bigint").alias("usage_count"),
-            F.min("customer_identifier_type").alias("customer_identifier_type"),
+        )
+        .withColumns(
+            {
+                "source_system": F.lit(SOURCE_SYSTEM),
+                "customer_identifier_type": F.lit(IDENTIFIER_TYPE),
+            }
         )
     )

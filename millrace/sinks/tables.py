@@ -3,6 +3,10 @@
 A rewrite never touches the files it reads: the new content goes to a new folder, and
 one catalog change (table or partition location) publishes it. A job that dies before that
 leaves the table as it was, and running it again is safe. One writer per table is assumed.
+
+The keyed modes use the new rows more than once, so these are first written to the shared
+folder: they are computed once, cannot differ between the uses, and their size is known
+when the join with the table is planned.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.aggregates import monthly_rollup
 from millrace.operators.windows import deduplicate
+from millrace.session import materialize
 
 
 def create_table(
@@ -80,8 +85,13 @@ def insert_ignore(
     """Add the rows whose key the table lacks; of equal new keys the first by order wins."""
     spark = df.sparkSession
     existing = spark.table(table)
-    new = deduplicate(conform(df, existing.schema), key, list(order_by or key), keep="first")
-    append(new.join(existing.select(*key), _same_key(new, existing, key), "left_anti"), table)
+    firsts = deduplicate(conform(df, existing.schema), key, list(order_by or key), keep="first")
+    new = materialize(firsts, "insert")
+    # The keys that meet, before the rows that do not: a small load is broadcast to the
+    # scan of the table, which then needs no shuffle.
+    keys = existing.select(*key)
+    taken = keys.join(new.select(*key), _same_key(keys, new, key), "left_semi")
+    append(new.join(taken, _same_key(new, taken, key), "left_anti"), table)
 
 
 def upsert(
@@ -94,7 +104,8 @@ def upsert(
     """
     spark = df.sparkSession
     existing = spark.table(table)
-    new = deduplicate(conform(df, existing.schema), key, list(order_by or key), keep="last")
+    lasts = deduplicate(conform(df, existing.schema), key, list(order_by or key), keep="last")
+    new = materialize(lasts, "upsert")
     partitions = _partition_columns(spark, table)
     local = bool(partitions) and set(partitions) <= set(key)
     if local:
@@ -125,11 +136,12 @@ def monthly_merge(
     """
     spark = df.sparkSession
     existing = spark.table(table)
-    months = _touched(df, ["year", "month"])
+    new = materialize(df, "merge")
+    months = _touched(new, ["year", "month"])
     if not months:
         return
     predicate = _partition_filter(existing.schema, ["year", "month"], months)
-    merged = monthly_rollup(existing, df, group_by, first_column, predicate)
+    merged = monthly_rollup(existing, new, group_by, first_column, predicate)
     folder = _new_folder(spark, table)
     _write(conform(merged, existing.schema), folder, ["year", "month"])
     _switch_partitions(spark, table, folder, ["year", "month"], months)
