@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from checks.fixtures import (
     ENRICH_VIEWS,
     ENRICHED_CTE,
-    ENTRY_CTE,
-    ELIGIBLE,
     PROFILE_ID,
     USAGE_CTE,
     USAGE_VIEWS,
@@ -177,10 +175,9 @@ def enrich_composite_key(spark, sf):
         {"gcid": "customer_id"},
         on_miss="skip",
     )
-    profiles = lookup(lookups(spark, sf)["profiles"], ["email", "customer_id"], ["profile_id"])
     joined = enrich.enrich(
         with_customer,
-        profiles,
+        lookups(spark, sf)["profiles"],
         {"user_email": "email", "gcid": "customer_id"},
         {"profile_id": "profile_id"},
         found="has_profile",
@@ -224,10 +221,13 @@ def enrich_fallback_key(spark, sf):
     named = frame(spark, sf, "activation_flat").withColumn(
         "ps_name", F.expr("concat('PS-', fontsense_id % 100000)")
     )
+    fonts = frame(spark, sf, "font")
     return enrich.enrich_fallback_key(
         named,
-        frame(spark, sf, "font"),
-        [("fontsense_id", "fontsense_id"), ("ps_name", "ps_name")],
+        [
+            ("fontsense_id", lookup(fonts, ["fontsense_id"], ["font_id"]), "fontsense_id"),
+            ("ps_name", lookup(fonts, ["ps_name"], ["font_id"]), "ps_name"),
+        ],
         {"font_id": "font_id"},
         on_miss="skip",
     ).select("event_id", "font_id")

@@ -9,6 +9,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions.images import image_schema
+from millrace.functions.text import uuid_text
+from millrace.plans.activations import prepare_lookups
+from millrace.session import shared_folder
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -187,36 +193,55 @@ SELECT CAST(event_id AS STRING) AS eventID, named_struct('NewImage', named_struc
   'riskScanFonts', named_struct('L', CAST(NULL AS ARRAY<STRUCT<S: STRING>>))
 )) AS dynamodb
 FROM (
-  SELECT *, slice(transform(array(0, 1), j -> named_struct('S',
-    concat('PS-', (fontsense_id + j) % 100000, ':XTS:1:XTS:2:XTS:3:XTS:4:XTS:', fontsense_id + j, ':XTS:', j)
-  )), 1, fonts_n) AS entries
+  SELECT *, slice(array(
+    named_struct('S', concat('PS-', fontsense_id % 100000, ':XTS:1:XTS:2:XTS:3:XTS:4:XTS:', fontsense_id, ':XTS:0')),
+    named_struct('S', concat('PS-', (fontsense_id + 1) % 100000, ':XTS:1:XTS:2:XTS:3:XTS:4:XTS:', fontsense_id + 1, ':XTS:1'))
+  ), 1, fonts_n) AS entries
   FROM {activation_flat}
 )
 """
 
 
+_image_folders: dict[tuple[str, str], str] = {}
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(IMAGES, activation_flat=frame(spark, sf_dir, "activation_flat"))
+    """The images of all events as a nested table, the shape a feed has after landing.
 
+    Derived from ``events`` once per session and table folder; several files, so that a
+    read is as parallel as one of a landed feed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _image_folders:
+        path = shared_folder(spark, "images")
+        derived = spark.sql(IMAGES, activation_flat=frame(spark, sf_dir, "activation_flat"))
+        derived.repartition(8).write.parquet(path)
+        _image_folders[key] = path
+    return spark.read.schema(image_schema()).parquet(_image_folders[key])
 
-def lookups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The lookups of the activation pipeline."""
-    from pyspark.sql import functions as F
 
-    from millrace.functions.text import uuid_text
+LOOKUP_VIEWS = {
+    "customers": "identity_map",
+    "profiles": "profiles",
+    "styles": "font_style",
+    "fonts": "font",
+    "usage_types": "usage_types",
+    "source_systems": "source_systems",
+    "identifier_types": "identifier_types",
+}
+_prepared: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
 
-    profiles = frame(spark, sf_dir, "profiles").select(
-        "email", "customer_id", uuid_text(F.unhex("profile_hex")).alias("profile_id")
-    )
-    return {
-        "customers": frame(spark, sf_dir, "identity_map"),
-        "profiles": profiles,
-        "styles": frame(spark, sf_dir, "font_style"),
-        "fonts": frame(spark, sf_dir, "font"),
-        "usage_types": frame(spark, sf_dir, "usage_types"),
-        "source_systems": frame(spark, sf_dir, "source_systems"),
-        "identifier_types": frame(spark, sf_dir, "identifier_types"),
-    }
+def lookups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The prepared lookups of the activation pipeline, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _prepared:
+        raw = {name: frame(spark, sf_dir, view) for name, view in LOOKUP_VIEWS.items()}
+        raw["profiles"] = raw["profiles"].select(
+            "email", "customer_id", uuid_text(F.unhex("profile_hex")).alias("profile_id")
+        )
+        _prepared[key] = prepare_lookups(raw)
+    return _prepared[key]
 
 
 # Oracle side of the activation pipeline.

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from checks.column_checks import ANALYTICS_ORACLE
 from checks.event_checks import (
     DAILY_SALES,
-    ELIGIBLE,
     LOAD_DATE,
     NEW_USAGE_CTE,
     REASON,
@@ -21,9 +20,6 @@ from checks.event_checks import (
     new_usage,
 )
 from checks.fixtures import (
-    ENRICH_VIEWS,
-    ENRICHED_CTE,
-    USAGE_CTE,
     USAGE_VIEWS,
     frame,
     images,
@@ -531,13 +527,13 @@ def file_tracking(spark, sf):
 
 
 FOLDER_ORACLE = """SELECT concat('batch=', CAST(event_id % 4 AS VARCHAR)) AS folder, count(*) AS raw_count,
-  CASE WHEN event_id % 4 = 3 THEN 'Failed' ELSE 'Success' END AS status FROM events GROUP BY ALL"""
+  CAST(0 AS BIGINT) AS corrupt_count, CASE WHEN event_id % 4 = 3 THEN 'Failed' ELSE 'Success' END AS status FROM events GROUP BY ALL"""
 
 
 def _folder_outcomes(spark, sf, root):
     _write_folders(spark, sf, root, range(4), listed=range(4), absent=[3])
     found = _discovered(spark, root)
-    raw = _read_discovered(spark, found)
+    raw = files.land(_read_discovered(spark, found))
     return raw, runs.folder_outcomes(found, raw)
 
 
@@ -545,7 +541,7 @@ def _folder_outcomes(spark, sf, root):
 def folder_status(spark, sf):
     """A manifest names a file that is gone: its folder fails, the others go on."""
     _, outcomes = _folder_outcomes(spark, sf, shared_folder(spark, "feed"))
-    return outcomes.select("folder", "raw_count", "status")
+    return outcomes.select("folder", "raw_count", "corrupt_count", "status")
 
 
 @check(

@@ -119,7 +119,7 @@ def folder_outcomes(files: DataFrame, raw: DataFrame) -> DataFrame:
     """Status per folder from one distributed pass: no loop over folders on the driver.
 
     ``files`` lists (folder, data_file, bytes) with NULL bytes for an absent file; ``raw`` is
-    the read of the present ones. A folder fails when a file is absent, or holds bytes that
+    the landed read of the present ones (``sources.files.land``). A folder fails when a file is absent, or holds bytes that
     gave no record; the other folders go on.
     """
     per_file = raw.groupBy(_name("source_file").alias("__name")).agg(

@@ -5,6 +5,11 @@ knows to be below ``spark.sql.autoBroadcastJoinThreshold``, AQE does so on the s
 measured at run time, and above it the join is shuffled. A hot key on the fact side
 (or a mass of NULLs in a left join) then sits in one partition, which AQE splits over
 several tasks: the lookup has one row per key, so only its few rows are repeated.
+
+AQE can do that only when the lookup is a table of its own: an aggregate in the same
+stage as the join hides its shuffle. A lookup that may outgrow a broadcast is therefore
+reduced once and written (``sources.lookups.snapshot``), which also reads a database only
+once per run and tells the planner the lookup's size.
 """
 
 from __future__ import annotations
@@ -113,33 +118,30 @@ def enrich_either_key(
     on_miss: str = "skip",
     found: str | None = None,
 ) -> DataFrame:
-    """Find ``source_field`` under any of the lookup's ``keys``."""
-    returns = list(dict.fromkeys(take.values()))
-    single = either_key(lookup, keys, returns)
+    """Find ``source_field`` under any of the lookup's ``keys``: ``either_key`` and ``enrich``."""
+    single = either_key(lookup, keys, list(dict.fromkeys(take.values())))
     return enrich(df, single, {source_field: "lookup_key"}, take, on_miss, found)
 
 
 def enrich_fallback_key(
     df: DataFrame,
-    lookup: DataFrame,
-    attempts: Sequence[tuple[str, str]],
+    attempts: Sequence[tuple[str, DataFrame, str]],
     take: Mapping[str, str],
     on_miss: str = "keep",
     found: str | None = None,
 ) -> DataFrame:
-    """Try ``(column, lookup key)`` pairs in order; the first hit gives all columns."""
+    """Try ``(column, lookup, lookup key)`` in order; the first hit gives all columns.
+
+    Each lookup holds one row per key.
+    """
     result = df
-    hits, values = [], []
-    for i, (column, key) in enumerate(attempts):
-        returns = list(dict.fromkeys(take.values()))
-        single = unique_lookup(lookup, [key], [c for c in returns if c != key])
+    chosen: Column | None = None
+    for i, (column, lookup, key) in enumerate(attempts):
         names = {f"__try{i}_{target}": source for target, source in take.items()}
-        result = enrich(result, single, {column: key}, names, found=f"__try{i}_hit")
-        hits.append(F.col(f"__try{i}_hit"))
-        values.append(F.struct(*[F.col(f"__try{i}_{t}").alias(t) for t in take]))
-    chosen: Column = F.when(hits[0], values[0])
-    for hit, value in zip(hits[1:], values[1:]):
-        chosen = chosen.when(hit, value)
+        result = enrich(result, lookup, {column: key}, names, found=f"__try{i}_hit")
+        hit = F.col(f"__try{i}_hit")
+        value = F.struct(*[F.col(f"__try{i}_{t}").alias(t) for t in take])
+        chosen = F.when(hit, value) if chosen is None else chosen.when(hit, value)
     result = result.withColumn("__chosen", chosen)
     if on_miss == "skip":
         result = result.where(F.col("__chosen").isNotNull())

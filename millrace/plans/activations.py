@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.images import RECORD_PATH, any_list_filled
 from millrace.operators import aggregates, columns, enrich, quality, routing
+from millrace.sources.lookups import lookup, snapshot
 
 # Fixed values below: event types, packed-field positions, keys and columns of the results.
 EVENT_TYPES = (
@@ -107,33 +108,45 @@ def count_entries(entries: DataFrame) -> DataFrame:
     return aggregates.count_rows(entries, keys, "entries")
 
 
+def prepare_lookups(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Each raw lookup table reduced to one row per key and written once for the run."""
+    reduced = {
+        "customers": lookup(raw["customers"], ["identity_provider_id"], ["customer_id"]),
+        "profiles": lookup(raw["profiles"], ["email", "customer_id"], ["profile_id"]),
+        "styles": enrich.either_key(
+            raw["styles"], ["font_style_id", "pimid"], ["font_style_id", "family_id"]
+        ),
+        "fonts_by_id": lookup(raw["fonts"], ["fontsense_id"], ["font_id"]),
+        "fonts_by_name": lookup(raw["fonts"], ["ps_name"], ["font_id"]),
+        "usage_types": lookup(raw["usage_types"], ["name"], ["id"]),
+        "source_systems": lookup(raw["source_systems"], ["name"], ["id"]),
+        "identifier_types": lookup(raw["identifier_types"], ["name"], ["id"]),
+    }
+    return {name: snapshot(df) for name, df in reduced.items()}
+
+
 def enrich_entries(entries: DataFrame, lookups: Mapping[str, DataFrame]) -> DataFrame:
     """Customer, profile and style. Every row stays; a miss sets ``reject_reason``.
 
-    A profile miss rejects only on the download route.
+    ``lookups`` are prepared ones. A profile miss rejects only on the download route.
     """
-    customers = enrich.unique_lookup(
-        lookups["customers"], ["identity_provider_id"], ["customer_id"]
-    )
-    profiles = enrich.unique_lookup(
-        lookups["profiles"], ["email", "customer_id"], ["profile_id"]
-    )
     with_customer = enrich.enrich(
-        entries, customers, {"mtf_id": "identity_provider_id"}, {"gcid": "customer_id"}
+        entries,
+        lookups["customers"],
+        {"mtf_id": "identity_provider_id"},
+        {"gcid": "customer_id"},
     )
     with_profile = enrich.enrich(
         with_customer,
-        profiles,
+        lookups["profiles"],
         {"user": "email", "gcid": "customer_id"},
         {"profile_id": "profile_id"},
     )
-    with_style = enrich.enrich_either_key(
+    with_style = enrich.enrich(
         with_profile,
         lookups["styles"],
-        "fontsense_id",
-        ["font_style_id", "pimid"],
+        {"fontsense_id": "lookup_key"},
         {"font_style_id": "font_style_id", "family_id": "family_id"},
-        on_miss="keep",
     )
     return quality.mark_rejects(
         with_style,
@@ -196,13 +209,15 @@ def enrich_usage(enriched: DataFrame, lookups: Mapping[str, DataFrame]) -> DataF
     )
     with_font = enrich.enrich_fallback_key(
         base,
-        lookups["fonts"],
-        [("fontsense_id", "fontsense_id"), ("ps_name", "ps_name")],
+        [
+            ("fontsense_id", lookups["fonts_by_id"], "fontsense_id"),
+            ("ps_name", lookups["fonts_by_name"], "ps_name"),
+        ],
         {"font_id": "font_id"},
     )
     with_type = enrich.enrich(
         with_font.withColumn("customer_id", F.col("gcid")),
-        enrich.unique_lookup(lookups["usage_types"], ["name"], ["id"]),
+        lookups["usage_types"],
         {"event_type": "name"},
         {"usage_type_id": "id"},
     )
@@ -222,13 +237,12 @@ def enrich_usage(enriched: DataFrame, lookups: Mapping[str, DataFrame]) -> DataF
 
 def enrich_type_ids(df: DataFrame, lookups: Mapping[str, DataFrame]) -> DataFrame:
     """Usage type, source system and identifier type names, held in columns, to their ids."""
-    for lookup, column, target in (
+    for name, column, target in (
         ("usage_types", "event_type", "usage_type_id"),
         ("source_systems", "source_system", "source_system_id"),
         ("identifier_types", "customer_identifier_type", "customer_identifier_type_id"),
     ):
-        single = enrich.unique_lookup(lookups[lookup], ["name"], ["id"])
-        df = enrich.enrich(df, single, {column: "name"}, {target: "id"})
+        df = enrich.enrich(df, lookups[name], {column: "name"}, {target: "id"})
     return df
 
 

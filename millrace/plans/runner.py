@@ -19,6 +19,7 @@ from millrace.control import runs
 from millrace.operators import aggregates, columns, enrich, filters, quality, routing, windows
 from millrace.session import materialize
 from millrace.sinks import tables
+from millrace.sources.lookups import lookup, snapshot
 
 Step = Mapping[str, Any] | str
 Lookups = Mapping[str, DataFrame]
@@ -184,12 +185,13 @@ def _aggregate(df, p, _):
 
 @step("enrich", "enrich_user_profile")
 def _enrich(df, p, lookups):
+    """``unique: true`` says the lookup has one row per key; else it is reduced and written."""
     on = p.get("on") or {p["join_key"]: p["join_key"]}
     take = p.get("take") or {f: f for f in p["fields"]}
-    single = enrich.unique_lookup(
-        lookups[p["lookup_table"]], list(on.values()), list(dict.fromkeys(take.values()))
-    )
-    return enrich.enrich(df, single, on, take, p.get("on_miss", "keep"))
+    table = lookups[p["lookup_table"]]
+    if not p.get("unique"):
+        table = snapshot(lookup(table, list(on.values()), list(dict.fromkeys(take.values()))))
+    return enrich.enrich(df, table, on, take, p.get("on_miss", "keep"))
 
 
 @step("split_routing")

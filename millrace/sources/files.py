@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import materialize
+
 CORRUPT = "_corrupt"
 
 
@@ -56,6 +58,16 @@ def read_json_lines(
     return df.repartition(spread) if spread else df
 
 
+def land(raw: DataFrame) -> DataFrame:
+    """The records as a columnar copy in the shared folder.
+
+    For a feed that is used more than once (records, file tracking, folder outcomes): the text
+    is unpacked and parsed once, and the corrupt marks cannot change with the columns a
+    later query happens to read, as they would on a pruned text scan.
+    """
+    return materialize(raw, "landing")
+
+
 def run_query(spark: SparkSession, query: str, execution_date: str, **tables: DataFrame):
     """A query with ``:execution_date`` as a bound parameter, over frames named ``{name}``."""
     return spark.sql(query, args={"execution_date": execution_date}, **tables)
