@@ -247,8 +247,6 @@ def enrich_type_ids(spark, sf):
     df = frame(spark, sf, "activation_flat").select(
         "event_id",
         F.col("event_name").alias("event_type"),
-        F.lit(activations.SOURCE_SYSTEM).alias("source_system"),
-        F.lit(activations.IDENTIFIER_TYPE).alias("customer_identifier_type"),
     )
     return activations.enrich_type_ids(df, lookups(spark, sf)).select(
         "event_id", "usage_type_id", "source_system_id", "customer_identifier_type_id"

@@ -215,13 +215,18 @@ def enrich_usage(enriched: DataFrame, lookups: Mapping[str, DataFrame]) -> DataF
         ],
         {"font_id": "font_id"},
     )
+    with_ids = enrich_type_ids(with_font.withColumn("customer_id", F.col("gcid")), lookups)
+    required = ["customer_id", "font_id", "usage_type_id", "source_system_id", "event_date"]
+    return quality.mark_rejects(with_ids, [(NO_USAGE, quality.complete(required))])
+
+
+def enrich_type_ids(df: DataFrame, lookups: Mapping[str, DataFrame]) -> DataFrame:
+    """Type names to ids: the usage type of each row by a join; the source system and the
+    identifier type, which are constants of the pipeline, as scalar subqueries."""
     with_type = enrich.enrich(
-        with_font.withColumn("customer_id", F.col("gcid")),
-        lookups["usage_types"],
-        {"event_type": "name"},
-        {"usage_type_id": "id"},
+        df, lookups["usage_types"], {"event_type": "name"}, {"usage_type_id": "id"}
     )
-    with_ids = with_type.withColumns(
+    return with_type.withColumns(
         {
             "source_system_id": enrich.single_value(
                 lookups["source_systems"], "name", SOURCE_SYSTEM, "id"
@@ -231,19 +236,6 @@ def enrich_usage(enriched: DataFrame, lookups: Mapping[str, DataFrame]) -> DataF
             ),
         }
     )
-    required = ["customer_id", "font_id", "usage_type_id", "source_system_id", "event_date"]
-    return quality.mark_rejects(with_ids, [(NO_USAGE, quality.complete(required))])
-
-
-def enrich_type_ids(df: DataFrame, lookups: Mapping[str, DataFrame]) -> DataFrame:
-    """Usage type, source system and identifier type names, held in columns, to their ids."""
-    for name, column, target in (
-        ("usage_types", "event_type", "usage_type_id"),
-        ("source_systems", "source_system", "source_system_id"),
-        ("identifier_types", "customer_identifier_type", "customer_identifier_type_id"),
-    ):
-        df = enrich.enrich(df, lookups[name], {column: "name"}, {target: "id"})
-    return df
 
 
 def daily_usage(usage: DataFrame, weight: str | None = None) -> DataFrame:

@@ -12,13 +12,16 @@ from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.control import runs
 from millrace.operators import aggregates, columns, enrich, filters, quality, routing, windows
 from millrace.session import materialize
-from millrace.sinks import tables
+from millrace.sinks import jdbc, tables
+from millrace.sources.extract import open_source
+from millrace.sources.jdbc import JDBC_KINDS
 from millrace.sources.lookups import lookup, snapshot
 
 Step = Mapping[str, Any] | str
@@ -237,14 +240,35 @@ def build_checks(specs: Sequence[Mapping[str, Any]]) -> list[quality.Check]:
 
 @dataclass(frozen=True)
 class Destination:
-    """Where a pipeline loads to: a catalog table, a mode, and an optional projection
-    (target column -> expression)."""
+    """Where a pipeline loads to: a catalog table or (with ``connection``) a database table,
+    a mode, and an optional projection (target column -> expression)."""
 
     table: str
     mode: str = "append"
     key: tuple[str, ...] = ()
     columns: Mapping[str, str] | None = None
     group_by: tuple[str, ...] = ()
+    connection: Mapping[str, Any] | None = None
+
+
+def destination(spark: SparkSession, spec: Mapping[str, Any]) -> Destination:
+    """A destination from its declared form. With ``path``, the table is created if absent
+    from ``target_ddl``, a Spark column list."""
+    columns = spec.get("columns")
+    if isinstance(columns, (list, tuple)):
+        columns = {c: f"`{c}`" for c in columns}
+    if spec.get("path"):
+        tables.create_table(
+            spark, spec["table"], spec["target_ddl"], spec["path"], spec.get("partition_by", ())
+        )
+    return Destination(
+        spec["table"],
+        spec.get("mode", "append"),
+        tuple(spec.get("upsert_key") or spec.get("key") or ()),
+        columns,
+        tuple(spec.get("group_by", ())),
+        spec if spec.get("engine") in JDBC_KINDS else None,
+    )
 
 
 def project(df: DataFrame, projection: Mapping[str, str]) -> DataFrame:
@@ -255,7 +279,9 @@ def project(df: DataFrame, projection: Mapping[str, str]) -> DataFrame:
 def load(df: DataFrame, destination: Destination) -> None:
     """Write ``df`` in the destination's mode."""
     out = project(df, destination.columns) if destination.columns else df
-    if destination.mode == "append":
+    if destination.connection is not None:
+        jdbc.write_table(out, destination.connection)
+    elif destination.mode == "append":
         tables.append(out, destination.table)
     elif destination.mode == "replace":
         tables.replace(out, destination.table)
@@ -314,3 +340,36 @@ def run_pipeline(
         )
         runs.append_record(record, control_path)
     return record
+
+
+def run_spec(
+    spark: SparkSession,
+    spec: Mapping[str, Any],
+    control_path: str,
+    schema: T.StructType | None = None,
+    lookups: Lookups | None = None,
+    execution_date: date | None = None,
+    control: DataFrame | None = None,
+) -> DataFrame:
+    """Run a declared pipeline: ``extract``, ``transform.steps``, ``quality_checks.pre_load``
+    and ``load.destinations``, with Spark SQL expressions. Returns the control record."""
+    pipeline = spec.get("pipeline", spec)
+    extract = pipeline["extract"]
+    transform = pipeline.get("transform") or []
+    source = open_source(
+        spark, extract, schema, execution_date, control, job_name=pipeline["name"]
+    )
+    return run_pipeline(
+        pipeline["name"],
+        source,
+        transform["steps"] if isinstance(transform, Mapping) else transform,
+        (pipeline.get("quality_checks") or {}).get("pre_load", []),
+        [destination(spark, d) for d in pipeline["load"]["destinations"]],
+        control_path,
+        lookups,
+        load_date=execution_date,
+        source_data=extract["source"],
+        source_database=extract.get("database"),
+        source_table=extract.get("table"),
+        target_table=",".join(d["table"] for d in pipeline["load"]["destinations"]),
+    )

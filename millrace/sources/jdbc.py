@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
+from datetime import date
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,15 +52,23 @@ def read_options(
     upper_bound: Any = None,
     num_partitions: int | None = None,
     fetch_size: int = 10_000,
+    execution_date: date | None = None,
 ) -> dict[str, str]:
-    """Options of a table or query read; with a partition column it runs as parallel ranges."""
+    """Options of a table or query read; with a partition column it runs as parallel ranges.
+
+    ``{{execution_date}}`` in a query becomes the ISO date; only a real date is taken, as
+    JDBC reads bind no parameters.
+    """
     options = connection_options(connection)
     options["fetchsize"] = str(fetch_size)
     if "query" in connection:
+        query = connection["query"].strip()
+        if execution_date is not None:
+            query = query.replace("{{execution_date}}", date.isoformat(execution_date))
         if partition_column:
-            options["dbtable"] = f"({connection['query']}) AS source_query"
+            options["dbtable"] = f"({query}) source_query"
         else:
-            options["query"] = connection["query"]
+            options["query"] = query
     else:
         options["dbtable"] = connection["table"]
     if partition_column:
@@ -72,11 +81,6 @@ def read_options(
     return options
 
 
-def read_table(spark: SparkSession, connection: Mapping[str, Any], **partitioning) -> DataFrame:
-    """Full load of a table (or query); ``row_limit`` becomes LIMIT in the source."""
-    df = spark.read.format("jdbc").options(**read_options(connection, **partitioning)).load()
-    if connection.get("row_limit") is not None:
-        if int(connection["row_limit"]) < 1:
-            raise ValueError("row_limit must be a positive integer")
-        df = df.limit(int(connection["row_limit"]))
-    return df
+def read_table(spark: SparkSession, connection: Mapping[str, Any], **options) -> DataFrame:
+    """Full load of a table (or query). A limit on the result becomes LIMIT in the source."""
+    return spark.read.format("jdbc").options(**read_options(connection, **options)).load()

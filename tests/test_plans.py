@@ -16,9 +16,11 @@ from millrace.plans.runner import (
     build_checks,
     register_step,
     run_pipeline,
+    run_spec,
 )
 from millrace.session import shared_folder
 from millrace.sinks import tables
+from millrace.sources.extract import open_source
 
 ORDER_SCHEMA = (
     "id string, order_id string, order_name string, email string, attempt_count string, created_at string,"
@@ -128,3 +130,86 @@ def test_failed_run_loads_nothing_and_is_recorded(spark, raw):
     assert spark.table(table).count() == 0
     row = runs.read_control(spark, control).first()
     assert (row.load_status, row.source_count, row.target_count) == ("Failed", 5, 0)
+
+
+def test_run_spec_from_csv_upserts_daily_sales(spark, tmp_path):
+    import datetime
+
+    from millrace.plans import daily
+
+    path = str(tmp_path / "sales.csv")
+    with open(path, "w") as out:
+        out.write("order_id,customer_id,product_id,quantity,unit_price,region,order_date,payment_method\n")
+        out.write("1,1,1,2,10.5,EU,2024-01-01,card\n1,9,1,5,1.0,EU,2024-01-01,card\n2,1,1,1,3.0,EU,2024-01-01,cash\n")
+    name = f"p_{uuid.uuid4().hex}"
+    spec = {
+        "pipeline": {
+            "name": "daily_sales",
+            "extract": {"source": "csv", "path": path, "columns": daily.SALES_SCHEMA.fieldNames()},
+            "transform": {"steps": daily.SALES_STEPS},
+            "quality_checks": {"pre_load": daily.SALES_CHECKS},
+            "load": {
+                "destinations": [
+                    {
+                        "table": name,
+                        "path": shared_folder(spark, "spec"),
+                        "target_ddl": "region STRING, order_date DATE, total_revenue DOUBLE, order_count BIGINT,"
+                        "avg_order_value DOUBLE, load_timestamp TIMESTAMP",
+                        "mode": "upsert",
+                        "upsert_key": ["region", "order_date"],
+                    }
+                ]
+            },
+        }
+    }
+    control = shared_folder(spark, "spec-control")
+    day = datetime.date(2024, 1, 2)
+    for _ in range(2):
+        run_spec(spark, spec, control, daily.SALES_SCHEMA, execution_date=day)
+    assert [tuple(r)[:5] for r in spark.table(name).collect()] == [("EU", datetime.date(2024, 1, 1), 24.0, 2, 12.0)]
+    assert [(r.load_status, r.source_count, r.load_date) for r in runs.read_control(spark, control).collect()] == [
+        ("Success", 3, day)
+    ] * 2
+
+
+def test_run_spec_reads_a_feed_once(spark, tmp_path):
+    """The second run finds nothing newer than the first and fails its row count check."""
+    import gzip
+    import json
+
+    from pyspark.sql import types as T
+
+    folder = tmp_path / "feed" / "one"
+    folder.mkdir(parents=True)
+    with gzip.open(folder / "d.json.gz", "wt") as out:
+        out.write('{"a": 1}\n{"a": 2}\n')
+    (folder / "manifest-files.json").write_text(json.dumps({"dataFileS3Key": str(folder / "d.json.gz")}))
+    name, control = f"p_{uuid.uuid4().hex}", shared_folder(spark, "feed-control")
+    spec = {
+        "name": "feed",
+        "extract": {
+            "source": "s3",
+            "path": str(tmp_path / "feed"),
+            "file_format": "jsonl_gz",
+            "discovery": {"method": "manifest"},
+        },
+        "transform": [{"select_columns": {"columns": ["a"]}}],
+        "quality_checks": {"pre_load": [{"row_count_gt": 0}]},
+        "load": {"destinations": [{"table": name, "path": shared_folder(spark, "feed-out"), "target_ddl": "a BIGINT"}]},
+    }
+    schema = T.StructType([T.StructField("a", T.LongType())])
+    run_spec(spark, spec, control, schema)
+    with pytest.raises(quality.QualityError, match="row_count_gt"):
+        run_spec(spark, spec, control, schema, control=runs.read_control(spark, control))
+    assert sorted(r.a for r in spark.table(name).collect()) == [1, 2]
+    assert sorted(r.load_status for r in runs.read_control(spark, control).collect()) == ["Failed", "Success"]
+
+
+def test_open_source_kinds(spark):
+    with pytest.raises(ValueError, match="unknown source"):
+        open_source(spark, {"source": "ftp"})
+    with pytest.raises(ValueError, match="schema"):
+        open_source(spark, {"source": "csv", "path": "/nowhere"})
+    name = target(spark, "id BIGINT")
+    tables.append(spark.range(9), name)
+    assert open_source(spark, {"source": "table", "table": name, "row_limit": 4}).count() == 4

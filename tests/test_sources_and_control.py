@@ -143,8 +143,13 @@ def test_jdbc_read_options(monkeypatch):
         "dbtable": "t",
     }
     ranged = jdbc.read_options({**base, "query": "SELECT 1"}, "id", 0, 100, 4)
-    assert ranged["dbtable"] == "(SELECT 1) AS source_query" and ranged["numPartitions"] == "4"
+    assert ranged["dbtable"] == "(SELECT 1) source_query" and ranged["numPartitions"] == "4"
     assert jdbc.read_options({**base, "query": "SELECT 1"})["query"] == "SELECT 1"
+    dated = {**base, "query": "SELECT * FROM t WHERE d = '{{execution_date}}'"}
+    day = datetime.date(2024, 1, 2)
+    assert jdbc.read_options(dated, execution_date=day)["query"] == "SELECT * FROM t WHERE d = '2024-01-02'"
+    with pytest.raises(TypeError):
+        jdbc.read_options(dated, execution_date="2024'; --")
     for kind, start in (("mysql", "jdbc:mysql:"), ("mssql", "jdbc:sqlserver:"), ("oracle", "jdbc:oracle:"), ("sqlite", "jdbc:sqlite:")):
         assert jdbc.connection_options({"source": kind, "database": "d"})["url"].startswith(start)
     with pytest.raises(ValueError, match="unknown database kind"):
