@@ -31,7 +31,7 @@ from checks.registry import check
 from millrace.control import runs
 from millrace.functions.images import image_schema
 from millrace.operators import columns, quality, windows
-from millrace.plans import activations, activity, daily, orders
+from millrace.plans import activation_job, activations, activity, daily, orders
 from millrace.plans.runner import Destination, build_checks, load, run_pipeline
 from millrace.session import materialize, shared_folder
 from millrace.sinks import tables
@@ -566,6 +566,31 @@ def run_summary(spark, sf):
     return runs.run_summary(per_folder, spark.read.parquet(loaded).count())
 
 
+@check(
+    "event_ingestion_run",
+    with_views(
+        USAGE_VIEWS,
+        """SELECT customer_id, font_id, CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, usage_type,
+        source_system, CAST(first_usage AS VARCHAR) AS first_usage, CAST(last_usage AS VARCHAR) AS last_usage,
+        usage_count, customer_identifier_type FROM new_usage""",
+        NEW_USAGE_CTE,
+    ),
+)
+def event_ingestion_run(spark, sf):
+    """Two whole runs over a growing feed. The first is Partial, as a listed file is absent;
+    the second finds the old folders again and loads only what is new. The usage table then
+    equals one count over all events."""
+    feed, control, tracking, root = (
+        shared_folder(spark, p) for p in ("feed", "control", "tracking", "targets")
+    )
+    names = {t: f"check_{uuid.uuid4().hex}" for t in activation_job.TARGETS}
+    activation_job.create_targets(spark, names, root)
+    for batches, absent in (([0, 1, 2], [2]), ([3], [])):
+        _write_folders(spark, sf, feed, batches, listed=batches, absent=absent)
+        activation_job.ingest(spark, feed, lookups(spark, sf), names, control, tracking, LOAD_DATE)
+    return spark.table(names["usage_data"]).drop("last_modified")
+
+
 # Streams
 
 

@@ -35,7 +35,15 @@ CONTROL_SCHEMA = T.StructType(
         T.StructField("created_on", T.TimestampType()),
     ]
 )
-FILE_TRACKING_FIELDS = ("job_name", "s3_file_path", "file_read_timestamp", "raw_count", "created_on")
+TRACKING_SCHEMA = T.StructType(
+    [
+        T.StructField("job_name", T.StringType()),
+        T.StructField("s3_file_path", T.StringType()),
+        T.StructField("file_read_timestamp", T.TimestampType()),
+        T.StructField("raw_count", T.LongType()),
+        T.StructField("created_on", T.TimestampType()),
+    ]
+)
 
 
 def control_record(
@@ -78,6 +86,26 @@ def read_control(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONTROL_SCHEMA).parquet(path)
 
 
+def create_tables(spark: SparkSession, control_path: str, tracking_path: str) -> None:
+    """Empty control and tracking tables where there are none yet."""
+    for path, schema in ((control_path, CONTROL_SCHEMA), (tracking_path, TRACKING_SCHEMA)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+
+
+def read_tracking(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TRACKING_SCHEMA).parquet(path)
+
+
+def untracked(files: DataFrame, tracking: DataFrame) -> DataFrame:
+    """The listed files that no earlier run has loaded."""
+    known = tracking.select(file_name("s3_file_path").alias("__name")).distinct()
+    return (
+        files.withColumn("__name", file_name("data_file"))
+        .join(known, "__name", "left_anti")
+        .drop("__name")
+    )
+
+
 def file_tracking(raw: DataFrame, job_name: str, read_at: datetime) -> DataFrame:
     """One row per file read, with its raw record count."""
     stamp = F.lit(read_at)
@@ -91,7 +119,7 @@ def file_tracking(raw: DataFrame, job_name: str, read_at: datetime) -> DataFrame
                 "created_on": stamp,
             }
         )
-        .select(*FILE_TRACKING_FIELDS)
+        .select(*TRACKING_SCHEMA.fieldNames())
     )
 
 
@@ -100,18 +128,25 @@ def counters(
     early_reasons: Sequence[str],
     group_by: Sequence[str] = (),
     reason: str = "reject_reason",
+    weight: str | None = None,
 ) -> DataFrame:
     """raw, eligible, processed and skipped counts in one pass over the reject reasons.
 
     A record is eligible unless one of ``early_reasons`` (the checks on the record itself)
-    rejected it, and processed when nothing did.
+    rejected it, and processed when nothing did. ``weight`` names the record count of rows
+    that are counted already.
     """
     early = F.coalesce(F.col(reason).isin(list(early_reasons)), F.lit(False))
+    one = F.lit(1) if weight is None else F.col(weight)
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, one)), F.lit(0)).cast("bigint")
+
     return marked.groupBy(*group_by).agg(
-        F.count(F.lit(1)).alias("raw_count"),
-        F.count_if(~early).alias("eligible_count"),
-        F.count_if(F.col(reason).isNull()).alias("processed_count"),
-        F.count_if(F.col(reason).isNotNull()).alias("skipped_count"),
+        total(F.lit(True)).alias("raw_count"),
+        total(~early).alias("eligible_count"),
+        total(F.col(reason).isNull()).alias("processed_count"),
+        total(F.col(reason).isNotNull()).alias("skipped_count"),
     )
 
 
@@ -122,13 +157,13 @@ def folder_outcomes(files: DataFrame, raw: DataFrame) -> DataFrame:
     the landed read of the present ones (``sources.files.land``). A folder fails when a file is absent, or holds bytes that
     gave no record; the other folders go on.
     """
-    per_file = raw.groupBy(_name("source_file").alias("__name")).agg(
+    per_file = raw.groupBy(file_name("source_file").alias("__name")).agg(
         F.count(F.lit(1)).alias("raw_count"),
         F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt_count"),
     )
     unread = F.col("bytes").isNull() | (F.col("raw_count").isNull() & (F.col("bytes") > 0))
     return (
-        files.withColumn("__name", _name("data_file"))
+        files.withColumn("__name", file_name("data_file"))
         .join(per_file, "__name", "left")
         .groupBy("folder")
         .agg(
@@ -188,6 +223,6 @@ def require_status(control: DataFrame) -> None:
         raise QualityError(f"run {bad[0].job_name} ended {bad[0].load_status}")
 
 
-def _name(column: str) -> Column:
+def file_name(column: str) -> Column:
     """File path without scheme, decoded, so both spellings of one path meet."""
     return F.url_decode(F.regexp_replace(F.col(column), r"^[a-z0-9]+:/+", "/"))

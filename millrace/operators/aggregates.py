@@ -97,22 +97,22 @@ def session_metrics(
 
     Rows are first reduced to one per (user, slot, page), sessions are numbered over the
     slots (see ``windows.sessionize``), and the reduced rows are rolled up: page views, the
-    duration in seconds, the exact number of distinct pages and the first values.
+    duration in seconds, the exact number of distinct pages and the first values. The slots
+    come from a second, narrow scan of user and time. However the rows of a hot user are
+    spread over pages, no task holds them all.
     """
     firsts = {c: f"__first_{c}" for c in keep_first}
-    reduced = (
-        events.where(F.col(timestamp).isNotNull())
-        .withColumn("__slot", windows.time_slot(timestamp, inactivity_gap_minutes))
-        .groupBy(user, "__slot", page)
-        .agg(
-            F.count(page).alias("__views"),
-            F.min(timestamp).alias("__min"),
-            F.max(timestamp).alias("__max"),
-            *[F.min(_first_present(c, order_by)).alias(name) for c, name in firsts.items()],
-        )
+    slotted = events.where(F.col(timestamp).isNotNull()).withColumn(
+        "__slot", windows.time_slot(timestamp, inactivity_gap_minutes)
+    )
+    reduced = slotted.groupBy(user, "__slot", page).agg(
+        F.count(page).alias("__views"),
+        F.min(timestamp).alias("__min"),
+        F.max(timestamp).alias("__max"),
+        *[F.min(_first_present(c, order_by)).alias(name) for c, name in firsts.items()],
     )
-    bounds = reduced.groupBy(user, "__slot").agg(
-        F.min("__min").alias("__slot_min"), F.max("__max").alias("__slot_max")
+    bounds = slotted.groupBy(user, "__slot").agg(
+        F.min(timestamp).alias("__slot_min"), F.max(timestamp).alias("__slot_max")
     )
     numbered = windows.session_slots(
         bounds, user, "__slot", "__slot_min", "__slot_max", inactivity_gap_minutes, session
@@ -138,17 +138,19 @@ def monthly_rollup(
     group_by: Sequence[str],
     first_column: str,
     months: DataFrame | Column,
+    latest: Sequence[str] = (),
 ) -> DataFrame:
     """Existing rows of the impacted months plus the new rows, rolled up again.
 
     ``months`` is the predicate (or a frame of year and month) that selects the impacted
-    months of ``existing``; a predicate prunes partitions at planning time.
+    months of ``existing``; a predicate prunes partitions at planning time. ``latest`` columns,
+    such as a modification time, take their maximum.
     """
     if isinstance(months, DataFrame):
         touched = existing.join(months, ["year", "month"], "left_semi")
     else:
         touched = existing.where(months)
-    columns = [*group_by, "first_usage", "last_usage", "usage_count", first_column]
+    columns = [*group_by, "first_usage", "last_usage", "usage_count", first_column, *latest]
     both = touched.select(*columns, F.lit(0).alias("__age")).unionByName(
         new.select(*columns, F.lit(1).alias("__age"))
     )
@@ -157,4 +159,5 @@ def monthly_rollup(
         F.max("last_usage").alias("last_usage"),
         F.sum("usage_count").cast("bigint").alias("usage_count"),
         first_value(first_column, ["__age", "first_usage", first_column]),
+        *[F.max(c).alias(c) for c in latest],
     )

@@ -129,10 +129,12 @@ def monthly_merge(
     table: str,
     group_by: Sequence[str],
     first_column: str = "customer_identifier_type",
+    modified_column: str = "last_modified",
 ) -> None:
     """Roll the new rows up with the existing rows of their months and replace those months.
 
     The table is partitioned by (year, month); other months are neither read nor written.
+    A modification time, if the table has one, becomes that of the newest rows merged in.
     """
     spark = df.sparkSession
     existing = spark.table(table)
@@ -141,7 +143,8 @@ def monthly_merge(
     if not months:
         return
     predicate = _partition_filter(existing.schema, ["year", "month"], months)
-    merged = monthly_rollup(existing, new, group_by, first_column, predicate)
+    latest = [modified_column] if modified_column in existing.columns else []
+    merged = monthly_rollup(existing, new, group_by, first_column, predicate, latest)
     folder = _new_folder(spark, table)
     _write(conform(merged, existing.schema), folder, ["year", "month"])
     _switch_partitions(spark, table, folder, ["year", "month"], months)
