@@ -152,9 +152,7 @@ def _write_folders(spark, sf, root, batches, listed, absent=()):
 
 
 def _discovered(spark, root, newer_than=None):
-    return manifests.present_and_missing(
-        manifests.discover(spark, root, newer_than), manifests.stored_files(spark, root)
-    )
+    return manifests.present_and_missing(manifests.discover(spark, root, newer_than), root)
 
 
 def _read_discovered(spark, found):

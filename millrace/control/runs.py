@@ -224,5 +224,5 @@ def require_status(control: DataFrame) -> None:
 
 
 def file_name(column: str) -> Column:
-    """File path without scheme, decoded, so both spellings of one path meet."""
-    return F.url_decode(F.regexp_replace(F.col(column), r"^[a-z0-9]+:/+", "/"))
+    """File path without its scheme, so that ``file:/a`` and ``/a`` are the same file."""
+    return F.regexp_replace(F.col(column), r"^[a-z0-9]+:/+", "/")

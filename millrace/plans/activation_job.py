@@ -13,7 +13,7 @@ from millrace.functions.images import image_schema
 from millrace.operators import enrich, quality
 from millrace.plans import activations
 from millrace.plans.runner import Destination, load
-from millrace.session import materialize
+from millrace.session import materialize, materialize_all
 from millrace.sinks import tables
 from millrace.sources import files, manifests
 
@@ -63,6 +63,7 @@ def ingest(
     tracking_path: str,
     load_date: date,
     job_name: str = "activations",
+    key_root: str | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
 ) -> DataFrame:
     """One run. Returns the closing totals in one row; the control table has the status.
@@ -77,9 +78,8 @@ def ingest(
     status = runs.FAILED
     try:
         mark = manifests.watermark(runs.read_control(spark, control_path), job_name)
-        listed = manifests.present_and_missing(
-            manifests.discover(spark, feed, mark), manifests.stored_files(spark, feed)
-        )
+        discovered = manifests.discover(spark, feed, mark, key_root=key_root)
+        listed = manifests.present_and_missing(discovered, feed)
         tracked = runs.read_tracking(spark, tracking_path).where(F.col("job_name") == job_name)
         found = materialize(runs.untracked(listed, tracked), "files")
         quality.enforce(found, quality.row_count_gt(0))
@@ -90,7 +90,8 @@ def ingest(
         outputs = _outputs(records, lookups, load_date, started)
         for target, rows in outputs.items():
             _, mode, key = TARGETS[target]
-            load(rows, Destination(names[target], mode, key, group_by=activations.MERGE_KEYS))
+            destination = Destination(names[target], mode, key, group_by=activations.MERGE_KEYS)
+            load(rows, destination, staged=True)
             target_count += rows.count()
         runs.file_tracking(raw, job_name, started).write.mode("append").parquet(tracking_path)
 
@@ -137,7 +138,7 @@ def _outputs(
         "project": activations.project_summary(projects),
         "usage_data": usage.withColumn("last_modified", F.lit(modified)),
     }
-    return {name: materialize(df, name) for name, df in rows.items()}
+    return materialize_all(rows)
 
 
 def _per_folder(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.images import RECORD_PATH, any_list_filled
 from millrace.operators import aggregates, columns, enrich, quality, routing
-from millrace.sources.lookups import lookup, snapshot
+from millrace.session import materialize_all
+from millrace.sources.lookups import lookup
 
 # Fixed values below: event types, packed-field positions, keys and columns of the results.
 EVENT_TYPES = (
@@ -122,7 +123,7 @@ def prepare_lookups(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         "source_systems": lookup(raw["source_systems"], ["name"], ["id"]),
         "identifier_types": lookup(raw["identifier_types"], ["name"], ["id"]),
     }
-    return {name: snapshot(df) for name, df in reduced.items()}
+    return materialize_all(reduced)
 
 
 def enrich_entries(entries: DataFrame, lookups: Mapping[str, DataFrame]) -> DataFrame:

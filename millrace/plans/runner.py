@@ -276,8 +276,9 @@ def project(df: DataFrame, projection: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.expr(source).alias(target) for target, source in projection.items()])
 
 
-def load(df: DataFrame, destination: Destination) -> None:
-    """Write ``df`` in the destination's mode."""
+def load(df: DataFrame, destination: Destination, staged: bool = False) -> None:
+    """Write ``df`` in the destination's mode. ``staged`` says that ``df`` is a written frame
+    with one row per key, which keyed modes then need not write again."""
     out = project(df, destination.columns) if destination.columns else df
     if destination.connection is not None:
         jdbc.write_table(out, destination.connection)
@@ -286,11 +287,11 @@ def load(df: DataFrame, destination: Destination) -> None:
     elif destination.mode == "replace":
         tables.replace(out, destination.table)
     elif destination.mode == "upsert":
-        tables.upsert(out, destination.table, destination.key)
+        tables.upsert(out, destination.table, destination.key, staged=staged)
     elif destination.mode == "insert_ignore":
-        tables.insert_ignore(out, destination.table, destination.key)
+        tables.insert_ignore(out, destination.table, destination.key, staged=staged)
     elif destination.mode == "monthly_merge":
-        tables.monthly_merge(out, destination.table, destination.group_by)
+        tables.monthly_merge(out, destination.table, destination.group_by, staged=staged)
     else:
         raise ValueError(f"unknown load mode {destination.mode!r}")
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Semantics (time zone, ANSI, timestamp type) and skew handling. Sizing, such as
 # executor memory and the number of shuffle partitions, stays with the cluster.
@@ -41,6 +43,8 @@ def local_session(app: str = "millrace", cores: str = "*", **settings: str) -> S
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        # Call-site capture per column costs driver time while plans are built.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -69,7 +73,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/millrace/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(df, purpose: str = "stage"):
+def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where one frame feeds several outputs: the upstream work runs once, and a
@@ -79,3 +83,10 @@ def materialize(df, purpose: str = "stage"):
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """``materialize`` for independent frames, as concurrent jobs."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        written = {name: pool.submit(materialize, df, name) for name, df in frames.items()}
+        return {name: future.result() for name, future in written.items()}

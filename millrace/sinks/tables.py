@@ -6,7 +6,8 @@ leaves the table as it was, and running it again is safe. One writer per table i
 
 The keyed modes use the new rows more than once, so these are first written to the shared
 folder: they are computed once, cannot differ between the uses, and their size is known
-when the join with the table is planned.
+when the join with the table is planned. ``staged`` says that the caller has done so and,
+where there is a key, that every key has one row.
 """
 
 from __future__ import annotations
@@ -80,13 +81,19 @@ def replace(df: DataFrame, table: str) -> None:
 
 
 def insert_ignore(
-    df: DataFrame, table: str, key: Sequence[str], order_by: Sequence[str] | None = None
+    df: DataFrame,
+    table: str,
+    key: Sequence[str],
+    order_by: Sequence[str] | None = None,
+    staged: bool = False,
 ) -> None:
     """Add the rows whose key the table lacks; of equal new keys the first by order wins."""
     spark = df.sparkSession
     existing = spark.table(table)
-    firsts = deduplicate(conform(df, existing.schema), key, list(order_by or key), keep="first")
-    new = materialize(firsts, "insert")
+    new = conform(df, existing.schema)
+    if not staged:
+        firsts = deduplicate(new, key, list(order_by or key), keep="first")
+        new = materialize(firsts, "insert")
     # The keys that meet, before the rows that do not: a small load is broadcast to the
     # scan of the table, which then needs no shuffle.
     keys = existing.select(*key)
@@ -95,7 +102,11 @@ def insert_ignore(
 
 
 def upsert(
-    df: DataFrame, table: str, key: Sequence[str], order_by: Sequence[str] | None = None
+    df: DataFrame,
+    table: str,
+    key: Sequence[str],
+    order_by: Sequence[str] | None = None,
+    staged: bool = False,
 ) -> None:
     """Replace the rows with the same key, add the others; of equal new keys the last wins.
 
@@ -104,8 +115,10 @@ def upsert(
     """
     spark = df.sparkSession
     existing = spark.table(table)
-    lasts = deduplicate(conform(df, existing.schema), key, list(order_by or key), keep="last")
-    new = materialize(lasts, "upsert")
+    new = conform(df, existing.schema)
+    if not staged:
+        lasts = deduplicate(new, key, list(order_by or key), keep="last")
+        new = materialize(lasts, "upsert")
     partitions = _partition_columns(spark, table)
     local = bool(partitions) and set(partitions) <= set(key)
     if local:
@@ -130,6 +143,7 @@ def monthly_merge(
     group_by: Sequence[str],
     first_column: str = "customer_identifier_type",
     modified_column: str = "last_modified",
+    staged: bool = False,
 ) -> None:
     """Roll the new rows up with the existing rows of their months and replace those months.
 
@@ -138,7 +152,7 @@ def monthly_merge(
     """
     spark = df.sparkSession
     existing = spark.table(table)
-    new = materialize(df, "merge")
+    new = df if staged else materialize(df, "merge")
     months = _touched(new, ["year", "month"])
     if not months:
         return

@@ -52,6 +52,7 @@ def open_source(
 
 def _files(spark, extract, schema, control, job_name) -> DataFrame:
     path = extract.get("path") or f"s3a://{extract['bucket']}/{extract['prefix']}"
+    path = path.rstrip("/")
     file_format = extract.get("file_format", "csv")
     if file_format == "csv":
         return files.read_csv(spark, path, schema, extract.get("columns"))
@@ -60,9 +61,9 @@ def _files(spark, extract, schema, control, job_name) -> DataFrame:
     if extract.get("discovery", {}).get("method") != "manifest":
         return files.land(files.read_json_lines(spark, path, schema))
     mark = manifests.watermark(control, job_name) if control is not None else None
-    found = manifests.present_and_missing(
-        manifests.discover(spark, path, mark), manifests.stored_files(spark, path)
-    )
+    bucket = f"s3a://{extract['bucket']}" if "bucket" in extract else None
+    discovered = manifests.discover(spark, path, mark, key_root=bucket)
+    found = manifests.present_and_missing(discovered, path)
     return files.land(files.read_json_lines(spark, manifests.file_list(found), schema))
 
 

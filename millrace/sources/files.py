@@ -54,7 +54,9 @@ def read_json_lines(
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after)
     paths = path if isinstance(path, str) else list(path)
-    df = reader.json(paths).withColumn("source_file", F.col("_metadata.file_path"))
+    # The metadata path is URL-encoded; a plus sign in it is literal.
+    encoded = F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")
+    df = reader.json(paths).withColumn("source_file", F.url_decode(encoded))
     return df.repartition(spread) if spread else df
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import materialize
+
 # Manifest file and its field.
 MANIFEST_FILE = "manifest-files.json"
 DATA_KEY_FIELD = "dataFileS3Key"
@@ -35,21 +37,29 @@ def discover(
     newer_than: datetime | None = None,
     manifest_file: str = MANIFEST_FILE,
     data_key_field: str = DATA_KEY_FIELD,
+    key_root: str | None = None,
 ) -> DataFrame:
     """Data files named by the manifests below ``root/*/``: (folder, manifest_time, data_file).
 
-    Only manifests modified after ``newer_than`` count.
+    Only manifests modified after ``newer_than`` count; Spark opens no older one. A key that is
+    not a whole path, as object stores list them, is taken below ``key_root`` (the bucket).
     """
+    key = F.col(data_key_field)
+    if key_root is not None:
+        whole = key.rlike("^(/|[a-z0-9]+:/)")
+        key = F.when(whole, key).otherwise(F.concat(F.lit(key_root.rstrip("/") + "/"), key))
     schema = T.StructType([T.StructField(data_key_field, T.StringType())])
     manifests = (
         spark.read.schema(schema)
         .json(f"{root}/*/{manifest_file}")
         .select(
             F.regexp_extract(
-                F.col("_metadata.file_path"), rf"([^/]+)/\Q{manifest_file}\E", 1
+                F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")),
+                rf"([^/]+)/\Q{manifest_file}\E",
+                1,
             ).alias("folder"),
             F.col("_metadata.file_modification_time").alias("manifest_time"),
-            F.col(data_key_field).alias("data_file"),
+            key.alias("data_file"),
         )
         .where(F.col("data_file").isNotNull())
     )
@@ -61,19 +71,31 @@ def discover(
     )
 
 
-def stored_files(spark: SparkSession, root: str, glob: str = "*.json.gz") -> DataFrame:
-    """Files that exist below ``root``; the listing is read, the contents are not."""
+def stored_files(
+    spark: SparkSession, paths: str | list[str], glob: str = "*.json.gz"
+) -> DataFrame:
+    """Files that exist below ``paths``; the listing is read, the contents are not."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
-        .load(root)
+        .load(paths)
         .select(F.col("path").alias("data_file"), F.col("length").alias("bytes"))
     )
 
 
-def present_and_missing(discovered: DataFrame, stored: DataFrame) -> DataFrame:
-    """The discovered files with ``bytes``; NULL marks a file that is named but absent."""
+def present_and_missing(discovered: DataFrame, root: str) -> DataFrame:
+    """The discovered files with ``bytes``; NULL marks a file that is named but absent.
+
+    Only the discovered folders are listed, not the history of the feed. The list is written
+    first, so that a manifest that arrives meanwhile waits for the next run.
+    """
+    spark = discovered.sparkSession
+    discovered = materialize(discovered, "manifests")
+    names = [r["folder"] for r in discovered.select("folder").distinct().collect()]
+    if not names:
+        return discovered.withColumn("bytes", F.lit(None).cast("bigint"))
+    stored = stored_files(spark, [f"{root}/{name}" for name in sorted(names)])
     sizes = stored.select(_path("data_file").alias("__path"), "bytes")
     return (
         discovered.withColumn("__path", _path("data_file"))

@@ -36,21 +36,19 @@ def feed(tmp_path):
     """Three folders: good, with an unreadable file, with an absent file."""
     root = str(tmp_path / "feed")
     good, bad, gone = (f"{root}/{n}" for n in ("good", "bad", "gone"))
-    write_gz(f"{good}/data 1.json.gz", ['{"a": 1}', '{"a": "x', '{"a": 3}'])
+    write_gz(f"{good}/data 1+2%.json.gz", ['{"a": 1}', '{"a": "x', '{"a": 3}'])
     write_gz(f"{bad}/ok.json.gz", ['{"a": 4}'])
     with open(f"{bad}/broken.json.gz", "wb") as out:
         out.write(b"this is not gzip")
     write_gz(f"{gone}/here.json.gz", ['{"a": 5}'])
-    manifest(good, [f"{good}/data 1.json.gz"], 1_700_000_000)
+    manifest(good, ["good/data 1+2%.json.gz"], 1_700_000_000)
     manifest(bad, [f"{bad}/ok.json.gz", f"{bad}/broken.json.gz"], 1_700_000_100)
     manifest(gone, [f"{gone}/here.json.gz", f"{gone}/not-here.json.gz"], 1_700_000_200)
     return root
 
 
 def found_in(spark, feed, newer_than=None):
-    return manifests.present_and_missing(
-        manifests.discover(spark, feed, newer_than), manifests.stored_files(spark, feed)
-    )
+    return manifests.present_and_missing(manifests.discover(spark, feed, newer_than, key_root=feed), feed)
 
 
 def test_bad_lines_are_kept_and_bad_files_skipped(spark, feed):
