@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import frame, table, with_views
-from checks.registry import check
+from millrace_checks.fixtures import frame, table, with_views
+from millrace_checks.registry import check
 from millrace.functions.text import uuid_text
 from millrace.operators import columns, filters
 from millrace.plans import daily, orders
@@ -133,7 +133,8 @@ def derive_flag(spark, sf):
 
 @check(
     "derive_revenue",
-    "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * l_extendedprice AS revenue FROM lineitem",
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey,
+    l_quantity * l_extendedprice AS revenue FROM lineitem""",
 )
 def derive_revenue(spark, sf):
     step = {"calculate_revenue": {"formula": "l_quantity * l_extendedprice", "output_column": "revenue"}}
@@ -211,6 +212,7 @@ def clean_strings(spark, sf):
         f"""SELECT id, epoch_us({STAMP.format('created_at')}) AS created_at,
         epoch_us({STAMP.format('process_at')}) AS process_at FROM raw_orders""",
     ),
+    doubles=('created_at',),
 )
 def parse_dates(spark, sf):
     strict = {"format": "%Y-%m-%d %H:%M:%S", "errors": "raise"}
@@ -226,6 +228,7 @@ def parse_dates(spark, sf):
         "raw_orders",
         "SELECT CAST(id AS VARCHAR) AS id, CAST(attempt_count AS BIGINT) AS attempt_count FROM raw_orders",
     ),
+    doubles=('attempt_count',),
 )
 def cast_types(spark, sf):
     df = columns.cast_types(frame(spark, sf, "raw_orders"), {"id": "str", "attempt_count": "int"})
@@ -376,7 +379,9 @@ ANALYTICS_ORACLE = with_views(
 )
 
 
-@check("order_analytics", ANALYTICS_ORACLE)
+@check("order_analytics", ANALYTICS_ORACLE,
+    doubles=('order_created_at',),
+)
 def order_analytics(spark, sf):
     return orders.order_analytics(frame(spark, sf, "raw_orders"))
 
@@ -393,6 +398,7 @@ def order_analytics(spark, sf):
         attempt_count, CAST(is_reprocessed AS BIGINT) AS is_reprocessed
         FROM (SELECT * REPLACE ({EMAIL_CLEAN} AS email), {STAMP.format('created_at')} AS created FROM raw_orders)""",
     ),
+    doubles=('created_at', 'order_year', 'order_month', 'is_reprocessed'),
 )
 def order_summary(spark, sf):
     return orders.order_summary(frame(spark, sf, "raw_orders"))
@@ -407,6 +413,7 @@ def order_summary(spark, sf):
         CAST(is_reprocessed AS BIGINT) AS is_reprocessed, product_type, font_identifier,
         CAST(NULL AS VARCHAR) AS process_at_date FROM raw_orders""",
     ),
+    doubles=('is_reprocessed',),
 )
 def shop_to_demo(spark, sf):
     return orders.order_copy(frame(spark, sf, "raw_orders"))

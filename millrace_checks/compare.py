@@ -6,7 +6,7 @@ import math
 from collections import Counter
 from pathlib import Path
 
-from checks.fixtures import TABLES
+from millrace_checks.fixtures import TABLES
 
 
 def _value(v):

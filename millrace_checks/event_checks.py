@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import (
+from millrace_checks.fixtures import (
     ENRICH_VIEWS,
     ENRICHED_CTE,
     PROFILE_ID,
@@ -18,7 +18,7 @@ from checks.fixtures import (
     table,
     with_views,
 )
-from checks.registry import check
+from millrace_checks.registry import check
 from millrace.functions.images import RECORD_PATH, any_list_filled, list_union
 from millrace.operators import aggregates, columns, enrich, quality, routing, windows
 from millrace.plans import activations, activity, daily
@@ -348,6 +348,7 @@ def event_ingestion_sync(spark, sf):
               FROM enriched WHERE reject_reason IS NULL AND route = 'webproject_path') WHERE rn = 1""",
         ENRICHED_CTE,
     ),
+    doubles=('asset_deleted_at',),
 )
 def agg_asset(spark, sf):
     return activations.assets(activations.project_rows(_enriched(spark, sf)))
@@ -364,6 +365,7 @@ def agg_asset(spark, sf):
         FROM enriched WHERE reject_reason IS NULL AND route = 'webproject_path' GROUP BY project_id""",
         ENRICHED_CTE,
     ),
+    doubles=('project_deleted_at',),
 )
 def agg_project(spark, sf):
     return activations.project_summary(activations.project_rows(_enriched(spark, sf)))
@@ -651,8 +653,8 @@ def qc_skip_usage(spark, sf):
     "run_counters",
     with_views(
         "activation_flat",
-        f"""SELECT count(*) AS raw_count, count_if(r IS NULL OR r NOT IN ('required_fields', 'event_type')) AS eligible_count,
-        count_if(r IS NULL) AS processed_count, count_if(r IS NOT NULL) AS skipped_count
+        f"""SELECT count(*) AS raw_count, CAST(count_if(r IS NULL OR r NOT IN ('required_fields', 'event_type')) AS BIGINT) AS eligible_count,
+        CAST(count_if(r IS NULL) AS BIGINT) AS processed_count, CAST(count_if(r IS NOT NULL) AS BIGINT) AS skipped_count
         FROM (SELECT {REASON} AS r FROM activation_flat)""",
     ),
 )

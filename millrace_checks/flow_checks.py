@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.column_checks import ANALYTICS_ORACLE
-from checks.event_checks import (
+from millrace_checks.column_checks import ANALYTICS_ORACLE
+from millrace_checks.event_checks import (
     DAILY_SALES,
     LOAD_DATE,
     NEW_USAGE_CTE,
@@ -19,7 +19,7 @@ from checks.event_checks import (
     SESSION_METRICS,
     new_usage,
 )
-from checks.fixtures import (
+from millrace_checks.fixtures import (
     USAGE_VIEWS,
     frame,
     images,
@@ -27,7 +27,7 @@ from checks.fixtures import (
     table,
     with_views,
 )
-from checks.registry import check
+from millrace_checks.registry import check
 from millrace.control import runs
 from millrace.functions.images import image_schema
 from millrace.operators import columns, quality, windows
@@ -422,6 +422,7 @@ def sink_project_columns(spark, sf):
     "sink_typed",
     f"""SELECT * REPLACE (CAST(CAST(processing_lag_days AS DECIMAL(10,2)) AS DOUBLE) AS processing_lag_days,
     CAST(processed_date AS BIGINT) AS processed_date) FROM ({ANALYTICS_ORACLE})""",
+    doubles=('order_created_at', 'processed_date'),
 )
 def sink_typed(spark, sf):
     target = _new_table(spark, orders.ANALYTICS_TABLE)
@@ -479,7 +480,7 @@ def fanout_counts(spark, sf):
         """SELECT 'weather' AS job_name, CAST(NULL AS VARCHAR) AS source_data, CAST(NULL AS VARCHAR) AS source_database,
         'weather_daily' AS source_table, CAST(NULL AS VARCHAR) AS target_layer, CAST(NULL AS VARCHAR) AS target_database,
         'daily_weather' AS target_table, count(*) AS source_count,
-        count_if(city IS NOT NULL AND temp_f IS NOT NULL) AS target_count, '2024-02-01' AS load_date,
+        CAST(count_if(city IS NOT NULL AND temp_f IS NOT NULL) AS BIGINT) AS target_count, '2024-02-01' AS load_date,
         'Success' AS load_status, epoch_us(TIMESTAMP '2024-02-01 00:00:00') AS load_start_time,
         epoch_us(TIMESTAMP '2024-02-01 00:01:00') AS load_end_time, 60.0::DOUBLE AS job_run_time,
         epoch_us(TIMESTAMP '2024-02-01 00:01:00') AS created_on FROM weather""",
@@ -547,9 +548,9 @@ def folder_status(spark, sf):
     with_views(
         "activation_flat",
         f"""SELECT CAST(4 AS BIGINT) AS folders_processed, CAST(1 AS BIGINT) AS failed_folders, count(*) AS total_raw_count,
-        count_if(r IS NULL OR r NOT IN ('required_fields', 'event_type')) AS total_eligible,
-        count_if(r IS NULL) AS total_processed, count_if(r IS NOT NULL) AS total_skipped,
-        count_if(r IS NULL) AS total_target_count FROM (SELECT {REASON} AS r FROM activation_flat)""",
+        CAST(count_if(r IS NULL OR r NOT IN ('required_fields', 'event_type')) AS BIGINT) AS total_eligible,
+        CAST(count_if(r IS NULL) AS BIGINT) AS total_processed, CAST(count_if(r IS NOT NULL) AS BIGINT) AS total_skipped,
+        CAST(count_if(r IS NULL) AS BIGINT) AS total_target_count FROM (SELECT {REASON} AS r FROM activation_flat)""",
     ),
 )
 def run_summary(spark, sf):
@@ -655,6 +656,6 @@ def stream_sessions_append(spark, sf):
 
 
 def _clicks_of(spark, events):
-    from checks.fixtures import VIEWS
+    from millrace_checks.fixtures import VIEWS
 
     return spark.sql(VIEWS["clickstream"], events=events).withColumnRenamed("ts", "timestamp")

@@ -14,18 +14,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def check(name: str, oracle: str | None = None):
-    """Register a query; ``oracle`` is the SQL over the same tables."""
+def check(name: str, oracle: str | None = None, doubles: tuple[str, ...] = ()):
+    """Register a query; ``oracle`` is the SQL over the same tables.
+
+    ``doubles`` are integer columns with NULLs. They are compared as doubles, which hold
+    these values exactly, because data-frame libraries disagree about a missing integer.
+    """
 
     def add(function: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return plain(function(prepare(spark), sf_dir))
+            df = plain(function(prepare(spark), sf_dir))
+            return df.withColumns({c: F.col(c).cast("double") for c in doubles}) if doubles else df
 
         run.__name__ = name
         run.__doc__ = function.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = oracle
+            casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in doubles)
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({oracle})" if doubles else oracle
         return function
 
     return add

@@ -1,4 +1,4 @@
-"""``python -m checks.run [sf_dir] [name ...]``: run queries against their SQL."""
+"""``python -m millrace_checks.run [sf_dir] [name ...]``: run queries against their SQL."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import traceback
 
 
 def main() -> int:
-    from checks.all_checks import ORACLES, QUERIES
-    from checks.compare import differences, duck
+    from millrace_checks.all_checks import ORACLES, QUERIES
+    from millrace_checks.compare import differences, duck
     from millrace.session import local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"

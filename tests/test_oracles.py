@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from checks.all_checks import ORACLES, QUERIES
-from checks.compare import differences, duck
+from millrace_checks.all_checks import ORACLES, QUERIES
+from millrace_checks.compare import differences, duck
 
 
 @pytest.fixture(scope="module")

@@ -6,8 +6,8 @@ import re
 
 import pytest
 
-from checks.all_checks import QUERIES
-from checks.fixtures import table
+from millrace_checks.all_checks import QUERIES
+from millrace_checks.fixtures import table
 from millrace.operators import filters
 from millrace.plans import orders
 
@@ -43,6 +43,6 @@ def test_nested_scan_reads_only_the_used_attributes(spark, sf_dir):
 
 
 def test_summary_has_no_shuffle(spark, sf_dir):
-    from checks.fixtures import frame
+    from millrace_checks.fixtures import frame
 
     assert "Exchange" not in plan_of(orders.order_summary(frame(spark, sf_dir, "raw_orders")))
