@@ -28,7 +28,7 @@ PROJECT_CONDITION = "event_type = 'addedToLibrary' AND project_id IS NOT NULL"
 SOURCE_SYSTEM, IDENTIFIER_TYPE = "Connect", "GCID"
 
 MISSING_FIELD, WRONG_TYPE, NO_FONTS = "required_fields", "event_type", "font_list"
-NO_CUSTOMER, NO_STYLE, NO_PROFILE, NO_USAGE = "gcid", "font_style", "profile", "font_universe"
+NO_CUSTOMER, NO_STYLE, NO_PROFILE, NO_USAGE = "gcid", "font_style", "profile", "usage"
 RECORD_REASONS = (MISSING_FIELD, WRONG_TYPE, NO_FONTS)
 
 DOWNLOAD_KEYS = (
