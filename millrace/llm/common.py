@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,12 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of an object of this package, which executors need not have; call it in a task."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 class Stages:
     """Intermediate tables in the shared folder, each of which can be dropped when it is used up."""
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, near_dedup
+from millrace.llm import byte_bpe, exact_dedup, mixing, near_dedup, toxicity
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,78 @@ ORACLES["op1_exact_dedup"] = """
 """
 
 
+def vocabulary(spark: SparkSession) -> byte_bpe.Vocabulary:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.load_vocabulary(spark, path, public_tokenizers.PATTERN)
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = vocabulary(spark)
+    return byte_bpe.digests(byte_bpe.encode(read(spark, sf_dir, "documents"), own), own)
+
+
 @query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.decisions(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_rows(read(spark, sf_dir, "documents"))
+
+
+def _level(parents: list[str], level: str, weight: str, above: str) -> str:
+    """SQL of one level of the budget tree, below the rows of ``above`` (parents, given)."""
+    path = [*parents, level]
+    on = " AND ".join(f"c.{p} = a.{p}" for p in parents) or "true"
+    by = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    order = f"{by} ORDER BY capacity::DOUBLE / weight, {level}"
+    names = ", ".join(path)
+    return f"""
+        SELECT {names}, CASE WHEN is_full THEN capacity
+               ELSE (rest * upto) // open - (rest * (upto - weight)) // open END AS given
+        FROM (SELECT *, given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({by}) AS rest,
+                     sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({by}) AS open,
+                     sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({order} ROWS UNBOUNDED PRECEDING) AS upto
+              FROM (SELECT *, capacity * (sum(weight) OVER ({by}) - before_w) <= (given - before_c) * weight AS is_full
+                    FROM (SELECT *,
+                                 coalesce(sum(weight) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_w,
+                                 coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_c
+                          FROM (SELECT {', '.join('c.' + p for p in path)}, sum(supply) * 3 AS capacity, any_value(a.given) AS given,
+                                       {weight} AS weight
+                                FROM leaves c JOIN ({above}) a ON {on} GROUP BY ALL))))
+    """
+
+
+_DOMAINS = _level([], "domain", "CASE c.domain WHEN 'encyclopedia' THEN 3 WHEN 'forum' THEN 2 ELSE 1 END",
+                  "SELECT sum(supply) * 90 // 100 AS given FROM leaves")
+_LANGS = _level(["domain"], "lang", "CASE c.lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END",
+                "SELECT * FROM domains")
+_SOURCES = _level(["domain", "lang"], "source", "1", "SELECT * FROM langs")
+ORACLES["op6_mixing"] = f"""
+    WITH docs AS MATERIALIZED (
+        SELECT doc_id,
+               CASE coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INT), 0) % 3
+                    WHEN 0 THEN 'encyclopedia' WHEN 1 THEN 'forum' ELSE 'news' END AS domain,
+               coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+        FROM documents),
+    leaves AS MATERIALIZED (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM docs GROUP BY ALL HAVING supply > 0),
+    domains AS MATERIALIZED ({_DOMAINS}), langs AS MATERIALIZED ({_LANGS}), budgets AS MATERIALIZED ({_SOURCES}),
+    dealt AS (SELECT d.*, (b.given // l.supply)::BIGINT AS whole, (b.given % l.supply)::BIGINT AS part
+              FROM docs d JOIN leaves l USING (domain, lang, source) JOIN budgets b USING (domain, lang, source)),
+    ordered AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+                              ORDER BY md5('7:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), doc_id
+                              ROWS UNBOUNDED PRECEDING)::BIGINT - n_tokens AS start
+                FROM dealt WHERE part > 0)
+    SELECT doc_id, domain, lang, source, unnest(range(whole)) AS epoch, n_tokens, n_tokens AS n_taken
+    FROM dealt WHERE whole > 0
+    UNION ALL
+    SELECT doc_id, domain, lang, source, whole, n_tokens, least(n_tokens, part - start) FROM ordered WHERE start < part
+"""
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
