@@ -38,11 +38,16 @@ class Stages:
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark, self.purpose, self.paths = spark, purpose, {}
 
+    def place(self, name: str) -> str:
+        """A new path in the shared folder."""
+        path = shared_folder(self.spark, f"{self.purpose}-{name}")
+        self.paths.setdefault(name, []).append(path)
+        return path
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a written table: later readers, and lost executors, read files again."""
-        path = shared_folder(self.spark, f"{self.purpose}-{name}")
+        path = self.place(name)
         df.write.parquet(path)
-        self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
