@@ -23,8 +23,9 @@ MIN_WORDS = 10
 MAX_REPEATED = 20
 ROUNDS = 50
 KEEP_AT = 0.5
-# Rules are assumed to be better than chance, so that the two classes can't change places.
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.99
+# A rule accuses at most this share of the good documents: it keeps a class of frequent faults
+# from passing as good.
+MOST_FALSE = 0.01
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -86,58 +87,73 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 @dataclass(frozen=True)
 class Rule:
-    """``value`` votes bad outside [low, high] and good inside [good_low, good_high]."""
+    """``value`` votes bad outside [low, high], good inside ``good`` if there is one, or abstains."""
 
     name: str
     value: str
     low: float
     high: float
-    good_low: float
-    good_high: float
+    good: tuple[float, float] | None = None
 
     def vote(self) -> Column:
         value = F.expr(self.value)
-        bad = (value < self.low) | (value > self.high)
-        good = value.between(self.good_low, self.good_high)
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+        vote = F.when((value < self.low) | (value > self.high), -1)
+        return (vote.when(value.between(*self.good), 1) if self.good else vote).otherwise(0)
 
 
 MANY = 1e18
 RULES = (
-    Rule("length", "n_words", MIN_WORDS, MANY, 50, MANY),
-    Rule("word length", "word_chars / greatest(n_words, 1)", 2.5, 12, 3.5, 9),
-    Rule("symbols", "n_symbols / greatest(n_words, 1)", 0, 0.1, 0, 0.02),
-    Rule("repeated lines", "n_dup_lines / greatest(n_lines, 1)", 0, 0.3, 0, 0.02),
-    Rule("repeated words", "n_repeat_words / greatest(n_words, 1)", 0, MAX_REPEATED / 100, 0, 0.05),
-    Rule("capitals", "n_capitals / greatest(word_chars, 1)", 0, 0.4, 0, 0.12),
-    Rule("calls", "n_calls / greatest(n_words, 1)", 0, 0.3, 0, 0.05),
-    Rule("variety", "n_distinct_words / greatest(n_words, 1)", 0.05, 1, 0.2, 1),
+    Rule("length", "n_words", MIN_WORDS, MANY, (50, MANY)),
+    Rule("word length", "word_chars / greatest(n_words, 1)", 2.5, 12, (3.5, 9)),
+    Rule("symbols", "n_symbols / greatest(n_words, 1)", 0, 0.1),
+    Rule("repeated lines", "n_dup_lines / greatest(n_lines, 1)", 0, 0.3),
+    Rule("repeated words", "n_repeat_words / greatest(n_words, 1)", 0, MAX_REPEATED / 100),
+    Rule("capitals", "n_capitals / greatest(word_chars, 1)", 0, 0.4),
+    Rule("calls", "n_calls / greatest(n_words, 1)", 0, 0.3),
+    Rule("variety", "n_distinct_words / greatest(n_words, 1)", 0.05, 1),
 )
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """The share of good documents and each rule's accuracy where it votes, by EM."""
-    n_rules = len(next(iter(patterns), ()))
-    prior, accuracy = 0.7, [0.8] * n_rules
-    for _ in range(rounds):
-        good = total = 0.0
-        right, voted = [0.0] * n_rules, [0.0] * n_rules
-        for votes, n in patterns.items():
-            odds = math.log(prior / (1 - prior))
-            odds += sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy))
-            p = 1 / (1 + math.exp(-odds))
-            good, total = good + n * p, total + n
-            for j, v in enumerate(votes):
-                if v:
-                    voted[j] += n
-                    right[j] += n * (p if v > 0 else 1 - p)
-        if not total:
-            break
-        prior = min(0.99, max(0.01, good / total))
-        accuracy = [
-            min(MOST_ACCURACY, max(LEAST_ACCURACY, (r + 1) / (v + 2))) for r, v in zip(right, voted)
-        ]
-    return prior, accuracy
+VOTES = (-1, 0, 1)
+
+
+@dataclass(frozen=True)
+class Accuracy:
+    """How often a rule casts each vote on good and on bad documents."""
+
+    good: dict[int, float]
+    bad: dict[int, float]
+
+    def evidence(self, vote: int) -> float:
+        """Log odds of good; an abstention says nothing, as most rules look for one fault each."""
+        return math.log(self.good[vote] / self.bad[vote]) if vote else 0.0
+
+
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[Accuracy]]:
+    """The share of good documents and each rule's accuracy, by EM over the pattern counts.
+
+    The first guess is that documents with a bad vote are bad with probability 0.9 and others with
+    0.1, which fixes which of the two classes is the good one.
+    """
+    n_rules, total = len(next(iter(patterns), ())), sum(patterns.values())
+    good = {votes: 0.1 if -1 in votes else 0.9 for votes in patterns}
+    prior, rules = 0.5, [Accuracy(*[dict.fromkeys(VOTES, 1 / 3)] * 2)] * n_rules
+    for _ in range(rounds if total else 0):
+        held = sum(n * good[v] for v, n in patterns.items())
+        prior = (held + 1) / (total + 2)
+        rules = []
+        for j in range(n_rules):
+            cast = {True: dict.fromkeys(VOTES, 1.0), False: dict.fromkeys(VOTES, 1.0)}
+            for votes, n in patterns.items():
+                cast[True][votes[j]] += n * good[votes]
+                cast[False][votes[j]] += n * (1 - good[votes])
+            shares = [{v: c / sum(k.values()) for v, c in k.items()} for k in (cast[True], cast[False])]
+            shares[0][-1] = min(shares[0][-1], MOST_FALSE)
+            rules.append(Accuracy(*shares))
+        for votes in patterns:
+            odds = math.log(prior / (1 - prior)) + sum(r.evidence(v) for r, v in zip(rules, votes))
+            good[votes] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+    return prior, rules
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,10 +168,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         measures(docs, id_col, text_col).withColumns({v: r.vote() for v, r in zip(votes, RULES)}), "measures"
     )
     counted = rows.groupBy(*votes).count().collect()
-    prior, accuracy = estimate({tuple(r[v] for v in votes): r["count"] for r in counted})
+    prior, rules = estimate({tuple(r[v] for v in votes): r["count"] for r in counted})
     odds = F.lit(math.log(prior / (1 - prior)))
-    for vote, a in zip(votes, accuracy):
-        odds = odds + F.col(vote) * math.log(a / (1 - a))
+    for vote, rule in zip(votes, rules):
+        evidence = [F.lit(rule.evidence(v)) for v in VOTES]
+        odds = odds + F.get(F.array(*evidence), F.col(vote) + 1)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
