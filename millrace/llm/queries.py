@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality, toxicity, warc
+from millrace.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, personal, quality, toxicity, warc
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,13 @@ ORACLES["op9_warc"] = """
            (CASE WHEN page_id <> first_id THEN first_id END)::DOUBLE AS refers_to
     FROM p
 """
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal(read(spark, sf_dir, "documents"))
