@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, personal, quality, toxicity, warc
+from millrace.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, personal, quality, toxicity, warc
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(read(spark, sf_dir, "documents")).drop("text_hash")
