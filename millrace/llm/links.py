@@ -1,9 +1,9 @@
 """Near-duplicate links from sketches: shared keys, candidate regions, exact checks, components.
 
 Every step is a sort or hash exchange of narrow rows. A region (the items that share one key)
-is read as a sorted stream; only its items' sketches are compared, and at most one candidate
-an item leaves it. All further candidates follow when components are known, and then only
-across components, so a group of copies never becomes the square of its size.
+is read as a sorted stream; only its items' sketches are compared, and in each round at most one
+candidate an item leaves it. All further candidates follow when components are known, and then
+only across components, so a group of copies never becomes the square of its size.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Stages, runs
+from millrace.llm.shingles import TREE_MASK
 
 # A region with more items than this is cut by its deeper key, and then into random blocks
 # that differ from key to key.
@@ -65,28 +66,29 @@ def connected(edges: DataFrame, stages: Stages) -> DataFrame:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in runs(batches, "key"):
-        keys = table.column("key").to_numpy()
+        keys, nodes = table.column("key").to_numpy(), table.column("node").to_numpy()
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+        keys, nodes = keys[fresh], nodes[fresh]
         same = keys[1:] == keys[:-1]
         keep = np.zeros(len(keys), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(nodes[keep])], ["key", "node"])
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """Rows (tree, key, node) whose key at least two nodes have."""
+    """Rows (key, node) whose key at least two nodes have, each once."""
     return (
-        rows.distinct() .repartition("key")
-        .sortWithinPartitions("key", "node")
-        .mapInArrow(_shared, rows.schema)
+        rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
     )
 
 
 def regions(forest: DataFrame, items: DataFrame) -> DataFrame:
     """(region, node, n, sketch): adaptive depth, the deeper key where many items share one."""
-    deep = forest.join(items.select("node", "deep"), "node").select(
-        "tree", "key", "node", F.element_at("deep", F.col("tree") + 1).alias("deep")
-    )
+    tree = F.col("key").bitwiseAND(TREE_MASK).cast("int")
+    deep = forest.join(items.select("node", "deep"), "node").select("key", "node", F.get("deep", tree).alias("deep"))
     crowded = forest.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > REGION_ITEMS)
     deeper = deep.join(crowded, "key", "left").withColumn(
         "region", F.when(F.col("size").isNull(), F.col("key")).otherwise(F.col("deep"))
@@ -136,13 +138,15 @@ def _emit(node, i, j, estimate) -> pa.RecordBatch:
 
 
 def closest_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
-    """For each item its best candidate within each of its regions."""
+    """For each item its best candidate of another component within each of its regions."""
 
     def scan(batches):
         for table in runs(batches, "region"):
-            node = table.column("node").to_numpy()
+            node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
             best, partner = np.zeros(len(node)), np.full(len(node), -1)
             for i, j, estimate in _pairs(table, ratio, least):
+                far = component[i] != component[j]
+                i, j, estimate = i[far], j[far], estimate[far]
                 for x, y in ((i, j), (j, i)):
                     better = estimate > best[x]
                     best[x[better]], partner[x[better]] = estimate[better], y[better]
@@ -150,7 +154,11 @@ def closest_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
             if len(i):
                 yield _emit(node, i, partner[i], best[i])
 
-    return rows.repartition("region").sortWithinPartitions("region", "n", "node").mapInArrow(scan, PAIRS)
+    found = rows.repartition("region").sortWithinPartitions("region", "n", "node").mapInArrow(scan, PAIRS)
+    near = found.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    ends = near.union(near.select("b", "a", "estimate"))
+    best = ends.groupBy("a").agg(F.max(F.struct("estimate", F.expr("-b").alias("o"))).alias("x"))
+    return best.select(F.least("a", -F.col("x.o")).alias("a"), F.greatest("a", -F.col("x.o")).alias("b")).distinct()
 
 
 def crossing_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
@@ -195,33 +203,43 @@ def components(
 ) -> DataFrame:
     """(node, component) of the linked nodes.
 
-    ``forest``: (tree, key, node) with shared keys. ``items``: (node, n, sketch, deep, text).
-    First each item's best candidate is checked on the full sets and the links are united; then
-    every candidate that would join two components is checked as well.
+    ``forest``: (key, node) with shared keys. ``items``: (node, n, sketch, deep, text).
+    In each round every item's best candidate in another component is checked on the full sets,
+    and the links are united. When a round finds no link, all remaining candidates between
+    components are checked once. Pairs within a component need no check: they change nothing.
     """
     rows = stages.write(regions(forest, items), "regions")
-    near = stages.write(
-        closest_pairs(rows, ratio, least).groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "near"
-    )
-    ends = near.union(near.select("b", "a", "estimate"))
-    chosen = (
-        ends.groupBy("a").agg(F.max(F.struct("estimate", F.expr("-b").alias("o"))).alias("x"))
-        .select(F.least("a", -F.col("x.o")).alias("a"), F.greatest("a", -F.col("x.o")).alias("b"))
-        .distinct()
-    )
-    chosen = stages.write(chosen, "chosen")
-    first = stages.write(connected(verified(chosen, items, similar), stages), "first")
-    labelled = rows.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = stages.write(labelled, "labelled")
-    mixed = labelled.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed = mixed.where("x <> y").select("region")
-    crossing = (
-        crossing_pairs(labelled.join(mixed, "region", "left_semi"), ratio, least)
-        .select("a", "b").distinct()
-        .join(chosen, ["a", "b"], "left_anti")
-    )
-    more = verified(crossing, items, similar)
-    known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = stages.write(connected(known.union(more), stages), "components")
-    stages.drop("regions", "near", "chosen", "first", "labelled", "edges")
+    start = rows.withColumn("component", F.col("node"))
+    known = tried = None
+    while True:
+        labelled = start if known is None else stages.write(_crossing(rows, known), "labelled")
+        chosen = closest_pairs(labelled, ratio, least)
+        chosen = stages.write(chosen if tried is None else chosen.join(tried, ["a", "b"], "left_anti"), "tried")
+        links = stages.write(verified(chosen, items, similar), "links")
+        tried = chosen if tried is None else tried.union(chosen)
+        if known is not None and links.isEmpty():
+            break
+        known = stages.write(connected(_between(links, known), stages), "known")
+    crossing = crossing_pairs(labelled, ratio, least).select("a", "b").distinct()
+    more = verified(crossing.join(tried, ["a", "b"], "left_anti"), items, similar)
+    found = stages.write(connected(_between(more, known), stages), "components")
+    stages.drop("regions", "labelled", "tried", "links", "known", "edges")
     return found
+
+
+def _crossing(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of the regions with items of several components, with the component."""
+    labelled = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = labelled.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return labelled.join(ends.where("x <> y").select("region"), "region", "left_semi")
+
+
+def _between(links: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``links`` as edges between components, with the edges that hold the components together."""
+    if known is None:
+        return links
+    label = lambda end: F.coalesce(f"component_{end}", end)
+    for end in ("a", "b"):
+        links = links.join(known.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}")), end, "left")
+    edges = links.select(label("a").alias("a"), label("b").alias("b")).distinct()
+    return edges.union(known.select(F.col("node").alias("a"), F.col("component").alias("b")))

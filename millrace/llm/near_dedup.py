@@ -85,7 +85,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     member = stages.write(member, "members")
     own = signed.join(member.where("doc_id = node").select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi")
     forest = own.where("keys is not null").select(
-        F.posexplode("keys").alias("tree", "key"), F.col("doc_id").alias("node")
+        F.explode("keys").alias("key"), F.col("doc_id").alias("node")
     )
     forest = stages.write(links.shared_keys(forest), "forest")
     items = rows.join(

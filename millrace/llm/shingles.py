@@ -62,10 +62,16 @@ def similar(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
     return 100 * common >= hundredths * (len(a) + len(b) - common)
 
 
+# The low bits of a key are the number of its tree.
+TREE_MASK = 31
+
+
 class Forest:
     """``trees`` signature orders of ``deep`` MinHash values each, keyed at depth ``shallow``."""
 
     def __init__(self, trees: int, shallow: int, deep: int, seed: int = 1):
+        if trees > TREE_MASK + 1:
+            raise ValueError("too many trees")
         self.trees, self.shallow, self.deep = trees, shallow, deep
         draw = np.random.default_rng(seed)
         self.a = draw.integers(1, 2**63, trees * deep, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,7 +95,8 @@ class Forest:
         key = np.arange(1, self.trees + 1, dtype=np.uint64) * _BASE
         for k in range(depth):
             key = mixed(key * _BASE + mixed(minima[:, k]))
-        return key.view(np.int64)
+        tree = np.arange(self.trees, dtype=np.uint64)
+        return (key & ~np.uint64(TREE_MASK) | tree).view(np.int64)
 
     def shallow_keys(self, shingles: np.ndarray) -> np.ndarray:
         return self.keys(self.minima(shingles, slice(0, self.shallow)), self.shallow)
