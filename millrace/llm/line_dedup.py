@@ -20,7 +20,7 @@ WIDTH = 8
 HUNDREDTHS = 80
 BANDS = Forest(trees=14, shallow=3, deep=6, seed=2)
 # 84 values estimate 0.8 with a deviation of 0.044.
-LEAST_ESTIMATE = 0.55
+LEAST_ESTIMATE = 0.62
 # Lines of fewer shingles have no unequal neighbour at 0.8.
 LEAST_SHINGLES = 4
 

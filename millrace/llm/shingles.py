@@ -62,6 +62,13 @@ def similar(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
     return 100 * common >= hundredths * (len(a) + len(b) - common)
 
 
+def _least(a: np.ndarray, b: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    least = np.full(len(a), np.iinfo(np.uint64).max)
+    for start in range(0, len(shingles), 1024):
+        least = np.minimum(least, (a * shingles[start : start + 1024] + b).min(axis=1))
+    return least
+
+
 # The low bits of a key are the number of its tree.
 TREE_MASK = 31
 
@@ -69,13 +76,16 @@ TREE_MASK = 31
 class Forest:
     """``trees`` signature orders of ``deep`` MinHash values each, keyed at depth ``shallow``."""
 
-    def __init__(self, trees: int, shallow: int, deep: int, seed: int = 1):
+    def __init__(self, trees: int, shallow: int, deep: int, seed: int = 1, more: int = 0):
+        """``more`` values serve estimates only."""
         if trees > TREE_MASK + 1:
             raise ValueError("too many trees")
         self.trees, self.shallow, self.deep = trees, shallow, deep
         draw = np.random.default_rng(seed)
         self.a = draw.integers(1, 2**63, trees * deep, np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = draw.integers(0, 2**63, trees * deep, np.uint64)
+        self.more_a = draw.integers(1, 2**63, (more, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.more_b = draw.integers(0, 2**63, (more, 1), np.uint64)
 
     def minima(self, shingles: np.ndarray, only: slice | None = None) -> np.ndarray:
         """The least value of each permutation, as (trees, depth)."""
@@ -84,11 +94,7 @@ class Forest:
         if only is not None:
             a, b = a[:, only], b[:, only]
         depth = a.shape[1]
-        a, b = a.reshape(-1, 1), b.reshape(-1, 1)
-        least = np.full(len(a), np.iinfo(np.uint64).max)
-        for start in range(0, len(shingles), 1024):
-            least = np.minimum(least, (a * shingles[start : start + 1024] + b).min(axis=1))
-        return least.reshape(self.trees, depth)
+        return _least(a.reshape(-1, 1), b.reshape(-1, 1), shingles).reshape(self.trees, depth)
 
     def keys(self, minima: np.ndarray, depth: int) -> np.ndarray:
         """One key for each tree: its first ``depth`` values."""
@@ -104,4 +110,5 @@ class Forest:
     def sketch(self, shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
         """Keys at full depth, and one byte of each minimum for estimates."""
         minima = self.minima(shingles)
-        return self.keys(minima, self.deep), (mixed(minima) >> np.uint64(56)).astype(np.uint8).tobytes()
+        every = np.concatenate([minima.ravel(), _least(self.more_a, self.more_b, shingles)])
+        return self.keys(minima, self.deep), (mixed(every) >> np.uint64(56)).astype(np.uint8).tobytes()

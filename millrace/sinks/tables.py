@@ -1,8 +1,10 @@
 """Load modes over external catalog tables stored as parquet.
 
-A rewrite never touches the files it reads: the new content goes to a new folder, and
-one catalog change (table or partition location) publishes it. A job that dies before that
-leaves the table as it was, and running it again is safe. One writer per table is assumed.
+Every mode has two halves. ``prepare`` writes the new content to a folder of its own, which
+changes nothing that a reader sees, and returns the ``Change`` that will publish it: statements
+that set locations, and files to move into the table. ``publish`` carries a change out; doing so
+twice, or again after a death half way, has the effect of doing it once. ``sinks.journal`` keeps
+the changes of a run until all are published. One writer per table is assumed.
 
 The keyed modes use the new rows more than once, so these are first written to the shared
 folder: they are computed once, cannot differ between the uses, and their size is known
@@ -12,9 +14,9 @@ where there is a key, that every key has one row.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,30 +56,68 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Change:
+    """What publishes a prepared load: files to move from folder to folder, then statements."""
+
+    table: str
+    moves: tuple[tuple[str, str], ...] = ()
+    statements: tuple[str, ...] = ()
+
+
+def publish(spark: SparkSession, change: Change) -> None:
+    """Carry ``change`` out, or the rest of it."""
+    for source, target in change.moves:
+        _move_files(spark, source, target)
+    for statement in change.statements:
+        spark.sql(statement)
+    spark.catalog.refreshTable(change.table)
+
+
 def append(df: DataFrame, table: str, max_files: int | None = None) -> None:
     """Add rows."""
-    out = conform(df, df.sparkSession.table(table).schema)
-    (out.coalesce(max_files) if max_files else out).write.insertInto(table)
+    publish(df.sparkSession, prepare_append(df, table, max_files))
+
+
+def prepare_append(df: DataFrame, table: str, max_files: int | None = None) -> Change:
+    spark = df.sparkSession
+    out = conform(df, spark.table(table).schema)
+    partitions = _partition_columns(spark, table)
+    folder = _new_folder(spark, table)
+    _write(out.coalesce(max_files) if max_files else out, folder, partitions)
+    if not partitions:
+        return Change(table, ((folder, _location(spark, table)),))
+    # A partition's folder gets the files; partitions without one are added where they were written.
+    written = _touched(spark.read.schema(out.schema).parquet(folder), partitions)
+    known = _listed_partitions(spark, table)
+    moves = [
+        (_below(spark, folder, partitions, v), _location(spark, table, _spec(partitions, v)))
+        for v in written if v in known
+    ]
+    added = _switch(spark, table, folder, partitions, [v for v in written if v not in known])
+    return Change(table, tuple(moves), added)
 
 
 def replace(df: DataFrame, table: str) -> None:
     """Put ``df`` in the place of the whole content."""
+    publish(df.sparkSession, prepare_replace(df, table))
+
+
+def prepare_replace(df: DataFrame, table: str) -> Change:
     spark = df.sparkSession
     out = conform(df, spark.table(table).schema)
     partitions = _partition_columns(spark, table)
     folder = _new_folder(spark, table)
-    if partitions:
-        old = set(_listed_partitions(spark, table))
-        _write(out, folder, partitions)
-        fresh = _touched(spark.read.schema(out.schema).parquet(folder), partitions)
-        _switch_partitions(spark, table, folder, partitions, fresh)
-        for values in old - set(fresh):
-            spec = _spec(partitions, values)
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
-    else:
-        _write(out, folder)
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
-    spark.catalog.refreshTable(table)
+    _write(out, folder, partitions)
+    if not partitions:
+        return Change(table, (), (f"ALTER TABLE {table} SET LOCATION '{folder}'",))
+    fresh = _touched(spark.read.schema(out.schema).parquet(folder), partitions)
+    gone = sorted(_listed_partitions(spark, table) - set(fresh), key=str)
+    statements = list(_switch(spark, table, folder, partitions, fresh))
+    if gone:
+        specs = ", ".join(f"PARTITION ({_spec(partitions, v)})" for v in gone)
+        statements.append(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+    return Change(table, (), tuple(statements))
 
 
 def insert_ignore(
@@ -88,17 +128,31 @@ def insert_ignore(
     staged: bool = False,
 ) -> None:
     """Add the rows whose key the table lacks; of equal new keys the first by order wins."""
+    publish(df.sparkSession, prepare_insert_ignore(df, table, key, order_by, staged))
+
+
+def prepare_insert_ignore(
+    df: DataFrame,
+    table: str,
+    key: Sequence[str],
+    order_by: Sequence[str] | None = None,
+    staged: bool = False,
+) -> Change:
+    """When the table is partitioned by key columns, only partitions that ``df`` touches are read."""
     spark = df.sparkSession
     existing = spark.table(table)
     new = conform(df, existing.schema)
     if not staged:
         firsts = deduplicate(new, key, list(order_by or key), keep="first")
         new = materialize(firsts, "insert")
+    partitions = _partition_columns(spark, table)
+    if partitions and set(partitions) <= set(key):
+        existing = existing.where(_partition_filter(existing.schema, partitions, _touched(new, partitions)))
     # The keys that meet, before the rows that do not: a small load is broadcast to the
     # scan of the table, which then needs no shuffle.
     keys = existing.select(*key)
     taken = keys.join(new.select(*key), _same_key(keys, new, key), "left_semi")
-    append(new.join(taken, _same_key(new, taken, key), "left_anti"), table)
+    return prepare_append(new.join(taken, _same_key(new, taken, key), "left_anti"), table)
 
 
 def upsert(
@@ -113,6 +167,16 @@ def upsert(
     When the table is partitioned by key columns, only the partitions that ``df`` touches are
     read and rewritten; else the whole table is.
     """
+    publish(df.sparkSession, prepare_upsert(df, table, key, order_by, staged))
+
+
+def prepare_upsert(
+    df: DataFrame,
+    table: str,
+    key: Sequence[str],
+    order_by: Sequence[str] | None = None,
+    staged: bool = False,
+) -> Change:
     spark = df.sparkSession
     existing = spark.table(table)
     new = conform(df, existing.schema)
@@ -124,17 +188,16 @@ def upsert(
     if local:
         touched = _touched(new, partitions)
         if not touched:
-            return
+            return Change(table)
         base = existing.where(_partition_filter(existing.schema, partitions, touched))
     else:
         base = existing
     merged = base.join(new.select(*key), _same_key(base, new, key), "left_anti").unionByName(new)
-    if local:
-        folder = _new_folder(spark, table)
-        _write(merged, folder, partitions)
-        _switch_partitions(spark, table, folder, partitions, touched)
-    else:
-        replace(merged, table)
+    if not local:
+        return prepare_replace(merged, table)
+    folder = _new_folder(spark, table)
+    _write(merged, folder, partitions)
+    return Change(table, (), _switch(spark, table, folder, partitions, touched))
 
 
 def monthly_merge(
@@ -150,38 +213,87 @@ def monthly_merge(
     The table is partitioned by (year, month); other months are neither read nor written.
     A modification time, if the table has one, becomes that of the newest rows merged in.
     """
+    publish(
+        df.sparkSession,
+        prepare_monthly_merge(df, table, group_by, first_column, modified_column, staged),
+    )
+
+
+def prepare_monthly_merge(
+    df: DataFrame,
+    table: str,
+    group_by: Sequence[str],
+    first_column: str = "customer_identifier_type",
+    modified_column: str = "last_modified",
+    staged: bool = False,
+) -> Change:
     spark = df.sparkSession
     existing = spark.table(table)
     new = df if staged else materialize(df, "merge")
     months = _touched(new, ["year", "month"])
     if not months:
-        return
+        return Change(table)
     predicate = _partition_filter(existing.schema, ["year", "month"], months)
     latest = [modified_column] if modified_column in existing.columns else []
     merged = monthly_rollup(existing, new, group_by, first_column, predicate, latest)
     folder = _new_folder(spark, table)
     _write(conform(merged, existing.schema), folder, ["year", "month"])
-    _switch_partitions(spark, table, folder, ["year", "month"], months)
+    return Change(table, (), _switch(spark, table, folder, ["year", "month"], months))
+
+
+def _location(spark: SparkSession, table: str, spec: str | None = None) -> str:
+    part = f" PARTITION ({spec})" if spec else ""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}{part}").where("col_name = 'Location'").collect()
+    # Of a partition the first location is its own, the second the table's.
+    return rows[0]["data_type"].rstrip("/")
 
 
 def _new_folder(spark: SparkSession, table: str) -> str:
     """A fresh folder beside the table's first location."""
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").collect()
-    base = rows[0]["data_type"].split(".versions/")[0].rstrip("/")
-    return f"{base}.versions/{uuid.uuid4().hex}"
+    return f"{_location(spark, table).split('.versions/')[0]}.versions/{uuid.uuid4().hex}"
+
+
+def _move_files(spark: SparkSession, source: str, target: str) -> None:
+    """Rename the written files of ``source`` into ``target``. Their names are unique, so a move
+    that was cut off goes on where it stopped."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    there = make(target)
+    system = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(make(source)):
+        return
+    system.mkdirs(there)
+    for status in system.listStatus(make(source)):
+        name = status.getPath().getName()
+        if name.startswith("part-") and not system.rename(status.getPath(), make(there, name)):
+            raise OSError(f"cannot move {name} to {target}")
 
 
 def _partition_columns(spark: SparkSession, table: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
-def _listed_partitions(spark: SparkSession, table: str) -> set[tuple[str, ...]]:
+# The folder name Spark gives to a partition without a value, a fixed value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _listed_partitions(spark: SparkSession, table: str) -> set[tuple[str | None, ...]]:
+    plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
     rows = spark.sql(f"SHOW PARTITIONS {table}").collect()
-    return {tuple(p.split("=", 1)[1] for p in r[0].split("/")) for r in rows}
+    texts = [[plain(p.split("=", 1)[1]) for p in r[0].split("/")] for r in rows]
+    return {tuple(None if v in (NO_VALUE, "null") else v for v in text) for text in texts}
 
 
 def _spec(partitions: Sequence[str], values: Sequence) -> str:
-    return ", ".join(f"`{c}`='{v}'" for c, v in zip(partitions, values))
+    def quoted(value: str | None) -> str:
+        return "null" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return ", ".join(f"`{c}`={quoted(v)}" for c, v in zip(partitions, values))
+
+
+def _below(spark: SparkSession, folder: str, partitions: Sequence[str], values: Sequence) -> str:
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    names = [NO_VALUE if v is None else escape(v) for v in values]
+    return folder + "".join(f"/{c}={v}" for c, v in zip(partitions, names))
 
 
 def _write(df: DataFrame, folder: str, partitions: Sequence[str] = ()) -> None:
@@ -191,43 +303,52 @@ def _write(df: DataFrame, folder: str, partitions: Sequence[str] = ()) -> None:
     writer.parquet(folder)
 
 
-def _switch_partitions(
+def _switch(
     spark: SparkSession,
     table: str,
     folder: str,
     partitions: Sequence[str],
     written: Sequence[tuple],
-) -> None:
-    """Point the partitions written to ``folder`` there; metadata only."""
-    for values in written:
-        path = "/".join(f"{c}={v}" for c, v in zip(partitions, values))
-        spec = _spec(partitions, values)
-        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec})")
-        spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION '{folder}/{path}'")
-    spark.catalog.refreshTable(table)
+) -> tuple[str, ...]:
+    """Statements that point the partitions written to ``folder`` there; metadata only.
 
+    All new partitions are added in one statement, with their location; one that exists is only
+    pointed elsewhere, so that it is at no time empty or gone.
+    """
+    known = _listed_partitions(spark, table)
+    places = {v: f"PARTITION ({_spec(partitions, v)})" for v in written}
+    paths = {v: _below(spark, folder, partitions, v).replace("\\", "\\\\").replace("'", "\\'") for v in written}
+    new = [f"{places[v]} LOCATION '{paths[v]}'" for v in written if v not in known]
+    statements = [f"ALTER TABLE {table} ADD IF NOT EXISTS {' '.join(new)}"] if new else []
+    statements += [f"ALTER TABLE {table} {places[v]} SET LOCATION '{paths[v]}'" for v in written if v in known]
+    return tuple(statements)
 
-def _touched(df: DataFrame, partitions: Sequence[str]) -> list[tuple[str, ...]]:
+
+def _touched(df: DataFrame, partitions: Sequence[str]) -> list[tuple[str | None, ...]]:
     """The partition values of ``df`` as text: one entry per partition, never rows."""
     rows = df.select(*[F.col(c).cast("string") for c in partitions]).distinct().collect()
-    for row in rows:
-        for value in row:
-            if value is None or not re.fullmatch(r"[\w.\- ]+", value):
-                raise ValueError(f"not usable as a partition value: {value!r}")
-    return sorted(tuple(row) for row in rows)
+    return sorted((tuple(row) for row in rows), key=str)
 
 
 def _partition_filter(
     schema: T.StructType, partitions: Sequence[str], touched: Sequence[tuple]
 ) -> Column:
     """A literal predicate on the partition columns, pruned at planning time."""
-    predicate = F.lit(False)
+    if len(partitions) == 1 and touched and all(v is not None for (v,) in touched):
+        kind = schema[partitions[0]].dataType
+        return F.col(partitions[0]).isin([F.lit(v).cast(kind) for (v,) in touched])
+    parts = []
     for values in touched:
-        one = F.lit(True)
-        for name, value in zip(partitions, values):
-            one = one & (F.col(name) == F.lit(value).cast(schema[name].dataType))
-        predicate = predicate | one
-    return predicate
+        one = [F.col(n).eqNullSafe(F.lit(v).cast(schema[n].dataType)) for n, v in zip(partitions, values)]
+        parts.append(_balanced(one, lambda a, b: a & b))
+    return _balanced(parts, lambda a, b: a | b) if parts else F.lit(False)
+
+
+def _balanced(parts: list[Column], joined) -> Column:
+    """A tree of logarithmic depth: many partitions don't nest as many levels."""
+    while len(parts) > 1:
+        parts = [joined(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def _same_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:

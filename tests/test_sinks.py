@@ -6,7 +6,7 @@ import pytest
 
 from millrace.session import shared_folder
 from millrace.sinks import jdbc as jdbc_sink
-from millrace.sinks import tables
+from millrace.sinks import journal, tables
 
 
 def make(spark, schema, partition_by=()):
@@ -100,10 +100,72 @@ def test_monthly_merge_twice_sums_twice_and_spares_other_months(spark):
     assert got == {("a", 12): 5, ("b", 1): 2, ("a", 1): 14}
 
 
-def test_null_partition_value_is_refused(spark):
+ODD = ("AT&T", "a/b", "it's", "x=y", "50%", "back\\slash", None)
+
+
+def test_any_partition_value(spark):
+    name = make(spark, "k string, v int, p string", ("p",))
+    new = spark.createDataFrame([("a", n, p) for n, p in enumerate(ODD)], "k string, v int, p string")
+    for _ in range(2):
+        tables.upsert(new, name, ["k", "p"])
+        assert sorted((r.v, r.p) for r in spark.table(name).collect()) == list(enumerate(ODD))
+    tables.append(new.limit(3), name)
+    tables.insert_ignore(new, name, ["k", "p"])
+    assert spark.table(name).count() == len(ODD) + 3
+    tables.replace(new.where("v < 2"), name)
+    assert sorted((r.v, r.p) for r in spark.table(name).collect()) == list(enumerate(ODD))[:2]
+
+
+def test_insert_ignore_reads_only_touched_partitions(spark):
     name = make(spark, "k string, v int, p int", ("p",))
-    with pytest.raises(ValueError, match="partition value"):
-        tables.upsert(frame(spark, [("a", 1, None)]), name, ["k", "p"])
+    tables.append(frame(spark, [("a", 1, 1), ("b", 1, 2)]), name)
+    broken = tables._location(spark, name, "`p`='2'")
+    spark.sql(f"ALTER TABLE {name} PARTITION (p=2) SET LOCATION '{broken}-absent'")
+    tables.insert_ignore(frame(spark, [("a", 5, 1), ("c", 5, 1)]), name, ["k", "p"])
+    assert sorted((r.k, r.v) for r in spark.table(name).where("p = 1").collect()) == [("a", 1), ("c", 5)]
+
+
+class Death(Exception):
+    pass
+
+
+@pytest.mark.parametrize("deaths", range(7))
+def test_death_between_any_two_steps_loses_and_doubles_nothing(spark, monkeypatch, deaths):
+    """Append, merge of partitions and upsert in one batch; the driver dies after n steps."""
+    plain = make(spark, "k string, v int, p int")
+    parts = make(spark, "k string, v int, p int", ("p",))
+    tables.append(frame(spark, [("a", 1, 1)]), plain)
+    tables.append(frame(spark, [("a", 1, 1), ("a", 1, 2)]), parts)
+    new = frame(spark, [("a", 7, 1), ("a", 7, 2), ("a", 7, 3)])
+    folder = shared_folder(spark, "journal")
+    changes = [tables.prepare_append(new, plain), tables.prepare_upsert(new, parts, ["k", "p"])]
+    left = [deaths]
+    sql, move = type(spark).sql, tables._move_files
+
+    def dying(action):
+        def act(*args, **named):
+            statement = args[1] if isinstance(args[1], str) else ""
+            if action is move or statement.startswith("ALTER"):
+                if not left[0]:
+                    left[0] = -1
+                    raise Death
+                left[0] -= left[0] > 0
+            return action(*args, **named)
+
+        return act
+
+    monkeypatch.setattr(type(spark), "sql", dying(sql))
+    monkeypatch.setattr(tables, "_move_files", dying(move))
+    try:
+        journal.load_all(spark, folder, changes)
+    except Death:
+        present = {r.p for r in spark.table(parts).collect()}
+        assert present >= {1, 2}
+    monkeypatch.undo()
+    journal.finish_open(spark, folder)
+    assert journal.finish_open(spark, folder) == []
+    assert sorted(map(tuple, spark.table(plain).collect())) == [("a", 1, 1), ("a", 7, 1), ("a", 7, 2), ("a", 7, 3)]
+    assert sorted(map(tuple, spark.table(parts).collect())) == [("a", 7, 1), ("a", 7, 2), ("a", 7, 3)]
 
 
 def test_conform_orders_casts_and_adds(spark):
