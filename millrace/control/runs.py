@@ -106,13 +106,20 @@ def untracked(files: DataFrame, tracking: DataFrame) -> DataFrame:
     )
 
 
-def file_tracking(raw: DataFrame, job_name: str, read_at: datetime) -> DataFrame:
-    """One row per file read, with its raw record count."""
+def file_tracking(
+    raw: DataFrame, job_name: str, read_at: datetime, read: DataFrame | None = None
+) -> DataFrame:
+    """One row per file read, with its raw record count. ``read`` lists (data_file) all of them,
+    so that a file without a record is tracked too."""
     stamp = F.lit(read_at)
+    counts = raw.groupBy(F.col("source_file").alias("s3_file_path")).agg(F.count(F.lit(1)).alias("raw_count"))
+    if read is not None:
+        files = read.select("data_file", file_name("data_file").alias("__name")).dropDuplicates(["__name"])
+        counts = files.join(
+            counts.select(file_name("s3_file_path").alias("__name"), "raw_count"), "__name", "left"
+        ).select(F.col("data_file").alias("s3_file_path"), F.coalesce("raw_count", F.lit(0)).alias("raw_count"))
     return (
-        raw.groupBy(F.col("source_file").alias("s3_file_path"))
-        .agg(F.count(F.lit(1)).alias("raw_count"))
-        .withColumns(
+        counts.withColumns(
             {
                 "job_name": F.lit(job_name),
                 "file_read_timestamp": stamp,
@@ -150,18 +157,19 @@ def counters(
     )
 
 
-def folder_outcomes(files: DataFrame, raw: DataFrame) -> DataFrame:
+def folder_outcomes(files: DataFrame, raw: DataFrame, unreadable: Sequence[str] = ()) -> DataFrame:
     """Status per folder from one distributed pass: no loop over folders on the driver.
 
     ``files`` lists (folder, data_file, bytes) with NULL bytes for an absent file; ``raw`` is
-    the landed read of the present ones (``sources.files.land``). A folder fails when a file is absent, or holds bytes that
-    gave no record; the other folders go on.
+    the landed read of the present ones and ``unreadable`` names the folders it lacks
+    (``sources.files.land_folders``). A folder fails when a file is absent or it is unreadable; the
+    other folders go on. A readable file without a record is good.
     """
     per_file = raw.groupBy(file_name("source_file").alias("__name")).agg(
         F.count(F.lit(1)).alias("raw_count"),
         F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt_count"),
     )
-    unread = F.col("bytes").isNull() | (F.col("raw_count").isNull() & (F.col("bytes") > 0))
+    unread = F.col("bytes").isNull() | F.col("folder").isin(list(unreadable))
     return (
         files.withColumn("__name", file_name("data_file"))
         .join(per_file, "__name", "left")

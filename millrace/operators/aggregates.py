@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.cases import condition
 from millrace.functions.times import seconds_between
 from millrace.operators import windows
+from millrace.session import materialize
 
 
 def _first_present(column: str, order_by: Sequence[str]) -> Column:
@@ -40,8 +41,9 @@ def aggregate(
 
 
 def exact_sum(column: str, scale: int = 2) -> Column:
-    """Sum of money in decimal arithmetic: the result does not depend on the order of rows."""
-    return F.sum(F.col(column).cast(f"decimal(18,{scale})"))
+    """Sum of money in decimal arithmetic, rounded once at the end: the result does not depend
+    on the order of rows, and small amounts add up."""
+    return F.round(F.sum(F.col(column).cast("decimal(38,10)")), scale)
 
 
 def exact_mean(column: str, scale: int = 2) -> Column:
@@ -97,9 +99,9 @@ def session_metrics(
 
     Rows are first reduced to one per (user, slot, page), sessions are numbered over the
     slots (see ``windows.sessionize``), and the reduced rows are rolled up: page views, the
-    duration in seconds, the exact number of distinct pages and the first values. The slots
-    come from a second, narrow scan of user and time. However the rows of a hot user are
-    spread over pages, no task holds them all.
+    duration in seconds, the exact number of distinct pages and the first values. However
+    the rows of a hot user are spread over pages, no task holds them all. Rows without a time
+    belong to no session; ``count_untimed`` counts them.
     """
     firsts = {c: f"__first_{c}" for c in keep_first}
     slotted = events.where(F.col(timestamp).isNotNull()).withColumn(
@@ -111,8 +113,10 @@ def session_metrics(
         F.max(timestamp).alias("__max"),
         *[F.min(_first_present(c, order_by)).alias(name) for c, name in firsts.items()],
     )
-    bounds = slotted.groupBy(user, "__slot").agg(
-        F.min(timestamp).alias("__slot_min"), F.max(timestamp).alias("__slot_max")
+    # Written, as both the slots and the metrics come from it: the events are read once.
+    reduced = materialize(reduced, "slots")
+    bounds = reduced.groupBy(user, "__slot").agg(
+        F.min("__min").alias("__slot_min"), F.max("__max").alias("__slot_max")
     )
     numbered = windows.session_slots(
         bounds, user, "__slot", "__slot_min", "__slot_max", inactivity_gap_minutes, session
@@ -132,6 +136,11 @@ def session_metrics(
     )
 
 
+def count_untimed(events: DataFrame, timestamp: str) -> DataFrame:
+    """How many rows sessions leave out because they have no time."""
+    return events.agg(F.count_if(F.col(timestamp).isNull()).alias("untimed"))
+
+
 def monthly_rollup(
     existing: DataFrame,
     new: DataFrame,

@@ -19,6 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import materialize
+
 _PREFIX = "__lookup_"
 
 
@@ -30,13 +32,14 @@ def unique_lookup(
 ) -> DataFrame:
     """One row per key, so that a join cannot fan out; rows with a NULL key cannot match.
 
-    The survivor is the least by ``order_by`` and then by the returned columns. It is an
-    aggregate, so copies of a hot key are reduced before the shuffle.
+    The survivor is the least by ``order_by`` and then by the returned columns, a NULL last. It
+    is an aggregate, so copies of a hot key are reduced before the shuffle.
     """
     present = lookup.dropna(how="any", subset=list(keys)).groupBy(*keys)
     if len(returns) == 1 and not order_by:
         return present.agg(F.min(returns[0]).alias(returns[0]))
-    ranked = F.struct(*order_by, *[F.col(c) for c in returns if c not in order_by])
+    ordered = [x for c in returns if c not in order_by for x in (F.col(c).isNull().alias(f"__no_{c}"), F.col(c))]
+    ranked = F.struct(*order_by, *ordered)
     return present.agg(F.min(ranked).alias("__row")).select(
         *keys, *[F.col(f"__row.{c}").alias(c) for c in returns]
     )
@@ -118,8 +121,9 @@ def enrich_either_key(
     on_miss: str = "skip",
     found: str | None = None,
 ) -> DataFrame:
-    """Find ``source_field`` under any of the lookup's ``keys``: ``either_key`` and ``enrich``."""
-    single = either_key(lookup, keys, list(dict.fromkeys(take.values())))
+    """Find ``source_field`` under any of the lookup's ``keys``: ``either_key``, written once so
+    that a hot key of ``df`` can be split, and ``enrich``."""
+    single = materialize(either_key(lookup, keys, list(dict.fromkeys(take.values()))), "lookup")
     return enrich(df, single, {source_field: "lookup_key"}, take, on_miss, found)
 
 
@@ -132,7 +136,7 @@ def enrich_fallback_key(
 ) -> DataFrame:
     """Try ``(column, lookup, lookup key)`` in order; the first hit gives all columns.
 
-    Each lookup holds one row per key.
+    Each lookup holds one row per key and is a table of its own (``sources.lookups.snapshot``).
     """
     result = df
     chosen: Column | None = None

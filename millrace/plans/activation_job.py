@@ -12,11 +12,13 @@ from millrace.control import runs
 from millrace.functions.images import image_schema
 from millrace.operators import enrich, quality
 from millrace.plans import activations
-from millrace.plans.runner import Destination, load
-from millrace.session import materialize, materialize_all
-from millrace.sinks import tables
+from millrace.plans.runner import Destination, prepare_load
+from millrace.session import materialize, materialize_all, shared_folder
+from millrace.sinks import journal, tables
 from millrace.sources import files, manifests
 
+GROUP_FOLDERS = 256
+
 # Targets with their columns, load mode and key.
 TARGETS = {
     "sync_download": (
@@ -69,33 +71,41 @@ def ingest(
     """One run. Returns the closing totals in one row; the control table has the status.
 
     A file that an earlier run has loaded and tracked is not loaded again, even when that
-    run was Partial and so left the watermark where it was. A folder with an absent or
-    unreadable file makes the run Partial; its good files are loaded.
+    run was Partial and so left the watermark where it was. A folder with an absent file makes
+    the run Partial and its other files are loaded; of a folder with a damaged file nothing is
+    loaded or tracked, so the next run finds it again. The four loads and the tracked files are
+    one batch of the load journal beside the control table: a run that dies leaves all of them
+    or none, and the next run finishes what was committed.
+
+    Folders are landed in groups of about ``GROUP_FOLDERS``; the driver holds the names of one.
     """
     started = clock()
     runs.create_tables(spark, control_path, tracking_path)
     source_count = target_count = 0
     status = runs.FAILED
     try:
+        journal.finish_open(spark, f"{control_path}.journal")
         mark = manifests.watermark(runs.read_control(spark, control_path), job_name)
-        discovered = manifests.discover(spark, feed, mark, key_root=key_root)
-        listed = manifests.present_and_missing(discovered, feed)
+        discovered = materialize(manifests.discover(spark, feed, mark, key_root=key_root), "manifests")
         tracked = runs.read_tracking(spark, tracking_path).where(F.col("job_name") == job_name)
-        found = materialize(runs.untracked(listed, tracked), "files")
+        found, raw, unreadable = _land(spark, discovered, feed, tracked)
         quality.enforce(found, quality.row_count_gt(0))
-        raw = files.land(files.read_json_lines(spark, manifests.file_list(found), image_schema()))
         source_count = raw.count()
 
-        records = activations.parse_records(raw)
+        records = materialize(activations.parse_records(raw), "records")
         outputs = _outputs(records, lookups, load_date, started)
+        changes = []
         for target, rows in outputs.items():
             _, mode, key = TARGETS[target]
             destination = Destination(names[target], mode, key, group_by=activations.MERGE_KEYS)
-            load(rows, destination, staged=True)
+            changes.append(prepare_load(rows, destination, staged=True))
             target_count += rows.count()
-        runs.file_tracking(raw, job_name, started).write.mode("append").parquet(tracking_path)
+        read = found.where(F.col("bytes").isNotNull() & ~F.col("folder").isin(unreadable))
+        tracking = runs.file_tracking(raw, job_name, started, read)
+        changes.append(tables.prepare_files(tracking, tracking_path))
+        journal.load_all(spark, f"{control_path}.journal", changes)
 
-        outcomes = runs.folder_outcomes(found, raw)
+        outcomes = runs.folder_outcomes(found, raw, unreadable)
         per_folder = materialize(_per_folder(outcomes, records, found, lookups), "folders")
         status = per_folder.agg(runs.run_status(per_folder)).first()[0]
         return runs.run_summary(per_folder, target_count)
@@ -116,6 +126,24 @@ def ingest(
         runs.append_record(record, control_path)
 
 
+def _land(
+    spark: SparkSession, discovered: DataFrame, feed: str, tracked: DataFrame
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The new files, their landed records, and the folders that can't be read whole."""
+    lists, landing = shared_folder(spark, "files"), shared_folder(spark, "landing")
+    folders = discovered.select("folder").distinct().count()
+    groups = max(1, -(-folders // GROUP_FOLDERS))
+    unreadable: list[str] = []
+    for group in range(groups):
+        part = discovered.where(F.pmod(F.xxhash64("folder"), F.lit(groups)) == group)
+        listed = runs.untracked(manifests.present_and_missing(part, feed), tracked)
+        listed.write.parquet(f"{lists}/part={group}")
+        listed = spark.read.schema(listed.schema).parquet(f"{lists}/part={group}")
+        unreadable += files.land_folders(spark, listed, image_schema(), f"{landing}/group={group}")
+    found = spark.read.schema(listed.schema).option("recursiveFileLookup", True).parquet(lists)
+    return found, files.landed(spark, image_schema(), landing), unreadable
+
+
 def _outputs(
     records: DataFrame, lookups: Mapping[str, DataFrame], load_date: date, modified: datetime
 ) -> dict[str, DataFrame]:

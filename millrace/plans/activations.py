@@ -24,7 +24,7 @@ EVENT_TYPES = (
 PACKED_DELIMITER = ":XTS:"
 PACKED_FIELDS = {"ps_name": 0, "fontsense_id": 5, "style_id": 6}
 PROJECT_ROUTE, DOWNLOAD_ROUTE = "webproject_path", "sync_download_path"
-PROJECT_CONDITION = "event_type = 'addedToLibrary' AND project_id IS NOT NULL"
+PROJECT_CONDITION = "event_type = 'addedToLibrary' AND project_type = 'WebProject' AND project_id IS NOT NULL"
 SOURCE_SYSTEM, IDENTIFIER_TYPE = "Connect", "GCID"
 
 MISSING_FIELD, WRONG_TYPE, NO_FONTS = "required_fields", "event_type", "font_list"

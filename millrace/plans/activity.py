@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from millrace.operators import aggregates, enrich, filters
+from millrace.sources.lookups import snapshot
 from millrace.streaming import sessions
 
 # Declared fields of the click stream and the inactivity gap.
@@ -67,10 +68,7 @@ def user_session_stream(
 
 
 def _with_profile(metrics: DataFrame, users: DataFrame) -> DataFrame:
-    profiles = enrich.unique_lookup(users, ["user_id"], ["account_type", "country"])
-    return enrich.enrich(
-        metrics,
-        profiles,
-        {"user_id": "user_id"},
-        {"account_type": "account_type", "country": "country"},
-    )
+    """Every declared profile field that the user table has, from one snapshot of it."""
+    fields = [c for c in PROFILE_FIELDS if c in users.columns]
+    profiles = snapshot(enrich.unique_lookup(users, ["user_id"], fields))
+    return enrich.enrich(metrics, profiles, {"user_id": "user_id"}, {c: c for c in fields})

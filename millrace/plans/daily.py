@@ -21,11 +21,11 @@ SALES_SCHEMA = T.StructType(
         T.StructField("payment_method", T.StringType()),
     ]
 )
-# Money is summed as a decimal: the result does not depend on the order of rows.
+# Money is summed as a decimal and rounded once: the result does not depend on the order of rows.
 SALES_METRICS = {
-    "total_revenue": "CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE)",
+    "total_revenue": "CAST(round(sum(CAST(revenue AS DECIMAL(38,10))), 2) AS DOUBLE)",
     "order_count": "count(order_id)",
-    "avg_order_value": "CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) / count(revenue)",
+    "avg_order_value": "CAST(round(sum(CAST(revenue AS DECIMAL(38,10))), 2) AS DOUBLE) / count(revenue)",
 }
 SALES_STEPS = [
     {"deduplicate": {"key": "order_id", "keep": "first"}},

@@ -7,19 +7,20 @@ as a whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.control import runs
 from millrace.operators import aggregates, columns, enrich, filters, quality, routing, windows
 from millrace.session import materialize
-from millrace.sinks import jdbc, tables
+from millrace.sinks import jdbc, journal, tables
 from millrace.sources.extract import open_source
 from millrace.sources.jdbc import JDBC_KINDS
 from millrace.sources.lookups import lookup, snapshot
@@ -143,9 +144,18 @@ def _deduplicate(df, p, _):
     return windows.deduplicate(df, subset, order, p.get("keep", "first"), p.get("tiebreak"))
 
 
+# ``column != literal`` as a whole condition.
+_DIFFERS = re.compile(r"""\s*(\w+)\s*(?:!=|<>)\s*('[^']*'|"[^"]*"|-?\d+(?:\.\d+)?)\s*""")
+
+
 @step("filter_rows", "filter", "filter_bots")
 def _filter(df, p, _):
-    return filters.filter_rows(df, p if isinstance(p, str) else p["condition"])
+    """A condition that a column differs from a value keeps NULL, which differs too."""
+    text = p if isinstance(p, str) else p["condition"]
+    differs = _DIFFERS.fullmatch(text) if isinstance(text, str) else None
+    if differs:
+        return df.where(~F.col(differs[1]).eqNullSafe(F.expr(differs[2])))
+    return filters.filter_rows(df, text)
 
 
 @step("exclude_value")
@@ -160,6 +170,8 @@ def _event_types(df, p, _):
 
 @step("drop_incomplete")
 def _incomplete(df, p, _):
+    if "condition" in p:
+        return filters.filter_rows(df, p["condition"])
     return filters.drop_incomplete(df, p["columns"])
 
 
@@ -276,24 +288,31 @@ def project(df: DataFrame, projection: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.expr(source).alias(target) for target, source in projection.items()])
 
 
-def load(df: DataFrame, destination: Destination, staged: bool = False) -> None:
-    """Write ``df`` in the destination's mode. ``staged`` says that ``df`` is a written frame
-    with one row per key, which keyed modes then need not write again."""
+def prepare_load(df: DataFrame, destination: Destination, staged: bool = False) -> tables.Change:
+    """Write ``df`` in the destination's mode, to be published. ``staged`` says that ``df`` is a
+    written frame with one row per key, which keyed modes then need not write again."""
     out = project(df, destination.columns) if destination.columns else df
+    table, key = destination.table, destination.key
+    if destination.mode == "append":
+        return tables.prepare_append(out, table)
+    if destination.mode == "replace":
+        return tables.prepare_replace(out, table)
+    if destination.mode == "upsert":
+        return tables.prepare_upsert(out, table, key, staged=staged)
+    if destination.mode == "insert_ignore":
+        return tables.prepare_insert_ignore(out, table, key, staged=staged)
+    if destination.mode == "monthly_merge":
+        return tables.prepare_monthly_merge(out, table, destination.group_by, staged=staged)
+    raise ValueError(f"unknown load mode {destination.mode!r}")
+
+
+def load(df: DataFrame, destination: Destination, staged: bool = False) -> None:
+    """``prepare_load`` and publish; a database table is written at once."""
     if destination.connection is not None:
+        out = project(df, destination.columns) if destination.columns else df
         jdbc.write_table(out, destination.connection)
-    elif destination.mode == "append":
-        tables.append(out, destination.table)
-    elif destination.mode == "replace":
-        tables.replace(out, destination.table)
-    elif destination.mode == "upsert":
-        tables.upsert(out, destination.table, destination.key, staged=staged)
-    elif destination.mode == "insert_ignore":
-        tables.insert_ignore(out, destination.table, destination.key, staged=staged)
-    elif destination.mode == "monthly_merge":
-        tables.monthly_merge(out, destination.table, destination.group_by, staged=staged)
     else:
-        raise ValueError(f"unknown load mode {destination.mode!r}")
+        tables.publish(df.sparkSession, prepare_load(df, destination, staged))
 
 
 def run_pipeline(
@@ -310,21 +329,33 @@ def run_pipeline(
 ) -> DataFrame:
     """Transform, stage, check, load every destination, and record the run.
 
-    The result is staged once in the shared folder; the checks and all destinations read
-    the staged copy. Counts come from the staged files, so a retried task cannot inflate
-    them. A failing run is recorded as Failed and raised. Returns the control record.
+    The source is read once: its rows are counted while the result is staged in the shared
+    folder; the checks and all destinations read the staged copy. The catalog tables are one
+    batch of the load journal beside the control table, which the next run finishes first
+    if this one dies. A failing run is recorded as Failed and raised. Returns the control record.
     """
     spark = source.sparkSession
     started = clock()
     source_count = target_count = 0
+    loaded = False
     status = runs.FAILED
     try:
-        source_count = source.count()
-        staged = materialize(apply_steps(source, steps, lookups), "run")
+        journal.finish_open(spark, f"{control_path}.journal")
+        read = Observation()
+        observed = source.observe(read, F.count(F.lit(1)).alias("rows"))
+        staged = materialize(apply_steps(observed, steps, lookups), "run")
+        source_count = read.get["rows"]
         quality.enforce(staged, build_checks(checks))
         target_count = staged.count()
+        catalog = [d for d in destinations if d.connection is None]
+        changes = [prepare_load(staged, d) for d in catalog]
+        if changes:
+            journal.load_all(spark, f"{control_path}.journal", changes)
+            loaded = True
         for destination in destinations:
-            load(staged, destination)
+            if destination.connection is not None:
+                load(staged, destination)
+                loaded = True
         status = runs.SUCCESS
     finally:
         ended = clock()
@@ -332,7 +363,7 @@ def run_pipeline(
             spark,
             job_name=name,
             source_count=source_count,
-            target_count=target_count if status == runs.SUCCESS else 0,
+            target_count=target_count if loaded else 0,
             load_status=status,
             started=started,
             ended=ended,

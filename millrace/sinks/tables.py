@@ -58,9 +58,10 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 @dataclass(frozen=True)
 class Change:
-    """What publishes a prepared load: files to move from folder to folder, then statements."""
+    """What publishes a prepared load: files to move from folder to folder, then statements.
+    Without a table, the rows of a plain folder (``prepare_files``)."""
 
-    table: str
+    table: str | None
     moves: tuple[tuple[str, str], ...] = ()
     statements: tuple[str, ...] = ()
 
@@ -71,7 +72,15 @@ def publish(spark: SparkSession, change: Change) -> None:
         _move_files(spark, source, target)
     for statement in change.statements:
         spark.sql(statement)
-    spark.catalog.refreshTable(change.table)
+    if change.table:
+        spark.catalog.refreshTable(change.table)
+
+
+def prepare_files(df: DataFrame, path: str) -> Change:
+    """Rows to add to a plain parquet folder."""
+    folder = f"{path.rstrip('/')}.versions/{uuid.uuid4().hex}"
+    _write(df, folder)
+    return Change(None, ((folder, path),))
 
 
 def append(df: DataFrame, table: str, max_files: int | None = None) -> None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,16 +42,17 @@ def read_json_lines(
 ) -> DataFrame:
     """Line-delimited JSON, gzipped or not, with ``source_file`` and ``_corrupt`` columns.
 
-    A line that does not parse is kept as text in ``_corrupt``; an unreadable file is
-    skipped. Gzip cannot be split, so a file is one task: give ``spread`` when a few big
-    files would leave the cluster idle.
+    A line that does not parse is kept as text in ``_corrupt``. A file that is gone, is cut off
+    or is no gzip fails the read: a part of it would pass for the whole (see ``land_folders``).
+    Gzip cannot be split, so a file is one task: give ``spread`` when a few big files would
+    leave the cluster idle.
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     reader = (
         spark.read.schema(with_corrupt)
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
+        .option("ignoreCorruptFiles", False)
+        .option("ignoreMissingFiles", False)
     )
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after)
@@ -70,6 +73,44 @@ def land(raw: DataFrame) -> DataFrame:
     return materialize(raw, "landing")
 
 
+def land_folders(
+    spark: SparkSession, found: DataFrame, schema: T.StructType, target: str
+) -> list[str]:
+    """Land the present files of a bounded group of folders below ``target``; returns the folders
+    that cannot be read whole.
+
+    ``found`` lists (folder, data_file, bytes). All files are one job. If that fails, the folders
+    are landed one by one, and of one that fails again no row is kept.
+    """
+    by_folder: dict[str, list[str]] = {}
+    for row in found.where("bytes IS NOT NULL").select("folder", "data_file").distinct().collect():
+        by_folder.setdefault(row["folder"], []).append(row["data_file"])
+    every = sorted(f for names in by_folder.values() for f in names)
+    unreadable: list[str] = []
+    if every and not _landed(spark, every, schema, f"{target}/part=0"):
+        for k, (folder, names) in enumerate(sorted(by_folder.items()), 1):
+            if not _landed(spark, sorted(names), schema, f"{target}/part={k}"):
+                unreadable.append(folder)
+    return unreadable
+
+
+def _landed(spark: SparkSession, paths: list[str], schema: T.StructType, target: str) -> bool:
+    try:
+        read_json_lines(spark, paths, schema).write.mode("overwrite").parquet(target)
+    except (PySparkException, Py4JJavaError):  # the files of the failed attempt are removed by the writer
+        return False
+    return True
+
+
+def landed(spark: SparkSession, schema: T.StructType, root: str) -> DataFrame:
+    """All that ``land_folders`` has put below ``root``."""
+    columns = [*schema.fields, *(T.StructField(c, T.StringType()) for c in (CORRUPT, "source_file"))]
+    # An empty part, so that there is something to read when no file was good.
+    spark.createDataFrame([], T.StructType(columns)).write.mode("overwrite").parquet(f"{root}/part=none")
+    reader = spark.read.schema(T.StructType(columns)).option("recursiveFileLookup", True)
+    return reader.parquet(root)
+
+
 def run_query(spark: SparkSession, query: str, execution_date: str, **tables: DataFrame):
     """A query with ``:execution_date`` as a bound parameter, over frames named ``{name}``."""
     return spark.sql(query, args={"execution_date": execution_date}, **tables)

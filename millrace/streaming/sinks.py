@@ -37,9 +37,12 @@ def _start(stream, write, mode, checkpoint, trigger) -> StreamingQuery:
     )
 
 
-def finish(query: StreamingQuery, timeout_seconds: int = 600) -> None:
-    """Wait for a stream that ends by itself; stop it and fail when it does not."""
-    if not query.awaitTermination(timeout_seconds):
+def finish(query: StreamingQuery, timeout_seconds: int | None = None) -> None:
+    """Wait for a stream that ends by itself, however long its backlog takes; with a limit, stop
+    it and fail when it is still running then."""
+    if timeout_seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_seconds):
         query.stop()
         raise TimeoutError(f"stream still running after {timeout_seconds} s")
 

@@ -295,7 +295,8 @@ def binary_to_uuid(spark, sf):
     with_views("raw_orders", "SELECT id, status FROM raw_orders WHERE status IS DISTINCT FROM 'failed'"),
 )
 def filter_rows(spark, sf):
-    return filters.exclude_value(frame(spark, sf, "raw_orders"), "status", "failed").select("id", "status")
+    df = frame(spark, sf, "raw_orders")
+    return apply_steps(df, [{"filter_rows": {"condition": "status != 'failed'"}}]).select("id", "status")
 
 
 @check(
@@ -306,7 +307,7 @@ def filter_rows(spark, sf):
 )
 def filter_bots(spark, sf):
     df = frame(spark, sf, "clickstream")
-    return apply_steps(df, [{"filter_bots": {"condition": "NOT (device_type <=> 'bot')"}}]).select(
+    return apply_steps(df, [{"filter_bots": {"condition": "device_type != 'bot'"}}]).select(
         "event_id", "device_type"
     )
 

@@ -23,7 +23,7 @@ from millrace.functions.images import RECORD_PATH, any_list_filled, list_union
 from millrace.operators import aggregates, columns, enrich, quality, routing, windows
 from millrace.plans import activations, activity, daily
 from millrace.session import materialize
-from millrace.sources.lookups import joined_lookup, lookup
+from millrace.sources.lookups import joined_lookup, lookup, snapshot
 
 LOAD_DATE = datetime.date(2024, 2, 1)
 
@@ -136,7 +136,7 @@ def lookup_dim_joined(spark, sf):
 
 
 def _customers(spark, sf):
-    return lookup(frame(spark, sf, "identity_map"), ["identity_provider_id"], ["customer_id"])
+    return snapshot(lookup(frame(spark, sf, "identity_map"), ["identity_provider_id"], ["customer_id"]))
 
 
 @check(
@@ -164,7 +164,7 @@ def enrich_skip_miss(spark, sf):
         f"""SELECT event_id, i.customer_id AS gcid, CASE WHEN p.email IS NOT NULL THEN {PROFILE_ID} END AS profile_id
         FROM activation_flat JOIN identity_map i ON identity_provider_id = mtf_id
         LEFT JOIN profiles p ON p.email = user_email AND p.customer_id = i.customer_id
-        WHERE p.email IS NOT NULL OR (event_name = 'addedToLibrary' AND project_id IS NOT NULL)""",
+        WHERE p.email IS NOT NULL OR (event_name = 'addedToLibrary' AND project_type = 'WebProject')""",
     ),
 )
 def enrich_composite_key(spark, sf):
@@ -182,7 +182,7 @@ def enrich_composite_key(spark, sf):
         {"profile_id": "profile_id"},
         found="has_profile",
     )
-    project = "event_name = 'addedToLibrary' AND project_id IS NOT NULL"
+    project = "event_name = 'addedToLibrary' AND project_type = 'WebProject'"
     return joined.where(F.col("has_profile") | F.expr(project)).select("event_id", "gcid", "profile_id")
 
 
@@ -225,8 +225,8 @@ def enrich_fallback_key(spark, sf):
     return enrich.enrich_fallback_key(
         named,
         [
-            ("fontsense_id", lookup(fonts, ["fontsense_id"], ["font_id"]), "fontsense_id"),
-            ("ps_name", lookup(fonts, ["ps_name"], ["font_id"]), "ps_name"),
+            ("fontsense_id", snapshot(lookup(fonts, ["fontsense_id"], ["font_id"])), "fontsense_id"),
+            ("ps_name", snapshot(lookup(fonts, ["ps_name"], ["font_id"])), "ps_name"),
         ],
         {"font_id": "font_id"},
         on_miss="skip",
@@ -299,7 +299,7 @@ def _enriched(spark, sf):
     "split_routing",
     with_views(
         "activation_flat",
-        """SELECT event_id, CASE WHEN event_name = 'addedToLibrary' AND project_id IS NOT NULL
+        """SELECT event_id, CASE WHEN event_name = 'addedToLibrary' AND project_type = 'WebProject' AND project_id IS NOT NULL
         THEN 'webproject_path' ELSE 'sync_download_path' END AS route FROM activation_flat""",
     ),
 )
@@ -444,7 +444,7 @@ def event_ingestion_usage(spark, sf):
     return new_usage(spark, sf)
 
 
-SALES_DECIMAL = "CAST(sum(CAST(quantity * unit_price AS DECIMAL(18,2))) AS DOUBLE)"
+SALES_DECIMAL = "CAST(round(sum(CAST(quantity * unit_price AS DECIMAL(38,10))), 2) AS DOUBLE)"
 
 
 @check(

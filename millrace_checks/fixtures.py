@@ -89,7 +89,9 @@ SELECT event_id, ts,
   concat('auth0|', CAST(user_id AS STRING)) AS mtf_id,
   CASE WHEN event_id % 37 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS fonts_n,
   CASE WHEN event_id % 2 = 0 THEN event_id % 260 ELSE 100000 + event_id % 260 END AS fontsense_id,
-  CASE WHEN event_type = 'signup' AND event_id % 4 < 2 THEN concat('P', CAST(event_id % 25 AS STRING)) END AS project_id
+  CASE WHEN event_type = 'signup' AND event_id % 4 < 2 THEN concat('P', CAST(event_id % 25 AS STRING)) END AS project_id,
+  CASE WHEN event_type = 'signup' AND event_id % 4 < 2
+       THEN CASE WHEN event_id % 5 = 0 THEN 'MobileProject' ELSE 'WebProject' END END AS project_type
 FROM {events}
 """,
     "identity_map": """
@@ -184,7 +186,7 @@ SELECT CAST(event_id AS STRING) AS eventID, named_struct('NewImage', named_struc
   'timestamp', named_struct('S', CAST(ts AS STRING)),
   'projectId', named_struct('S', project_id),
   'projectName', named_struct('S', concat('Project ', project_id)),
-  'projectType', named_struct('S', CASE WHEN project_id IS NOT NULL THEN 'WebProject' END),
+  'projectType', named_struct('S', project_type),
   'assetType', named_struct('S', CASE WHEN project_id IS NOT NULL THEN 'font' END),
   'adobeFonts', named_struct('L', CASE WHEN event_id % 2 = 0 THEN entries END),
   'teamFonts', named_struct('L', CASE WHEN event_id % 2 = 1 THEN entries END),
@@ -215,7 +217,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _image_folders:
         path = shared_folder(spark, "images")
         derived = spark.sql(IMAGES, activation_flat=frame(spark, sf_dir, "activation_flat"))
-        derived.repartition(8).write.parquet(path)
+        derived.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _image_folders[key] = path
     return spark.read.schema(image_schema()).parquet(_image_folders[key])
 
@@ -256,7 +258,7 @@ entries AS (
   SELECT a.event_id, a.ts, a.event_name AS event_type, a.user_email, a.mtf_id, a.project_id,
     a.fontsense_id + t.j AS fontsense_id,
     concat('PS-', CAST((a.fontsense_id + t.j) % 100000 AS VARCHAR)) AS ps_name,
-    CASE WHEN a.event_name = 'addedToLibrary' AND a.project_id IS NOT NULL
+    CASE WHEN a.event_name = 'addedToLibrary' AND a.project_type = 'WebProject' AND a.project_id IS NOT NULL
          THEN 'webproject_path' ELSE 'sync_download_path' END AS route,
     CAST(a.ts AS DATE) AS event_date
   FROM activation_flat a JOIN (VALUES (0), (1)) t(j) ON t.j < a.fonts_n

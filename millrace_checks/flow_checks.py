@@ -36,6 +36,7 @@ from millrace.plans.runner import Destination, build_checks, load, run_pipeline
 from millrace.session import materialize, shared_folder
 from millrace.sinks import tables
 from millrace.sources import files, manifests, streams
+from millrace.sources.extract import open_source
 from millrace.streaming import sinks as stream_sinks
 
 UTC = datetime.timezone.utc
@@ -56,7 +57,10 @@ def _new_table(spark, schema, partition_by=()):
     l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, epoch_us(l_shipdate) AS l_shipdate FROM lineitem""",
 )
 def scan_full(spark, sf):
-    return table(spark, sf, "lineitem")
+    """A table of the catalog through the reader that pipelines use."""
+    name = f"lineitem_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{sf}/lineitem.parquet'")
+    return open_source(spark, {"source": "table", "table": name})
 
 
 @check(

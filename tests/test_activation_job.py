@@ -14,6 +14,7 @@ from millrace.operators.quality import QualityError
 from millrace.plans import activation_job
 from millrace.plans.activations import prepare_lookups
 from millrace.session import shared_folder
+from millrace.sinks import journal, tables
 
 DAY = datetime.date(2024, 2, 1)
 
@@ -129,3 +130,63 @@ def test_runs(spark, tmp_path, lookups):
     statuses = runs.read_control(spark, control).orderBy("load_start_time").collect()
     assert [(r.load_status, r.source_count) for r in statuses] == [("Partial", 9), ("Success", 1), ("Failed", 0)]
     assert spark.table(names["usage_data"]).where("last_modified IS NULL").count() == 0
+
+
+def test_a_cut_file_is_loaded_once_after_its_repair(spark, tmp_path, lookups):
+    feed = tmp_path / "feed"
+    control, tracking, root = (shared_folder(spark, p) for p in ("jc", "jt", "jr"))
+    names = {t: f"j_{uuid.uuid4().hex}" for t in activation_job.TARGETS}
+    activation_job.create_targets(spark, names, root)
+
+    def run():
+        return activation_job.ingest(spark, str(feed), lookups, names, control, tracking, DAY).first()
+
+    def lines(first):
+        return [image(first + k, "riskScan", "a@x", "m1", f"2024-01-{1 + k % 28:02d}T10:00:00Z", [("PSA", 10)]) for k in range(400)]
+
+    put(feed / "good", {"g.json.gz": lines(0)})
+    put(feed / "none", {"n.json.gz": []})
+    put(feed / "cut", {"c.json.gz": lines(1000)})
+    path = feed / "cut" / "c.json.gz"
+    whole = path.read_bytes()
+    path.write_bytes(whole[: len(whole) // 2])
+    summary = run()
+    assert (summary.folders_processed, summary.failed_folders, summary.total_raw_count) == (3, 1, 400)
+    path.write_bytes(whole)
+    summary = run()
+    assert (summary.folders_processed, summary.failed_folders, summary.total_raw_count) == (1, 0, 400)
+    total = spark.table(names["usage_data"]).agg({"usage_count": "sum"}).first()[0]
+    assert total == 800 and spark.table(names["sync_download"]).agg({"event_count": "sum"}).first()[0] == 800
+    tracked = runs.read_tracking(spark, tracking).collect()
+    assert sorted(r.raw_count for r in tracked) == [0, 400, 400]
+    with pytest.raises(QualityError, match="row_count_gt"):
+        run()
+
+
+def test_a_run_that_dies_while_publishing_is_finished_by_the_next(spark, tmp_path, lookups, monkeypatch):
+    feed = tmp_path / "feed"
+    control, tracking, root = (shared_folder(spark, p) for p in ("jc", "jt", "jr"))
+    names = {t: f"j_{uuid.uuid4().hex}" for t in activation_job.TARGETS}
+    activation_job.create_targets(spark, names, root)
+    put(feed / "one", {"a.json.gz": [image(k, "riskScan", "a@x", "m1", "2024-01-05T10:00:00Z", [("PSA", 10)]) for k in range(7)]})
+
+    def run():
+        return activation_job.ingest(spark, str(feed), lookups, names, control, tracking, DAY).first()
+
+    publish, published = tables.publish, []
+
+    def dying(session, change):
+        if len(published) == 1:
+            raise KeyboardInterrupt
+        publish(session, change)
+        published.append(change)
+
+    monkeypatch.setattr(journal, "publish", dying)
+    with pytest.raises(KeyboardInterrupt):
+        run()
+    monkeypatch.undo()
+    with pytest.raises(QualityError, match="row_count_gt"):
+        run()  # finishes the open batch, then finds no new file
+    assert rows(spark, names["sync_download"], "event_count") == [(7,)]
+    assert rows(spark, names["usage_data"], "usage_count") == [(7,)]
+    assert [r.raw_count for r in runs.read_tracking(spark, tracking).collect()] == [7]

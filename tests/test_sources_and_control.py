@@ -6,6 +6,8 @@ import json
 import os
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,21 +53,47 @@ def found_in(spark, feed, newer_than=None):
     return manifests.present_and_missing(manifests.discover(spark, feed, newer_than, key_root=feed), feed)
 
 
-def test_bad_lines_are_kept_and_bad_files_skipped(spark, feed):
-    raw = files.read_json_lines(spark, manifests.file_list(found_in(spark, feed)), SCHEMA)
+def land(spark, found):
+    root = shared_folder(spark, "land-test")
+    unreadable = files.land_folders(spark, found, SCHEMA, f"{root}/group=0")
+    return files.landed(spark, SCHEMA, root), unreadable
+
+
+def test_bad_lines_are_kept_and_bad_files_fail_the_read(spark, feed):
+    found = found_in(spark, feed)
+    raw, unreadable = land(spark, found)
     rows = raw.collect()
-    assert sorted(r.a for r in rows if r.a is not None) == [1, 3, 4, 5]
+    assert sorted(r.a for r in rows if r.a is not None) == [1, 3, 5] and unreadable == ["bad"]
     assert [r[files.CORRUPT] for r in rows if r[files.CORRUPT]] == ['{"a": "x']
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        files.read_json_lines(spark, manifests.file_list(found), SCHEMA).collect()
+
+
+def test_a_cut_file_gives_no_row_and_an_empty_one_is_good(spark, tmp_path):
+    for name in ("cut", "empty", "whole"):
+        write_gz(f"{tmp_path}/{name}/d.json.gz", [] if name == "empty" else ['{"a": %d}' % k for k in range(5000)])
+        manifest(f"{tmp_path}/{name}", [f"{tmp_path}/{name}/d.json.gz"], 1_700_000_000)
+    cut = tmp_path / "cut" / "d.json.gz"
+    whole = cut.read_bytes()
+    cut.write_bytes(whole[: len(whole) * 6 // 10])
+    found = found_in(spark, str(tmp_path))
+    raw, unreadable = land(spark, found)
+    assert unreadable == ["cut"] and raw.count() == 5000
+    outcomes = {r.folder: (r.status, r.raw_count) for r in runs.folder_outcomes(found, raw, unreadable).collect()}
+    assert outcomes == {"cut": ("Failed", 0), "empty": ("Success", 0), "whole": ("Success", 5000)}
+    read = found.where("folder <> 'cut'")
+    tracked = runs.file_tracking(raw, "job", datetime.datetime(2024, 1, 1, tzinfo=UTC), read).collect()
+    assert sorted(r.raw_count for r in tracked) == [0, 5000]
 
 
 def test_folder_outcomes(spark, feed):
     found = found_in(spark, feed)
-    raw = files.land(files.read_json_lines(spark, manifests.file_list(found), SCHEMA))
-    outcomes = runs.folder_outcomes(found, raw)
+    raw, unreadable = land(spark, found)
+    outcomes = runs.folder_outcomes(found, raw, unreadable)
     got = {r.folder: (r.status, r.files, r.failed_files, r.raw_count, r.corrupt_count) for r in outcomes.collect()}
     assert got == {
         "good": ("Success", 1, 0, 3, 1),
-        "bad": ("Failed", 2, 1, 1, 0),
+        "bad": ("Failed", 2, 2, 0, 0),
         "gone": ("Failed", 2, 1, 1, 0),
     }
     assert outcomes.agg(runs.run_status(outcomes)).first()[0] == "Partial"
