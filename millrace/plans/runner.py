@@ -7,6 +7,7 @@ as a whole.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -221,9 +222,186 @@ def _image(df, p, _):
     return columns.parse_image(df, (p or {}).get("record_path", "dynamodb.NewImage"))
 
 
+@step("parse_dynamodb")
+def _event_image(df, p, _):
+    """Records to one row per font entry; ``font_entry`` holds the packed identifier."""
+    parsed = columns.parse_image(df, p.get("record_path", "dynamodb.NewImage").removeprefix("$."))
+    return columns.event_dates(columns.explode_fonts(parsed))
+
+
 @step("parse_font_identifier")
 def _identifier(df, p, _):
-    return columns.parse_packed(df, p["source_field"], p["delimiter"], p["output_fields"])
+    """Positions are numbers, or text such as ``index 5``."""
+    fields = {k: int(str(v).split()[-1]) for k, v in p["output_fields"].items()}
+    parsed = columns.parse_packed(df, p.get("source_field", "font_entry"), p["delimiter"], fields)
+    ids = {c: "bigint" for c in ("fontsense_id",) if c in fields}
+    return columns.cast_types(parsed, ids, errors="coerce") if ids else parsed
+
+
+@step("enrich_gcid", "enrich_profile", "enrich_style")
+def _enrich_entry(df, p, lookups):
+    """A lookup by one or several fields, or by one field under either of two keys.
+
+    ``on_miss``: skip_record and skip_font_entry drop the row, anything else keeps it. ``unless``
+    is a condition under which a miss is kept.
+    """
+    table = lookups[p["lookup"]]
+    sources = p.get("source_fields") or [p["source_field"].split(".")[-1]]
+    targets = p.get("target_fields") or [p["target_field"]]
+    keys = p.get("keys") or [c for c in table.columns if c not in targets][: len(sources)]
+    returns = p.get("returns") or [c for c in table.columns if c not in keys or c in targets]
+    take = dict(zip(targets, returns))
+    found = "__found"
+    if p.get("either_key"):
+        out = enrich.enrich_either_key(df, table, sources[0], p["either_key"], take, "keep", found)
+    else:
+        one = snapshot(lookup(table, keys, list(dict.fromkeys(take.values()))))
+        out = enrich.enrich(df, one, dict(zip(sources, keys)), take, "keep", found)
+    if str(p.get("on_miss", "keep")).startswith("skip"):
+        kept = F.col(found)
+        if p.get("unless"):
+            kept = kept | F.coalesce(F.expr(p["unless"]), F.lit(False))
+        out = out.where(kept)
+    return out.drop(found)
+
+
+@step("enrich_font_universe")
+def _enrich_fonts(df, p, lookups):
+    """The first of ``source_fields`` that the lookup knows under a key of the same name."""
+    table, target = lookups[p["lookup"]], p["target_field"]
+    value = p.get("return_column", target)
+    tries = [(c, snapshot(lookup(table, [c], [value])), c) for c in p["source_fields"]]
+    return enrich.enrich_fallback_key(df, tries, {target: value}, "keep")
+
+
+# Steps that end a branch: each gives an output of its own to destinations that name it in ``from``.
+_branches: dict[str, StepFunction] = {}
+
+
+def branch(name: str):
+    def add(function: StepFunction) -> StepFunction:
+        _branches[name] = function
+        return function
+
+    return add
+
+
+def _branch_input(df: DataFrame, p: Mapping[str, Any]) -> DataFrame:
+    return df.where(F.expr(p["where"])) if p.get("where") else df
+
+
+@branch("aggregate_sync_download")
+def _downloads(df, p, _):
+    rows = aggregates.count_rows(_branch_input(df, p), p["group_by"], *p["metrics"])
+    return columns.static_columns(rows, p.get("static_columns", {}))
+
+
+@branch("aggregate_asset")
+def _assets(df, p, _):
+    order = p.get("order_by", ["event_id"])
+    return aggregates.first_rows(_branch_input(df, p), p["deduplicate_by"], order, p["columns"])
+
+
+@branch("aggregate_project")
+def _projects(df, p, _):
+    order = p.get("order_by", ["created_at", "event_id"])
+    least = [c for c, how in p["agg"].items() if how == "min"]
+    return aggregates.collapse(_branch_input(df, p), p["deduplicate_by"], order, least, p["keep_first"])
+
+
+@branch("aggregate_font_universe_usage")
+def _usage(df, p, _):
+    """Counts per month, in the shape that the monthly merge takes."""
+    rows = _branch_input(df, p)
+    if not (p.get("monthly_merge") or {}).get("enabled"):
+        return aggregates.count_rows(rows, p["group_by"], *p["metrics"])
+    kept = [c for c in p["monthly_merge"]["group_by"] if c in rows.columns]
+    return rows.groupBy(*kept).agg(
+        F.min("event_date").alias("first_usage"), F.max("event_date").alias("last_usage"),
+        F.count(F.lit(1)).cast("bigint").alias("usage_count"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in p.get("constants", ())],
+    )
+
+
+def apply_outputs(
+    df: DataFrame,
+    steps: Sequence[Step],
+    lookups: Lookups | None = None,
+    rules: Sequence[tuple[str, str, Any]] = (),
+) -> dict[str, DataFrame]:
+    """Fold the steps; branch steps become outputs by their name, the folded frame is ``""``.
+
+    ``rules`` (see ``skip_rules``) drop rows of the folded frame, or of the usage branch only.
+    What the branches share is written once.
+    """
+    ends = [(n, p) for s in steps if not isinstance(s, str) for n, p in s.items() if n in _branches]
+    folded = [s for s in steps if isinstance(s, str) or not set(s) & set(_branches)]
+    base = _passing(apply_steps(df, folded, lookups), rules, "skip_record")
+    if not ends:
+        return {"": base}
+    base = materialize(base, "branches")
+    usage = _passing(base, rules, "skip_fu_record")
+    return {"": base} | {
+        name: _branches[name](usage if name == USAGE_BRANCH else base, p, lookups or {}) for name, p in ends
+    }
+
+
+def _passing(df: DataFrame, rules: Sequence[tuple[str, str, Any]], scope: str) -> DataFrame:
+    own = [(reason, good) for where, reason, good in rules if where == scope]
+    return quality.valid_rows(quality.mark_rejects(df, own)) if own else df
+
+
+USAGE_BRANCH = "aggregate_font_universe_usage"
+
+
+def skip_rules(specs: Sequence[Mapping[str, Any]]) -> list[tuple[str, str, Any]]:
+    """(``on_fail``, reason, condition that a good row meets) of the checks that skip records."""
+    rules: list[tuple[str, str, Any]] = []
+    for spec in specs:
+        for name, p in spec.items():
+            if not isinstance(p, Mapping) or not str(p.get("on_fail", "")).startswith("skip"):
+                continue
+            scope = p["on_fail"]
+            if name == "event_type_in":
+                rules.append((scope, name, F.col(p.get("column", "event_type")).isin(list(p["allowed"]))))
+            elif name == "font_list_not_empty":
+                rules.append((scope, name, F.col(p.get("column", "font_entry")).isNotNull()))
+            elif name in ("required_fields_not_null", "lookup_resolved", "font_universe_fields_valid"):
+                rules.append((scope, name, quality.complete(p.get("fields") or p["required"])))
+            else:
+                raise ValueError(f"check {name!r} cannot skip records")
+    return rules
+
+
+def open_lookups(spark: SparkSession, specs: Sequence[Mapping[str, Any]]) -> dict[str, DataFrame]:
+    """The declared lookup tables as ``name.table``, with their key and return columns.
+
+    ``engine: table`` (or none) takes a table of the catalog, other engines are databases.
+    """
+    found = {}
+    for spec in specs:
+        for table in spec["tables"]:
+            engine = spec.get("engine", "table")
+            df = open_source(spark, {**spec, **table, "source": engine})
+            named = [table.get(k) for k in ("key_column", "return_column")]
+            wanted = [*table.get("key_columns", []), *table.get("return_columns", []), *filter(None, named)]
+            found[f"{spec['name']}.{table['table']}"] = df.select(*dict.fromkeys(wanted)) if wanted else df
+    return found
+
+
+def check_record(record: DataFrame, specs: Sequence[Mapping[str, Any]]) -> None:
+    """The ``post_load`` checks: a bad status raises, rows that didn't arrive are a warning."""
+    for spec in specs:
+        for name in spec:
+            if name == "control_record_status":
+                if runs.status_check(record, spec[name]["expected"]).where("NOT passed").count():
+                    runs.require_status(record)
+                    raise quality.QualityError(f"run status is none of {spec[name]['expected']}")
+            elif name == "source_vs_target_count":
+                if runs.count_check(record).where("NOT passed").count():
+                    logging.getLogger(__name__).warning("rows were read but none was loaded")
+            elif name != "description":
+                raise ValueError(f"unknown check {name!r}")
 
 
 def build_checks(specs: Sequence[Mapping[str, Any]]) -> list[quality.Check]:
@@ -231,6 +409,8 @@ def build_checks(specs: Sequence[Mapping[str, Any]]) -> list[quality.Check]:
     checks: list[quality.Check] = []
     for spec in specs:
         for name, p in spec.items():
+            if isinstance(p, Mapping) and str(p.get("on_fail", "")).startswith("skip"):
+                continue  # see skip_rules
             if name == "row_count_gt":
                 checks += quality.row_count_gt(p)
             elif name == "required_fields_not_null":
@@ -261,6 +441,7 @@ class Destination:
     columns: Mapping[str, str] | None = None
     group_by: tuple[str, ...] = ()
     connection: Mapping[str, Any] | None = None
+    output: str = ""
 
 
 def destination(spark: SparkSession, spec: Mapping[str, Any]) -> Destination:
@@ -280,9 +461,23 @@ def destination(spark: SparkSession, spec: Mapping[str, Any]) -> Destination:
         columns,
         tuple(spec.get("group_by", ())),
         spec if spec.get("engine") in JDBC_KINDS else None,
+        spec.get("from", ""),
     )
 
 
+# Columns of a target that the run itself fills, fixed values.
+STAMPS = ("load_date", "load_timestamp", "last_modified")
+
+
+def stamped(df: DataFrame, destinations: Sequence[Destination], load_date: date, started: datetime) -> DataFrame:
+    """With the load stamps that a destination has and the frame lacks."""
+    wanted: set[str] = set()
+    for d in destinations:
+        wanted |= set(d.columns or (() if d.connection else df.sparkSession.table(d.table).columns))
+    values = dict.fromkeys(STAMPS, F.lit(started)) | {"load_date": F.lit(load_date)}
+    return df.withColumns({c: values[c] for c in STAMPS if c in wanted and c not in df.columns})
+
+
 def project(df: DataFrame, projection: Mapping[str, str]) -> DataFrame:
     """Columns and renames of a destination."""
     return df.select(*[F.expr(source).alias(target) for target, source in projection.items()])
@@ -343,18 +538,22 @@ def run_pipeline(
         journal.finish_open(spark, f"{control_path}.journal")
         read = Observation()
         observed = source.observe(read, F.count(F.lit(1)).alias("rows"))
-        staged = materialize(apply_steps(observed, steps, lookups), "run")
+        outputs = apply_outputs(observed, steps, lookups, skip_rules(checks))
+        by_output = {k: [d for d in destinations if d.output == k] for k in {d.output for d in destinations} or {""}}
+        day = load_date or started.date()
+        staged = {k: materialize(stamped(outputs[k], own, day, started), "run") for k, own in by_output.items()}
         source_count = read.get["rows"]
-        quality.enforce(staged, build_checks(checks))
-        target_count = staged.count()
+        for df in staged.values():
+            quality.enforce(df, build_checks(checks))
+            target_count += df.count()
         catalog = [d for d in destinations if d.connection is None]
-        changes = [prepare_load(staged, d) for d in catalog]
+        changes = [prepare_load(staged[d.output], d) for d in catalog]
         if changes:
             journal.load_all(spark, f"{control_path}.journal", changes)
             loaded = True
         for destination in destinations:
             if destination.connection is not None:
-                load(staged, destination)
+                load(staged[destination.output], destination)
                 loaded = True
         status = runs.SUCCESS
     finally:
@@ -383,19 +582,21 @@ def run_spec(
     execution_date: date | None = None,
     control: DataFrame | None = None,
 ) -> DataFrame:
-    """Run a declared pipeline: ``extract``, ``transform.steps``, ``quality_checks.pre_load``
-    and ``load.destinations``, with Spark SQL expressions. Returns the control record."""
+    """Run a declared pipeline: ``extract``, ``lookups``, ``transform.steps``, ``quality_checks`` and
+    ``load.destinations``, with Spark SQL expressions. Returns the control record."""
     pipeline = spec.get("pipeline", spec)
     extract = pipeline["extract"]
     transform = pipeline.get("transform") or []
     source = open_source(
         spark, extract, schema, execution_date, control, job_name=pipeline["name"]
     )
-    return run_pipeline(
+    lookups = {**open_lookups(spark, pipeline.get("lookups") or []), **(lookups or {})}
+    checks = pipeline.get("quality_checks") or {}
+    record = run_pipeline(
         pipeline["name"],
         source,
         transform["steps"] if isinstance(transform, Mapping) else transform,
-        (pipeline.get("quality_checks") or {}).get("pre_load", []),
+        checks.get("pre_load", []),
         [destination(spark, d) for d in pipeline["load"]["destinations"]],
         control_path,
         lookups,
@@ -405,3 +606,5 @@ def run_spec(
         source_table=extract.get("table"),
         target_table=",".join(d["table"] for d in pipeline["load"]["destinations"]),
     )
+    check_record(record, checks.get("post_load", []))
+    return record

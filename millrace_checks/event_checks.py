@@ -563,7 +563,7 @@ def agg_sessions(spark, sf):
     "user_sessions",
     with_views(
         "clickstream users",
-        f"""SELECT s.*, account_type, country FROM (
+        f"""SELECT s.*, account_type, CAST(signup_date AS VARCHAR) AS signup_date, country FROM (
         SELECT user_id, session_id, {SESSION_METRICS} FROM sessions GROUP BY user_id, session_id) s
         LEFT JOIN users USING (user_id)""",
         SESSION_CTE,

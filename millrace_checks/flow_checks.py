@@ -20,6 +20,7 @@ from millrace_checks.event_checks import (
     new_usage,
 )
 from millrace_checks.fixtures import (
+    LOOKUP_VIEWS,
     USAGE_VIEWS,
     frame,
     images,
@@ -32,7 +33,8 @@ from millrace.control import runs
 from millrace.functions.images import image_schema
 from millrace.operators import columns, quality, windows
 from millrace.plans import activation_job, activations, activity, daily, orders
-from millrace.plans.runner import Destination, build_checks, load, run_pipeline
+from millrace.functions.text import uuid_text
+from millrace.plans.runner import Destination, build_checks, load, run_pipeline, run_spec
 from millrace.session import materialize, shared_folder
 from millrace.sinks import tables
 from millrace.sources import files, manifests, streams
@@ -623,7 +625,7 @@ def stream_json_parse(spark, sf):
 
 STREAM_ORACLE = with_views(
     "clickstream users",
-    f"""SELECT s.*, account_type, country FROM (
+    f"""SELECT s.*, account_type, CAST(signup_date AS VARCHAR) AS signup_date, country FROM (
     SELECT user_id, epoch_us(min(ts)) AS session_start, {SESSION_METRICS} FROM sessions GROUP BY user_id, session_id) s
     LEFT JOIN users USING (user_id)""",
     SESSION_CTE,
@@ -663,3 +665,116 @@ def _clicks_of(spark, events):
     from millrace_checks.fixtures import VIEWS
 
     return spark.sql(VIEWS["clickstream"], events=events).withColumnRenamed("ts", "timestamp")
+
+
+def event_spec(source: str, targets: dict[str, str]) -> dict:
+    """The event ingestion as one declared pipeline with four outputs."""
+    web = f"route = '{activations.PROJECT_ROUTE}'"
+    constants = {"source_system": activations.SOURCE_SYSTEM, "customer_identifier_type": activations.IDENTIFIER_TYPE}
+    steps = [
+        {"parse_dynamodb": {"record_path": "$.dynamodb.NewImage"}},
+        {"parse_font_identifier": {"delimiter": ":XTS:", "output_fields": {"ps_name": "index 0", "fontsense_id": "index 5"}}},
+        {"filter_event_types": {"allowed": list(activations.EVENT_TYPES)}},
+        {"split_routing": {
+            "condition": activations.PROJECT_CONDITION,
+            "when_true": {"route": activations.PROJECT_ROUTE}, "when_false": {"route": activations.DOWNLOAD_ROUTE}}},
+        {"enrich_gcid": {
+            "source_field": "mtf_id", "lookup": "customers", "keys": ["identity_provider_id"], "returns": ["customer_id"],
+            "target_field": "gcid", "on_miss": "skip_record"}},
+        {"enrich_style": {
+            "source_field": "fonts[].fontsense_id", "lookup": "styles", "either_key": ["font_style_id", "pimid"],
+            "returns": ["font_style_id", "family_id"], "target_fields": ["font_style_id", "family_id"],
+            "on_miss": "skip_font_entry"}},
+        {"enrich_profile": {
+            "source_fields": ["user", "gcid"], "lookup": "profiles", "keys": ["email", "customer_id"],
+            "returns": ["profile_id"], "target_field": "profile_id", "on_miss": "keep"}},
+        {"enrich_font_universe": {"source_fields": ["fontsense_id", "ps_name"], "lookup": "fonts", "target_field": "font_id"}},
+        {"derive_column": {"target_field": "customer_id", "expression": "gcid"}},
+        {"derive_column": {"target_field": "usage_type", "expression": "event_type"}},
+        {"derive_column": {"target_field": "created_at", "expression": "timestamp"}},
+        {"static_columns": {**constants, "is_deleted": False}},
+        {"derive_column": {"target_field": "asset_deleted_at", "expression": "CAST(NULL AS TIMESTAMP)"}},
+        {"aggregate_sync_download": {
+            "where": f"NOT ({web}) AND profile_id IS NOT NULL", "group_by": list(activations.DOWNLOAD_KEYS),
+            "metrics": {"event_count": "len()"}, "static_columns": activations.DOWNLOAD_CONSTANTS}},
+        {"aggregate_asset": {
+            "where": web, "deduplicate_by": list(activations.ASSET_KEYS), "columns": list(activations.ASSET_COLUMNS)}},
+        {"aggregate_project": {
+            "where": web, "deduplicate_by": ["project_id"], "agg": {"created_at": "min"},
+            "keep_first": list(activations.PROJECT_FIRST)}},
+        {"aggregate_font_universe_usage": {
+            "metrics": {"fu_event_count": "len()"}, "constants": ["customer_identifier_type"],
+            "monthly_merge": {"enabled": True, "group_by": list(activations.MERGE_KEYS)}}},
+    ]
+    columns_of = {"project": {
+        "id": "project_id", "name": "project_name", "project_type": "project_type", "profile_id": "profile_id",
+        "gcid": "gcid", "created_at": "created_at", "is_deleted": "is_deleted"}}
+    froms = {
+        "sync_download": "aggregate_sync_download", "asset": "aggregate_asset", "project": "aggregate_project",
+        "usage_data": "aggregate_font_universe_usage",
+    }
+    return {
+        "name": "events",
+        "extract": {"source": "table", "table": source},
+        "transform": {"steps": steps},
+        "quality_checks": {
+            "pre_load": [
+                {"row_count_gt": -1},
+                {"required_fields_not_null": {"fields": ["mtf_id", "user", "timestamp", "event_type"], "on_fail": "skip_record"}},
+                {"event_type_in": {"allowed": list(activations.EVENT_TYPES), "on_fail": "skip_record"}},
+                {"font_list_not_empty": {"on_fail": "skip_record"}},
+                {"lookup_resolved": {"fields": ["gcid", "font_style_id"], "on_fail": "skip_record"}},
+                {"font_universe_fields_valid": {"required": ["customer_id", "font_id", "event_date"], "on_fail": "skip_fu_record"}},
+            ],
+            "post_load": [
+                {"control_record_status": {"expected": ["Success", "Partial"]}},
+                {"source_vs_target_count": {"comparison": "target_count > 0 when source_count > 0"}},
+            ],
+        },
+        "load": {"destinations": [
+            {"table": targets[t], "mode": activation_job.TARGETS[t][1], "key": activation_job.TARGETS[t][2], "from": froms[t],
+             "columns": columns_of.get(t), "group_by": activations.MERGE_KEYS}
+            for t in activation_job.TARGETS]},
+    }
+
+
+@check(
+    "spec_event_ingestion",
+    with_views(
+        f"{USAGE_VIEWS}",
+        """SELECT 'asset' AS target, project_id AS k1, CAST(font_style_id AS VARCHAR) AS k2,
+          arg_min(gcid, CAST(event_id AS VARCHAR)) AS k3, CAST(epoch_us(ts) AS VARCHAR) AS k4, 1 AS n
+          FROM enriched WHERE reject_reason IS NULL AND route = 'webproject_path' GROUP BY project_id, font_style_id, ts
+        UNION ALL SELECT 'project', project_id, concat('Project ', project_id), 'WebProject', CAST(epoch_us(min(ts)) AS VARCHAR), 1
+          FROM enriched WHERE reject_reason IS NULL AND route = 'webproject_path' GROUP BY project_id
+        UNION ALL SELECT 'sync_download', gcid, profile_id, CAST(font_style_id AS VARCHAR), concat(event_type, ' ', event_date), count(*)
+          FROM enriched WHERE reject_reason IS NULL AND route = 'sync_download_path'
+          GROUP BY gcid, profile_id, font_style_id, family_id, event_type, event_date
+        UNION ALL SELECT 'usage_data', customer_id, CAST(font_id AS VARCHAR), usage_type, concat(year, '-', month, ' ', first_usage, ' ', last_usage), usage_count
+          FROM new_usage""",
+        NEW_USAGE_CTE,
+    ),
+)
+def spec_event_ingestion(spark, sf):
+    """The declared pipeline from a table of event images to four tables, whose content is compared."""
+    raw = {name: frame(spark, sf, view) for name, view in LOOKUP_VIEWS.items()}
+    raw["profiles"] = raw["profiles"].select("email", "customer_id", uuid_text(F.unhex("profile_hex")).alias("profile_id"))
+    source = f"images_{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "images")
+    images(spark, sf).write.parquet(folder)
+    spark.sql(f"CREATE TABLE {source} USING parquet LOCATION '{folder}'")
+    targets = {t: f"{t}_{uuid.uuid4().hex}" for t in activation_job.TARGETS}
+    activation_job.create_targets(spark, targets, shared_folder(spark, "targets"))
+    run_spec(spark, event_spec(source, targets), shared_folder(spark, "control"), lookups=raw, execution_date=LOAD_DATE)
+
+    def keyed(target, *keys, n="CAST(1 AS BIGINT)"):
+        named = [F.expr(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys, 1)]
+        return spark.table(targets[target]).select(F.lit(target).alias("target"), *named, F.expr(n).alias("n"))
+
+    rows = keyed("asset", "project_id", "font_style_id", "gcid", "unix_micros(created_at)")
+    rows = rows.unionByName(keyed("project", "id", "name", "project_type", "unix_micros(created_at)"))
+    rows = rows.unionByName(keyed(
+        "sync_download", "gcid", "profile_id", "font_style_id", "concat(event_type, ' ', event_date)", n="event_count"))
+    return rows.unionByName(keyed(
+        "usage_data", "customer_id", "font_id", "usage_type",
+        "concat(year, '-', month, ' ', first_usage, ' ', last_usage)", n="usage_count"))
