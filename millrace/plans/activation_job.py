@@ -13,7 +13,7 @@ from millrace.functions.images import image_schema
 from millrace.operators import enrich, quality
 from millrace.plans import activations
 from millrace.plans.runner import Destination, prepare_load
-from millrace.session import materialize, materialize_all, shared_folder
+from millrace.session import materialize, materialize_all, shared_folder, staging
 from millrace.sinks import journal, tables
 from millrace.sources import files, manifests
 
@@ -68,7 +68,8 @@ def ingest(
     key_root: str | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
 ) -> DataFrame:
-    """One run. Returns the closing totals in one row; the control table has the status.
+    """One run. Returns the closing totals in one row; the control table has the status. The
+    run's stages, landing copies too, are deleted when it ends.
 
     A file that an earlier run has loaded and tracked is not loaded again, even when that
     run was Partial and so left the watermark where it was. A folder with an absent file makes
@@ -79,6 +80,12 @@ def ingest(
 
     Folders are landed in groups of about ``GROUP_FOLDERS``; the driver holds the names of one.
     """
+    with staging(spark):
+        totals = _run(spark, feed, lookups, names, control_path, tracking_path, load_date, job_name, key_root, clock)
+        return spark.createDataFrame(totals.collect(), totals.schema)
+
+
+def _run(spark, feed, lookups, names, control_path, tracking_path, load_date, job_name, key_root, clock) -> DataFrame:
     started = clock()
     runs.create_tables(spark, control_path, tracking_path)
     source_count = target_count = 0

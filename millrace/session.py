@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,9 +69,33 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
+_staging: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh, not yet existing path below the shared root."""
-    return f"{shared_root(spark)}/millrace/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/millrace/{purpose}-{uuid.uuid4().hex}"
+    if _staging:
+        _staging[-1].append(path)
+    return path
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Deletes the folders that were made within when it ends, well or not.
+
+    For a run whose results are in its targets: nothing lazy may still read its stages then.
+    """
+    paths: list[str] = []
+    _staging.append(paths)
+    try:
+        yield
+    finally:
+        _staging.remove(paths)
+        configuration = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(configuration).delete(place, True)
 
 
 def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:

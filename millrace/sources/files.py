@@ -21,11 +21,20 @@ def read_csv(
     schema: T.StructType,
     columns: Sequence[str] | None = None,
     header: bool = True,
+    keep_corrupt: bool = False,
 ) -> DataFrame:
-    """CSV file, folder or object-store prefix with declared columns."""
+    """CSV file, folder or object-store prefix with declared columns.
+
+    A field that does not fit its type is NULL. With ``keep_corrupt`` such a line is also kept
+    as text in ``_corrupt``, so that it can be counted or rejected.
+    """
     paths = path if isinstance(path, str) else list(path)
+    if keep_corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        columns = [*columns, CORRUPT] if columns else None
     df = (
         spark.read.schema(schema)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("header", header)
         .option("enforceSchema", not header)
         .csv(paths)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.files import CORRUPT
+
 
 def kafka_stream(
     spark: SparkSession,
@@ -37,7 +39,15 @@ def text_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.load(path)
 
 
-def parse_json(stream: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """The declared fields of a JSON ``value`` column (text or bytes), batch or stream."""
-    parsed = F.from_json(F.col(value).cast("string"), schema)
+def parse_json(
+    stream: DataFrame, schema: T.StructType, value: str = "value", keep_corrupt: bool = False
+) -> DataFrame:
+    """The declared fields of a JSON ``value`` column (text or bytes), batch or stream.
+
+    A broken message is a row of NULLs; with ``keep_corrupt`` its text is in ``_corrupt``.
+    """
+    if keep_corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_json(F.col(value).cast("string"), schema, options)
     return stream.select(parsed.alias("__record")).select("__record.*")

@@ -193,3 +193,15 @@ def test_session_settings(spark):
     assert all(spark.conf.get(k) == v for k, v in REQUIRED_SETTINGS.items())
     first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert first != second and first.startswith(shared_root(spark))
+
+
+def test_broken_fields_and_messages_leave_a_mark(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("a,b\n1,x\nabc,y\n")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    rows = files.read_csv(spark, str(tmp_path / "d.csv"), schema, ["a"], keep_corrupt=True).collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, None), (None, "abc,y")]
+    assert files.read_csv(spark, str(tmp_path / "d.csv"), schema).columns == ["a", "b"]
+    sent = spark.createDataFrame([('{"a": 1}',), ('{"a": ',)], "value string")
+    got = streams.parse_json(sent, SCHEMA, keep_corrupt=True).collect()
+    assert sorted((r.a, r[files.CORRUPT]) for r in got if r.a) == [(1, None)]
+    assert [r[files.CORRUPT] for r in got if r.a is None] == ['{"a": ']
