@@ -20,6 +20,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 FILE_RECORDS = 4_000
 RECORD_ID = "urn:page:"
 WARC_DATE = "2024-01-01T00:00:00Z"
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
@@ -79,10 +80,14 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.select(F.concat(head, F.lit(CRLF + CRLF), F.col("block")).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Archives below ``path``: Spark's text writer with the end of a WARC record as line end."""
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, packed: bool = True) -> None:
+    """Archives below ``path``: Spark's text writer with the end of a WARC record as line end.
+
+    ``packed`` files are one gzip member each, as Spark's writers make them.
+    """
     (
         records(pages, least_bytes).write.option("lineSep", CRLF + CRLF)
+        .option("compression", "gzip" if packed else "none")
         .option("maxRecordsPerFile", FILE_RECORDS).text(path)
     )
 
@@ -111,51 +116,77 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The same of a gzip member with one record."""
-    unpack = zlib.decompressobj(31)
-    try:
-        inner = unpack.decompress(data[at:])
-    except zlib.error as error:
-        raise ValueError(f"gzip: {error}") from None
-    if not unpack.eof:
-        raise ValueError("gzip: member is cut")
-    if not inner.startswith(b"WARC/1."):
-        raise ValueError("gzip: no record inside")
-    headers, block, end = _record(inner, 0)
-    if end != len(inner):
-        raise ValueError("gzip: more than a record inside")
-    return headers, block, len(data) - len(unpack.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
-    """(offset, length, headers, block, None) of records and (offset, length, None, b"", reason) of gaps.
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` holds, its end, and what is wrong with it. Of a damaged
+    member comes what can be unpacked."""
+    unpack, parts, view = zlib.decompressobj(31), [], memoryview(data)
+    for start in range(at, len(data), 1 << 16):
+        before = unpack.copy()
+        try:
+            parts.append(unpack.decompress(view[start : start + (1 << 16)]))
+        except zlib.error as error:
+            for k in range(start, min(start + (1 << 16), len(data))):  # byte by byte up to the damage
+                try:
+                    parts.append(before.decompress(view[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(parts), len(data), f"gzip: {error}"
+        if unpack.eof:
+            end = min(start + (1 << 16), len(data)) - len(unpack.unused_data)
+            return b"".join(parts), end, None
+    return b"".join(parts), len(data), "gzip: member is cut"
 
-    After a failed check the search goes on at the next version line or member start that leads to
-    a whole record; the bytes up to there are one gap.
-    """
+
+Found = tuple[int, int, dict[str, str] | None, bytes, str | None]
+
+
+def _walk(data: bytes, packed: bool) -> Iterator[Found]:
     at, gap, reason = 0, None, ""
+    start = _START if packed else _VERSION
     while at < len(data):
-        found = _START.match(data, at)
+        found: list[Found] = []
         try:
-            if not found:
+            if not start.match(data, at):
                 raise ValueError("no start of a record")
-            headers, block, end = (_member if data[at] == 0x1F else _record)(data, at)
+            if data[at] == 0x1F:
+                inner, end, wrong = _unpacked(data, at)
+                found = [(at, 0, h, b, r and f"in member: {r}") for _, _, h, b, r in _walk(inner, False)]
+                if wrong:
+                    found = [x for x in found if x[2] is not None]
+                    raise ValueError(wrong)
+                if not any(x[2] is not None for x in found):
+                    found = []
+                    raise ValueError("gzip: no record inside")
+                found[0] = (at, end - at, *found[0][2:])
+            else:
+                headers, block, end = _record(data, at)
+                found = [(at, end - at, headers, block, None)]
         except ValueError as error:
             if gap is None:
                 gap, reason = at, str(error)
-            later = _START.search(data, at + 1)
+            yield from found
+            later = start.search(data, at + 1)
             at = later.start() if later else len(data)
             continue
         if gap is not None:
             yield gap, at - gap, None, b"", reason
             gap = None
-        yield at, end - at, headers, block, None
+        yield from found
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, b"", reason
 
 
+def salvage(data: bytes) -> Iterator[Found]:
+    """(offset, length, headers, block, None) of records and (offset, length, None, b"", reason) of gaps.
+
+    After a failed check the search goes on at the next version line or member start that leads to
+    a whole record; the bytes up to there are one gap. A gzip member holds one record or more: its
+    length is on the first of them, and whole records of a damaged one are kept.
+    """
+    yield from _walk(data, True)
+
+
 READ = (
     "file string, offset long, length long, gap string, type string, record_id string, target_uri string,"
     " refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -203,7 +234,7 @@ def _shown(headers: dict[str, str], block: bytes):
 def read_warc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Records and quarantined gaps (file, offset, length, reason) of all archives at ``path``.
 
-    Plain archives and such with a gzip member for each record; a file may hold both. A file is
+    Plain archives and gzip members of one record or more; a file may hold both. A file is
     read whole by one task: archives are expected to be bounded, as ``write_warc`` bounds them.
     An empty file has neither records nor gaps.
     """

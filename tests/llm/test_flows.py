@@ -96,7 +96,7 @@ def test_archive_round_trip(spark):
 def archive(spark, tmp_path_factory):
     """Whole records of one plain file."""
     path = str(tmp_path_factory.mktemp("warc") / "out")
-    warc.write_warc(pages(spark).coalesce(1), path)
+    warc.write_warc(pages(spark).coalesce(1), path, packed=False)
     return b"".join(p.read_bytes() for p in sorted(Path(path).glob("part-*")))
 
 
@@ -109,7 +109,7 @@ def test_salvage(archive, packed):
     units = [gzip.compress(x, mtime=0) for x in whole] if packed else whole
     hurt = bytearray(units[2])
     hurt[len(hurt) // 2] ^= 0xFF
-    data = units[0] + b"noise" + units[1] + bytes(hurt) + units[3] + units[4][:-9]
+    data = units[0] + b"noise" + units[1] + bytes(hurt) + units[3] + units[4][: len(units[4]) // 2]
     found = list(warc.salvage(data))
     assert sum(n for _, n, *_ in found) == len(data) and found[0][0] == 0
     blocks = [block for _, _, headers, block, _ in found if headers]
@@ -118,6 +118,17 @@ def test_salvage(archive, packed):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_within_a_member(archive):
+    whole = [archive[o : o + n] for o, n, *_ in warc.salvage(archive)]
+    member = gzip.compress(archive)
+    records = list(warc.salvage(member))
+    assert len(records) == len(whole) and sum(n for _, n, *_ in records) == len(member)
+    cut = list(warc.salvage(member[:-12] + gzip.compress(whole[0])))
+    kept = [headers["warc-record-id"] for _, _, headers, _, _ in cut if headers]
+    assert len(whole) - 1 <= len(kept) - 1 <= len(whole) and kept[-1] == records[0][2]["warc-record-id"]
+    assert [r for *_, r in cut if r] and sum(n for _, n, *_ in cut) == len(member) - 12 + len(gzip.compress(whole[0]))
+
+
 def test_reader_mixes_plain_and_packed_files(spark, archive, tmp_path):
     (tmp_path / "a.warc").write_bytes(archive)
     whole = [archive[o : o + n] for o, n, *_ in warc.salvage(archive)]
