@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import documents, shipped
 
 # Encoded pre-tokens a task remembers; it forgets all of them when it has reached this number.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def _mix(value: np.ndarray, salt: np.ndarray) -> np.ndarray:

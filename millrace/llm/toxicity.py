@@ -71,7 +71,7 @@ class Lexicon:
     def features(self, text: str, label: int | None, found: dict[str, str | None]) -> list[float]:
         """Densities and rates of a whole text. ``found`` remembers each word's strongest term."""
         words = words_of(text)
-        if len(found) > 500_000:
+        if len(found) > 100_000:
             found.clear()
         hits, people = [], []
         for k, word in enumerate(words):
