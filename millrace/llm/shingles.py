@@ -12,7 +12,7 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when it has grown to ``bound`` words."""
 
-    bound = 1_000_000
+    bound = 100_000
 
     def __reduce__(self):
         return WordHashes, ()
