@@ -137,10 +137,12 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tupl
     """
     n_rules, total = len(next(iter(patterns), ())), sum(patterns.values())
     good = {votes: 0.1 if -1 in votes else 0.9 for votes in patterns}
-    prior, rules = 0.5, [Accuracy(*[dict.fromkeys(VOTES, 1 / 3)] * 2)] * n_rules
+    # The share of good documents stays that of the first guess: most documents break no rule and
+    # so give no evidence, and estimating the share anew from them would let it drift to nothing.
+    clear = sum(n for votes, n in patterns.items() if -1 not in votes)
+    prior = min(0.95, max(0.6, (clear + 1) / (total + 2)))
+    rules = [Accuracy(*[dict.fromkeys(VOTES, 1 / 3)] * 2)] * n_rules
     for _ in range(rounds if total else 0):
-        held = sum(n * good[v] for v, n in patterns.items())
-        prior = (held + 1) / (total + 2)
         rules = []
         for j in range(n_rules):
             cast = {True: dict.fromkeys(VOTES, 1.0), False: dict.fromkeys(VOTES, 1.0)}
