@@ -2,8 +2,9 @@
 
 Every step is a sort or hash exchange of narrow rows. A region (the items that share one key)
 is read as a sorted stream; only its items' sketches are compared, and in each round at most one
-candidate an item leaves it. All further candidates follow when components are known, and then
-only across components, so a group of copies never becomes the square of its size.
+candidate an item leaves it. The rounds see crowded regions in parts. All further candidates follow
+when components are known, from whole regions, and then only across components, so a group of
+copies never becomes the square of its size.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Stages, runs
 from millrace.llm.shingles import TREE_MASK
 
-# A region with more items than this is cut by its deeper key, and then into random blocks
-# that differ from key to key.
+# For the rounds, a region with more items than this is cut by its deeper key, and then into random
+# blocks that differ from key to key.
 REGION_ITEMS = 256
+# For the last check nothing is cut: a larger region is dealt to tiles of about so many items, and
+# every item outside the region's largest component visits all of them.
+TILE_ITEMS = 1024
 
 
 def connected(edges: DataFrame, stages: Stages) -> DataFrame:
@@ -108,22 +112,33 @@ def regions(forest: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(table: pa.Table, ratio: float, least: float):
-    """Index pairs within a region whose sizes and sketches allow a link, and their estimate."""
-    region = table.column("region").to_numpy()
-    n = table.column("n").to_numpy()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(n), -1)
+def _alike(n, sketch, i, j, ratio: float, least: float):
+    """Those of the index pairs whose sizes and sketches allow a link, and their estimate."""
+    ok = np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])
+    i, j = i[ok], j[ok]
+    estimate = (sketch[i] == sketch[j]).mean(axis=1) if len(i) else np.empty(0)
+    ok = estimate >= least
+    return i[ok], j[ok], estimate[ok]
+
+
+def _columns(table: pa.Table | pa.RecordBatch):
+    """node, component, n and sketch as arrays."""
+    node, component, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
+    return node, component, n, np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(n), -1)
+
+
+def _pairs(table: pa.Table, key: str, ratio: float, least: float):
+    """Index pairs of equal ``key`` and different components that allow a link, and their estimate."""
+    region = table.column(key).to_numpy()
+    _, component, n, sketch = _columns(table)
     for offset in range(1, len(n)):
-        i = np.flatnonzero(region[offset:] == region[:-offset])
-        if not len(i):
+        same = region[offset:] == region[:-offset]
+        if not same.any():
             return
-        j = i + offset
-        ok = np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])
-        i, j = i[ok], j[ok]
-        estimate = (sketch[i] == sketch[j]).mean(axis=1) if len(i) else np.empty(0)
-        ok = estimate >= least
-        if ok.any():
-            yield i[ok], j[ok], estimate[ok]
+        i = np.flatnonzero(same & (component[offset:] != component[:-offset]))
+        i, j, estimate = _alike(n, sketch, i, i + offset, ratio, least)
+        if len(i):
+            yield i, j, estimate
 
 
 PAIRS = "a long, b long, estimate double"
@@ -142,11 +157,9 @@ def closest_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
 
     def scan(batches):
         for table in runs(batches, "region"):
-            node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+            node = table.column("node").to_numpy()
             best, partner = np.zeros(len(node)), np.full(len(node), -1)
-            for i, j, estimate in _pairs(table, ratio, least):
-                far = component[i] != component[j]
-                i, j, estimate = i[far], j[far], estimate[far]
+            for i, j, estimate in _pairs(table, "region", ratio, least):
                 for x, y in ((i, j), (j, i)):
                     better = estimate > best[x]
                     best[x[better]], partner[x[better]] = estimate[better], y[better]
@@ -161,18 +174,90 @@ def closest_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
     return best.select(F.least("a", -F.col("x.o")).alias("a"), F.greatest("a", -F.col("x.o")).alias("b")).distinct()
 
 
+def tiles(rows: DataFrame) -> DataFrame:
+    """(tile, block, own, large, node, component, n, sketch) of whole regions.
+
+    An item is at home in the tile of its ``own`` block. In a region of several tiles each item
+    outside the largest component (``large``) visits the other tiles. So any two items of different
+    components meet, and the copies are the other components' items times the tiles.
+    """
+    parts = rows.groupBy("region", "component").agg(F.count("*").alias("size"))
+    whole = parts.groupBy("region").agg(
+        F.sum("size").alias("size"), F.max(F.struct("size", "component"))["component"].alias("largest")
+    )
+    whole = whole.select("region", "largest", F.ceil(F.col("size") / F.lit(TILE_ITEMS)).alias("blocks"))
+    dealt = rows.join(whole, "region").withColumns({
+        "own": F.pmod(F.xxhash64("node", "region"), F.col("blocks")), "large": F.col("component") == F.col("largest"),
+    })
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    dealt = dealt.withColumn("block", F.explode(F.when(F.col("large"), F.array("own")).otherwise(every)))
+    return dealt.select(
+        F.xxhash64("region", "block").alias("tile"), "block", "own", "large", "node", "component", "n", "sketch"
+    )
+
+
+def homes_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
+    """Regroups rows sorted by tile, those at home first: (False, whole tiles at home) and (True,
+    some visitors of the last of these tiles). Holds one tile's home and one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile = batch.column("tile").to_numpy()
+        visiting = batch.column("own").to_numpy() != batch.column("block").to_numpy()
+        turns = (visiting[1:] != visiting[:-1]) | visiting[1:] & (tile[1:] != tile[:-1])
+        ends = [*(np.flatnonzero(turns) + 1).tolist(), len(tile)]
+        for start, end in zip([0, *ends], ends):
+            if held and (visiting[start] or tile[start] != held[-1].column("tile")[-1].as_py()):
+                yield False, pa.Table.from_batches(held)
+                held = []
+            if visiting[start]:
+                yield True, pa.Table.from_batches([batch.slice(start, end - start)])
+                continue
+            last = start + int(tile[start:end].searchsorted(tile[end - 1]))
+            if last > start:
+                yield False, pa.Table.from_batches([*held, batch.slice(start, last - start)])
+                held = []
+            held.append(batch.slice(last, end - last))
+    if held:
+        yield False, pa.Table.from_batches(held)
+
+
 def crossing_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
-    """All candidates between different components; rows carry ``component`` too."""
+    """All candidates between different components; rows (region, node, n, sketch, component)."""
+
+    def visits(home, table):
+        """Some visitors of a tile against the items at home, which alone are held."""
+        _, block, large, held = home
+        node, component, n, sketch = (np.concatenate(x) for x in zip(held, _columns(table)))
+        count, from_ = len(held[0]), table.column("own").to_numpy()
+        for k in range(table.num_rows):
+            # Visitors from lower blocks have met their like there, but not the largest component.
+            meets = large if from_[k] < block else np.ones(count, bool)
+            i = np.flatnonzero(meets & (component[:count] != component[count + k]))
+            i, j, estimate = _alike(n, sketch, i, np.full(len(i), count + k), ratio, least)
+            if len(i):
+                yield _emit(node, i, j, estimate)
 
     def scan(batches):
-        for table in runs(batches, "region"):
-            node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
-            for i, j, estimate in _pairs(table, ratio, least):
-                far = component[i] != component[j]
-                if far.any():
-                    yield _emit(node, i[far], j[far], estimate[far])
+        home = None
+        for visiting, table in homes_first(batches):
+            if visiting:
+                if home is not None and home[0] == table.column("tile")[0].as_py():
+                    yield from visits(home, table)
+                continue
+            node = table.column("node").to_numpy()
+            for i, j, estimate in _pairs(table, "tile", ratio, least):
+                yield _emit(node, i, j, estimate)
+            tile = table.column("tile").to_numpy()
+            last = table.slice(int(np.searchsorted(tile, tile[-1])))
+            home = tile[-1], last.column("block")[0].as_py(), np.array(last.column("large").to_pylist()), _columns(last)
 
-    return rows.repartition("region").sortWithinPartitions("region", "n", "node").mapInArrow(scan, PAIRS)
+    return (
+        tiles(rows).withColumn("visits", F.col("own") != F.col("block"))
+        .repartition("tile").sortWithinPartitions("tile", "visits", "n", "node").drop("visits")
+        .mapInArrow(scan, PAIRS)
+    )
 
 
 def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[str, str], bool]) -> DataFrame:
@@ -206,7 +291,8 @@ def components(
     ``forest``: (key, node) with shared keys. ``items``: (node, n, sketch, deep, text).
     In each round every item's best candidate in another component is checked on the full sets,
     and the links are united. When a round finds no link, all remaining candidates between
-    components are checked once. Pairs within a component need no check: they change nothing.
+    components are checked once, in the uncut regions. Pairs within a component need no check: they
+    change nothing.
     """
     rows = stages.write(regions(forest, items), "regions")
     start = rows.withColumn("component", F.col("node"))
@@ -220,10 +306,12 @@ def components(
         if known is not None and links.isEmpty():
             break
         known = stages.write(connected(_between(links, known), stages), "known")
-    crossing = crossing_pairs(labelled, ratio, least).select("a", "b").distinct()
+    whole = forest.withColumnRenamed("key", "region").join(items.select("node", "n", "sketch"), "node")
+    whole = stages.write(_crossing(whole, known), "whole")
+    crossing = crossing_pairs(whole, ratio, least).select("a", "b").distinct()
     more = verified(crossing.join(tried, ["a", "b"], "left_anti"), items, similar)
     found = stages.write(connected(_between(more, known), stages), "components")
-    stages.drop("regions", "labelled", "tried", "links", "known", "edges")
+    stages.drop("regions", "labelled", "whole", "tried", "links", "known", "edges")
     return found
 
 

@@ -2,8 +2,9 @@
 
 Twenty trees order the documents by six MinHash values each. Neighbours share a prefix of three
 values: a pair at similarity 0.75 shares none with probability (1 - 0.75 ** 3) ** 20 < 2e-5. A
-region in which more than ``links.REGION_ITEMS`` documents share the prefix uses all six values.
-Links are confirmed on the full shingle sets.
+region in which more than ``links.REGION_ITEMS`` documents share the prefix is first compared in
+parts, by all six values, and as a whole once components are known. Links are confirmed on the full
+shingle sets.
 """
 
 from __future__ import annotations

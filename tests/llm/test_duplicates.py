@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from millrace.llm import exact_dedup, line_dedup, near_dedup
+from millrace.llm import exact_dedup, line_dedup, links, near_dedup
 from millrace.llm.common import Stages
 from millrace.llm.links import connected
 from millrace.llm.shingles import char_shingles
@@ -121,6 +121,40 @@ def test_near_documents_equal_brute_force(documents):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
+def test_near_links_within_a_crowd(spark):
+    """Links at exactly 0.75 between single members of a family of 3,000 and documents beside it."""
+    base = [f"w{k}" for k in range(501)]  # 497 shingles
+    texts = []
+    for k in range(3000):
+        copy = list(base)
+        copy[80 + k % 400] = f"edit{k}"
+        texts.append(copy)
+    for k in range(10):  # 71 shingles less: 426 of 568
+        texts.append([f"own{k}-{x}" for x in range(71 + k % 2)] + texts[300 * k][71 + k % 2 :])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_dedup.decisions(docs).collect()}
+    assert all(got[k] == 0 for k in range(3000))
+    assert {k: got[3000 + k] for k in range(10)} == {k: 3000 + k if k % 2 else 0 for k in range(10)}
+
+
+def test_crossing_pairs_meet_in_tiles(spark, monkeypatch):
+    """A region of several tiles gives every pair of different components that is alike, once."""
+    monkeypatch.setattr(links, "TILE_ITEMS", 16)
+    rng = random.Random(8)
+    rows = []
+    for k in range(400):
+        region, component = (7, rng.choice([1, 1, 1, 2, k])) if k < 300 else (k // 5, k)
+        rows.append((region, k, 100 + rng.randrange(60), bytes(rng.choice(b"ab") for _ in range(8)), component))
+    df = spark.createDataFrame(rows, "region long, node long, n long, sketch binary, component long").repartition(3)
+    want = {
+        (a[1], b[1]) for k, a in enumerate(rows) for b in rows[k + 1 :]
+        if a[0] == b[0] and a[4] != b[4] and min(a[2], b[2]) >= 0.75 * max(a[2], b[2])
+        and sum(x == y for x, y in zip(a[3], b[3])) >= 0.64 * 8
+    }
+    got = [(r.a, r.b) for r in links.crossing_pairs(df, 0.75, 0.64).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def brute_lines(rows):
     places, first = [], {}
     for i, text in sorted(rows):
