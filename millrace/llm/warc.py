@@ -1,4 +1,4 @@
-"""WARC archives: written as text by Spark, read back by a reader that survives damage."""
+"""WARC archives: written by Spark's text sink, read back by a reader that survives damage."""
 
 from __future__ import annotations
 
@@ -16,7 +16,11 @@ from millrace.llm.common import Stages
 
 CRLF = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-# Pages of an archive file; with pages of a few kB some ten MB, as one task reads a file whole.
+# A gzip member takes records up to so many bytes: damage costs no more than one member's records.
+MEMBER_BYTES = 64 << 10
+# Members of a packed archive file, some 16 MB unpacked, as one task reads a file whole; and pages
+# of a plain one.
+FILE_MEMBERS = 256
 FILE_RECORDS = 4_000
 RECORD_ID = "urn:page:"
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -80,15 +84,44 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.select(F.concat(head, F.lit(CRLF + CRLF), F.col("block")).alias("value"))
 
 
+def _members(batches):
+    """Rows of one gzip member each, without its last byte, which the writer's line end gives."""
+
+    def packed(parts):
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        data = b"".join([*(pack.compress(x) for x in parts), pack.flush()])
+        if data[-1]:  # the length's highest byte: 16 MB or more, so an empty member ends the row
+            pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+            data += pack.compress(b"") + pack.flush()
+        return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], ["member"])
+
+    parts, held = [], 0
+    for batch in batches:
+        for value in batch.column("value"):
+            record = value.as_py().encode() + b"\r\n\r\n"
+            if parts and held + len(record) > MEMBER_BYTES:
+                yield packed(parts)
+                parts, held = [], 0
+            parts.append(record)
+            held += len(record)
+    if parts:
+        yield packed(parts)
+
+
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, packed: bool = True) -> None:
-    """Archives below ``path``: Spark's text writer with the end of a WARC record as line end.
+    """Archives below ``path`` by Spark's text writer.
 
-    ``packed`` files are one gzip member each, as Spark's writers make them.
+    In a plain archive the end of a WARC record is the writer's line end. A packed one is a row of
+    gzip members of ``MEMBER_BYTES`` at most, or of one longer record: each is a place to read on
+    from after damage. A member ends with the highest byte of its length, a zero: the line end.
     """
+    rows = records(pages, least_bytes)
+    if packed:
+        rows = rows.mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
     (
-        records(pages, least_bytes).write.option("lineSep", CRLF + CRLF)
-        .option("compression", "gzip" if packed else "none")
-        .option("maxRecordsPerFile", FILE_RECORDS).text(path)
+        rows.write.option("lineSep", "\0" if packed else CRLF + CRLF)
+        .option("compression", "none")
+        .option("maxRecordsPerFile", FILE_MEMBERS if packed else FILE_RECORDS).text(path)
     )
 
 
@@ -151,6 +184,11 @@ def _walk(data: bytes, packed: bool) -> Iterator[Found]:
             if data[at] == 0x1F:
                 inner, end, wrong = _unpacked(data, at)
                 found = [(at, 0, h, b, r and f"in member: {r}") for _, _, h, b, r in _walk(inner, False)]
+                if not inner and not wrong:  # an empty member: the end of a row of ``write_warc``
+                    if gap is None:
+                        at = end
+                        continue
+                    raise ValueError("gzip: no record inside")
                 if wrong:
                     found = [x for x in found if x[2] is not None]
                     raise ValueError(wrong)
@@ -231,6 +269,10 @@ def _shown(headers: dict[str, str], block: bytes):
     )
 
 
+def _found(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read, READ)
+
+
 def read_warc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Records and quarantined gaps (file, offset, length, reason) of all archives at ``path``.
 
@@ -238,22 +280,25 @@ def read_warc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     read whole by one task: archives are expected to be bounded, as ``write_warc`` bounds them.
     An empty file has neither records nor gaps.
     """
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read, READ)
+    found = _found(spark, path)
     gaps = found.where("gap is not null").select("file", "offset", "length", F.col("gap").alias("reason"))
     return found.where("gap is null").drop("gap"), gaps
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write archives of ``pages`` and return what their records say, one row for each page."""
+    """Write archives of ``pages`` and return what their records say, one row for each page.
+
+    A gap that damage left has a row too: record_type is ``gap`` and payload_bytes its length in the file.
+    """
     stages = Stages(pages.sparkSession, "warc")
     path = stages.place("archives")
     write_warc(pages, path, least_bytes)
-    found, _ = read_warc(pages.sparkSession, path)
+    found = _found(pages.sparkSession, path)
     number = lambda c: F.regexp_extract(c, RECORD_ID + r"(-?\d+)$", 1).try_cast("long")
     return found.select(
         number(F.col("record_id")).alias("page_id"),
-        "payload_bytes",
+        F.when(F.col("gap").isNull(), F.col("payload_bytes")).otherwise(F.col("length")).alias("payload_bytes"),
         "payload_digest",
-        F.col("type").alias("record_type"),
+        F.when(F.col("gap").isNull(), F.col("type")).otherwise("gap").alias("record_type"),
         number(F.col("refers_to")).alias("refers_to"),
     )

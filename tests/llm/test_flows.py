@@ -129,6 +129,46 @@ def test_salvage_within_a_member(archive):
     assert [r for *_, r in cut if r] and sum(n for _, n, *_ in cut) == len(member) - 12 + len(gzip.compress(whole[0]))
 
 
+def spoiled(path):
+    """One byte flipped and 4 kB zeroed at different places of the largest file below ``path``."""
+    file = max(Path(path).glob("part-*"), key=lambda p: p.stat().st_size)
+    data = bytearray(file.read_bytes())
+    data[len(data) * 3 // 10] ^= 0x10
+    data[len(data) * 6 // 10 : len(data) * 6 // 10 + 4096] = bytes(4096)
+    file.write_bytes(data)
+    for check in file.parent.glob(".part-*.crc"):
+        check.unlink()
+
+
+def many_pages(spark, n):
+    rows = [(k, "u", " ".join(hashlib.md5(b"%d %d" % (k, x)).hexdigest() for x in range(60))) for k in range(n)]
+    return pages(spark, rows).coalesce(1)
+
+
+def test_damage_in_a_written_archive_costs_few_records(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    warc.write_warc(many_pages(spark, 2000), path)
+    whole, gaps = warc.read_warc(spark, path)
+    assert whole.count() == 2000 and gaps.count() == 0
+    spoiled(path)
+    found, gaps = warc.read_warc(spark, path)
+    assert 2000 - 3 * 40 <= found.count() < 2000 and found.distinct().count() == found.count()
+    assert 1 <= gaps.count() <= 4 and gaps.where("length > 0").count() == gaps.count()
+    write = warc.write_warc
+    monkeypatch.setattr(warc, "write_warc", lambda pages, path, *a: (write(pages, path, *a), spoiled(path)))
+    rows = warc.archived(many_pages(spark, 2000)).collect()
+    lost = [r for r in rows if r.record_type == "gap"]
+    assert lost and all(r.page_id is None and r.payload_bytes > 0 for r in lost)
+    assert len({r.page_id for r in rows} - {None}) >= 2000 - 3 * 40
+
+
+def test_archive_of_a_record_beyond_16_mb(spark):
+    html = "x" * (17 << 20)
+    rows = warc.archived(pages(spark, [(1, "u", html), (2, "u", "y")])).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in rows) == [
+        (1, len(html), "response"), (2, 1, "response")]
+
+
 def test_reader_mixes_plain_and_packed_files(spark, archive, tmp_path):
     (tmp_path / "a.warc").write_bytes(archive)
     whole = [archive[o : o + n] for o, n, *_ in warc.salvage(archive)]
