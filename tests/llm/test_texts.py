@@ -147,6 +147,27 @@ def test_personal_leaves_plain_numbers_alone(spark):
     assert got[5001].spans == ""
 
 
+def test_personal_finds_rewritten_forms(spark):
+    rng = random.Random(4)
+    names = ["joe", "ann.lee", "user7", "kim", "desk2024", "max.muster"]
+    hosts = ["mail7", "mail", "post12", "web"]
+    rows = []
+    for k in range(1200):
+        digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card = next(digits + c for c in "0123456789" if personal.luhn(digits + c))
+        wrong = digits + str((int(card[-1]) + 1) % 10)
+        rows.append((k, f"some words here {rng.choice(names)}@{rng.choice(hosts)}.example.com and more, card {card} or +1 (212) 555-{k:04d} "
+                        f"then {wrong} at home and 300.{k % 255}.1.999 end, call 12.5.2024"))
+    text = "some words here joe at mail7 dot example dot com and more, card 4111.1111.1111.1111 or nothing"
+    rows.append((5000, text))
+    rows.append((5001, "plain words that are at home, in 2024, with 12 of 300 things and no more"))
+    got = {r.doc_id: r for r in personal.personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = [x.split(":") for x in got[5000].spans.split(",")]
+    assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == [
+        ("email", "joe at mail7 dot example dot com"), ("card", "4111.1111.1111.1111")]
+    assert got[5001].spans == ""
+
+
 def test_language(spark, edge, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
