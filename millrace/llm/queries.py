@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, personal, quality, toxicity, warc
+from millrace.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, personal, quality, sharding, toxicity, warc
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,35 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.decisions(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.decisions(read(spark, sf_dir, "documents"), [1.0] * 24)
+
+
+# CRC-32 of text in SQL: the table of the reflected polynomial, then one step a byte.
+_CRC_TABLE = """[list_reduce([k::BIGINT] || list_transform(range(8), lambda i: 0::BIGINT),
+                    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for k in range(256)]"""
+
+
+def _crc32(text: str, table: str) -> str:
+    return f"""xor(list_reduce([4294967295::BIGINT] || [('0x' || h)::BIGINT for h in regexp_extract_all(hex(encode({text})), '..')],
+                    lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _bids(shards: int) -> str:
+    bid = "-ln((('0x' || substr(md5(k::VARCHAR || ':' || key), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
+    return f"list_min([{{'bid': {bid}, 'shard': k}} for k in range({shards})]).shard::INT"
+
+
+ORACLES["op13_sharding"] = f"""
+    WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS steps),
+    rows AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, strlen(coalesce(text, '')) + 8 AS size,
+                    {_crc32("coalesce(text, '')", "steps")} AS text_crc32 FROM documents, crc),
+    dealt AS (SELECT *, {_bids(24)} AS shard, {_bids(25)} AS grown_shard,
+                     md5(concat_ws(':', key, text_crc32, size)) AS spread FROM rows)
+    SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, grown_shard,
+           row_number() OVER (PARTITION BY shard ORDER BY spread, doc_id) - 1 AS slot
+    FROM dealt
+"""
