@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, personal, quality, sharding, toxicity, warc
+from millrace.llm import byte_bpe, conversation_trie, exact_dedup, language, line_dedup, mixing, near_dedup, personal, quality, sharding, toxicity, warc
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,48 @@ ORACLES["op13_sharding"] = f"""
            row_number() OVER (PARTITION BY shard ORDER BY spread, doc_id) - 1 AS slot
     FROM dealt
 """
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.branched_trie(read(spark, sf_dir, "conversations"))
+
+
+# Prefixes by aggregated texts of turn digests, subtrees by pairs of prefixes of one conversation.
+ORACLES["op11_conversation_trie"] = f"""
+    WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS steps),
+    turns AS MATERIALIZED (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos, digest, words
+        FROM (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+              FROM conversations WHERE conv_id IS NOT NULL)),
+    convs AS MATERIALIZED (
+        SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("conv_id::VARCHAR", "steps")} % 4 AS h
+        FROM (SELECT DISTINCT conv_id FROM turns), crc),
+    rebuilt AS MATERIALIZED (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, digest, words
+        FROM (SELECT c.conv_id, 0 AS own, t.pos, digest, words FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= h
+              UNION ALL
+              SELECT c.conv_id, 1, t.pos, digest, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > h)),
+    prefixes AS MATERIALIZED (
+        SELECT conv_id, depth, words,
+               md5(string_agg(digest, ',') OVER w) AS key,
+               CASE WHEN depth > 1 THEN md5(string_agg(digest, ',') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+                    ELSE 'root' END AS above,
+               depth = max(depth) OVER (PARTITION BY conv_id) AS is_last
+        FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+        UNION ALL
+        SELECT conv_id, 0, 0, 'root', NULL, conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM convs),
+    nodes AS MATERIALIZED (
+        SELECT key, any_value(depth) AS depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+               (count(*) - 1) * any_value(words) AS saved,
+               sha256(coalesce(string_agg(CASE WHEN is_last THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+        FROM prefixes GROUP BY key),
+    kids AS (SELECT above AS key, count(*) AS n_children FROM nodes GROUP BY above),
+    pairs AS (SELECT DISTINCT u.key AS top, v.key FROM prefixes u JOIN prefixes v ON u.conv_id = v.conv_id AND u.depth <= v.depth),
+    below AS (SELECT top AS key, sum(v.saved) AS saved_tokens, count(*) FILTER (v.key NOT IN (SELECT key FROM kids WHERE key IS NOT NULL)) AS n_leaves
+              FROM pairs JOIN nodes v USING (key) GROUP BY top)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id::DOUBLE AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+           n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN below USING (key) LEFT JOIN kids USING (key) LEFT JOIN nodes p ON p.key = n.above
+"""

@@ -23,8 +23,9 @@ from millrace_checks.compare import differences, duck  # noqa: E402
 def test_queries_equal_sql(spark, sf_dir, name):
     df = queries.QUERIES[name](spark, sf_dir)
     sql = queries.ORACLES[name]
-    if name == "op9_warc":  # integers with nulls
-        df = df.withColumn("refers_to", F.col("refers_to").cast("double"))
+    # Integers with nulls.
+    nullable = {"op9_warc": ["refers_to"], "op11_conversation_trie": ["parent_conv_id"]}.get(name, [])
+    df = df.withColumns({c: F.col(c).cast("double") for c in nullable})
     assert differences(df, duck(sf_dir), sql) is None
 
 
