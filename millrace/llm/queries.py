@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, conversation_trie, exact_dedup, language, line_dedup, mixing, near_dedup, personal, quality, sharding, toxicity, warc
+from millrace.llm import byte_bpe, conversation_trie, exact_dedup, language, line_dedup, mixing, near_dedup, personal, quality, sharding, token_alignment, toxicity, warc
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,9 @@ ORACLES["op11_conversation_trie"] = f"""
            n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
     FROM nodes n JOIN below USING (key) LEFT JOIN kids USING (key) LEFT JOIN nodes p ON p.key = n.above
 """
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_alignment.decisions(read(spark, sf_dir, "documents"), token_alignment.Files.load(*paths))
