@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,12 @@ from millrace.llm.common import Stages, documents, shipped
 
 # Characters of texts that are aligned in one go, and that share a dictionary of id pairs.
 SLICE, CHUNK = 1 << 19, 1 << 23
-# A longer text is cut where both tokenizers surely end a token: between a letter and " x".
+# A longer text is aligned in pieces.
 PIECE = 1 << 18
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+# Where both tokenizers surely end a token: before a space between a visible character and a Latin letter.
+_CUT = re.compile("(?<=[!-~À-ÖØ-öø-ɏ]) (?=[A-Za-zÀ-ÖØ-öø-ɏ])")
+# Units between such cuts whose tokens a task remembers, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -115,6 +119,8 @@ class Aligner:
         )
         # No piece goes on behind a word's end, so no merge crosses a cut.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.older = self.known
 
     def parts(self, text: str) -> list[str]:
         """The text in pieces that begin where a space was taken away, which both sides put back."""
@@ -124,18 +130,49 @@ class Aligner:
             start = cut.end()
         return [*out, text[start:]]
 
+    def learn(self, units: set[str]) -> None:
+        """Tokens of units, a space before each, as packed 32-bit integers."""
+        new = []
+        for unit in units:
+            if unit in self.older[0]:
+                for known, older in zip(self.known, self.older):
+                    known[unit] = older[unit]
+            else:
+                new.append(unit)
+        first = self.first.encode_batch_fast([" " + u for u in new], add_special_tokens=False)
+        for unit, x, y in zip(new, first, self.second.encode(new, num_threads=1)):
+            self.known[0][unit] = array("i", x.ids).tobytes()
+            self.known[1][unit] = array("i", y).tobytes()
+
+    def tokens(self, texts: list[str]) -> list[pa.ListArray]:
+        """The ids of each piece by both sides, put together from its units."""
+        if len(self.known[0]) > REMEMBERED:
+            self.older, self.known = self.known, ({}, {})
+        units = [_CUT.split(t) if self.cuts else [t] for t in texts]
+        new = {u for own in units for u in own if u not in self.known[0]}
+        self.learn(new)
+        out = []
+        for known in self.known:
+            packed = [b"".join(map(known.__getitem__, own)) for own in units]
+            offsets = np.cumsum([0, *map(len, packed)]) // 4
+            values = np.frombuffer(b"".join(packed), "<i4")
+            out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)))
+        for unit in new:
+            if len(unit) > LONGEST:
+                for known in self.known:
+                    del known[unit]
+        return out
+
     def align(self, texts: list[str]) -> list[Aligned]:
         """Each of some non-empty pieces."""
-        first = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        a = _lists([e.ids for e in first])
-        b = _lists(self.second.encode(texts, num_threads=1))
+        a, b = self.tokens(texts)
         want = pa.array([b" " + t.encode() for t in texts], pa.binary())
         good = pc.and_(pc.equal(self.a.joined(a), want), pc.equal(self.b.joined(b), want))
         kept = good.to_pylist()
         if not any(kept):
             return [Aligned(False) for _ in texts]
         if not all(kept):
-            a, b, want = _lists(a.filter(good).to_pylist()), _lists(b.filter(good).to_pylist()), want.filter(good)
+            a, b, want = a.filter(good), b.filter(good), want.filter(good)
         size = pc.binary_length(want).cast(pa.int64())
         start = pc.subtract(pc.cumulative_sum(size), size)
 
@@ -187,10 +224,6 @@ class Aligner:
         yield from aligned()
 
 
-def _lists(ids: list[list[int]]) -> pa.ListArray:
-    return pa.array(ids, pa.list_(pa.int32()))
-
-
 def groups(docs: DataFrame, files: Files, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_a, n_b, groups): the aligned groups of each text, as ``a1,a2|b1;a3|b2,b3``.
 

@@ -107,7 +107,7 @@ def test_pieces_and_chunks_change_nothing(edge, files, monkeypatch):
     rows = [(r.doc_id, r.text or "") for r in edge.collect()]
     docs = edge.sparkSession.createDataFrame([(k, t[:20_000]) for k, t in rows], "doc_id long, text string").coalesce(1)
     want = found(ta.decisions(docs, files))
-    for name, value in (("PIECE", 5), ("SLICE", 100), ("CHUNK", 300)):
+    for name, value in (("PIECE", 5), ("SLICE", 100), ("CHUNK", 300), ("REMEMBERED", 40), ("LONGEST", 6)):
         monkeypatch.setattr(ta, name, value)
     assert found(ta.decisions(docs, files)) == want
 
