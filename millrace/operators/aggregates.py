@@ -14,7 +14,7 @@ from millrace.operators import windows
 from millrace.session import materialize
 
 
-def _first_present(column: str, order_by: Sequence[str]) -> Column:
+def first_present(column: str, order_by: Sequence[str]) -> Column:
     """(order, value) of a row that has a value; NULL otherwise."""
     row = F.struct(*order_by, F.col(column).alias("__value"))
     return F.when(F.col(column).isNotNull(), row)
@@ -22,7 +22,7 @@ def _first_present(column: str, order_by: Sequence[str]) -> Column:
 
 def first_value(column: str, order_by: Sequence[str]) -> Column:
     """The first non-NULL value of ``column`` by ``order_by``, as pandas ``first`` means it."""
-    return F.min(_first_present(column, order_by)).getField("__value").alias(column)
+    return F.min(first_present(column, order_by)).getField("__value").alias(column)
 
 
 def aggregate(
@@ -111,7 +111,7 @@ def session_metrics(
         F.count(page).alias("__views"),
         F.min(timestamp).alias("__min"),
         F.max(timestamp).alias("__max"),
-        *[F.min(_first_present(c, order_by)).alias(name) for c, name in firsts.items()],
+        *[F.min(first_present(c, order_by)).alias(name) for c, name in firsts.items()],
     )
     # Written, as both the slots and the metrics come from it: the events are read once.
     reduced = materialize(reduced, "slots")

@@ -14,15 +14,16 @@ from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.control import runs
 from millrace.operators import aggregates, columns, enrich, filters, quality, routing, windows
-from millrace.session import materialize
+from millrace.session import counted, materialize
 from millrace.sinks import jdbc, journal, tables
 from millrace.sources.extract import open_source
+from millrace.sources.files import CORRUPT
 from millrace.sources.jdbc import JDBC_KINDS
 from millrace.sources.lookups import lookup, snapshot
 
@@ -31,11 +32,18 @@ Lookups = Mapping[str, DataFrame]
 StepFunction = Callable[[DataFrame, Any, Lookups], DataFrame]
 
 _steps: dict[str, StepFunction] = {}
+_own: set[str] = set()
 
 
 def register_step(name: str, function: Callable[[DataFrame, Any], DataFrame]) -> None:
-    """Add a step of your own: ``function(df, params) -> DataFrame``."""
+    """Add a step of your own: ``function(df, params) -> DataFrame``. In a stream it sees each micro-batch."""
     _steps[name] = lambda df, params, _lookups: function(df, params)
+    _own.add(name)
+
+
+def own_steps() -> frozenset[str]:
+    """The names given to ``register_step``."""
+    return frozenset(_own)
 
 
 def step(*names: str):
@@ -351,6 +359,11 @@ def _passing(df: DataFrame, rules: Sequence[tuple[str, str, Any]], scope: str) -
     return quality.valid_rows(quality.mark_rejects(df, own)) if own else df
 
 
+def passing(df: DataFrame, rules: Sequence[tuple[str, str, Any]]) -> DataFrame:
+    """The rows that meet the rules of ``skip_rules`` for whole records."""
+    return _passing(df, rules, "skip_record")
+
+
 USAGE_BRANCH = "aggregate_font_universe_usage"
 
 
@@ -510,6 +523,33 @@ def load(df: DataFrame, destination: Destination, staged: bool = False) -> None:
         tables.publish(df.sparkSession, prepare_load(df, destination, staged))
 
 
+REJECTS_SCHEMA = "job_name STRING, record STRING, rejected_on TIMESTAMP"
+
+
+def good_records(source: DataFrame, name: str, now: datetime) -> tuple[DataFrame, DataFrame | None]:
+    """The records that a source could read, and the others (None if there are none), as it marks them."""
+    if CORRUPT not in source.columns:
+        return source, None
+    # Written: Spark answers no question about the marks alone from text files.
+    source = materialize(source, "marked")
+    bad = source.where(F.col(CORRUPT).isNotNull())
+    if bad.isEmpty():
+        return source.drop(CORRUPT), None
+    rows = bad.select(F.lit(name).alias("job_name"), F.col(CORRUPT).alias("record"), F.lit(now).alias("rejected_on"))
+    return source.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows
+
+
+def read_rejects(spark: SparkSession, control_path: str) -> DataFrame:
+    """The records that the runs of a control table could not read."""
+    return spark.read.schema(REJECTS_SCHEMA).parquet(f"{control_path}.rejects")
+
+
+def one_kind(destinations: Sequence[Destination]) -> None:
+    """Refuse targets of which some are published together and others, in a database, are not."""
+    if len({d.connection is None for d in destinations}) > 1:
+        raise ValueError("catalog and database targets in one run: a failure between them would load one twice")
+
+
 def run_pipeline(
     name: str,
     source: DataFrame,
@@ -524,37 +564,40 @@ def run_pipeline(
 ) -> DataFrame:
     """Transform, stage, check, load every destination, and record the run.
 
-    The source is read once: its rows are counted while the result is staged in the shared
-    folder; the checks and all destinations read the staged copy. The catalog tables are one
-    batch of the load journal beside the control table, which the next run finishes first
-    if this one dies. A failing run is recorded as Failed and raised. Returns the control record.
+    The source's rows are counted apart from the steps, which may read it more than once (a
+    global sort does); the result is staged in the shared folder, and the checks and all
+    destinations read the staged copy. The catalog tables are one batch of the load journal beside the control
+    table, which the next run finishes first if this one dies. Destinations are catalog tables or
+    database tables, not both: a database is outside the batch. Records that the source could not read go to
+    ``<control_path>.rejects``. A failing run is recorded as Failed and raised. Returns the control record.
     """
     spark = source.sparkSession
     started = clock()
     source_count = target_count = 0
     loaded = False
     status = runs.FAILED
+    one_kind(destinations)
     try:
         journal.finish_open(spark, f"{control_path}.journal")
-        read = Observation()
-        observed = source.observe(read, F.count(F.lit(1)).alias("rows"))
-        outputs = apply_outputs(observed, steps, lookups, skip_rules(checks))
+        source, source_count = counted(source)
+        source, rejects = good_records(source, name, started)
+        outputs = apply_outputs(source, steps, lookups, skip_rules(checks))
         by_output = {k: [d for d in destinations if d.output == k] for k in {d.output for d in destinations} or {""}}
         day = load_date or started.date()
         staged = {k: materialize(stamped(outputs[k], own, day, started), "run") for k, own in by_output.items()}
-        source_count = read.get["rows"]
         for df in staged.values():
             quality.enforce(df, build_checks(checks))
             target_count += df.count()
         catalog = [d for d in destinations if d.connection is None]
         changes = [prepare_load(staged[d.output], d) for d in catalog]
+        if rejects is not None:
+            changes.append(tables.prepare_files(rejects, f"{control_path}.rejects"))
         if changes:
             journal.load_all(spark, f"{control_path}.journal", changes)
-            loaded = True
         for destination in destinations:
             if destination.connection is not None:
                 load(staged[destination.output], destination)
-                loaded = True
+        loaded = bool(destinations)
         status = runs.SUCCESS
     finally:
         ended = clock()
@@ -583,16 +626,22 @@ def run_spec(
     control: DataFrame | None = None,
 ) -> DataFrame:
     """Run a declared pipeline: ``extract``, ``lookups``, ``transform.steps``, ``quality_checks`` and
-    ``load.destinations``, with Spark SQL expressions. Returns the control record."""
+    ``load.destinations``, with Spark SQL expressions. A source that is a stream is read as far as it goes,
+    in micro-batches (``stream_runner``). Returns the control record."""
     pipeline = spec.get("pipeline", spec)
     extract = pipeline["extract"]
     transform = pipeline.get("transform") or []
     source = open_source(
-        spark, extract, schema, execution_date, control, job_name=pipeline["name"]
+        spark, extract, schema, execution_date, control, job_name=pipeline["name"], keep_corrupt=True
     )
     lookups = {**open_lookups(spark, pipeline.get("lookups") or []), **(lookups or {})}
     checks = pipeline.get("quality_checks") or {}
-    record = run_pipeline(
+    run, more = run_pipeline, {}
+    if source.isStreaming:
+        from millrace.plans.stream_runner import StreamOptions, run_stream
+
+        run, more = run_stream, {"options": StreamOptions.declared(spark, pipeline, source.schema)}
+    record = run(
         pipeline["name"],
         source,
         transform["steps"] if isinstance(transform, Mapping) else transform,
@@ -600,6 +649,7 @@ def run_spec(
         [destination(spark, d) for d in pipeline["load"]["destinations"]],
         control_path,
         lookups,
+        **more,
         load_date=execution_date,
         source_data=extract["source"],
         source_database=extract.get("database"),

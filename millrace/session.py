@@ -110,6 +110,25 @@ def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, purpose: str = "source") -> tuple[DataFrame, int]:
+    """``df`` and its number of rows, which no later plan, retry or lost executor can change.
+
+    Files and tables are counted by a job without columns, for columnar files from their footers. Any other
+    frame (a database, a limit, rows of the driver) is written first, so that what was counted is what
+    is read.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    kinds = [leaves.apply(k).getClass().getSimpleName() for k in range(leaves.size())]
+    if "HiveTableRelation" not in kinds and any(k != "LogicalRelation" for k in kinds):
+        df = materialize(df, purpose)
+    elif any(
+        leaves.apply(k).relation().getClass().getSimpleName() != "HadoopFsRelation"
+        for k, kind in enumerate(kinds) if kind == "LogicalRelation"
+    ):
+        df = materialize(df, purpose)
+    return df, df.count()
+
+
 def materialize_all(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """``materialize`` for independent frames, as concurrent jobs."""
     with ThreadPoolExecutor(max_workers=4) as pool:

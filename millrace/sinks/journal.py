@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from dataclasses import asdict
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from millrace.sinks.tables import Change, publish
 
@@ -21,11 +20,12 @@ PREPARED, DONE = "prepared", "done"
 
 
 def commit(spark: SparkSession, journal: str, changes: Sequence[Change], batch: str | None = None) -> str:
-    """Record the changes of a batch; from here on they will be published."""
+    """Record the changes of a batch; from here on they will be published. A batch that a caller names
+    is one that may be tried again, see ``closed``."""
     batch = batch or uuid.uuid4().hex
     rows = [(k, json.dumps(asdict(c))) for k, c in enumerate(changes)]
     state = spark.createDataFrame(rows, "position INT, change STRING").coalesce(1)
-    state.write.parquet(f"{journal}/state={PREPARED}/batch={batch}")
+    state.write.mode("overwrite").parquet(f"{journal}/state={PREPARED}/batch={batch}")
     return batch
 
 
@@ -35,18 +35,29 @@ def complete(spark: SparkSession, journal: str, batch: str) -> None:
         publish(spark, change)
     done = spark.createDataFrame([(0, "")], "position INT, change STRING").coalesce(1)
     done.write.mode("overwrite").parquet(f"{journal}/state={DONE}/batch={batch}")
+    # Only open batches are listed when the next run begins, however many there have been.
+    delete(spark, f"{journal}/state={PREPARED}/batch={batch}")
+
+
+def closed(spark: SparkSession, journal: str, batch: str) -> bool:
+    """Whether a named batch has been published."""
+    return _exists(spark, f"{journal}/state={DONE}/batch={batch}")
 
 
 def finish_open(spark: SparkSession, journal: str) -> list[str]:
     """Publish what an earlier run has committed and not closed; returns the batches."""
-    if not _exists(spark, f"{journal}/state={PREPARED}"):
+    place = _path(spark, f"{journal}/state={PREPARED}")
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
         return []
-    known = spark.read.schema("position INT, change STRING, state STRING, batch STRING").parquet(journal)
-    states = known.groupBy("batch").agg(F.count_if(F.col("state") == DONE).alias("closed"))
-    open_batches = [r["batch"] for r in states.where("closed = 0").collect()]
-    for batch in open_batches:
+    named = [status.getPath() for status in system.listStatus(place) if status.isDirectory()]
+    # A folder without its one file is a commit that was cut off: nothing of it has been published.
+    written = [p for p in named if any(f.getPath().getName().startswith("part-") for f in system.listStatus(p))]
+    whole = sorted(p.getName().split("=", 1)[1] for p in written)
+    finished = [b for b in whole if not closed(spark, journal, b)]
+    for batch in finished:
         complete(spark, journal, batch)
-    return open_batches
+    return finished
 
 
 def load_all(spark: SparkSession, journal: str, changes: Sequence[Change]) -> str:
@@ -62,6 +73,16 @@ def _changes(spark: SparkSession, journal: str, batch: str) -> list[Change]:
     return [Change(c["table"], tuple(map(tuple, c["moves"])), tuple(c["statements"])) for c in found]
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place = _path(spark, path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
+    place = _path(spark, path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -20,12 +20,14 @@ def open_source(
     execution_date: date | None = None,
     control: DataFrame | None = None,
     job_name: str | None = None,
+    keep_corrupt: bool = False,
 ) -> DataFrame:
     """The frame an ``extract`` mapping describes.
 
-    ``source`` is a database kind, ``csv``, ``s3`` (``file_format`` csv or jsonl_gz), ``kafka``
-    or ``table`` (a catalog table). File and stream sources need ``schema``. A manifest feed
-    with ``control`` reads only what is newer than the job's last successful run.
+    ``source`` is a database kind, ``csv``, ``s3`` (``file_format`` csv or jsonl_gz), ``kafka``,
+    ``json_files`` (a stream of JSON lines that arrive as files) or ``table`` (a catalog table). File and
+    stream sources need ``schema``. A manifest feed with ``control`` reads only what is newer than the
+    job's last successful run. ``keep_corrupt`` marks what could not be read in a column ``_corrupt``.
     """
     source = extract["source"].lower()
     if source in jdbc.JDBC_KINDS:
@@ -38,24 +40,27 @@ def open_source(
     elif source == "table":
         df = spark.table(extract["table"])
     elif source in ("csv", "s3"):
-        df = _files(spark, extract, _needed(schema), control, job_name)
+        df = _files(spark, extract, _needed(schema), control, job_name, keep_corrupt)
     elif source == "kafka":
         raw = streams.kafka_stream(
-            spark, extract["servers"], extract["topic"], extract.get("consumer_group")
+            spark, extract["servers"], extract["topic"], extract.get("consumer_group"), extract.get("max_offsets_per_trigger")
         )
-        df = streams.parse_json(raw, _needed(schema))
+        df = streams.parse_json(raw, _needed(schema), keep_corrupt=keep_corrupt)
+    elif source == "json_files":
+        raw = streams.text_stream(spark, extract["path"], extract.get("files_per_trigger"))
+        df = streams.parse_json(raw, _needed(schema), keep_corrupt=keep_corrupt)
     else:
         raise ValueError(f"unknown source {source!r}")
     limit = extract.get("row_limit")
     return df if limit is None else row_limit(df, int(limit), extract.get("order_by", ()))
 
 
-def _files(spark, extract, schema, control, job_name) -> DataFrame:
+def _files(spark, extract, schema, control, job_name, keep_corrupt) -> DataFrame:
     path = extract.get("path") or f"s3a://{extract['bucket']}/{extract['prefix']}"
     path = path.rstrip("/")
     file_format = extract.get("file_format", "csv")
     if file_format == "csv":
-        return files.read_csv(spark, path, schema, extract.get("columns"))
+        return files.read_csv(spark, path, schema, extract.get("columns"), keep_corrupt=keep_corrupt)
     if file_format != "jsonl_gz":
         raise ValueError(f"unknown file format {file_format!r}")
     if extract.get("discovery", {}).get("method") != "manifest":
