@@ -778,3 +778,120 @@ def spec_event_ingestion(spark, sf):
     return rows.unionByName(keyed(
         "usage_data", "customer_id", "font_id", "usage_type",
         "concat(year, '-', month, ' ', first_usage, ' ', last_usage)", n="usage_count"))
+
+
+# Declared streams, and counts of runs
+
+
+def _activity_spec(source, target, folder, late=None):
+    """The click pipeline: lines of JSON arriving as files, to closed sessions in a table."""
+    late_rows = {"late_rows": {"table": late[0], "path": late[1]}} if late else {}
+    return {
+        "name": "user_activity",
+        "extract": {"source": "json_files", "path": source, "watermark": {"delay_minutes": 10}},
+        "transform": {"steps": [
+            {"filter_bots": {"condition": "device_type != 'bot'"}},
+            {"sessionize": {"partition_by": "user_id", "order_by": "timestamp", "inactivity_gap_minutes": 30, "output_column": "session_id"}},
+            {"enrich_user_profile": {"lookup_table": "users", "join_key": "user_id", "fields": ["account_type", "signup_date", "country"]}},
+            {"aggregate_sessions": {
+                "group_by": ["user_id", "session_id"],
+                "metrics": {"page_views": "count(page_url)", "session_duration_sec": "max(timestamp) - min(timestamp)", "unique_pages": "count_distinct(page_url)"},
+                "keep_first": ["device_type", "country", "account_type"], "order_by": ["timestamp", "event_id"],
+            }},
+        ]},
+        "quality_checks": {"pre_load": [{"row_count_gt": 0}, {"required_fields_not_null": {"fields": ["user_id", "session_id", "page_views"]}}]},
+        "load": {**late_rows, "destinations": [{
+            "table": target, "path": folder, "mode": "append",
+            "target_ddl": """user_id BIGINT, session_id BIGINT, page_views BIGINT, session_duration_sec DOUBLE, unique_pages BIGINT,
+                device_type STRING, country STRING, account_type STRING, load_date DATE""",
+        }]},
+    }
+
+
+def _write_lines(clicks, path):
+    micros = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    clicks.select(F.to_json(F.struct("*"), micros).alias("value")).write.mode("append").text(path)
+
+
+def _far_ahead(clicks):
+    """A click that moves the watermark past every session."""
+    later = {"user_id": F.lit(-1).cast("bigint"), "timestamp": F.lit(datetime.datetime(2100, 1, 1, tzinfo=UTC)), "device_type": F.lit("web")}
+    return clicks.limit(1).withColumns(later)
+
+
+def _click_frame(spark, sf):
+    return frame(spark, sf, "clickstream").select(
+        "event_id", "user_id", "event_type", "page_url", F.col("ts").alias("timestamp"), "device_type"
+    )
+
+
+@check(
+    "spec_user_activity",
+    with_views(
+        "clickstream users",
+        f"""SELECT s.*, country, account_type, '{LOAD_DATE}' AS load_date FROM (
+        SELECT user_id, epoch_us(min(ts)) AS session_id, {SESSION_METRICS} FROM sessions GROUP BY user_id, session_id) s
+        LEFT JOIN users USING (user_id)""",
+        SESSION_CTE,
+    ),
+)
+def spec_user_activity(spark, sf):
+    """The declared stream in two runs, whose sessions go on from one to the other: equals the batch."""
+    source, folder = (shared_folder(spark, p) for p in ("lines", "sessions"))
+    target, control = f"sessions_{uuid.uuid4().hex}", shared_folder(spark, "control")
+    clicks, users = _click_frame(spark, sf), frame(spark, sf, "users")
+    half = F.col("timestamp") < F.lit(clicks.agg(F.expr("timestamp_micros((min(unix_micros(timestamp)) + max(unix_micros(timestamp))) div 2)")).first()[0])
+    for part in ([clicks.where(half)], [clicks.where(~half), _far_ahead(clicks)]):
+        for rows in part:
+            _write_lines(rows, source)
+            run_spec(spark, _activity_spec(source, target, folder), control, activity.CLICK_SCHEMA, {"users": users}, LOAD_DATE)
+    return spark.table(target).where("user_id >= 0")
+
+
+@check(
+    "stream_late_rows",
+    with_views(
+        "clickstream",
+        """SELECT event_id, epoch_us(ts) AS timestamp FROM clickstream
+        WHERE event_id % 3 = 0 AND epoch_us(ts) < (SELECT max(epoch_us(ts)) FROM clickstream WHERE event_id % 3 <> 0) - 600000000""",
+    ),
+)
+def stream_late_rows(spark, sf):
+    """A third of the clicks arrives after the others: those before the watermark are in the late rows."""
+    source, folder, late = (shared_folder(spark, p) for p in ("lines", "sessions", "late"))
+    target, rows, control = f"sessions_{uuid.uuid4().hex}", f"late_{uuid.uuid4().hex}", shared_folder(spark, "control")
+    clicks, users = _click_frame(spark, sf), frame(spark, sf, "users")
+    for part in ("event_id % 3 <> 0", "event_id % 3 = 0"):
+        _write_lines(clicks.where(part), source)
+        run_spec(spark, _activity_spec(source, target, folder, (rows, late)), control, activity.CLICK_SCHEMA, {"users": users}, LOAD_DATE)
+    return spark.table(rows).select("event_id", "timestamp")
+
+
+@check(
+    "run_source_counts",
+    """SELECT 'sorted' AS job_name, count(*) AS source_count, count(*) AS target_count FROM orders
+    UNION ALL SELECT 'deduplicated', count(*), count(DISTINCT o_custkey) FROM orders
+    UNION ALL SELECT 'limited', least(count(*), 3000), least(count(*), 3000) FROM orders
+    UNION ALL SELECT 'filtered', count(*), count_if(o_totalprice > 100000) FROM orders
+    UNION ALL SELECT 'branches', count(*), count(*) + count(DISTINCT (o_custkey, o_orderstatus)) FROM orders""",
+)
+def run_source_counts(spark, sf):
+    """Control records of runs whose plans read the source more than once, or only a part of it."""
+    control = shared_folder(spark, "control")
+    orders_ = table(spark, sf, "orders")
+    schema = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE"
+    sort = {"sort_rows": {"by": ["o_totalprice"], "ascending": False}}
+    count = {"aggregate_sync_download": {"group_by": ["o_custkey", "o_orderstatus"], "metrics": ["n"]}}
+    cases = {
+        "sorted": (orders_, [sort]),
+        "deduplicated": (orders_, [{"deduplicate": {"subset": ["o_custkey"], "sort_by": ["o_orderkey"]}}, sort]),
+        "limited": (windows.row_limit(orders_, 3000, ["o_orderkey"]), [sort]),
+        "filtered": (orders_, [{"filter_rows": {"condition": "o_totalprice > 100000"}}, sort]),
+        "branches": (orders_, [sort, count]),
+    }
+    for name, (source, steps) in cases.items():
+        targets = [Destination(_new_table(spark, schema))]
+        if name == "branches":
+            targets.append(Destination(_new_table(spark, "o_custkey BIGINT, n BIGINT"), output="aggregate_sync_download"))
+        run_pipeline(name, source, steps, [], targets, control)
+    return runs.read_control(spark, control).select("job_name", "source_count", "target_count")
