@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from millrace.operators.aggregates import monthly_rollup
 from millrace.operators.windows import deduplicate
 from millrace.session import materialize
+from millrace.sinks import constraints
 
 
 def create_table(
@@ -34,26 +35,27 @@ def create_table(
     location: str,
     partition_by: Sequence[str] = (),
 ) -> None:
-    """``CREATE TABLE IF NOT EXISTS`` at a fixed location. Partition columns come last."""
-    columns = schema if isinstance(schema, str) else ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in schema
+    """``CREATE TABLE IF NOT EXISTS`` at a fixed location. Partition columns come last. Of a column list, NOT NULL,
+    DEFAULT and VARCHAR lengths are kept for the loads (``constraints``)."""
+    columns, rules = constraints.parse(schema) if isinstance(schema, str) else (
+        ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), {}
     )
     parts = f"PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {parts} LOCATION '{location}'"
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {parts} LOCATION '{location}' "
+        + constraints.properties(rules)
     )
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project and cast to the target's columns; a missing column becomes NULL."""
-    return df.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in schema
-        ]
-    )
+    return constraints.conform(df, schema)
+
+
+def _conformed(df: DataFrame, table: str) -> DataFrame:
+    """``df`` as rows of ``table``, by its constraints."""
+    spark = df.sparkSession
+    return constraints.conform(df, spark.table(table).schema, constraints.declared(spark, table))
 
 
 @dataclass(frozen=True)
@@ -90,7 +92,7 @@ def append(df: DataFrame, table: str, max_files: int | None = None) -> None:
 
 def prepare_append(df: DataFrame, table: str, max_files: int | None = None) -> Change:
     spark = df.sparkSession
-    out = conform(df, spark.table(table).schema)
+    out = _conformed(df, table)
     partitions = _partition_columns(spark, table)
     folder = _new_folder(spark, table)
     _write(out.coalesce(max_files) if max_files else out, folder, partitions)
@@ -114,7 +116,7 @@ def replace(df: DataFrame, table: str) -> None:
 
 def prepare_replace(df: DataFrame, table: str) -> Change:
     spark = df.sparkSession
-    out = conform(df, spark.table(table).schema)
+    out = _conformed(df, table)
     partitions = _partition_columns(spark, table)
     folder = _new_folder(spark, table)
     _write(out, folder, partitions)
@@ -150,7 +152,7 @@ def prepare_insert_ignore(
     """When the table is partitioned by key columns, only partitions that ``df`` touches are read."""
     spark = df.sparkSession
     existing = spark.table(table)
-    new = conform(df, existing.schema)
+    new = _conformed(df, table)
     if not staged:
         firsts = deduplicate(new, key, list(order_by or key), keep="first")
         new = materialize(firsts, "insert")
@@ -188,7 +190,7 @@ def prepare_upsert(
 ) -> Change:
     spark = df.sparkSession
     existing = spark.table(table)
-    new = conform(df, existing.schema)
+    new = _conformed(df, table)
     if not staged:
         lasts = deduplicate(new, key, list(order_by or key), keep="last")
         new = materialize(lasts, "upsert")

@@ -88,27 +88,83 @@ def land_folders(
     """Land the present files of a bounded group of folders below ``target``; returns the folders
     that cannot be read whole.
 
-    ``found`` lists (folder, data_file, bytes). All files are one job. If that fails, the folders
-    are landed one by one, and of one that fails again no row is kept.
+    ``found`` lists (folder, data_file, bytes). All files are one job. If that fails, one more job looks
+    for damaged files, and one lands the folders that have none. A failure that no damaged file
+    explains (the store, memory, a permission) is raised: it says nothing about the folders.
     """
     by_folder: dict[str, list[str]] = {}
     for row in found.where("bytes IS NOT NULL").select("folder", "data_file").distinct().collect():
         by_folder.setdefault(row["folder"], []).append(row["data_file"])
     every = sorted(f for names in by_folder.values() for f in names)
-    unreadable: list[str] = []
-    if every and not _landed(spark, every, schema, f"{target}/part=0"):
-        for k, (folder, names) in enumerate(sorted(by_folder.items()), 1):
-            if not _landed(spark, sorted(names), schema, f"{target}/part={k}"):
-                unreadable.append(folder)
+    if not every:
+        return []
+    try:
+        _land_files(spark, every, schema, f"{target}/part=0")
+        return []
+    except (PySparkException, Py4JJavaError):  # the files of the failed attempt are removed by the writer
+        bad = {row["file"] for row in gzip_integrity(spark, every).where("NOT ok").collect()}
+        if not bad:
+            raise
+    unreadable = sorted(folder for folder, names in by_folder.items() if bad & set(names))
+    good = sorted(f for folder, names in by_folder.items() if folder not in unreadable for f in names)
+    if good:
+        _land_files(spark, good, schema, f"{target}/part=1")
     return unreadable
 
 
-def _landed(spark: SparkSession, paths: list[str], schema: T.StructType, target: str) -> bool:
-    try:
-        read_json_lines(spark, paths, schema).write.mode("overwrite").parquet(target)
-    except (PySparkException, Py4JJavaError):  # the files of the failed attempt are removed by the writer
-        return False
-    return True
+def _land_files(spark: SparkSession, paths: list[str], schema: T.StructType, target: str) -> None:
+    read_json_lines(spark, paths, schema).write.mode("overwrite").parquet(target)
+
+
+def gzip_integrity(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file, ok, reason) of each path: whether a ``.gz`` file can be unpacked, member by member, up to its last
+    trailer. Other files are only looked up. A file that is gone is not ok.
+
+    One job over all files; a task holds one compressed file (up to Spark's 2 GB of a binary row)
+    and unpacks it in pieces. A store or permission error fails the job.
+    """
+    listed = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "file STRING")
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
+    content = reader.load(list(dict.fromkeys(paths))).select(F.col("path"), F.col("content"))
+    looked = content.mapInArrow(_unpacker(), "path STRING, reason STRING")
+    plain = F.regexp_replace(F.col("file"), r"^[a-z0-9]+:/+", "/")
+    looked = looked.select(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("__plain"), "reason", F.lit(True).alias("__there"))
+    reason = F.when(F.col("__there"), F.col("reason")).otherwise(F.lit("gone"))
+    return listed.join(looked, plain == F.col("__plain"), "left").select("file", reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def _unpacker():
+    """The task function of ``gzip_integrity``, made here so that it travels by value."""
+
+    def fault(data: memoryview) -> str | None:
+        import zlib
+
+        at = 0
+        while True:
+            unpack = zlib.decompressobj(wbits=31)
+            while not unpack.eof:
+                piece = data[at : at + (1 << 16)]
+                if not piece:
+                    return "cut off"
+                at += len(piece)
+                try:
+                    unpack.decompress(bytes(piece))
+                except zlib.error as error:
+                    return f"damaged: {error}"
+            at -= len(unpack.unused_data)
+            if not bytes(data[at : at + 512]).strip(b"\0"):  # some writers pad with zeros
+                return None
+
+    def unpacked(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                name = path.as_py()
+                reason = fault(memoryview(content.as_buffer())) if name.endswith(".gz") else None
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([reason], pa.string())], ["path", "reason"])
+
+    return unpacked
 
 
 def landed(spark: SparkSession, schema: T.StructType, root: str) -> DataFrame:

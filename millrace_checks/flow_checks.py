@@ -34,7 +34,7 @@ from millrace.functions.images import image_schema
 from millrace.operators import columns, quality, windows
 from millrace.plans import activation_job, activations, activity, daily, orders
 from millrace.functions.text import uuid_text
-from millrace.plans.runner import Destination, build_checks, load, run_pipeline, run_spec
+from millrace.plans.runner import Destination, build_checks, load, read_rejects, run_pipeline, run_spec
 from millrace.session import materialize, shared_folder
 from millrace.sinks import tables
 from millrace.sources import files, manifests, streams
@@ -895,3 +895,54 @@ def run_source_counts(spark, sf):
             targets.append(Destination(_new_table(spark, "o_custkey BIGINT, n BIGINT"), output="aggregate_sync_download"))
         run_pipeline(name, source, steps, [], targets, control)
     return runs.read_control(spark, control).select("job_name", "source_count", "target_count")
+
+
+@check(
+    "sink_constraints",
+    """SELECT o_orderkey AS order_id, o_custkey AS customer_id, coalesce(o_orderstatus, '') AS status, 'web' AS channel, 0 AS attempts
+    FROM orders WHERE o_orderkey % 2 = 0""",
+)
+def sink_constraints(spark, sf):
+    """Half of the orders is loaded with defaults; loads that break a rule publish nothing."""
+    from pyspark.errors import PySparkException
+
+    target = _new_table(
+        spark, "order_id BIGINT NOT NULL, customer_id BIGINT NOT NULL, status VARCHAR(8) NOT NULL, channel STRING DEFAULT 'web', attempts INT DEFAULT 0"
+    )
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.coalesce("o_orderstatus", F.lit("")).alias("status")
+    )
+    even = F.col("order_id") % 2 == 0
+    tables.append(rows.where(even), target)
+    odd = rows.where(~even)
+    for broken in (
+        odd.withColumn("customer_id", F.when(F.col("order_id") % 5 != 0, F.col("customer_id"))),
+        odd.withColumn("status", F.repeat("status", F.lit(9))), odd.drop("customer_id"), odd.withColumn("extra", F.lit(1)),
+    ):
+        try:
+            tables.append(broken, target)
+        except (PySparkException, ValueError):
+            continue
+        raise AssertionError("a load that breaks a rule was published")
+    return spark.table(target)
+
+
+@check(
+    "scan_csv_corrupt",
+    """SELECT 'loaded' AS kind, o_orderkey AS order_id FROM orders WHERE o_orderkey % 7 <> 0
+    UNION ALL SELECT 'rejected', o_orderkey FROM orders WHERE o_orderkey % 7 = 0""",
+)
+def scan_csv_corrupt(spark, sf):
+    """A declared CSV of which every seventh line has a text where a number belongs."""
+    path, control, target = shared_folder(spark, "csv"), shared_folder(spark, "control"), f"csv_{uuid.uuid4().hex}"
+    price = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    table(spark, sf, "orders").select("o_orderkey", price.alias("o_totalprice")).write.option("header", True).csv(path)
+    schema = T.StructType.fromDDL("o_orderkey BIGINT, o_totalprice DOUBLE")
+    spec = {
+        "name": "orders_csv", "extract": {"source": "csv", "path": path}, "transform": {"steps": []},
+        "load": {"destinations": [{"table": target, "path": shared_folder(spark, "table"), "target_ddl": "o_orderkey BIGINT, o_totalprice DOUBLE"}]},
+    }
+    run_spec(spark, spec, control, schema)
+    loaded = spark.table(target).select(F.lit("loaded").alias("kind"), F.col("o_orderkey").alias("order_id"))
+    rejected = read_rejects(spark, control).select(F.lit("rejected").alias("kind"), F.split("record", ",")[0].cast("bigint").alias("order_id"))
+    return loaded.unionByName(rejected)
