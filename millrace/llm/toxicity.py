@@ -1,8 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon is learnt too: words and word beginnings that labelled toxic documents have far more
-often. Rows of the fit see each term's counts without themselves, so that the trees don't trust
-terms that only one document has.
+often. The fit is crossed over FOLDS parts of the labelled rows: a row's features come from the lexicon of the
+other parts, and the scores that are calibrated from trees of the other parts, so that both learn from
+rows like those to be scored later, which neither lexicon nor trees have seen.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from millrace.llm.common import Stages, documents, shipped
 
 # At most so many labelled rows are fitted on, those with the least hashed ids.
 FIT_ROWS = 20_000
+FOLDS = 3
 LEXICON_TERMS = 400
+# Toxic documents that a term of the lexicon is in.
+LEAST_SEEN = 4
 THRESHOLD = 0.7
 # Second-person words of the languages at hand, fixed values.
 SECOND_PERSON = frozenset(
@@ -61,14 +65,11 @@ class Lexicon:
     toxic: int
     clean: int
 
-    def weight(self, term: str, label: int | None) -> float:
+    def weight(self, term: str) -> float:
         a, b = self.counts[term]
-        toxic, clean = self.toxic, self.clean
-        if label is not None:
-            a, b, toxic, clean = a - label, b - 1 + label, toxic - label, clean - 1 + label
-        return math.log((a + 0.5) / (toxic + 1) * (clean + 1) / (b + 0.5))
+        return math.log((a + 0.5) / (self.toxic + 1) * (self.clean + 1) / (b + 0.5))
 
-    def features(self, text: str, label: int | None, found: dict[str, str | None]) -> list[float]:
+    def features(self, text: str, found: dict[str, str | None]) -> list[float]:
         """Densities and rates of a whole text. ``found`` remembers each word's strongest term."""
         words = words_of(text)
         if len(found) > 100_000:
@@ -79,12 +80,12 @@ class Lexicon:
                 term = found[word]
             except KeyError:
                 known = [t for t in terms(word) if t in self.counts]
-                term = found[word] = max(known, key=lambda t: self.weight(t, None), default=None)
+                term = found[word] = max(known, key=self.weight, default=None)
             if term is not None:
                 hits.append((k, term))
             if word in SECOND_PERSON:
                 people.append(k)
-        weights = [max(0.0, self.weight(t, label)) for _, t in hits]
+        weights = [max(0.0, self.weight(t)) for _, t in hits]
         n, length = max(1, len(words)), max(1, len(text))
         close, at = 0, 0
         for k, _ in hits:
@@ -120,31 +121,35 @@ class Model:
     rate: float
 
 
-def _features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, toxic, values) of rows (doc_id, text, toxic); toxic is null where unknown."""
-    shared = shipped(rows.sparkSession, lexicon)
+def _features(rows: DataFrame, lexicons: list[Lexicon]) -> DataFrame:
+    """(doc_id, toxic, fold, sha, values) of rows (doc_id, text, toxic, fold, sha); ``fold`` chooses the lexicon, the
+    last where it is null. ``toxic`` is null where unknown."""
+    shared = shipped(rows.sparkSession, lexicons)
 
     def scan(batches):
-        own, found = shared(), {}
+        own = shared()
+        found = [{} for _ in own]
         for batch in batches:
             values = [
-                own.features(text, label, found)
-                for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())
+                own[-1 if fold is None else fold].features(text, found[-1 if fold is None else fold])
+                for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array(values, pa.list_(pa.float64()))],
-                ["doc_id", "toxic", "values"],
+                [*(batch.column(c) for c in ("doc_id", "toxic", "fold", "sha")), pa.array(values, pa.list_(pa.float64()))],
+                ["doc_id", "toxic", "fold", "sha", "values"],
             )
 
-    return rows.select("doc_id", "text", "toxic").mapInArrow(scan, "doc_id long, toxic int, values array<double>")
+    columns = rows.select("doc_id", "text", "toxic", F.col("fold").cast("int").alias("fold"), "sha")
+    return columns.mapInArrow(scan, "doc_id long, toxic int, fold int, sha binary, values array<double>")
 
 
 def _terms(batches):
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+        columns = [batch.column(c).to_pylist() for c in ("text", "toxic", "fold")]
+        for text, label, fold in zip(*columns):
             own = list({t for w in set(words_of(text)) for t in terms(w)})
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.string()), pa.array([label] * len(own), pa.int32())], ["term", "toxic"]
+                [pa.array(own, pa.string()), *(pa.array([x] * len(own), pa.int32()) for x in (label, fold))], ["term", "toxic", "fold"]
             )
 
 
@@ -157,55 +162,68 @@ def fit(docs: DataFrame, labels: DataFrame, stages: Stages, id_col: str = "doc_i
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(FIT_ROWS)
     )
-    # Bounded by FIT_ROWS rows of two numbers.
+    # A fold that doesn't depend on the hash that chose the rows.
+    known = known.withColumn("fold", F.pmod(F.xxhash64(-F.col("doc_id")), F.lit(FOLDS)).cast("int"))
+    # Bounded by FIT_ROWS rows of three numbers.
     rows = stages.write(documents(docs, id_col, text_col).join(F.broadcast(known), "doc_id"), "labelled")
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = n.get(1, 0), n.get(0, 0)
-    counted = (
-        rows.select("text", "toxic").mapInArrow(_terms, "term string, toxic int")
-        .groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    by_fold = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = (sum(n for (_, y), n in by_fold.items() if y == label) for label in (1, 0))
+    rate = toxic / max(1, toxic + clean)
+    # Each part needs a toxic and a clean row elsewhere.
+    crossed = all(sum(n for (k, y), n in by_fold.items() if k != fold and y == label) >= 2 for fold in range(FOLDS) for label in (0, 1))
+    if not crossed:
+        return Model(Lexicon({}, toxic, clean), None, None, rate)
+    counted = rows.select("text", "toxic", "fold").mapInArrow(_terms, "term string, toxic int, fold int")
+    parts = [F.sum(F.when(F.col("fold") == k, x).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c, x in (("a", F.col("toxic")), ("b", 1 - F.col("toxic")))]
+    counted = stages.write(counted.groupBy("term").agg(*parts).where(sum(F.col(f"a{k}") for k in range(FOLDS)) >= LEAST_SEEN), "terms")
+    lexicons = [_lexicon(counted, by_fold, [j for j in range(FOLDS) if j != k]) for k in range(FOLDS + 1)]
+    values = stages.write(
+        _features(rows.withColumn("sha", F.lit(None).cast("binary")), lexicons).select(
+            "doc_id", "fold", array_to_vector("values").alias("features"), F.col("toxic").cast("double").alias("label")
+        ), "fit",
     )
+    booster = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, minInstancesPerNode=2, seed=1)
+    scored = None
+    for k in range(FOLDS):
+        own = booster.fit(values.where(F.col("fold") != k)).transform(values.where(F.col("fold") == k))
+        own = own.select(vector_to_array("probability")[1].alias("raw"), "label")
+        scored = own if scored is None else scored.unionByName(own)
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(stages.write(scored, "crossed"))
+    return Model(lexicons[-1], booster.fit(values), calibration, rate)
+
+
+def _lexicon(counted: DataFrame, by_fold: dict[tuple[int, int], int], folds: list[int]) -> Lexicon:
+    """The strongest terms of some of the folds."""
+    toxic, clean = (sum(by_fold.get((k, y), 0) for k in folds) for y in (1, 0))
+    a, b = (sum(F.col(f"{c}{k}") for k in folds) for c in "ab")
     weight = F.log((F.col("a") + 0.5) / (toxic + 1) * (clean + 1) / (F.col("b") + 0.5))
     chosen = (
-        counted.where(F.col("a") >= 2).withColumn("w", weight).where("w > 1.5")
+        counted.select("term", a.alias("a"), b.alias("b")).where(F.col("a") >= LEAST_SEEN).withColumn("w", weight).where("w > 1.5")
         .orderBy((F.col("a") * F.col("w")).desc(), "term").limit(LEXICON_TERMS).collect()
     )
-    lexicon = Lexicon({r["term"]: (r["a"], r["b"]) for r in chosen}, toxic, clean)
-    rate = toxic / max(1, toxic + clean)
-    if toxic < 3 or clean < 3:
-        return Model(lexicon, None, None, rate)
-    # xxhash64 of the negated id: a fold that doesn't depend on the hash that chose the rows.
-    values = _features(rows, lexicon).select(
-        "doc_id", array_to_vector("values").alias("features"), F.col("toxic").cast("double").alias("label"),
-        (F.pmod(F.xxhash64(-F.col("doc_id")), F.lit(3)) == 0).alias("calibrates"),
-    )
-    values = stages.write(values, "fit")
-    grown, rest = values.where("not calibrates"), values.where("calibrates")
-    if grown.select("label").distinct().count() < 2 or rest.select("label").distinct().count() < 2:
-        grown = rest = values
-    trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, minInstancesPerNode=2, seed=1).fit(grown)
-    scored = trees.transform(rest).select(vector_to_array("probability")[1].alias("raw"), "label")
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(scored)
-    return Model(lexicon, trees, calibration, rate)
-
-
-def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; see ``toxicity``."""
+    return Lexicon({r["term"]: (r["a"], r["b"]) for r in chosen}, toxic, clean)
+
+
+def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row, and with ``hashed`` the text's SHA-256; see ``toxicity``."""
     rows = documents(docs, id_col, text_col)
+    rows = rows.withColumn("sha", F.unhex(F.sha2("text", 256)) if hashed else F.lit(None).cast("binary"))
     if model.trees is None:
-        scored = rows.select("doc_id", F.lit(model.rate).alias("score"))
+        scored = rows.select("doc_id", "sha", F.lit(model.rate).alias("score"))
     else:
-        values = _features(rows.withColumn("toxic", F.lit(None).cast("int")), model.lexicon)
-        raw = model.trees.transform(values.select("doc_id", array_to_vector("values").alias("features")))
-        raw = raw.select("doc_id", vector_to_array("probability")[1].alias("raw"))
+        unknown = F.lit(None).cast("int")
+        values = _features(rows.withColumns({"toxic": unknown, "fold": unknown}), [model.lexicon])
+        raw = model.trees.transform(values.select("doc_id", "sha", array_to_vector("values").alias("features")))
+        raw = raw.select("doc_id", "sha", vector_to_array("probability")[1].alias("raw"))
         scored = model.calibration.transform(raw).select(
-            "doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score")
+            "doc_id", "sha", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score")
         )
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        *(["sha"] if hashed else []),
     )
 
 
@@ -214,15 +232,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null texts are empty; empty texts have a score too. Rows without an id are scored and not held
     out. Labels other than 0 and 1 are ignored; of a document's several labels the largest counts.
-    Where fewer than three documents of a class are labelled, each score is the share of toxic
-    labels. An empty table gives no rows.
+    Where the folds have too few documents of a class to learn from the others, each score is the share
+    of toxic labels. An empty table gives no rows.
     """
     return scores(docs, fit(docs, labels, Stages(docs.sparkSession, "toxicity"), id_col, text_col), id_col, text_col)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a score below the threshold, with all their columns."""
+    """The rows of ``docs`` with a score below the threshold, with all their columns.
+
+    A row goes by its own text: equal texts have equal scores, so it is found by id and SHA-256 of the
+    text. Toxic rows without an id go too, and of rows that share an id the clean ones stay.
+    """
     stages = Stages(docs.sparkSession, "toxicity")
-    found = toxicity(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("__gone"))
-    gone = stages.write(found.where("__gone is not null").distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    model = fit(docs, labels, stages, id_col, text_col)
+    gone = scores(docs, model, id_col, text_col, hashed=True).where("predicted = 1")
+    gone = stages.write(gone.select(F.col("doc_id").alias("__gone"), F.col("sha").alias("__sha")).distinct(), "gone")
+    sha = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__gone")) & (sha == F.col("__sha"))
+    return docs.join(gone, same, "left_anti")

@@ -206,3 +206,13 @@ def test_toxicity_edges(spark, edge, empty):
     assert toxicity.toxicity(edge, labels.limit(0)).count() == 14
     assert toxicity.toxicity(empty, labels).count() == 0
     assert toxicity.without_toxic(edge, labels).columns == edge.columns
+
+
+def test_toxic_rows_go_by_their_own_text(spark, monkeypatch):
+    """A toxic row without an id goes, and a clean row that shares an id with a toxic one stays."""
+    docs = spark.createDataFrame([(1, "bad"), (1, "good"), (None, "bad"), (None, None), (2, "good"), (2, "bad")], "doc_id long, text string")
+    scored = docs.selectExpr("doc_id", "unhex(sha2(coalesce(text, ''), 256)) AS sha", "int(coalesce(text, '') = 'bad') AS predicted")
+    monkeypatch.setattr(toxicity, "fit", lambda *_: None)
+    monkeypatch.setattr(toxicity, "scores", lambda *_, **__: scored)
+    left = toxicity.without_toxic(docs, docs).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (1, "good"), (2, "good")]
