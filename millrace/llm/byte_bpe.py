@@ -9,9 +9,12 @@ pre-tokens that are not entries: bytes as a doubly linked list, candidate merges
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
+import itertools
 import sys
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, shipped
 
-# Encoded pre-tokens a task remembers; it forgets all of them when it has reached this number.
-REMEMBERED = 100_000
+# Encoded pre-tokens in each of the two generations that a task remembers.
+REMEMBERED = 200_000
+# Characters of texts that are cut before new pre-tokens are looked up together, and pre-tokens of a longer
+# text that are held at a time.
+SLICE, PRE_TOKENS = 1 << 18, 1 << 16
 
 
 def _mix(value: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -96,56 +102,87 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.cut = regex.compile(vocabulary.pattern).findall
+        self.pattern = regex.compile(vocabulary.pattern)
+        self.cut = self.pattern.findall
         self.ranks = dict(zip(vocabulary.entries, vocabulary.ids))
         self.entry_of = dict(zip(vocabulary.ids, vocabulary.entries))
         self.packed: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Least rank first, leftmost of equal ones."""
-        ranks, m = self.ranks, len(piece)
-        after, before = list(range(1, m + 1)), list(range(-1, m - 1))
-        ends = list(range(1, m + 1))
-        alive = bytearray(b"\1") * m
-        heap = [(r, i, i + 2) for i in range(m - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        """Least rank first, leftmost of equal ones. A candidate is one number: rank, start and end."""
+        get, m = self.ranks.get, len(piece)
+        bits = m.bit_length()
+        mask, wide = (1 << bits) - 1, 2 * bits
+        after, before, ends = list(range(1, m + 1)), list(range(-1, m - 1)), list(range(1, m + 1))
+        heap = [r << wide | i << bits | i + 2 for i in range(m - 1) if (r := get(piece[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            least = heappop(heap)
+            i, end = least >> bits & mask, least & mask
             j = after[i]
-            if not alive[i] or j >= m or ends[j] != end:
+            if j >= m or ends[j] != end or not ends[i]:
                 continue
-            alive[j], ends[i], after[i] = 0, end, after[j]
-            if after[i] < m:
-                before[after[i]] = i
-                last = ends[after[i]]
-                if (r := ranks.get(piece[i:last])) is not None:
-                    heapq.heappush(heap, (r, i, last))
-            if (left := before[i]) >= 0 and (r := ranks.get(piece[left:end])) is not None:
-                heapq.heappush(heap, (r, left, end))
-        return [ranks[piece[i : ends[i]]] for i in range(m) if alive[i]]
+            ends[j], ends[i] = 0, end  # a part without an end is gone
+            k = after[i] = after[j]
+            if k < m:
+                before[k] = i
+                last = ends[k]
+                if (r := get(piece[i:last])) is not None:
+                    heappush(heap, r << wide | i << bits | last)
+            left = before[i]
+            if left >= 0 and (r := get(piece[left:end])) is not None:
+                heappush(heap, r << wide | left << bits | end)
+        ranks = self.ranks
+        return [ranks[piece[i:end]] for i, end in enumerate(ends) if end]
 
     def learn(self, pre_tokens: Iterable[str]) -> None:
-        """Ids of new pre-tokens, as little-endian 32-bit integers."""
-        new = [t for t in dict.fromkeys(pre_tokens) if t not in self.packed]
+        """Ids of pre-tokens that are not at hand, as little-endian 32-bit integers.
+
+        When the younger generation is full it becomes the older one; what is used again moves back.
+        """
+        packed = self.packed
+        new = {t for t in pre_tokens if t not in packed}
+        for token in new & self.older.keys():
+            packed[token] = self.older[token]
+            new.discard(token)
         if not new:
             return
-        if len(self.packed) > REMEMBERED:
-            self.packed.clear()
-            new = list(dict.fromkeys(pre_tokens))
-        pieces = [t.encode("utf-8", "surrogatepass") for t in new]
+        tokens = list(new)
+        pieces = [t.encode("utf-8", "surrogatepass") for t in tokens]
         entries, ids = self.vocabulary.entries, self.vocabulary.ids
-        for token, piece, k in zip(new, pieces, self.vocabulary.table.candidates(pieces).tolist()):
+        for token, piece, k in zip(tokens, pieces, self.vocabulary.table.candidates(pieces).tolist()):
             found = [ids[k]] if k >= 0 and entries[k] == piece else self.merge(piece)
-            self.packed[token] = np.array(found, "<u4").tobytes()
+            packed[token] = array("I", found).tobytes()
+
+    def join(self, lists: list[list[str]]) -> list[bytes]:
+        """Packed ids of each list of pre-tokens."""
+        if len(self.packed) > REMEMBERED:
+            self.packed, self.older = {}, self.packed
+        self.learn(itertools.chain.from_iterable(lists))
+        return [b"".join(map(self.packed.__getitem__, own)) for own in lists]
 
     def encode(self, text: str) -> bytes:
-        """Packed ids of one text."""
-        pre_tokens = self.cut(text)
-        try:
-            return b"".join(map(self.packed.__getitem__, pre_tokens))
-        except KeyError:
-            self.learn(pre_tokens)
-            return b"".join(map(self.packed.__getitem__, pre_tokens))
+        """Packed ids of one text, whose pre-tokens are never held all at once if it is long."""
+        if len(text) <= SLICE:
+            return self.join([self.cut(text)])[0]
+        found = (m[0] for m in self.pattern.finditer(text))
+        return b"".join(self.join([part])[0] for part in iter(lambda: list(itertools.islice(found, PRE_TOKENS)), []))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of each text; texts of about SLICE characters share their look-ups."""
+        held: list[str] = []
+        length = 0
+        for text in texts:
+            if length + len(text) > SLICE:
+                yield from self.join([self.cut(t) for t in held])
+                held, length = [], 0
+                if len(text) > SLICE:
+                    yield self.encode(text)
+                    continue
+            held.append(text)
+            length += len(text)
+        yield from self.join([self.cut(t) for t in held])
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.entry_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -171,7 +208,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     def scan(batches):
         codec = shared().open()
         for batch in batches:
-            ids = [codec.encode(x) for x in batch.column("text").to_pylist()]
+            ids = list(codec.encode_all(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return documents(docs, id_col, text_col).mapInArrow(scan, "doc_id long, ids binary")
@@ -201,3 +238,25 @@ def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digests(encode(docs))`` in one pass, with one codec a task: each text is encoded, its ids are decoded,
+    and only their digests leave the task. Rows as in ``encode``."""
+    shared = shipped(docs.sparkSession, vocabulary)
+
+    def scan(batches):
+        codec = shared().open()
+        for batch in batches:
+            counts, ids, texts = [], [], []
+            for packed in codec.encode_all(batch.column("text").to_pylist()):
+                counts.append(len(packed) // 4)
+                ids.append(hashlib.sha256(packed).hexdigest())
+                texts.append(hashlib.sha256(codec.decode(packed)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return documents(docs, id_col, text_col).mapInArrow(scan, schema)

@@ -38,8 +38,7 @@ def vocabulary(spark: SparkSession) -> byte_bpe.Vocabulary:
 
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = vocabulary(spark)
-    return byte_bpe.digests(byte_bpe.encode(read(spark, sf_dir, "documents"), own), own)
+    return byte_bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary(spark))
 
 
 @query
