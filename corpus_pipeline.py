@@ -25,8 +25,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own = queries.vocabulary(spark)
-    return byte_bpe.digests(byte_bpe.encode(docs, own), own)
+    return byte_bpe.round_trip(docs, queries.vocabulary(spark))
 
 
 STAGES = [
@@ -45,6 +44,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = read(spark, sf_dir, "documents")
     stages = Stages(spark, "pipeline")
+    before = None
     for name, stage in STAGES:
-        docs = stages.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        step = name.replace(" ", "-")
+        docs = stages.write(stage(spark, docs, sf_dir), step)
+        if before:  # its rows are in the table just written
+            stages.drop(before)
+        before = step
     return docs
