@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import links
 from millrace.llm.common import Stages
-from millrace.llm.shingles import Forest, char_shingles, similar
+from millrace.llm.shingles import Forest, char_shingles, char_windows
 
 WIDTH = 8
 HUNDREDTHS = 80
@@ -23,44 +23,57 @@ BANDS = Forest(trees=14, shallow=3, deep=6, seed=2)
 LEAST_ESTIMATE = 0.62
 # Lines of fewer shingles have no unequal neighbour at 0.8.
 LEAST_SHINGLES = 4
+# Code points of the lines whose windows are hashed at once; their values stay in a core's cache.
+CHUNK_POINTS = 16_384
+
+
+def _chunks(lines: list[str]):
+    """Slices of successive lines of about ``CHUNK_POINTS`` code points, or of one longer line."""
+    start, points = 0, 0
+    for k, line in enumerate(lines):
+        if points and points + len(line) > CHUNK_POINTS:
+            yield slice(start, k)
+            start, points = k, 0
+        points += len(line)
+    if start < len(lines):
+        yield slice(start, len(lines))
 
 
 def _keys(batches):
     for batch in batches:
-        nodes, keys, seen = [], [], set()
-        for node, line in zip(batch.column("node").to_pylist(), batch.column("line").to_pylist()):
-            if node in seen:
-                continue
-            seen.add(node)
-            shingles = char_shingles(line, WIDTH)
-            if len(shingles) >= LEAST_SHINGLES:
-                nodes.append(node)
-                keys.append(BANDS.shallow_keys(shingles))
-        if nodes:
+        # Fewer windows have fewer distinct shingles than LEAST_SHINGLES.
+        found = {
+            node: line
+            for node, line in zip(batch.column("node").to_pylist(), batch.column("line").to_pylist())
+            if len(line) >= WIDTH + LEAST_SHINGLES - 1
+        }
+        nodes, lines = np.fromiter(found, np.int64, len(found)), list(found.values())
+        for part in _chunks(lines):
+            minima = BANDS.minima_of(*char_windows(lines[part], WIDTH), slice(0, BANDS.shallow))
+            keys = BANDS.keys_of(minima)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, np.int64), BANDS.trees))],
-                ["key", "node"],
+                [pa.array(keys.T.ravel()), pa.array(np.repeat(nodes[part], BANDS.trees))], ["key", "node"]
             )
 
 
 def _sketches(batches):
     for batch in batches:
-        n, deep, sketch = [], [], []
-        for line in batch.column("text").to_pylist():
-            shingles = char_shingles(line, WIDTH)
-            keys, bytes_ = BANDS.sketch(shingles)
-            n.append(len(shingles))
-            deep.append(keys)
-            sketch.append(bytes_)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()),
-             pa.array(deep, pa.list_(pa.int64())), batch.column("text")],
-            ["node", "n", "sketch", "deep", "text"],
-        )
+        lines = batch.column("text").to_pylist()
+        for part in _chunks(lines):
+            hashes, starts = char_windows(lines[part], WIDTH)
+            n = [len(np.unique(x)) for x in np.split(hashes, starts[1:])]
+            minima = BANDS.minima_of(hashes, starts)
+            sketch, deep = BANDS.bytes_of(minima), BANDS.keys_of(minima).T
+            cut = batch.slice(part.start, part.stop - part.start)
+            yield pa.RecordBatch.from_arrays(
+                [cut.column("node"), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()),
+                 pa.array(list(deep), pa.list_(pa.int64())), cut.column("text")],
+                ["node", "n", "sketch", "deep", "text"],
+            )
 
 
-def _similar(x: str, y: str) -> bool:
-    return similar(char_shingles(x, WIDTH), char_shingles(y, WIDTH), HUNDREDTHS)
+def _shingles(line: str) -> np.ndarray:
+    return char_shingles(line, WIDTH)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,7 +109,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         ),
         "places",
     )
-    texts = lines.where("line is not null").select("node", F.col("line"))
+    texts = lines.where("line is not null").select("line").distinct().select(F.xxhash64("line").alias("node"), "line")
+    texts = stages.write(texts, "texts")
     forest = stages.write(links.shared_keys(texts.mapInArrow(_keys, "key long, node long")), "forest")
     items = texts.join(forest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.min("line").alias("text"), F.max("line").alias("last")
@@ -107,8 +121,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         ),
         "items",
     )
-    found = links.components(forest, items, _similar, stages, HUNDREDTHS / 100, LEAST_ESTIMATE)
-    stages.drop("forest", "items")
+    found = links.components(forest, items, _shingles, HUNDREDTHS, stages, LEAST_ESTIMATE)
+    stages.drop("texts", "forest", "items")
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "line_no", "row")
     firsts = places.where("node is not null").groupBy("node", "other").agg(F.min(place).alias("place"))
     alike = firsts.groupBy("node").agg(F.count("*").alias("texts"))

@@ -1,8 +1,8 @@
 """Near-duplicate links from sketches: shared keys, candidate regions, exact checks, components.
 
 Every step is a sort or hash exchange of narrow rows. A region (the items that share one key)
-is read as a sorted stream; only its items' sketches are compared, and in each round at most one
-candidate an item leaves it. The rounds see crowded regions in parts. All further candidates follow
+is read as a sorted stream; only its items' sketches are compared, and in each round at most a
+spanning forest of its candidates leaves it. The rounds see crowded regions in parts. All further candidates follow
 when components are known, from whole regions, and then only across components, so a group of
 copies never becomes the square of its size.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Stages, runs
-from millrace.llm.shingles import TREE_MASK
+from millrace.llm.shingles import TREE_MASK, similar
 
 # For the rounds, a region with more items than this is cut by its deeper key, and then into random
 # blocks that differ from key to key.
@@ -25,21 +25,61 @@ REGION_ITEMS = 256
 # For the last check nothing is cut: a larger region is dealt to tiles of about so many items, and
 # every item outside the region's largest component visits all of them.
 TILE_ITEMS = 1024
+# Edges that a task contracts at a time.
+CHUNK_EDGES = 500_000
+# The rounds end when fewer than one in so many of a round's candidates are links; the last check
+# does the rest.
+LINKS_OF = 10
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (v, u) of each chunk as stars around its components' smallest nodes."""
+
+    def stars(chunk: pa.Table) -> pa.RecordBatch:
+        v, u = chunk.column("v").to_numpy(), chunk.column("u").to_numpy()
+        nodes, ends = np.unique(np.concatenate([v, u]), return_inverse=True)
+        x, y = ends[: len(v)], ends[len(v) :]
+        root = np.arange(len(nodes))
+        while True:
+            least = np.minimum(root[x], root[y])
+            lower = root.copy()
+            for end in (x, y):
+                np.minimum.at(lower, end, least)
+                np.minimum.at(lower, root[end], least)
+            lower = lower[lower]
+            if (lower == root).all():
+                break
+            root = lower
+        out = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[root[out]])], ["v", "u"])
+
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= CHUNK_EDGES:
+            yield stars(pa.Table.from_batches(held))
+            held, count = [], 0
+    if count:
+        yield stars(pa.Table.from_batches(held))
 
 
 def connected(edges: DataFrame, stages: Stages) -> DataFrame:
     """Distributed union-find: ``(node, component)`` for the nodes of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps until the edges no longer change; each step is
-    a written table. ``component`` is the smallest node that is reachable.
+    Tasks contract their chunks of edges to stars; large-star and small-star steps alternate with
+    that until the edges no longer change. Each step is a written table. ``component`` is the
+    smallest node that is reachable.
     """
-    edges = stages.write(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-        .distinct(),
-        "edges",
-    )
-    seen = None
+
+    def contracted(pairs: DataFrame) -> DataFrame:
+        return stages.write(pairs.distinct().mapInArrow(_contracted, "v long, u long").distinct(), "edges")
+
+    def state_of(pairs: DataFrame):
+        return pairs.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+
+    edges = contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")))
+    seen = state_of(edges)
     while True:
         both = edges.union(edges.select("u", "v"))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -51,15 +91,12 @@ def connected(edges: DataFrame, stages: Stages) -> DataFrame:
                                       F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
             .select("e.*")
             .where("v <> u")
-            .distinct()
         )
         before = list(stages.paths.pop("edges"))
-        edges = stages.write(small, "edges")
+        edges = contracted(small)
         stages.paths["used"] = before
         stages.drop("used")
-        state = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))
-        ).first()
+        state = state_of(edges)
         if state == seen:
             break
         seen = state
@@ -152,26 +189,58 @@ def _emit(node, i, j, estimate) -> pa.RecordBatch:
     )
 
 
+def _spanning(label, i, j, estimate, node):
+    """Indices of a spanning forest of the pairs over their labels, closest first."""
+    x, y = node[i], node[j]
+    order = np.lexsort((np.maximum(x, y), np.minimum(x, y), -estimate))
+    i, j = label[i[order]], label[j[order]]
+    chosen = np.zeros(len(i), bool)
+    root = np.arange(int(label.max()) + 1)
+    left = np.arange(len(i))
+    while len(left):
+        p, q = root[i[left]], root[j[left]]
+        left, p, q = left[p != q], p[p != q], q[p != q]
+        if not len(left):
+            break
+        # Ranks are unique, so closest pairs form no cycle but a pair that both ends chose.
+        closest = np.full(len(root), len(i))
+        np.minimum.at(closest, p, left)
+        np.minimum.at(closest, q, left)
+        ends = np.flatnonzero(closest < len(i))
+        edge = closest[ends]
+        chosen[edge] = True
+        above = np.arange(len(root))
+        above[ends] = root[i[edge]] + root[j[edge]] - ends
+        both = (above[above] == np.arange(len(root))) & (np.arange(len(root)) < above)
+        above[both] = np.flatnonzero(both)
+        while (above[above] != above).any():
+            above = above[above]
+        root = above[root]
+    return order[chosen]
+
+
 def closest_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
-    """For each item its best candidate of another component within each of its regions."""
+    """For each region a spanning forest of the closest candidates that join its components: fewer
+    pairs than the region has components, and if all are links, none of its candidates is open."""
 
     def scan(batches):
         for table in runs(batches, "region"):
+            found = list(_pairs(table, "region", ratio, least))
+            if not found:
+                continue
+            i, j, estimate = (np.concatenate(x) for x in zip(*found))
+            region, component = table.column("region").to_numpy(), table.column("component").to_numpy()
+            order = np.lexsort((component, region))
+            fresh = np.ones(len(order), np.int64)
+            fresh[1:] = (np.diff(region[order]) != 0) | (np.diff(component[order]) != 0)
+            label = np.empty(len(order), np.int64)
+            label[order] = fresh.cumsum() - 1
             node = table.column("node").to_numpy()
-            best, partner = np.zeros(len(node)), np.full(len(node), -1)
-            for i, j, estimate in _pairs(table, "region", ratio, least):
-                for x, y in ((i, j), (j, i)):
-                    better = estimate > best[x]
-                    best[x[better]], partner[x[better]] = estimate[better], y[better]
-            i = np.flatnonzero(partner >= 0)
-            if len(i):
-                yield _emit(node, i, partner[i], best[i])
+            kept = _spanning(label, i, j, estimate, node)
+            yield _emit(node, i[kept], j[kept], estimate[kept])
 
     found = rows.repartition("region").sortWithinPartitions("region", "n", "node").mapInArrow(scan, PAIRS)
-    near = found.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    ends = near.union(near.select("b", "a", "estimate"))
-    best = ends.groupBy("a").agg(F.max(F.struct("estimate", F.expr("-b").alias("o"))).alias("x"))
-    return best.select(F.least("a", -F.col("x.o")).alias("a"), F.greatest("a", -F.col("x.o")).alias("b")).distinct()
+    return found.select("a", "b").distinct()
 
 
 def tiles(rows: DataFrame) -> DataFrame:
@@ -260,14 +329,19 @@ def crossing_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[str, str], bool]) -> DataFrame:
-    """The pairs (a, b) whose whole texts pass ``similar``."""
+def verified(pairs: DataFrame, items: DataFrame, shingles: Callable[[str], np.ndarray], hundredths: int) -> DataFrame:
+    """The pairs (a, b) whose whole texts have sets of ``shingles`` that are similar enough."""
 
     def scan(batches):
+        last, y = None, None
         for batch in batches:
-            x, y = batch.column("text_a"), batch.column("text_b")
-            ok = pa.array([similar(x[k].as_py(), y[k].as_py()) for k in range(batch.num_rows)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(ok)
+            ok = []
+            text_a, text_b = batch.column("text_a"), batch.column("text_b")
+            for k, b in enumerate(batch.column("b").to_pylist()):
+                if b != last:
+                    last, y = b, shingles(text_b[k].as_py())
+                ok.append(similar(shingles(text_a[k].as_py()), y, hundredths))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return (
         pairs.select("a", "b")
@@ -281,35 +355,41 @@ def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[str, str], b
 def components(
     forest: DataFrame,
     items: DataFrame,
-    similar: Callable[[str, str], bool],
+    shingles: Callable[[str], np.ndarray],
+    hundredths: int,
     stages: Stages,
-    ratio: float,
     least: float,
+    given: DataFrame | None = None,
 ) -> DataFrame:
     """(node, component) of the linked nodes.
 
-    ``forest``: (key, node) with shared keys. ``items``: (node, n, sketch, deep, text).
-    In each round every item's best candidate in another component is checked on the full sets,
-    and the links are united. When a round finds no link, all remaining candidates between
+    ``forest``: (key, node) with shared keys. ``items``: (node, n, sketch, deep, text). ``given``:
+    edges (a, b) that hold without a check.
+    In each round the closest candidates that span each region are checked on the full sets,
+    and the links are united. When a round finds few, all remaining candidates between
     components are checked once, in the uncut regions. Pairs within a component need no check: they
     change nothing.
     """
+    ratio = hundredths / 100
     rows = stages.write(regions(forest, items), "regions")
     start = rows.withColumn("component", F.col("node"))
-    known = tried = None
+    known = None if given is None else stages.write(connected(given, stages), "known")
+    tried = None
     while True:
         labelled = start if known is None else stages.write(_crossing(rows, known), "labelled")
         chosen = closest_pairs(labelled, ratio, least)
         chosen = stages.write(chosen if tried is None else chosen.join(tried, ["a", "b"], "left_anti"), "tried")
-        links = stages.write(verified(chosen, items, similar), "links")
+        links = stages.write(verified(chosen, items, shingles, hundredths), "links")
         tried = chosen if tried is None else tried.union(chosen)
-        if known is not None and links.isEmpty():
-            break
         known = stages.write(connected(_between(links, known), stages), "known")
+        if links.count() * LINKS_OF <= chosen.count():
+            break
     whole = forest.withColumnRenamed("key", "region").join(items.select("node", "n", "sketch"), "node")
     whole = stages.write(_crossing(whole, known), "whole")
     crossing = crossing_pairs(whole, ratio, least).select("a", "b").distinct()
-    more = verified(crossing.join(tried, ["a", "b"], "left_anti"), items, similar)
+    more = stages.write(
+        verified(crossing.join(tried, ["a", "b"], "left_anti"), items, shingles, hundredths), "links"
+    )
     found = stages.write(connected(_between(more, known), stages), "components")
     stages.drop("regions", "labelled", "whole", "tried", "links", "known", "edges")
     return found

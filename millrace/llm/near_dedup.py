@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import links
 from millrace.llm.common import Stages, documents
-from millrace.llm.shingles import Forest, similar, word_shingles
+from millrace.llm.shingles import Forest, word_shingles
 
 WIDTH = 5
 HUNDREDTHS = 75
@@ -47,61 +47,69 @@ def _set_hash(shingles: np.ndarray) -> bytes:
 
 
 def _sketches(batches):
+    """Sketches of the rows whose set is the node's; an id may have rows of other sets."""
     for batch in batches:
-        n, deep, sketch = [], [], []
-        for text in batch.column("text").to_pylist():
+        n, deep, sketch, own = [], [], [], []
+        for text, set_hash in zip(batch.column("text").to_pylist(), batch.column("set_hash").to_pylist()):
             shingles = word_shingles(text, WIDTH)
-            keys, bytes_ = FOREST.sketch(shingles)
-            n.append(len(shingles))
-            deep.append(keys)
-            sketch.append(bytes_)
+            own.append(_set_hash(shingles) == set_hash)
+            if own[-1]:
+                keys, bytes_ = FOREST.sketch(shingles)
+                n.append(len(shingles))
+                deep.append(keys)
+                sketch.append(bytes_)
+        kept = batch.filter(pa.array(own, pa.bool_()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()),
-             pa.array(deep, pa.list_(pa.int64())), batch.column("text")],
+            [kept.column("node"), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()),
+             pa.array(deep, pa.list_(pa.int64())), kept.column("text")],
             ["node", "n", "sketch", "deep", "text"],
         )
 
 
-def _similar(x: str, y: str) -> bool:
-    return similar(word_shingles(x, WIDTH), word_shingles(y, WIDTH), HUNDREDTHS)
+def _shingles(text: str) -> np.ndarray:
+    return word_shingles(text, WIDTH)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are split at ASCII white space with A-Z in lower case. A text of fewer than five words
-    is one shingle; an empty or null text has none and links with nothing. Documents with equal
-    sets link without being paired. Rows that share an id are one node. A row without an id links
-    with nothing: its component_id is null and it is kept. An empty table gives no rows.
+    is one shingle; an empty or null text has none and links with nothing, not even with rows of
+    its id. Documents with equal sets link without being paired. Rows that share an id are linked
+    with each other. A row without an id links with nothing: its component_id is null and it is
+    kept. An empty table gives no rows.
     """
     stages = Stages(docs.sparkSession, "near-dedup")
     rows = documents(docs, id_col, text_col)
     signed = stages.write(
         rows.mapInArrow(_signatures, "doc_id long, n long, set_hash binary, keys array<long>"), "signatures"
     )
-    sets = signed.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node"))
-    member = signed.select("doc_id", "n", "set_hash").join(sets, "set_hash", "left").select(
-        "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")
-    )
-    member = stages.write(member, "members")
-    own = signed.join(member.where("doc_id = node").select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi")
-    forest = own.where("keys is not null").select(
-        F.explode("keys").alias("key"), F.col("doc_id").alias("node")
-    )
-    forest = stages.write(links.shared_keys(forest), "forest")
-    items = rows.join(
-        forest.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    ).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
-    items = stages.write(
-        items.select("node", "text").mapInArrow(
-            _sketches, "node long, n long, sketch binary, deep array<long>, text string"
-        ),
-        "items",
+    # A node is a set, numbered in a written table; ids unite the sets of their rows.
+    sets = signed.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("least"))
+    sets = stages.write(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    filled = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash"))
+    member = signed.select("doc_id", "n", filled.alias("set_hash")).join(sets, "set_hash", "left")
+    member = stages.write(member.select("doc_id", "n", "node", "least"), "members")
+    several = member.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("x"))
+    several = several.where("b <> x").select("doc_id", "b")
+    given = stages.write(
+        member.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b").distinct(), "given"
     )
-    found = links.components(forest, items, _similar, stages, HUNDREDTHS / 100, LEAST_ESTIMATE)
-    stages.drop("signatures", "forest", "items")
-    component = F.coalesce("component", "node")
-    return member.join(found, "node", "left").select(
+    own = signed.where("keys is not null").withColumnRenamed("doc_id", "least").join(sets, ["set_hash", "least"])
+    forest = stages.write(links.shared_keys(own.select(F.explode("keys").alias("key"), "node")), "forest")
+    shared = sets.join(forest.select("node").distinct(), "node", "left_semi").withColumnRenamed("least", "doc_id")
+    items = rows.join(shared, "doc_id").select("node", "set_hash", "text")
+    items = items.mapInArrow(_sketches, "node long, n long, sketch binary, deep array<long>, text string")
+    items = stages.write(items.dropDuplicates(["node"]), "items")
+    given = None if given.isEmpty() else given
+    found = links.components(forest, items, _shingles, HUNDREDTHS, stages, LEAST_ESTIMATE, given)
+    stages.drop("signatures", "forest", "items", "given")
+    named = found.join(sets.select("node", "least"), "node")
+    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stages.write(named.join(firsts, "component").select("node", "component_id"), "named")
+    stages.drop("sets", "components")
+    component = F.coalesce("component_id", "least", "doc_id")
+    return member.join(named, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),

@@ -54,6 +54,22 @@ def char_shingles(text: str, width: int = 8) -> np.ndarray:
     return _windows(points * _MIX, width)
 
 
+def char_windows(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of lines that have at least one, one line after the other, and each
+    line's first place among them."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * _MIX
+    count = len(points) - width + 1
+    total = np.full(count, width, np.uint64)
+    for k in range(width):
+        total = total * _BASE + points[k : count + k]
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    ends = lengths.cumsum()
+    inside = np.ones(count, bool)
+    for k in range(1, width):
+        inside[ends[:-1] - k] = False
+    return mixed(total[inside]), np.concatenate([[0], (lengths - width + 1).cumsum()[:-1]])
+
+
 def similar(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
     """100 * intersection >= hundredths * union, and not both empty."""
     if not len(a) or not len(b):
@@ -112,3 +128,29 @@ class Forest:
         minima = self.minima(shingles)
         every = np.concatenate([minima.ravel(), _least(self.more_a, self.more_b, shingles)])
         return self.keys(minima, self.deep), (mixed(every) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+    def minima_of(self, hashes: np.ndarray, starts: np.ndarray, only: slice = slice(None)) -> np.ndarray:
+        """The least values of many sets, as (trees, depth, sets); 32 bits of each hash are permuted."""
+        a = self.a.reshape(self.trees, self.deep)[:, only].astype(np.uint32)
+        b = self.b.reshape(self.trees, self.deep)[:, only].astype(np.uint32)
+        values = (hashes >> np.uint64(32)).astype(np.uint32)
+        least = np.empty((*a.shape, len(starts)), np.uint32)
+        moved = np.empty_like(values)
+        for place in np.ndindex(*a.shape):
+            np.multiply(values, a[place], out=moved)
+            np.add(moved, b[place], out=moved)
+            np.minimum.reduceat(moved, starts, out=least[place])
+        return least
+
+    def keys_of(self, minima: np.ndarray) -> np.ndarray:
+        """One key for each tree and set, of all given values: (trees, sets)."""
+        tree = np.arange(self.trees, dtype=np.uint64)[:, None]
+        key = (tree + np.uint64(1)) * _BASE
+        for k in range(minima.shape[1]):
+            key = mixed(key * _BASE + mixed(minima[:, k].astype(np.uint64) + np.uint64(1)))
+        return (key & ~np.uint64(TREE_MASK) | tree).view(np.int64)
+
+    def bytes_of(self, minima: np.ndarray) -> list[bytes]:
+        """One byte of each minimum of a set, for estimates."""
+        every = minima.reshape(-1, minima.shape[2]).astype(np.uint64) + np.uint64(1)
+        return [row.tobytes() for row in (mixed(every) >> np.uint64(56)).astype(np.uint8).T]

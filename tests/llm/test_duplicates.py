@@ -7,12 +7,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from millrace.llm import exact_dedup, line_dedup, links, near_dedup
 from millrace.llm.common import Stages
 from millrace.llm.links import connected
-from millrace.llm.shingles import char_shingles
+from millrace.llm.shingles import char_shingles, char_windows
 
 
 def word_set(text):
@@ -114,6 +115,49 @@ def test_near_families_equal_brute_force(families):
     assert all(r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_near_rows_that_share_an_id(spark):
+    """Rows of an id are linked with each other, and each of them with what is like it."""
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(1, a), (1, b), (2, a[1:]), (3, b[1:]), (4, a), (5, ["c"]), (5, []), (0, b[:-1]), (1, a)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.decisions(docs).collect())
+    assert got == [
+        (0, 55, 0, True), (1, 56, 0, False), (1, 56, 0, False), (1, 56, 0, False), (2, 55, 0, False),
+        (3, 55, 0, False), (4, 56, 0, False), (5, 0, 5, True), (5, 1, 5, True),
+    ]
+
+
+def test_spanning_pairs_are_a_forest():
+    """As many pairs as a greedy forest over the candidates has, and of the same estimates."""
+    rng = np.random.default_rng(3)
+    label, node = np.repeat(np.arange(40), 3), np.arange(120)
+    i, j = np.triu_indices(120, 1)
+    take = (label[i] != label[j]) & (rng.random(len(i)) < 0.05)
+    i, j = i[take], j[take]
+    estimate = rng.integers(5, 9, len(i)) / 10
+    kept = links._spanning(label, i, j, estimate, node)
+    root, want = list(range(40)), []
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k in np.lexsort((j, i, -estimate)):
+        x, y = top(label[i[k]]), top(label[j[k]])
+        if x != y:
+            root[x] = y
+            want.append(k)
+    assert sorted(kept) == sorted(want)
+
+
+def test_hashed_lines_of_a_batch_equal_single_ones():
+    lines = ["x" * 8, "abcdefghij", "öäüß long enough \U0001f600 for some windows", "abcdefgh"]
+    hashes, starts = char_windows(lines, 8)
+    for line, got in zip(lines, np.split(hashes, starts[1:])):
+        assert set(got.tolist()) == set(char_shingles(line, 8).tolist()) and len(got) == len(line) - 7
+
+
 def test_near_documents_equal_brute_force(documents):
     sets = {r.doc_id: word_set(r.text) for r in documents.collect()}
     want = united(sets, 75)
