@@ -381,8 +381,10 @@ def components(
         chosen = stages.write(chosen if tried is None else chosen.join(tried, ["a", "b"], "left_anti"), "tried")
         links = stages.write(verified(chosen, items, shingles, hundredths), "links")
         tried = chosen if tried is None else tried.union(chosen)
-        known = stages.write(connected(_between(links, known), stages), "known")
-        if links.count() * LINKS_OF <= chosen.count():
+        count = links.count()
+        if count or known is None:
+            known = stages.write(connected(_between(links, known), stages), "known")
+        if count * LINKS_OF <= chosen.count():
             break
     whole = forest.withColumnRenamed("key", "region").join(items.select("node", "n", "sketch"), "node")
     whole = stages.write(_crossing(whole, known), "whole")

@@ -85,6 +85,17 @@ def _least(a: np.ndarray, b: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def _least_of(a: np.ndarray, b: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each permutation and each of the sets that begin at ``starts``, the least value."""
+    a, b, values = a.astype(np.uint32), b.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    least, moved = np.empty((*a.shape, len(starts)), np.uint32), np.empty_like(values)
+    for place in np.ndindex(*a.shape):
+        np.multiply(values, a[place], out=moved)
+        np.add(moved, b[place], out=moved)
+        np.minimum.reduceat(moved, starts, out=least[place])
+    return least
+
+
 # The low bits of a key are the number of its tree.
 TREE_MASK = 31
 
@@ -131,16 +142,9 @@ class Forest:
 
     def minima_of(self, hashes: np.ndarray, starts: np.ndarray, only: slice = slice(None)) -> np.ndarray:
         """The least values of many sets, as (trees, depth, sets); 32 bits of each hash are permuted."""
-        a = self.a.reshape(self.trees, self.deep)[:, only].astype(np.uint32)
-        b = self.b.reshape(self.trees, self.deep)[:, only].astype(np.uint32)
-        values = (hashes >> np.uint64(32)).astype(np.uint32)
-        least = np.empty((*a.shape, len(starts)), np.uint32)
-        moved = np.empty_like(values)
-        for place in np.ndindex(*a.shape):
-            np.multiply(values, a[place], out=moved)
-            np.add(moved, b[place], out=moved)
-            np.minimum.reduceat(moved, starts, out=least[place])
-        return least
+        return _least_of(
+            self.a.reshape(self.trees, self.deep)[:, only], self.b.reshape(self.trees, self.deep)[:, only], hashes, starts
+        )
 
     def keys_of(self, minima: np.ndarray) -> np.ndarray:
         """One key for each tree and set, of all given values: (trees, sets)."""
@@ -150,7 +154,8 @@ class Forest:
             key = mixed(key * _BASE + mixed(minima[:, k].astype(np.uint64) + np.uint64(1)))
         return (key & ~np.uint64(TREE_MASK) | tree).view(np.int64)
 
-    def bytes_of(self, minima: np.ndarray) -> list[bytes]:
-        """One byte of each minimum of a set, for estimates."""
-        every = minima.reshape(-1, minima.shape[2]).astype(np.uint64) + np.uint64(1)
+    def bytes_of(self, minima: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """One byte of each minimum of a set, and of those that serve estimates only."""
+        more = _least_of(self.more_a[:, 0], self.more_b[:, 0], hashes, starts)
+        every = np.concatenate([minima.reshape(-1, len(starts)), more]).astype(np.uint64) + np.uint64(1)
         return [row.tobytes() for row in (mixed(every) >> np.uint64(56)).astype(np.uint8).T]
