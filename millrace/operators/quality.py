@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.cases import holds
+from millrace.session import materialize
 
 
 class QualityError(ValueError):
@@ -18,7 +19,7 @@ class QualityError(ValueError):
 
 @dataclass(frozen=True)
 class Check:
-    """``kind`` is ``rows`` (violations counted per row), ``count`` or ``unique``."""
+    """``kind`` is ``rows`` (violations counted per row), ``count``, ``unique`` or ``unique_wide``."""
 
     name: str
     target: str
@@ -53,9 +54,14 @@ def allowed_values(column: str, values: Sequence[Any]) -> list[Check]:
     return [Check("allowed_values", column, "rows", ok, (column,))]
 
 
-def unique(columns: Sequence[str]) -> list[Check]:
-    """Violations are the rows beyond the first of each key; NULL keys equal each other."""
-    return [Check("unique_check", ",".join(columns), "unique", columns=tuple(columns))]
+def unique(columns: Sequence[str], wide: bool = False) -> list[Check]:
+    """Violations are the rows beyond the first of each key; NULL keys equal each other.
+
+    ``wide`` is for keys of long texts or many columns, of which few repeat: the same result in two
+    phases, which exchange 64-bit hashes of all keys but only those keys whose hash is seen twice.
+    """
+    kind = "unique_wide" if wide else "unique"
+    return [Check("unique_check", ",".join(columns), kind, columns=tuple(columns))]
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,11 +76,12 @@ def report(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One row per check: (check_name, target, violations, passed).
 
     All row checks and the row count share one aggregation without a shuffle of rows.
-    Each uniqueness check adds a group-by on its key columns only.
+    Each uniqueness check adds a group-by on its key columns only; a wide one runs its first
+    phase at once.
     """
     require_columns(df, [c for check in checks for c in check.columns])
     parts = []
-    simple = [c for c in checks if c.kind != "unique"]
+    simple = [c for c in checks if not c.kind.startswith("unique")]
     if simple:
         counters = [
             (
@@ -96,11 +103,12 @@ def report(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
         )
         parts.append(df.agg(*counters).select(F.inline(lines)))
     for c in checks:
-        if c.kind == "unique":
+        if c.kind.startswith("unique"):
+            keys = _suspects(df, c.columns) if c.kind == "unique_wide" else df
             parts.append(
-                df.groupBy(*c.columns)
-                .agg(F.count(F.lit(1)).alias("n"))
-                .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
+                keys.groupBy(*c.columns)
+                .agg(F.count(F.lit(1)).alias("__n"))
+                .agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("violations"))
                 .select(
                     F.lit(c.name).alias("check_name"), F.lit(c.target).alias("target"), "violations"
                 )
@@ -111,6 +119,19 @@ def report(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return result.withColumn("passed", F.col("violations") == 0)
 
 
+def _suspects(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The keys of rows whose key's hash another row has too: all repeated keys, and a few that only collide.
+
+    The repeated hashes are written, so that their size is known when the join is planned: below the
+    broadcast threshold the keys are filtered where they are read, and only the suspects are exchanged.
+    """
+    hashed = df.select(F.xxhash64(*columns).alias("__hash"))
+    counts = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"))
+    twice = materialize(counts.where("__n > 1").select("__hash"), "repeated")
+    keys = df.select(*columns, F.xxhash64(*columns).alias("__hash"))
+    return keys.join(twice, "__hash", "left_semi").drop("__hash")
+
+
 def enforce(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """Raise when a check fails, else return ``df``. Give a materialized frame: the checks
     read it once more. Only the report, one row per check, reaches the driver."""

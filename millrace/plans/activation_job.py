@@ -67,6 +67,7 @@ def ingest(
     job_name: str = "activations",
     key_root: str | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
+    bounds: manifests.Bounds = manifests.Bounds(),
 ) -> DataFrame:
     """One run. Returns the closing totals in one row; the control table has the status. The
     run's stages, landing copies too, are deleted when it ends.
@@ -81,11 +82,11 @@ def ingest(
     Folders are landed in groups of about ``GROUP_FOLDERS``; the driver holds the names of one.
     """
     with staging(spark):
-        totals = _run(spark, feed, lookups, names, control_path, tracking_path, load_date, job_name, key_root, clock)
+        totals = _run(spark, feed, lookups, names, control_path, tracking_path, load_date, job_name, key_root, clock, bounds)
         return spark.createDataFrame(totals.collect(), totals.schema)
 
 
-def _run(spark, feed, lookups, names, control_path, tracking_path, load_date, job_name, key_root, clock) -> DataFrame:
+def _run(spark, feed, lookups, names, control_path, tracking_path, load_date, job_name, key_root, clock, bounds) -> DataFrame:
     started = clock()
     runs.create_tables(spark, control_path, tracking_path)
     source_count = target_count = 0
@@ -93,7 +94,7 @@ def _run(spark, feed, lookups, names, control_path, tracking_path, load_date, jo
     try:
         journal.finish_open(spark, f"{control_path}.journal")
         mark = manifests.watermark(runs.read_control(spark, control_path), job_name)
-        discovered = materialize(manifests.discover(spark, feed, mark, key_root=key_root), "manifests")
+        discovered = materialize(manifests.discover(spark, feed, mark, key_root=key_root, bounds=bounds), "manifests")
         tracked = runs.read_tracking(spark, tracking_path).where(F.col("job_name") == job_name)
         found, raw, unreadable = _land(spark, discovered, feed, tracked)
         quality.enforce(found, quality.row_count_gt(0))

@@ -431,7 +431,7 @@ def build_checks(specs: Sequence[Mapping[str, Any]]) -> list[quality.Check]:
             elif name == "column_not_null":
                 checks += quality.not_null(p)
             elif name == "unique_check":
-                checks += quality.unique(p["columns"])
+                checks += quality.unique(p["columns"], bool(p.get("wide")))
             elif name == "value_range":
                 checks += quality.value_range(p["column"], p["min"], p["max"])
             elif name == "allowed_values":

@@ -27,7 +27,8 @@ def open_source(
     ``source`` is a database kind, ``csv``, ``s3`` (``file_format`` csv or jsonl_gz), ``kafka``,
     ``json_files`` (a stream of JSON lines that arrive as files) or ``table`` (a catalog table). File and
     stream sources need ``schema``. A manifest feed with ``control`` reads only what is newer than the
-    job's last successful run. ``keep_corrupt`` marks what could not be read in a column ``_corrupt``.
+    job's last successful run; ``days``, ``lookback_days`` or ``folder_times`` of its ``discovery`` bound the
+    listing (``manifests.Bounds``). ``keep_corrupt`` marks what could not be read in a column ``_corrupt``.
     """
     source = extract["source"].lower()
     if source in jdbc.JDBC_KINDS:
@@ -63,11 +64,13 @@ def _files(spark, extract, schema, control, job_name, keep_corrupt) -> DataFrame
         return files.read_csv(spark, path, schema, extract.get("columns"), keep_corrupt=keep_corrupt)
     if file_format != "jsonl_gz":
         raise ValueError(f"unknown file format {file_format!r}")
-    if extract.get("discovery", {}).get("method") != "manifest":
+    discovery = extract.get("discovery", {})
+    if discovery.get("method") != "manifest":
         return files.land(files.read_json_lines(spark, path, schema))
     mark = manifests.watermark(control, job_name) if control is not None else None
     bucket = f"s3a://{extract['bucket']}" if "bucket" in extract else None
-    discovered = manifests.discover(spark, path, mark, key_root=bucket)
+    bounds = manifests.Bounds(**{k: discovery[k] for k in ("days", "lookback_days", "folder_times") if k in discovery})
+    discovered = manifests.discover(spark, path, mark, key_root=bucket, bounds=bounds)
     found = manifests.present_and_missing(discovered, path)
     return files.land(files.read_json_lines(spark, manifests.file_list(found), schema))
 

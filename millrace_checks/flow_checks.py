@@ -191,6 +191,19 @@ def scan_incremental(spark, sf):
     return columns.parse_image(_read_discovered(spark, found)).select("event_id")
 
 
+@check("scan_incremental_days", "SELECT CAST(event_id AS VARCHAR) AS event_id FROM events WHERE event_id % 4 IN (2, 3)")
+def scan_incremental_days(spark, sf):
+    """A feed with day folders: a run lists the days from the mark on. Of three days, the one long
+    past is not listed, though a manifest comes to it after the mark."""
+    root, mark = shared_folder(spark, "feed"), datetime.datetime.now(UTC)
+    days = [mark - datetime.timedelta(days=n) for n in (30, 1, 0)]
+    for day, batches in zip(days, ([0, 1], [2], [3])):
+        _write_folders(spark, sf, f"{root}/{day:%Y/%m-%d}", batches, listed=batches)
+    bounds = manifests.Bounds(days="%Y/%m-%d", lookback_days=2)
+    found = manifests.present_and_missing(manifests.discover(spark, root, mark, bounds=bounds), root)
+    return columns.parse_image(_read_discovered(spark, found)).select("event_id")
+
+
 # Ordering
 
 
@@ -286,6 +299,17 @@ JOBS = """SELECT o_orderpriority AS job_name, count(*) AS source_count,
   FROM {0} GROUP BY o_orderpriority"""
 
 
+@check(
+    "qc_unique_wide",
+    """SELECT 'unique_check' AS check_name, 'source,text' AS target,
+    count(*) - count(DISTINCT (source, text)) AS violations, count(*) = count(DISTINCT (source, text)) AS passed FROM documents""",
+)
+def qc_unique_wide(spark, sf):
+    """Whole texts as a key: only those whose hash repeats are exchanged."""
+    documents = spark.read.schema("source STRING, text STRING").parquet(f"{sf}/documents.parquet")
+    return quality.report(documents, quality.unique(["source", "text"], wide=True))
+
+
 def _jobs(spark, sf):
     return spark.sql(JOBS.format("{orders}"), orders=table(spark, sf, "orders"))
 

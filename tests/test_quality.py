@@ -64,3 +64,25 @@ def test_row_checks_take_one_scan(frame):
     plan = quality.report(frame, checks)._jdf.queryExecution().executedPlan().toString()
     initial = plan.split("Initial Plan")[-1]
     assert initial.count("Scan") == 1 and "hashpartitioning" not in initial
+
+
+def test_wide_uniqueness_counts_like_the_plain_one(spark, frame):
+    repeated = frame.unionByName(frame.where("id IS NULL OR n = 0")).unionByName(frame.where("n = 101"))
+    for columns in (["id"], ["name"], ["id", "kind"], ["id", "name", "n", "kind"]):
+        plain = quality.report(repeated, quality.unique(columns)).first()
+        assert quality.report(repeated, quality.unique(columns, wide=True)).first() == plain
+    # NULLs in other places hash alike and are still different keys.
+    shifted = spark.createDataFrame([(None, "a"), ("a", None), ("a", None)], "x string, y string")
+    assert quality.report(shifted, quality.unique(["x", "y"], wide=True)).first().violations == 1
+    assert quality.report(shifted.where("false"), quality.unique(["x"], wide=True)).first().violations == 0
+    declared = build_checks([{"unique_check": {"columns": ["x"], "wide": True}}])
+    assert declared[-1].kind == "unique_wide"
+
+
+def test_wide_keys_are_exchanged_only_when_their_hash_repeats(spark):
+    rows = spark.range(5000).selectExpr("concat('key ', CAST(id % 4990 AS STRING), repeat('x', 200)) AS k")
+    report = quality.report(rows, quality.unique(["k"], wide=True))
+    assert report.first().violations == 10
+    plan = report._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    above, below = plan.split("BroadcastHashJoin")
+    assert "hashpartitioning(k" in above and "hashpartitioning" not in below and "SortMergeJoin" not in plan

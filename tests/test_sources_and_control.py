@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from millrace.control import runs
 from millrace.plans import daily
 from millrace.session import REQUIRED_SETTINGS, shared_folder, shared_root
+from millrace.sources import extract as extracted
 from millrace.sources import files, jdbc, manifests, streams
 
 UTC = datetime.timezone.utc
@@ -205,3 +206,57 @@ def test_broken_fields_and_messages_leave_a_mark(spark, tmp_path):
     got = streams.parse_json(sent, SCHEMA, keep_corrupt=True).collect()
     assert sorted((r.a, r[files.CORRUPT]) for r in got if r.a) == [(1, None)]
     assert [r[files.CORRUPT] for r in got if r.a is None] == ['{"a": ']
+
+
+def _names_read(df):
+    """The files a lazy read has listed."""
+    return sorted(df.inputFiles())
+
+
+def test_a_bounded_listing_looks_only_into_new_folders(spark, tmp_path):
+    old, new = 1_700_000_000, 1_700_000_200
+    for k in range(5000):
+        (tmp_path / f"old{k:04d}").mkdir()
+        os.utime(tmp_path / f"old{k:04d}", (old, old))
+    for name, at in (("old0001", old), ("new[1]", new), ("new2", new)):
+        write_gz(f"{tmp_path}/{name}/d.json.gz", ['{"a": 1}'])
+        manifest(f"{tmp_path}/{name}", [f"{tmp_path}/{name}/d.json.gz"], at)
+        os.utime(tmp_path / name, (at, at))
+    (tmp_path / "new3").mkdir()  # its manifest has yet to come
+    mark = datetime.datetime.fromtimestamp(1_700_000_100, UTC).replace(tzinfo=None)
+    bounded = manifests.discover(spark, str(tmp_path), mark, bounds=manifests.Bounds(folder_times=True))
+    assert len(_names_read(bounded)) == 2
+    assert {r.folder for r in bounded.collect()} == {"new[1]", "new2"}
+    assert {tuple(r) for r in bounded.collect()} == {tuple(r) for r in manifests.discover(spark, str(tmp_path), mark).collect()}
+    there = manifests.present_and_missing(bounded, str(tmp_path)).where("bytes > 0")
+    assert {r.folder for r in there.collect()} == {"new[1]", "new2"}
+    late = datetime.datetime(2100, 1, 1)
+    assert manifests.discover(spark, str(tmp_path), late, bounds=manifests.Bounds(folder_times=True)).collect() == []
+
+
+def test_day_folders_bound_a_listing(spark, tmp_path):
+    now = datetime.datetime.now(UTC)
+    days = {n: (now - datetime.timedelta(days=n)).strftime("%Y/%m/%d") for n in (40, 3, 1, 0)}
+    for n, day in days.items():
+        write_gz(f"{tmp_path}/{day}/f/d.json.gz", ['{"a": %d}' % n])
+        manifest(f"{tmp_path}/{day}/f", [f"{tmp_path}/{day}/f/d.json.gz"], now.timestamp())
+    (tmp_path / (now + datetime.timedelta(days=1)).strftime("%Y/%m/%d")).mkdir(parents=True)  # empty
+    mark = (now - datetime.timedelta(days=1, minutes=1)).replace(tzinfo=None)
+    bounds = manifests.Bounds(days="%Y/%m/%d", lookback_days=2)
+    found = manifests.discover(spark, str(tmp_path), mark, bounds=bounds)
+    assert len(_names_read(found)) == 3
+    listed = manifests.present_and_missing(found, str(tmp_path))
+    assert {r.folder for r in listed.where("bytes > 0").collect()} == {f"{days[n]}/f" for n in (3, 1, 0)}
+    every = manifests.discover(spark, str(tmp_path), bounds=bounds)  # no mark yet
+    assert {r.folder for r in every.collect()} == {f"{day}/f" for day in days.values()}
+
+
+def test_a_declared_feed_passes_its_bounds(spark, tmp_path):
+    day = datetime.datetime.now(UTC)
+    for name in (f"{day:%Y-%m-%d}", "2020-01-01"):
+        write_gz(f"{tmp_path}/{name}/f/d.json.gz", ['{"a": %d}' % len(name)])
+        manifest(f"{tmp_path}/{name}/f", [f"{tmp_path}/{name}/f/d.json.gz"], day.timestamp())
+    control = record(spark, "Success", 1).withColumn("load_start_time", F.lit(day - datetime.timedelta(hours=1)))
+    extract = {"source": "s3", "path": str(tmp_path), "file_format": "jsonl_gz", "discovery": {"method": "manifest", "days": "%Y-%m-%d"}}
+    rows = extracted.open_source(spark, extract, SCHEMA, control=control, job_name="job")
+    assert [r.source_file.split("/")[-3] for r in rows.collect()] == [f"{day:%Y-%m-%d}"]
