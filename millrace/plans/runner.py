@@ -459,18 +459,20 @@ class Destination:
 
 def destination(spark: SparkSession, spec: Mapping[str, Any]) -> Destination:
     """A destination from its declared form. With ``path``, the table is created if absent
-    from ``target_ddl``, a Spark column list."""
+    from ``target_ddl``, a Spark column list; ``key_buckets`` lays it out by a hash of the key."""
     columns = spec.get("columns")
+    key = tuple(spec.get("upsert_key") or spec.get("key") or ())
     if isinstance(columns, (list, tuple)):
         columns = {c: f"`{c}`" for c in columns}
     if spec.get("path"):
+        buckets = tables.KeyBuckets(key, int(spec["key_buckets"])) if spec.get("key_buckets") else None
         tables.create_table(
-            spark, spec["table"], spec["target_ddl"], spec["path"], spec.get("partition_by", ())
+            spark, spec["table"], spec["target_ddl"], spec["path"], spec.get("partition_by", ()), buckets
         )
     return Destination(
         spec["table"],
         spec.get("mode", "append"),
-        tuple(spec.get("upsert_key") or spec.get("key") or ()),
+        key,
         columns,
         tuple(spec.get("group_by", ())),
         spec if spec.get("engine") in JDBC_KINDS else None,

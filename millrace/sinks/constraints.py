@@ -57,18 +57,22 @@ def parse(ddl: str) -> tuple[str, dict[str, Any]]:
     return ", ".join(plain), rules if any(rules.values()) else {}
 
 
-def properties(rules: Mapping[str, Any]) -> str:
-    """The clause of CREATE TABLE that keeps the rules."""
-    if not rules:
-        return ""
-    text = json.dumps(rules).replace("\\", "\\\\").replace("'", "\\'")
-    return f"TBLPROPERTIES ('{PROPERTY}' = '{text}')"
+def properties(rules: Mapping[str, Any], more: Mapping[str, Any] | None = None) -> str:
+    """The clause of CREATE TABLE that keeps the rules, and further properties as JSON."""
+    kept = ({PROPERTY: rules} if rules else {}) | (more or {})
+    texts = {k: json.dumps(v).replace("\\", "\\\\").replace("'", "\\'") for k, v in kept.items()}
+    return f"TBLPROPERTIES ({', '.join(f"'{k}' = '{t}'" for k, t in texts.items())})" if kept else ""
+
+
+def kept_property(spark: SparkSession, table: str, name: str) -> Any:
+    """A property that ``properties`` has kept; None if the table was created without."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == name).collect()
+    return json.loads(rows[0]["value"]) if rows else None
 
 
 def declared(spark: SparkSession, table: str) -> dict[str, Any]:
     """The rules of a table; none if it was created without."""
-    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == PROPERTY).collect()
-    return json.loads(rows[0]["value"]) if rows else {}
+    return kept_property(spark, table, PROPERTY) or {}
 
 
 def conform(df: DataFrame, schema: T.StructType, rules: Mapping[str, Any] | None = None) -> DataFrame:

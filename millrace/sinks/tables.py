@@ -10,6 +10,9 @@ The keyed modes use the new rows more than once, so these are first written to t
 folder: they are computed once, cannot differ between the uses, and their size is known
 when the join with the table is planned. ``staged`` says that the caller has done so and,
 where there is a key, that every key has one row.
+
+A table may be created with key buckets: a last partition column that is a hash of the key. Any load by
+that key, or by more columns, then reads and rewrites only the buckets that its rows fall into.
 """
 
 from __future__ import annotations
@@ -28,22 +31,53 @@ from millrace.session import materialize
 from millrace.sinks import constraints
 
 
+# The column and the table property of key buckets.
+BUCKET = "key_bucket"
+BUCKETS = "millrace.buckets"
+
+
+@dataclass(frozen=True)
+class KeyBuckets:
+    """``count`` partitions by a hash of ``key``. Choose as many as give buckets of one to a few files:
+    a bucket is what the smallest load rewrites."""
+
+    key: tuple[str, ...]
+    count: int
+
+    def of(self) -> Column:
+        """The bucket of a row whose key columns have the table's types."""
+        return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in self.key]), F.lit(self.count)).cast("int")
+
+
+def key_buckets(spark: SparkSession, table: str) -> KeyBuckets | None:
+    kept = constraints.kept_property(spark, table, BUCKETS)
+    return KeyBuckets(tuple(kept["key"]), kept["count"]) if kept else None
+
+
 def create_table(
     spark: SparkSession,
     name: str,
     schema: T.StructType | str,
     location: str,
     partition_by: Sequence[str] = (),
+    buckets: KeyBuckets | None = None,
 ) -> None:
     """``CREATE TABLE IF NOT EXISTS`` at a fixed location. Partition columns come last. Of a column list, NOT NULL,
-    DEFAULT and VARCHAR lengths are kept for the loads (``constraints``)."""
+    DEFAULT and VARCHAR lengths are kept for the loads (``constraints``). With ``buckets`` the table
+    gets a column ``key_bucket``, which loads fill."""
     columns, rules = constraints.parse(schema) if isinstance(schema, str) else (
         ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), {}
     )
+    kept = None
+    if buckets:
+        if buckets.count < 1 or not buckets.key:
+            raise ValueError("key buckets need a key and a positive count")
+        columns, partition_by = f"{columns}, `{BUCKET}` INT", [*partition_by, BUCKET]
+        kept = {BUCKETS: {"key": list(buckets.key), "count": buckets.count}}
     parts = f"PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {parts} LOCATION '{location}' "
-        + constraints.properties(rules)
+        + constraints.properties(rules, kept)
     )
 
 
@@ -55,7 +89,16 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def _conformed(df: DataFrame, table: str) -> DataFrame:
     """``df`` as rows of ``table``, by its constraints."""
     spark = df.sparkSession
-    return constraints.conform(df, spark.table(table).schema, constraints.declared(spark, table))
+    out = constraints.conform(df, spark.table(table).schema, constraints.declared(spark, table))
+    buckets = key_buckets(spark, table)
+    return out.withColumn(BUCKET, buckets.of()) if buckets else out
+
+
+def _decided_by(spark: SparkSession, table: str, partitions: Sequence[str], key: Sequence[str]) -> bool:
+    """Whether rows with an equal key are in the same partition."""
+    buckets = key_buckets(spark, table)
+    known = {*key, BUCKET} if buckets and set(buckets.key) <= set(key) else set(key)
+    return bool(partitions) and set(partitions) <= known
 
 
 @dataclass(frozen=True)
@@ -149,7 +192,7 @@ def prepare_insert_ignore(
     order_by: Sequence[str] | None = None,
     staged: bool = False,
 ) -> Change:
-    """When the table is partitioned by key columns, only partitions that ``df`` touches are read."""
+    """When the table is partitioned by key columns or key buckets, only partitions that ``df`` touches are read."""
     spark = df.sparkSession
     existing = spark.table(table)
     new = _conformed(df, table)
@@ -157,7 +200,7 @@ def prepare_insert_ignore(
         firsts = deduplicate(new, key, list(order_by or key), keep="first")
         new = materialize(firsts, "insert")
     partitions = _partition_columns(spark, table)
-    if partitions and set(partitions) <= set(key):
+    if _decided_by(spark, table, partitions, key):
         existing = existing.where(_partition_filter(existing.schema, partitions, _touched(new, partitions)))
     # The keys that meet, before the rows that do not: a small load is broadcast to the
     # scan of the table, which then needs no shuffle.
@@ -175,8 +218,8 @@ def upsert(
 ) -> None:
     """Replace the rows with the same key, add the others; of equal new keys the last wins.
 
-    When the table is partitioned by key columns, only the partitions that ``df`` touches are
-    read and rewritten; else the whole table is.
+    When the table is partitioned by key columns or key buckets, only the partitions that ``df``
+    touches are read and rewritten; else the whole table is.
     """
     publish(df.sparkSession, prepare_upsert(df, table, key, order_by, staged))
 
@@ -195,7 +238,7 @@ def prepare_upsert(
         lasts = deduplicate(new, key, list(order_by or key), keep="last")
         new = materialize(lasts, "upsert")
     partitions = _partition_columns(spark, table)
-    local = bool(partitions) and set(partitions) <= set(key)
+    local = _decided_by(spark, table, partitions, key)
     if local:
         touched = _touched(new, partitions)
         if not touched:
@@ -308,6 +351,8 @@ def _below(spark: SparkSession, folder: str, partitions: Sequence[str], values:
 
 
 def _write(df: DataFrame, folder: str, partitions: Sequence[str] = ()) -> None:
+    if BUCKET in partitions:  # a few tasks a bucket, not every task a file in each
+        df = df.hint("rebalance", *[F.col(f"`{c}`") for c in partitions])
     writer = df.write
     if partitions:
         writer = writer.partitionBy(*partitions)

@@ -44,9 +44,9 @@ from millrace.streaming import sinks as stream_sinks
 UTC = datetime.timezone.utc
 
 
-def _new_table(spark, schema, partition_by=()):
+def _new_table(spark, schema, partition_by=(), buckets=None):
     name = f"check_{uuid.uuid4().hex}"
-    tables.create_table(spark, name, schema, shared_folder(spark, "table"), partition_by)
+    tables.create_table(spark, name, schema, shared_folder(spark, "table"), partition_by, buckets)
     return name
 
 
@@ -373,8 +373,8 @@ UPSERT_ORACLE = with_views(
 )
 
 
-def _upsert(spark, sf, partition_by):
-    target = _new_table(spark, SALES_TABLE, partition_by)
+def _upsert(spark, sf, partition_by, buckets=None):
+    target = _new_table(spark, SALES_TABLE, partition_by, buckets)
     sales = frame(spark, sf, "sales").withColumn("revenue", F.expr("quantity * unit_price"))
 
     def daily_of(condition):
@@ -402,6 +402,12 @@ def sink_upsert_partitioned(spark, sf):
     return _upsert(spark, sf, ("region",))
 
 
+@check("sink_upsert_bucketed", UPSERT_ORACLE)
+def sink_upsert_bucketed(spark, sf):
+    """No column of the key partitions the table: only the touched key buckets are rewritten."""
+    return _upsert(spark, sf, (), tables.KeyBuckets(tuple(daily.SALES_UPSERT_KEY), 16)).drop(tables.BUCKET)
+
+
 @check(
     "sink_insert_ignore",
     """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM (

@@ -202,3 +202,61 @@ def test_jdbc_write_options(monkeypatch):
     }
     with pytest.raises(ValueError, match="staging"):
         jdbc_sink.write_table(None, {"engine": "mysql", "database": "d", "table": "t", "mode": "upsert"})
+
+
+def bucketed(spark, count=8, key=("k",), partition_by=()):
+    name = f"t_{uuid.uuid4().hex}"
+    tables.create_table(
+        spark, name, "k string, v int, p int", shared_folder(spark, "sinktest"), partition_by, tables.KeyBuckets(key, count)
+    )
+    return name
+
+
+def files_of(spark, name):
+    rows = spark.table(name).selectExpr("key_bucket", "_metadata.file_path AS f").distinct().collect()
+    return {b: {r.f for r in rows if r.key_bucket == b} for b in {r.key_bucket for r in rows}}
+
+
+@pytest.mark.parametrize("partition_by", [(), ("p",)])
+def test_bucketed_upsert_equals_the_plain_one(spark, partition_by):
+    plain, name = make(spark, "k string, v int, p int"), bucketed(spark, 8, ("k",), partition_by)
+    first = frame(spark, [(f"k{n}", n, n % 3) for n in range(200)] + [(None, -1, 0)])
+    new = frame(spark, [(f"k{n}", n * 10, n % 3) for n in range(190, 210)] + [("k5", 1, 2), ("k5", 2, 2), (None, -2, 0)])
+    for target in (plain, name):
+        tables.append(first, target)
+        for _ in range(2):
+            tables.upsert(new, target, ["k", "p"], order_by=["v"])
+        tables.insert_ignore(frame(spark, [("k7", 0, 1), ("new", 1, None), (None, 9, 0)]), target, ["k", "p"])
+    rows = spark.table(name)
+    assert sorted(map(tuple, rows.drop("key_bucket").select("k", "v", "p").collect()), key=str) == content(spark, plain)
+    assert rows.where(rows.key_bucket != tables.KeyBuckets(("k",), 8).of()).count() == 0
+
+
+def test_bucketed_upsert_reads_only_the_touched_buckets(spark):
+    name = bucketed(spark)
+    tables.append(frame(spark, [(f"k{n}", n, 0) for n in range(200)]), name)
+    before = files_of(spark, name)
+    assert len(before) == 8 and all(len(f) == 1 for f in before.values())  # a file a bucket, not one a task
+    touched = spark.table(name).where("k = 'k3'").first().key_bucket
+    for bucket, paths in before.items():
+        for path in paths if bucket != touched else ():
+            place = path.removeprefix("file://").removeprefix("file:")
+            with open(place, "wb") as out:
+                out.write(b"not to be read")
+    tables.upsert(frame(spark, [("k3", 33, 0)]), name, ["k"])
+    tables.insert_ignore(frame(spark, [("k3", 34, 0)]), name, ["k"])
+    mine = spark.table(name).where(f"key_bucket = {touched}")
+    assert mine.where("k = 'k3'").first().v == 33 and mine.count() == sum(1 for _ in mine.collect())
+    locations = spark.sql(f"SHOW PARTITIONS {name}").count()
+    assert locations == 8
+
+
+def test_bucketed_upsert_by_fewer_columns_reads_all(spark):
+    """A key that does not decide the bucket: equal keys may be anywhere."""
+    name = bucketed(spark, 8, ("k", "p"))
+    tables.append(frame(spark, [(f"k{n}", n, n) for n in range(40)]), name)
+    tables.upsert(frame(spark, [("k3", 1, 99)]), name, ["k"])
+    rows = spark.table(name)
+    assert rows.count() == 40 and tuple(rows.where("k = 'k3'").select("k", "v", "p").first()) == ("k3", 1, 99)
+    with pytest.raises(ValueError, match="key buckets"):
+        bucketed(spark, 0)
