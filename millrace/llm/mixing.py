@@ -19,6 +19,8 @@ from millrace.llm.common import Stages
 
 # Order buckets of a leaf's partial epoch; only the bucket at the end of the prefix is sorted.
 BUCKET_DIGITS = 3
+# What orders rows of one id.
+TIE = "text_md5"
 
 
 @dataclass(frozen=True)
@@ -87,12 +89,17 @@ def budgets(leaves: DataFrame, levels: Sequence[str], mixture: Mixture) -> DataF
 
 
 def select(rows: DataFrame, levels: Sequence[str], mixture: Mixture) -> DataFrame:
-    """``rows`` (doc_id, levels, n_tokens) with ``epoch`` and ``n_taken``, once for each epoch.
+    """``rows`` (doc_id, levels, n_tokens, and ``text_md5`` if they have it) with ``epoch`` and ``n_taken``,
+    once for each epoch.
 
     A leaf's budget is as many whole epochs as fit, then a prefix of the next one in a seeded
-    order; the row at the prefix's end counts with the part of its tokens that fits. Null names
+    order; the row at the prefix's end counts with the part of its tokens that fits. The order is by a hash of
+    the id, or of ``text_md5`` where there is no id; rows that share an id follow by ``text_md5`` and
+    ``n_tokens``, so rows that tie are equal and the result does not depend on the partitioning. Null names
     are the leaf ``unknown``. Leaves without tokens give no rows. An empty table gives none.
     """
+    if TIE not in rows.columns:
+        rows = rows.withColumn(TIE, F.lit(""))
     stages = Stages(rows.sparkSession, "mixing")
     leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("supply")).where("supply > 0")
     planned = stages.write(budgets(leaves, levels, mixture), "budgets")
@@ -100,19 +107,19 @@ def select(rows: DataFrame, levels: Sequence[str], mixture: Mixture) -> DataFram
     dealt = rows.join(planned.drop("supply", "budget"), [*levels])
     whole = dealt.where("whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0, whole - 1)")))
     whole = whole.withColumn("n_taken", F.col("n_tokens"))
-    key = F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.col(TIE))))
     partial = dealt.where("part > 0").withColumn("key", key)
     partial = partial.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sums = partial.groupBy(*levels, "bucket").agg(F.sum("n_tokens").alias("held"))
     running = Window.partitionBy(*levels).orderBy("bucket")
     sums = sums.withColumn("base", F.sum("held").over(running) - F.col("held"))
     partial = partial.join(sums, [*levels, "bucket"]).where("base < part")
-    within = Window.partitionBy(*levels, "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*levels, "bucket").orderBy("key", "doc_id", TIE, "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     inner = F.col("base") + F.col("held") <= F.col("part")
     last = partial.where(~inner).withColumn("start", F.col("base") + F.sum("n_tokens").over(within) - F.col("n_tokens"))
     last = last.where("start < part").withColumn("n_taken", F.least("n_tokens", F.col("part") - F.col("start")))
     sure = partial.where(inner).withColumn("n_taken", F.col("n_tokens"))
-    columns = ["doc_id", *levels, F.col("epoch").cast("long").alias("epoch"), "n_tokens", "n_taken"]
+    columns = ["doc_id", *levels, F.col("epoch").cast("long").alias("epoch"), "n_tokens", "n_taken", TIE]
     return (
         whole.select(*columns)
         .union(sure.withColumn("epoch", F.col("whole")).select(*columns))
@@ -123,6 +130,10 @@ def select(rows: DataFrame, levels: Sequence[str], mixture: Mixture) -> DataFram
 LEVELS = ("domain", "lang", "source")
 
 
+def text_md5(docs: DataFrame) -> Column:
+    return F.md5(F.coalesce(docs["text"], F.lit("")))
+
+
 def rows_of(docs: DataFrame) -> DataFrame:
     """What ``select`` needs of ``documents``, written once: token counts read whole texts."""
     named = docs.select(
@@ -131,20 +142,24 @@ def rows_of(docs: DataFrame) -> DataFrame:
         F.coalesce("lang", F.lit("unknown")).alias("lang"),
         F.coalesce("source", F.lit("unknown")).alias("source"),
         count_tokens(F.col("text")).alias("n_tokens"),
+        text_md5(docs).alias(TIE),
     )
     return Stages(docs.sparkSession, "mixing").write(named, "rows")
 
 
 def mixture_rows(docs: DataFrame, mixture: Mixture = PRODUCTION) -> DataFrame:
-    """The selection over ``documents``: doc_id, domain, lang, source, epoch, n_tokens, n_taken."""
+    """The selection over ``documents``: doc_id, domain, lang, source, epoch, n_tokens, n_taken, text_md5."""
     return select(rows_of(docs), LEVELS, mixture)
 
 
 def mix(docs: DataFrame, mixture: Mixture = PRODUCTION) -> DataFrame:
     """The mixed documents, with all columns of ``docs``: a row for each epoch that takes it.
 
-    Rows that share an id, or have none, are taken together.
+    A row goes by its id and text; rows that share both are taken together. Documents are not cut: the one at the
+    end of a leaf's prefix comes whole, and ``n_taken`` of ``mixture_rows`` says how much of it counts.
     """
-    taken = mixture_rows(docs, mixture).select(F.col("doc_id").alias("__id"), "epoch").distinct()
-    taken = Stages(docs.sparkSession, "mixing").write(taken, "taken").withColumnRenamed("epoch", "__epoch")
-    return docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["__id"])).select(docs["*"])
+    taken = mixture_rows(docs, mixture)
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col(TIE).alias("__md5"), F.col("epoch").alias("__epoch")).distinct()
+    taken = Stages(docs.sparkSession, "mixing").write(taken, "taken")
+    same = docs["doc_id"].cast("long").eqNullSafe(taken["__id"]) & (text_md5(docs) == taken["__md5"])
+    return docs.join(taken, same).select(docs["*"])

@@ -48,7 +48,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture_rows(read(spark, sf_dir, "documents"))
+    return mixing.mixture_rows(read(spark, sf_dir, "documents")).drop(mixing.TIE)
 
 
 def _level(parents: list[str], level: str, weight: str, above: str) -> str:
@@ -81,7 +81,7 @@ _LANGS = _level(["domain"], "lang", "CASE c.lang WHEN 'en' THEN 4 WHEN 'de' THEN
 _SOURCES = _level(["domain", "lang"], "source", "1", "SELECT * FROM langs")
 ORACLES["op6_mixing"] = f"""
     WITH docs AS MATERIALIZED (
-        SELECT doc_id,
+        SELECT doc_id, md5(coalesce(text, '')) AS text_md5,
                CASE coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INT), 0) % 3
                     WHEN 0 THEN 'encyclopedia' WHEN 1 THEN 'forum' ELSE 'news' END AS domain,
                coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
@@ -92,7 +92,7 @@ ORACLES["op6_mixing"] = f"""
     dealt AS (SELECT d.*, (b.given // l.supply)::BIGINT AS whole, (b.given % l.supply)::BIGINT AS part
               FROM docs d JOIN leaves l USING (domain, lang, source) JOIN budgets b USING (domain, lang, source)),
     ordered AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
-                              ORDER BY md5('7:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), doc_id
+                              ORDER BY md5('7:' || whole || ':' || coalesce(doc_id::VARCHAR, text_md5)), doc_id, text_md5, n_tokens
                               ROWS UNBOUNDED PRECEDING)::BIGINT - n_tokens AS start
                 FROM dealt WHERE part > 0)
     SELECT doc_id, domain, lang, source, unnest(range(whole)) AS epoch, n_tokens, n_tokens AS n_taken

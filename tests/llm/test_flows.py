@@ -57,6 +57,40 @@ def test_prefixes_of_epochs(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def test_mixing_of_repeated_and_missing_ids_is_the_same_in_any_partitioning(spark):
+    rows = [(k % 3 if k % 2 else None, "s0", "en", f"{k} " + "w " * (k % 11)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    plan = mixing.Mixture(share=35, epochs=1)
+    results = [Counter(map(tuple, mixing.mixture_rows(docs.repartition(n), plan).collect())) for n in (1, 3, 7)]
+    assert results[0] == results[1] == results[2] and sum(r[6] < r[5] for r in results[0]) <= 1
+    supply = sum(len(t.split()) for *_, t in rows)
+    assert sum(r[6] * n for r, n in results[0].items()) == supply * 35 // 100
+    # Brute force: rows in the stated order until the budget is used up.
+    def order(r):
+        tie = hashlib.md5(r[3].encode()).hexdigest()
+        return hashlib.md5(f"7:0:{tie if r[0] is None else r[0]}".encode()).hexdigest(), -1 if r[0] is None else r[0], tie
+
+    left, expected = supply * 35 // 100, Counter()
+    for r in sorted(rows, key=order):
+        n = min(left, len(r[3].split()))
+        if left:
+            expected[r[0], n, r[3]] += 1
+        left -= n
+    assert Counter({(r[0], r[6], r[7]): n for r, n in results[0].items()}) == Counter(
+        {(i, n, hashlib.md5(t.encode()).hexdigest()): c for (i, n, t), c in expected.items()})
+    # Rows go by their own text, and whole.
+    assert Counter((r.doc_id, r.text) for r in mixing.mix(docs, plan).collect()) == Counter((i, t) for i, _, t in expected.elements())
+
+
+def test_rows_without_an_id_are_spread_over_buckets(spark):
+    docs = spark.createDataFrame([(None, "s0", "en", f"text {k}") for k in range(500)], "doc_id long, source string, lang string, text string")
+    key = F.md5(F.concat(F.lit("7:0:"), F.col(mixing.TIE)))
+    buckets = mixing.rows_of(docs).groupBy(F.substring(key, 1, mixing.BUCKET_DIGITS)).count()
+    assert buckets.count() > 400
+    taken = mixing.mixture_rows(docs, mixing.Mixture(share=50, epochs=1)).collect()
+    assert sum(r.n_taken for r in taken) == 500
+
+
 def test_mixing_edges(edge, empty):
     rows = mixing.mixture_rows(edge).collect()
     assert rows and all(0 <= r.n_taken <= r.n_tokens for r in rows)
