@@ -4,6 +4,7 @@ import datetime
 import gzip
 import json
 import os
+from decimal import Decimal
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -183,6 +184,39 @@ def test_jdbc_read_options(monkeypatch):
         jdbc.connection_options({"source": "dbase", "database": "d"})
 
 
+def test_jdbc_ranges_from_the_extent_of_a_column(spark, monkeypatch):
+    assert jdbc.ranges(1, 10_000_000, 10_000_000) == {"lower_bound": 1, "upper_bound": 10_000_000, "num_partitions": 10}
+    assert jdbc.ranges(Decimal("0.5"), Decimal("9.5"), 31, 10) == {"lower_bound": 0, "upper_bound": 10, "num_partitions": 4}
+    first, last = datetime.date(2024, 1, 1), datetime.date(2024, 2, 1)
+    assert jdbc.ranges(first, last, 20, 10)["upper_bound"] == "2024-02-01"
+    at = datetime.datetime(2024, 1, 1, 12, 30)
+    assert jdbc.ranges(at, at + datetime.timedelta(days=1), 20, 10)["lower_bound"] == "2024-01-01 12:30:00.000000"
+    for none in ((None, None, 50), (1, 1, 50), (1, 9, 10)):
+        assert jdbc.ranges(*none, rows_per_partition=10) == {}
+    with pytest.raises(ValueError, match="str column"):
+        jdbc.ranges("a", "b", 50, 10)
+
+    asked = []  # no database is started: what would be read, in order
+
+    def load(spark, options):
+        asked.append(options)
+        return spark.createDataFrame([(5, 104, 100)], "low long, high long, n long")
+
+    monkeypatch.setattr(jdbc, "_load", load)
+    source = {"source": "postgres", "database": "d", "query": "SELECT * FROM t WHERE d = '{{execution_date}}'"}
+    extract = {**source, "partitioning": {"partition_column": "id", "rows_per_partition": 30}}
+    extracted.open_source(spark, extract, execution_date=datetime.date(2024, 1, 2))
+    inner = "(SELECT * FROM t WHERE d = '2024-01-02') source_query"
+    assert asked[0]["query"] == f"SELECT MIN(id) AS low, MAX(id) AS high, COUNT(*) AS n FROM {inner}"
+    assert not {"dbtable", "partitionColumn", "numPartitions"} & set(asked[0])
+    ranged = [asked[1][k] for k in ("dbtable", "partitionColumn", "lowerBound", "upperBound", "numPartitions")]
+    assert ranged == [inner, "id", "5", "104", "4"]
+    jdbc.read_table(spark, {**source, "query": "SELECT 1"}, "id")  # 100 rows: one task
+    assert "partitionColumn" not in asked[3] and asked[3]["query"] == "SELECT 1"
+    jdbc.read_table(spark, {"source": "postgres", "database": "d", "table": "t"}, "id", lower_bound=0, upper_bound=9, num_partitions=3)
+    assert len(asked) == 5 and asked[4]["numPartitions"] == "3"
+
+
 def test_json_values_parse_as_text_or_bytes(spark):
     df = spark.createDataFrame([('{"a": 5}',), ("junk",)], "value string")
     assert [r.a for r in streams.parse_json(df, SCHEMA).collect()] == [5, None]
