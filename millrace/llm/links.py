@@ -3,8 +3,9 @@
 Every step is a sort or hash exchange of narrow rows. A region (the items that share one key)
 is read as a sorted stream; only its items' sketches are compared, and in each round at most a
 spanning forest of its candidates leaves it. The rounds see crowded regions in parts. All further candidates follow
-when components are known, from whole regions, and then only across components, so a group of
-copies never becomes the square of its size.
+when components are known, from whole regions, and then only across components. They are compared
+where they meet, and of their links too no more than a forest leaves a region, so neither a group of
+copies nor one of texts just below the threshold becomes the square of its size.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from millrace.llm.shingles import TREE_MASK, similar
 # For the rounds, a region with more items than this is cut by its deeper key, and then into random
 # blocks that differ from key to key.
 REGION_ITEMS = 256
-# For the last check nothing is cut: a larger region is dealt to tiles of about so many items, and
-# every item outside the region's largest component visits all of them.
+# For the last check nothing is cut: a larger region is dealt to tiles of about so many items or
+# shingles, and every item outside the region's largest component visits all of them.
 TILE_ITEMS = 1024
+TILE_SHINGLES = 2_000_000
 # Edges that a task contracts at a time.
 CHUNK_EDGES = 500_000
 # The rounds end when fewer than one in so many of a round's candidates are links; the last check
@@ -250,11 +252,13 @@ def tiles(rows: DataFrame) -> DataFrame:
     outside the largest component (``large``) visits the other tiles. So any two items of different
     components meet, and the copies are the other components' items times the tiles.
     """
-    parts = rows.groupBy("region", "component").agg(F.count("*").alias("size"))
+    parts = rows.groupBy("region", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     whole = parts.groupBy("region").agg(
-        F.sum("size").alias("size"), F.max(F.struct("size", "component"))["component"].alias("largest")
+        F.sum("size").alias("size"), F.sum("shingles").alias("shingles"),
+        F.max(F.struct("size", "component"))["component"].alias("largest"),
     )
-    whole = whole.select("region", "largest", F.ceil(F.col("size") / F.lit(TILE_ITEMS)).alias("blocks"))
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(TILE_ITEMS), F.col("shingles") / F.lit(TILE_SHINGLES)))
+    whole = whole.select("region", "largest", blocks.alias("blocks"))
     dealt = rows.join(whole, "region").withColumns({
         "own": F.pmod(F.xxhash64("node", "region"), F.col("blocks")), "large": F.col("component") == F.col("largest"),
     })
@@ -292,41 +296,150 @@ def homes_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Ta
         yield False, pa.Table.from_batches(held)
 
 
+def _visits(home: pa.Table, visitors: pa.Table, ratio: float, least: float):
+    """Candidates of visitors among the items at home, as indices into both tables, one after the other."""
+    block, large = home.column("block")[0].as_py(), np.array(home.column("large").to_pylist())
+    _, component, n, sketch = (np.concatenate(x) for x in zip(_columns(home), _columns(visitors)))
+    count, from_ = home.num_rows, visitors.column("own").to_numpy()
+    for k in range(visitors.num_rows):
+        i = np.flatnonzero(_meets(large, from_[k], block) & (component[:count] != component[count + k]))
+        i, j, estimate = _alike(n, sketch, i, np.full(len(i), count + k), ratio, least)
+        if len(i):
+            yield i, j, estimate
+
+
+def _meets(large: np.ndarray, own: int, block: int) -> np.ndarray:
+    """Which items at home in ``block`` a visitor meets there."""
+    # Visitors from lower blocks have met their like there, but not the largest component.
+    return large if own < block else np.ones(len(large), bool)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], ratio: float, least: float):
+    """Tables of items that meet, and their candidates as indices. Holds one tile's home and one batch."""
+    home = None
+    for visiting, table in homes_first(batches):
+        tile = table.column("tile").to_numpy()
+        if not visiting:
+            home = table.slice(int(np.searchsorted(tile, tile[-1])))
+            yield table, _pairs(table, "tile", ratio, least)
+        elif home is not None and home.column("tile")[0].as_py() == tile[0]:
+            yield pa.concat_tables([home, table]), _visits(home, table, ratio, least)
+
+
+def _by_tile(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of tiles as ``homes_first`` reads them."""
+    visits = rows.withColumn("visits", F.col("own") != F.col("block"))
+    return visits.repartition("tile").sortWithinPartitions("tile", "visits", *order).drop("visits")
+
+
 def crossing_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
     """All candidates between different components; rows (region, node, n, sketch, component)."""
 
-    def visits(home, table):
-        """Some visitors of a tile against the items at home, which alone are held."""
-        _, block, large, held = home
-        node, component, n, sketch = (np.concatenate(x) for x in zip(held, _columns(table)))
-        count, from_ = len(held[0]), table.column("own").to_numpy()
-        for k in range(table.num_rows):
-            # Visitors from lower blocks have met their like there, but not the largest component.
-            meets = large if from_[k] < block else np.ones(count, bool)
-            i = np.flatnonzero(meets & (component[:count] != component[count + k]))
-            i, j, estimate = _alike(n, sketch, i, np.full(len(i), count + k), ratio, least)
-            if len(i):
+    def scan(batches):
+        for table, found in _meetings(batches, ratio, least):
+            node = table.column("node").to_numpy()
+            for i, j, estimate in found:
                 yield _emit(node, i, j, estimate)
 
+    return _by_tile(tiles(rows), "n", "node").mapInArrow(scan, PAIRS)
+
+
+MET = "tile long, block long, own long, large boolean, node long, component long"
+
+
+def crossing_items(rows: DataFrame, ratio: float, least: float) -> DataFrame:
+    """The items of ``tiles`` that ``crossing_pairs`` are of: no more rows than the tiles have."""
+    names = [c.split()[0] for c in MET.split(", ")]
+
+    def scan(batches):
+        for table, found in _meetings(batches, ratio, least):
+            met = np.zeros(table.num_rows, bool)
+            for i, j, _ in found:
+                met[i] = met[j] = True
+            if met.any():
+                yield from table.select(names).filter(pa.array(met)).combine_chunks().to_batches()
+
+    return _by_tile(tiles(rows), "n", "node").mapInArrow(scan, MET).distinct()
+
+
+class _Home:
+    """The whole sets of a tile's items at home, and the components that its links have united."""
+
+    def __init__(self, table: pa.Table, shingles: Callable[[str], np.ndarray], hundredths: int):
+        self.tile, self.block = table.column("tile")[0].as_py(), table.column("block")[0].as_py()
+        self.node, self.component = (table.column(c).to_numpy() for c in ("node", "component"))
+        self.large = np.array(table.column("large").to_pylist())
+        self.shingles, self.hundredths, self.above = shingles, hundredths, {}
+        sets = [shingles(text) for text in table.column("text").to_pylist()]
+        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
+        values, holders = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
+        order = values.argsort(kind="stable")
+        self.values, self.holders = values[order], holders[order]
+        kinds, of, sizes = np.unique(self.component, return_inverse=True, return_counts=True)
+        # Two items of different components are not both of the most frequent one.
+        self.others = {int(k): sets[k] for k in np.flatnonzero(of != sizes.argmax())}
+
+    def _common(self, own: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections with the items at home."""
+        first, end = (self.values.searchsorted(own, side) for side in ("left", "right"))
+        count = end - first
+        places = np.repeat(first - (count.cumsum() - count), count) + np.arange(count.sum())
+        return np.bincount(self.holders[places], minlength=len(self.n))
+
+    def _top(self, component: int) -> int:
+        while (above := self.above.get(component, component)) != component:
+            self.above[component] = self.above.get(above, above)
+            component = above
+        return component
+
+    def _links(self, node: int, component: int, own: np.ndarray, meets: np.ndarray):
+        """Links of an item that join components not yet joined in this tile."""
+        common = self._common(own)
+        alike = meets & (common > 0) & (self.component != component)
+        alike &= 100 * common >= self.hundredths * (self.n + len(own) - common)
+        like = np.flatnonzero(alike)
+        for other, k in zip(*np.unique(self.component[like], return_index=True)):
+            x, y = self._top(component), self._top(int(other))
+            if x != y:
+                self.above[max(x, y)] = min(x, y)
+                end = int(self.node[like[k]])
+                yield min(node, end), max(node, end)
+
+    def inner(self):
+        every = np.ones(len(self.n), bool)
+        for k, own in self.others.items():
+            yield from self._links(int(self.node[k]), int(self.component[k]), own, every)
+
+    def visited(self, table: pa.Table):
+        columns = (table.column(c).to_pylist() for c in ("node", "component", "own", "text"))
+        for node, component, from_, text in zip(*columns):
+            yield from self._links(node, component, self.shingles(text), _meets(self.large, from_, self.block))
+
+
+def crossing_links(met: DataFrame, items: DataFrame, shingles: Callable[[str], np.ndarray], hundredths: int) -> DataFrame:
+    """Links (a, b) that join the components of the ``met`` items of each tile, by their whole texts.
+
+    Every pair of a tile is compared where it meets, and a tile gives fewer links than it has
+    components: no row stands for a pair.
+    """
+
     def scan(batches):
         home = None
         for visiting, table in homes_first(batches):
-            if visiting:
-                if home is not None and home[0] == table.column("tile")[0].as_py():
-                    yield from visits(home, table)
-                continue
-            node = table.column("node").to_numpy()
-            for i, j, estimate in _pairs(table, "tile", ratio, least):
-                yield _emit(node, i, j, estimate)
             tile = table.column("tile").to_numpy()
-            last = table.slice(int(np.searchsorted(tile, tile[-1])))
-            home = tile[-1], last.column("block")[0].as_py(), np.array(last.column("large").to_pylist()), _columns(last)
+            if visiting:
+                found = list(home.visited(table)) if home is not None and home.tile == tile[0] else []
+            else:
+                found, cuts = [], np.flatnonzero(tile[1:] != tile[:-1]) + 1
+                for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tile)]):
+                    home = _Home(table.slice(start, end - start), shingles, hundredths)
+                    found += home.inner()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    return (
-        tiles(rows).withColumn("visits", F.col("own") != F.col("block"))
-        .repartition("tile").sortWithinPartitions("tile", "visits", "n", "node").drop("visits")
-        .mapInArrow(scan, PAIRS)
-    )
+    texts = met.join(items.select("node", "text"), "node")
+    texts = texts.select("tile", "block", "own", "large", "node", "component", "text")
+    return _by_tile(texts, "node").mapInArrow(scan, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, items: DataFrame, shingles: Callable[[str], np.ndarray], hundredths: int) -> DataFrame:
@@ -388,12 +501,10 @@ def components(
             break
     whole = forest.withColumnRenamed("key", "region").join(items.select("node", "n", "sketch"), "node")
     whole = stages.write(_crossing(whole, known), "whole")
-    crossing = crossing_pairs(whole, ratio, least).select("a", "b").distinct()
-    more = stages.write(
-        verified(crossing.join(tried, ["a", "b"], "left_anti"), items, shingles, hundredths), "links"
-    )
+    met = stages.write(crossing_items(whole, ratio, least), "met")
+    more = stages.write(crossing_links(met, items, shingles, hundredths), "links")
     found = stages.write(connected(_between(more, known), stages), "components")
-    stages.drop("regions", "labelled", "whole", "tried", "links", "known", "edges")
+    stages.drop("regions", "labelled", "whole", "met", "tried", "links", "known", "edges")
     return found
 
 

@@ -181,6 +181,57 @@ def test_near_links_within_a_crowd(spark):
     assert {k: got[3000 + k] for k in range(10)} == {k: 3000 + k if k % 2 else 0 for k in range(10)}
 
 
+def test_near_crowd_below_the_threshold_forms_no_square(spark, monkeypatch):
+    """200 documents at 0.72 of each other and of a family of 300: each pair is judged, none gets a row of its own."""
+    base = [f"w{k}" for k in range(400)]  # 396 shingles
+    texts = [[*base[: 80 + k], f"edit{k}", *base[81 + k :]] for k in range(300)]
+    texts += [[f"own{k}-{x}" for x in range(64)] + base[64:] for k in range(200)]
+    counts, whole = [], links.verified
+    monkeypatch.setattr(links, "verified", lambda pairs, *more: counts.append(pairs.count()) or whole(pairs, *more))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.decisions(docs).collect()}
+    assert got == {k: 0 if k < 300 else k for k in range(500)}
+    assert sum(counts) <= near_dedup.FOREST.trees * 500
+
+
+def test_crossing_links_span_what_all_pairs_link(spark, monkeypatch):
+    """The links of a region of several tiles unite what all its pairs do, in fewer rows than it has components."""
+    monkeypatch.setattr(links, "TILE_ITEMS", 16)
+    rng = random.Random(9)
+    texts = [" ".join(rng.sample("abcdefghij", 8)) for _ in range(120)]
+    component = [rng.choice([0, 0, 0, k]) for k in range(120)]
+    rows = [(7, k, 8, b"same", component[k], text) for k, text in enumerate(texts)]
+    items = spark.createDataFrame(rows, "region long, node long, n long, sketch binary, component long, text string")
+    met = links.crossing_items(items.drop("text").repartition(3), 0.75, 0.64)
+    assert {r.node for r in met.collect()} == set(range(120))
+
+    def words(text):
+        return np.unique([ord(x) for x in text.split()]).astype(np.uint64)
+
+    found = {(r.a, r.b) for r in links.crossing_links(met, items, words, 100).collect()}
+    sets = [set(t.split()) for t in texts]
+    assert found and all(sets[a] == sets[b] and component[a] != component[b] for a, b in found)
+    assert len(found) < len(set(component)) * met.select("tile").distinct().count()
+    given = [(f"c{component[k]}", k) for k in range(120)]
+
+    def parts(edges):
+        root = {x: x for e in given for x in e}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in [*given, *edges]:
+            root[top(a)] = top(b)
+        together = defaultdict(set)
+        for x in root:
+            together[top(x)].add(x)
+        return {frozenset(x) for x in together.values()}
+
+    assert parts(found) == parts((a, b) for a in range(120) for b in range(a) if sets[a] == sets[b])
+
+
 def test_crossing_pairs_meet_in_tiles(spark, monkeypatch):
     """A region of several tiles gives every pair of different components that is alike, once."""
     monkeypatch.setattr(links, "TILE_ITEMS", 16)
