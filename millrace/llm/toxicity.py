@@ -12,6 +12,7 @@ import math
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -35,12 +36,16 @@ SECOND_PERSON = frozenset(
 )
 NEAR = 5
 WORD = re.compile(r"[^\W_]+(?:[*@$!0-9'_.-]+[^\W_]+)*")
-OBFUSCATED = re.compile(r"[^\W\d_]+[*@$!_.0-9-]+[^\W\d_]+")
+# From the first letter of a run and without a way back: a long run costs its length, not the square of it.
+OBFUSCATED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[*@$!_.0-9-]++[^\W\d_]+")
+JOINED = re.compile(r"[*@$!_.0-9-]++(?=[^\W\d_])")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
-CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
-MARKS = re.compile(r"[^\w\s]")
-EXCITED = re.compile(r"[!?]")
+# Begins with a set of characters, which a search skips to.
+SHOUTED = re.compile(r"[A-ZÀ-ÖØ-Þ](?<!\w.)[A-ZÀ-ÖØ-Þ]{2,}\b")
+WIDE_MARKS = re.compile(r"[^\w\s\x00-\xff]")
+LATIN = bytes(range(256)).decode("latin-1")
+CAPITALS = re.sub(r"[^A-ZÀ-ÖØ-Þ]", "", LATIN).encode("latin-1")
+MARKS = re.sub(r"[\w\s]", "", LATIN).encode("latin-1")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,6 +62,47 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def counts(text: str) -> tuple[int, int, int, int, int, int]:
+    """Capitals, shouted words, exclamation and question marks, all marks, obfuscated words and stretched
+    letters. Most texts have no candidate of the costly patterns, which cheaper searches tell."""
+    latin = text.encode("latin-1", "replace")
+    capitals = len(latin) - len(latin.translate(None, CAPITALS))
+    marks = len(latin) - len(latin.translate(None, MARKS))
+    asked = text.count("?")
+    if wide := latin.count(b"?") - asked:  # each stands for a character beyond Latin-1
+        marks += len(WIDE_MARKS.findall(text)) - wide
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = points[1:] == points[:-1]
+    return (
+        capitals,
+        len(SHOUTED.findall(text)) if capitals > 2 else 0,
+        asked + text.count("!"),
+        marks,
+        len(OBFUSCATED.findall(text)) if JOINED.search(text) else 0,
+        len(STRETCHED.findall(text)) if (same[1:] & same[:-1]).any() else 0,
+    )
+
+
+class Found(dict):
+    """For each word (its strongest term or None, that term's weight, whether it is second person), None where it
+    is neither; forgets all when it has grown to ``bound`` words."""
+
+    bound = 100_000
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> tuple[str | None, float, bool] | None:
+        if len(self) >= self.bound:
+            self.clear()
+        known = [t for t in terms(word) if t in self.lexicon.counts]
+        term, person = max(known, key=self.lexicon.weight, default=None), word in SECOND_PERSON
+        weight = 0.0 if term is None else max(0.0, self.lexicon.weight(term))
+        self[word] = found = None if term is None and not person else (term, weight, person)
+        return found
+
+
 @dataclass
 class Lexicon:
     """Counts of labelled documents with each term, by label, and of all labelled documents."""
@@ -69,26 +115,23 @@ class Lexicon:
         a, b = self.counts[term]
         return math.log((a + 0.5) / (self.toxic + 1) * (self.clean + 1) / (b + 0.5))
 
-    def features(self, text: str, found: dict[str, str | None]) -> list[float]:
-        """Densities and rates of a whole text. ``found`` remembers each word's strongest term."""
+    def features(self, text: str, found: Found) -> list[float]:
+        """Densities and rates of a whole text."""
         words = words_of(text)
-        if len(found) > 100_000:
-            found.clear()
-        hits, people = [], []
-        for k, word in enumerate(words):
-            try:
-                term = found[word]
-            except KeyError:
-                known = [t for t in terms(word) if t in self.counts]
-                term = found[word] = max(known, key=self.weight, default=None)
-            if term is not None:
-                hits.append((k, term))
-            if word in SECOND_PERSON:
-                people.append(k)
-        weights = [max(0.0, self.weight(t)) for _, t in hits]
+        places, people, hits, weights = [], [], [], []
+        for k, known in enumerate(map(found.__getitem__, words)):
+            if known is not None:
+                term, weight, person = known
+                if term is not None:
+                    places.append(k)
+                    hits.append(term)
+                    weights.append(weight)
+                if person:
+                    people.append(k)
+        capitals, shouted, excited, marks, obfuscated, stretched = counts(text)
         n, length = max(1, len(words)), max(1, len(text))
         close, at = 0, 0
-        for k, _ in hits:
+        for k in places if people else ():
             while at < len(people) and people[at] < k - NEAR:
                 at += 1
             close += at < len(people) and people[at] <= k + NEAR
@@ -98,15 +141,15 @@ class Lexicon:
             sum(weights),
             max(weights, default=0.0),
             sum(weights) / n,
-            float(len({t for _, t in hits})),
+            float(len(set(hits))),
             len(people) / n,
             close / max(1, len(hits)),
-            len(CAPITALS.findall(text)) / length,
-            len(SHOUTED.findall(text)) / n,
-            len(EXCITED.findall(text)) / length,
-            len(MARKS.findall(text)) / length,
-            len(OBFUSCATED.findall(text)) / n,
-            len(STRETCHED.findall(text)) / n,
+            capitals / length,
+            shouted / n,
+            excited / length,
+            marks / length,
+            obfuscated / n,
+            stretched / n,
             math.log1p(len(words)),
         ]
 
@@ -128,7 +171,7 @@ def _features(rows: DataFrame, lexicons: list[Lexicon]) -> DataFrame:
 
     def scan(batches):
         own = shared()
-        found = [{} for _ in own]
+        found = [Found(lexicon) for lexicon in own]
         for batch in batches:
             values = [
                 own[-1 if fold is None else fold].features(text, found[-1 if fold is None else fold])

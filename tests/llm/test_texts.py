@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -216,3 +217,19 @@ def test_toxic_rows_go_by_their_own_text(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "scores", lambda *_, **__: scored)
     left = toxicity.without_toxic(docs, docs).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (1, "good"), (2, "good")]
+
+
+def test_toxicity_counts_equal_plain_patterns():
+    """Cheaper searches count what the patterns of the features say, also in long runs of letters."""
+    capital = "A-ZÀ-ÖØ-Þ"
+    plain = [
+        f"[{capital}]", rf"\b[{capital}]{{3,}}\b", "[!?]", r"[^\w\s]", r"[^\W\d_]+[*@$!_.0-9-]+[^\W\d_]+", r"([^\W\d_])\1\1",
+    ]
+    rng = random.Random(4)
+    letters = "aAbBÄß_É×÷ÞÐ0129²½.-*@$!_? \n\t'“—…😀ΩЖжé\x85\xa0x\ud800"
+    for _ in range(20_000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(30)))
+        assert toxicity.counts(text) == tuple(len(re.findall(p, text)) for p in plain), text
+    start = time.perf_counter()
+    assert toxicity.counts("ab" * 100_000 + " a.b") == (0, 0, 0, 1, 1, 0)
+    assert time.perf_counter() - start < 2
