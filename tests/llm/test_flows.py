@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import sys
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -16,6 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
 from millrace.llm import mixing, near_dedup, queries, toxicity, warc  # noqa: E402
+from millrace.llm.common import SHUFFLES_GO, Stages  # noqa: E402
 from millrace_checks.compare import differences, duck  # noqa: E402
 
 
@@ -245,3 +247,22 @@ def test_pipeline_of_an_empty_table(spark, sf_dir, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = held.getAllFiles()
+        names = (files.apply(k).getName() for k in range(files.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(SHUFFLES_GO, "false")
+    stages = Stages(spark, "test")
+    rows = stages.write(spark.range(10_000).repartition(7).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    until = time.monotonic() + 20
+    while shuffles() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(SHUFFLES_GO, "false") == setting and rows.count() == 100
+    stages.drop("counts")
