@@ -121,8 +121,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         ),
         "items",
     )
+    stages.drop("texts")
     found = links.components(forest, items, _shingles, HUNDREDTHS, stages, LEAST_ESTIMATE)
-    stages.drop("texts", "forest", "items")
+    stages.drop("forest", "items")
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "line_no", "row")
     firsts = places.where("node is not null").groupBy("node", "other").agg(F.min(place).alias("place"))
     alike = firsts.groupBy("node").agg(F.count("*").alias("texts"))

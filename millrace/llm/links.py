@@ -129,7 +129,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 
 
 def regions(forest: DataFrame, items: DataFrame) -> DataFrame:
-    """(region, node, n, sketch): adaptive depth, the deeper key where many items share one."""
+    """(region, node): adaptive depth, the deeper key where many items share one."""
     tree = F.col("key").bitwiseAND(TREE_MASK).cast("int")
     deep = forest.join(items.select("node", "deep"), "node").select("key", "node", F.get("deep", tree).alias("deep"))
     crowded = forest.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > REGION_ITEMS)
@@ -146,8 +146,6 @@ def regions(forest: DataFrame, items: DataFrame) -> DataFrame:
             "node",
         )
         .distinct()
-        .join(items.select("node", "n", "sketch"), "node")
-        .select("region", "node", "n", "sketch")
     )
 
 
@@ -485,13 +483,14 @@ def components(
     """
     ratio = hundredths / 100
     rows = stages.write(regions(forest, items), "regions")
-    start = rows.withColumn("component", F.col("node"))
+    start = _sketched(rows.withColumn("component", F.col("node")), items)
     known = None if given is None else stages.write(connected(given, stages), "known")
     tried = None
     while True:
-        labelled = start if known is None else stages.write(_crossing(rows, known), "labelled")
+        labelled = start if known is None else stages.write(_crossing(rows, known, items), "labelled")
         chosen = closest_pairs(labelled, ratio, least)
         chosen = stages.write(chosen if tried is None else chosen.join(tried, ["a", "b"], "left_anti"), "tried")
+        stages.drop("labelled")
         links = stages.write(verified(chosen, items, shingles, hundredths), "links")
         tried = chosen if tried is None else tried.union(chosen)
         count = links.count()
@@ -499,20 +498,26 @@ def components(
             known = stages.write(connected(_between(links, known), stages), "known")
         if count * LINKS_OF <= chosen.count():
             break
-    whole = forest.withColumnRenamed("key", "region").join(items.select("node", "n", "sketch"), "node")
-    whole = stages.write(_crossing(whole, known), "whole")
+    stages.drop("regions", "tried")
+    whole = stages.write(_crossing(forest.withColumnRenamed("key", "region"), known, items), "whole")
     met = stages.write(crossing_items(whole, ratio, least), "met")
+    stages.drop("whole")
     more = stages.write(crossing_links(met, items, shingles, hundredths), "links")
     found = stages.write(connected(_between(more, known), stages), "components")
-    stages.drop("regions", "labelled", "whole", "met", "tried", "links", "known", "edges")
+    stages.drop("met", "links", "known", "edges")
     return found
 
 
-def _crossing(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of the regions with items of several components, with the component."""
+def _crossing(rows: DataFrame, known: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (region, node) of the regions with items of several components, with component, size and sketch."""
     labelled = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = labelled.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    return labelled.join(ends.where("x <> y").select("region"), "region", "left_semi")
+    return _sketched(labelled.join(ends.where("x <> y").select("region"), "region", "left_semi"), items)
+
+
+def _sketched(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The narrow rows are exchanged, a sketch only once for each item."""
+    return rows.join(items.select("node", "n", "sketch"), "node").select("region", "node", "n", "sketch", "component")
 
 
 def _between(links: DataFrame, known: DataFrame | None) -> DataFrame:

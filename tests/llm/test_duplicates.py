@@ -272,6 +272,28 @@ def test_lines_equal_brute_force(documents):
     assert got == brute_lines(rows)
 
 
+def test_line_stages_go_when_used_up(spark, edge, monkeypatch):
+    """Whole lines are not kept beside the links, nor sketches in the tables that precede their exchange."""
+    held, columns, whole = [], {}, Stages.write
+    search = links.components
+
+    def write(stages, df, name):
+        columns[name] = df.columns
+        return whole(stages, df, name)
+
+    def components(forest, items, shingles, hundredths, stages, *more):
+        held.append(set(stages.paths))
+        found = search(forest, items, shingles, hundredths, stages, *more)
+        held.append(set(stages.paths))
+        return found
+
+    monkeypatch.setattr(Stages, "write", write)
+    monkeypatch.setattr(links, "components", components)
+    assert line_dedup.decisions(edge).count() == 14
+    assert held[0] == {"places", "forest", "items"} and held[1] == held[0] | {"components"}
+    assert columns["regions"] == ["region", "node"]
+
+
 def test_line_edges(spark, edge, empty):
     rows = line_dedup.decisions(edge).collect()
     assert len(rows) == 14
