@@ -165,10 +165,13 @@ def folder_outcomes(files: DataFrame, raw: DataFrame, unreadable: Sequence[str]
     (``sources.files.land_folders``). A folder fails when a file is absent or it is unreadable; the
     other folders go on. A readable file without a record is good.
     """
-    per_file = raw.groupBy(file_name("source_file").alias("__name")).agg(
+    per_source = raw.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("raw_count"),
         F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt_count"),
     )
+    per_file = per_source.groupBy(file_name("source_file").alias("__name")).agg(
+        F.sum("raw_count").alias("raw_count"), F.sum("corrupt_count").alias("corrupt_count")
+    )
     unread = F.col("bytes").isNull() | F.col("folder").isin(list(unreadable))
     return (
         files.withColumn("__name", file_name("data_file"))

@@ -96,11 +96,10 @@ def _run(spark, feed, lookups, names, control_path, tracking_path, load_date, jo
         mark = manifests.watermark(runs.read_control(spark, control_path), job_name)
         discovered = materialize(manifests.discover(spark, feed, mark, key_root=key_root, bounds=bounds), "manifests")
         tracked = runs.read_tracking(spark, tracking_path).where(F.col("job_name") == job_name)
-        found, raw, unreadable = _land(spark, discovered, feed, tracked)
+        found, records, unreadable = _land(spark, discovered, feed, tracked)
         quality.enforce(found, quality.row_count_gt(0))
-        source_count = raw.count()
+        source_count = records.count()
 
-        records = materialize(activations.parse_records(raw), "records")
         outputs = _outputs(records, lookups, load_date, started)
         changes = []
         for target, rows in outputs.items():
@@ -109,11 +108,11 @@ def _run(spark, feed, lookups, names, control_path, tracking_path, load_date, jo
             changes.append(prepare_load(rows, destination, staged=True))
             target_count += rows.count()
         read = found.where(F.col("bytes").isNotNull() & ~F.col("folder").isin(unreadable))
-        tracking = runs.file_tracking(raw, job_name, started, read)
+        tracking = runs.file_tracking(records, job_name, started, read)
         changes.append(tables.prepare_files(tracking, tracking_path))
         journal.load_all(spark, f"{control_path}.journal", changes)
 
-        outcomes = runs.folder_outcomes(found, raw, unreadable)
+        outcomes = runs.folder_outcomes(found, records, unreadable)
         per_folder = materialize(_per_folder(outcomes, records, found, lookups), "folders")
         status = per_folder.agg(runs.run_status(per_folder)).first()[0]
         return runs.run_summary(per_folder, target_count)
@@ -137,7 +136,7 @@ def _run(spark, feed, lookups, names, control_path, tracking_path, load_date, jo
 def _land(
     spark: SparkSession, discovered: DataFrame, feed: str, tracked: DataFrame
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The new files, their landed records, and the folders that can't be read whole."""
+    """The new files, their records, flat and landed once, and the folders that can't be read whole."""
     lists, landing = shared_folder(spark, "files"), shared_folder(spark, "landing")
     folders = discovered.select("folder").distinct().count()
     groups = max(1, -(-folders // GROUP_FOLDERS))
@@ -147,9 +146,11 @@ def _land(
         listed = runs.untracked(manifests.present_and_missing(part, feed), tracked)
         listed.write.parquet(f"{lists}/part={group}")
         listed = spark.read.schema(listed.schema).parquet(f"{lists}/part={group}")
-        unreadable += files.land_folders(spark, listed, image_schema(), f"{landing}/group={group}")
+        unreadable += files.land_folders(
+            spark, listed, image_schema(), f"{landing}/group={group}", activations.parse_records
+        )
     found = spark.read.schema(listed.schema).option("recursiveFileLookup", True).parquet(lists)
-    return found, files.landed(spark, image_schema(), landing), unreadable
+    return found, files.landed(spark, image_schema(), landing, activations.parse_records), unreadable
 
 
 def _outputs(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from millrace.session import materialize
 
 CORRUPT = "_corrupt"
+Shape = Callable[[DataFrame], DataFrame]
 
 
 def read_csv(
@@ -66,9 +67,10 @@ def read_json_lines(
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after)
     paths = path if isinstance(path, str) else list(path)
-    # The metadata path is URL-encoded; a plus sign in it is literal.
-    encoded = F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")
-    df = reader.json(paths).withColumn("source_file", F.url_decode(encoded))
+    # The metadata path is URL-encoded; a plus sign in it is literal. Most paths need no decoding.
+    path = F.col("_metadata.file_path")
+    decoded = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    df = reader.json(paths).withColumn("source_file", F.when(path.contains("%"), decoded).otherwise(path))
     return df.repartition(spread) if spread else df
 
 
@@ -83,12 +85,13 @@ def land(raw: DataFrame) -> DataFrame:
 
 
 def land_folders(
-    spark: SparkSession, found: DataFrame, schema: T.StructType, target: str
+    spark: SparkSession, found: DataFrame, schema: T.StructType, target: str, shape: Shape | None = None
 ) -> list[str]:
     """Land the present files of a bounded group of folders below ``target``; returns the folders
     that cannot be read whole.
 
-    ``found`` lists (folder, data_file, bytes). All files are one job. If that fails, one more job looks
+    ``found`` lists (folder, data_file, bytes). ``shape`` turns the read records row by row into those that are
+    landed, so that only one copy of them is written; it keeps ``source_file`` and ``_corrupt``. All files are one job. If that fails, one more job looks
     for damaged files, and one lands the folders that have none. A failure that no damaged file
     explains (the store, memory, a permission) is raised: it says nothing about the folders.
     """
@@ -99,7 +102,7 @@ def land_folders(
     if not every:
         return []
     try:
-        _land_files(spark, every, schema, f"{target}/part=0")
+        _land_files(spark, every, schema, f"{target}/part=0", shape)
         return []
     except (PySparkException, Py4JJavaError):  # the files of the failed attempt are removed by the writer
         bad = {row["file"] for row in gzip_integrity(spark, every).where("NOT ok").collect()}
@@ -108,12 +111,15 @@ def land_folders(
     unreadable = sorted(folder for folder, names in by_folder.items() if bad & set(names))
     good = sorted(f for folder, names in by_folder.items() if folder not in unreadable for f in names)
     if good:
-        _land_files(spark, good, schema, f"{target}/part=1")
+        _land_files(spark, good, schema, f"{target}/part=1", shape)
     return unreadable
 
 
-def _land_files(spark: SparkSession, paths: list[str], schema: T.StructType, target: str) -> None:
-    read_json_lines(spark, paths, schema).write.mode("overwrite").parquet(target)
+def _land_files(
+    spark: SparkSession, paths: list[str], schema: T.StructType, target: str, shape: Shape | None = None
+) -> None:
+    raw = read_json_lines(spark, paths, schema)
+    (shape(raw) if shape else raw).write.mode("overwrite").parquet(target)
 
 
 def gzip_integrity(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -167,12 +173,14 @@ def _unpacker():
     return unpacked
 
 
-def landed(spark: SparkSession, schema: T.StructType, root: str) -> DataFrame:
-    """All that ``land_folders`` has put below ``root``."""
+def landed(spark: SparkSession, schema: T.StructType, root: str, shape: Shape | None = None) -> DataFrame:
+    """All that ``land_folders`` has put below ``root``, with the same ``shape``."""
     columns = [*schema.fields, *(T.StructField(c, T.StringType()) for c in (CORRUPT, "source_file"))]
     # An empty part, so that there is something to read when no file was good.
-    spark.createDataFrame([], T.StructType(columns)).write.mode("overwrite").parquet(f"{root}/part=none")
-    reader = spark.read.schema(T.StructType(columns)).option("recursiveFileLookup", True)
+    empty = spark.createDataFrame([], T.StructType(columns))
+    empty = shape(empty) if shape else empty
+    empty.write.mode("overwrite").parquet(f"{root}/part=none")
+    reader = spark.read.schema(empty.schema).option("recursiveFileLookup", True)
     return reader.parquet(root)
 
 

@@ -211,13 +211,15 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The images of all events as a nested table, the shape a feed has after landing.
 
     Derived from ``events`` once per session and table folder; several files, so that a
-    read is as parallel as one of a landed feed.
+    read is as parallel as one of a landed feed. The narrow events are dealt, so that the images
+    are built by all tasks, however few row groups the table has.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _image_folders:
         path = shared_folder(spark, "images")
-        derived = spark.sql(IMAGES, activation_flat=frame(spark, sf_dir, "activation_flat"))
-        derived.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+        flat = spark.sql(VIEWS["activation_flat"], events=events.repartition(spark.sparkContext.defaultParallelism))
+        spark.sql(IMAGES, activation_flat=flat).write.parquet(path)
         _image_folders[key] = path
     return spark.read.schema(image_schema()).parquet(_image_folders[key])
 

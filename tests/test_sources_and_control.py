@@ -294,3 +294,25 @@ def test_a_declared_feed_passes_its_bounds(spark, tmp_path):
     extract = {"source": "s3", "path": str(tmp_path), "file_format": "jsonl_gz", "discovery": {"method": "manifest", "days": "%Y-%m-%d"}}
     rows = extracted.open_source(spark, extract, SCHEMA, control=control, job_name="job")
     assert [r.source_file.split("/")[-3] for r in rows.collect()] == [f"{day:%Y-%m-%d}"]
+
+
+def test_folders_land_in_the_shape_they_are_used_in(spark, tmp_path):
+    """One copy: the shape is applied between the read and the write, corrupt marks and names are kept."""
+    write_gz(f"{tmp_path}/in/data 1+2%.json.gz", ['{"a": 1}', '{"a": "x', '{"a": 3}'])
+    write_gz(f"{tmp_path}/in/plain+.json.gz", ['{"a": 1}'])
+    names = [f"{tmp_path}/in/data 1+2%.json.gz", f"{tmp_path}/in/plain+.json.gz"]
+    found = spark.createDataFrame([("in", n, 1) for n in names], "folder string, data_file string, bytes long")
+
+    def doubled(raw):
+        return raw.select("source_file", files.CORRUPT, (F.col("a") * 2).cast("long").alias("twice"))
+
+    root = shared_folder(spark, "land-test")
+    assert files.land_folders(spark, found, SCHEMA, f"{root}/group=0", doubled) == []
+    raw = files.landed(spark, SCHEMA, root, doubled)
+    rows = [(r.source_file.split(":")[-1].replace("//", ""), r[files.CORRUPT], r.twice) for r in raw.collect()]
+    assert sorted(rows, key=str) == sorted(
+        [(names[0], None, 2), (names[0], '{"a": "x', None), (names[0], None, 6), (names[1], None, 2)], key=str
+    )
+    outcome = runs.folder_outcomes(found, raw).first()
+    assert (outcome.raw_count, outcome.corrupt_count, outcome.status) == (4, 1, "Success")
+    assert sorted(r.raw_count for r in runs.file_tracking(raw, "job", datetime.datetime(2024, 2, 1, tzinfo=UTC), found).collect()) == [1, 3]
