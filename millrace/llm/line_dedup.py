@@ -77,16 +77,13 @@ def _shingles(line: str) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, line_no, line) of the lines that aren't blank, and one null line of a
-    document without any."""
+    """(doc_id, text_hash, row, lines) of each document, ``lines`` being its lines that aren't blank as (line_no, line)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     numbered = F.transform(F.split(text, "\n"), lambda x, k: F.struct(k.alias("line_no"), x.alias("line")))
     kept = F.filter(numbered, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-        F.monotonically_increasing_id().alias("row"), kept.alias("kept"),
-    ).select("doc_id", "text_hash", "row", F.explode_outer("kept").alias("x")).select(
-        "doc_id", "text_hash", "row", "x.line_no", "x.line"
+        F.monotonically_increasing_id().alias("row"), kept.alias("lines"),
     )
 
 
@@ -100,16 +97,13 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     empty table gives no rows.
     """
     stages = Stages(docs.sparkSession, "line-dedup")
-    lines = _lines(docs, id_col, text_col).withColumn("node", F.xxhash64("line"))
+    lines = _lines(docs, id_col, text_col)
     # A second hash tells lines apart that share the first.
-    places = stages.write(
-        lines.select(
-            "doc_id", "text_hash", "row", "line_no",
-            F.when(F.col("line").isNotNull(), F.col("node")).alias("node"), F.xxhash64(F.lit(1), "line").alias("other"),
-        ),
-        "places",
-    )
-    texts = lines.where("line is not null").select("line").distinct().select(F.xxhash64("line").alias("node"), "line")
+    hashed = F.transform("lines", lambda x: F.struct(
+        x["line_no"].alias("line_no"), F.xxhash64(x["line"]).alias("node"), F.xxhash64(F.lit(1), x["line"]).alias("other")
+    ))
+    places = stages.write(lines.withColumn("lines", hashed), "places")
+    texts = lines.select(F.explode("lines.line").alias("line")).distinct().select(F.xxhash64("line").alias("node"), "line")
     texts = stages.write(texts, "texts")
     forest = stages.write(links.shared_keys(texts.mapInArrow(_keys, "key long, node long")), "forest")
     items = texts.join(forest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
@@ -124,24 +118,24 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     stages.drop("texts")
     found = links.components(forest, items, _shingles, HUNDREDTHS, stages, LEAST_ESTIMATE)
     stages.drop("forest", "items")
+    # A line that occurs once and is like no other stays; only the others are compared.
+    times = places.select(F.explode("lines.node").alias("node")).groupBy("node").agg(F.count("*").alias("times"))
+    open_ = times.where("times > 1").select("node").union(found.select("node")).distinct()
+    occurrences = places.select("doc_id", "row", F.explode("lines").alias("x")).select("doc_id", "row", "x.*")
+    occurrences = stages.write(occurrences.join(open_, "node", "left_semi"), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "line_no", "row")
-    firsts = places.where("node is not null").groupBy("node", "other").agg(F.min(place).alias("place"))
+    firsts = occurrences.groupBy("node", "other").agg(F.min(place).alias("place"))
     alike = firsts.groupBy("node").agg(F.count("*").alias("texts"))
     firsts = firsts.join(alike, "node").join(found, "node", "left").withColumn(
         "component", F.when(F.col("texts") > 1, F.xxhash64("node", "other")).otherwise(F.coalesce("component", "node"))
     )
-    firsts = stages.write(firsts.select("node", "other", "place", "component"), "firsts")
-    stay = firsts.groupBy("component").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("stays"))
-    # The few lines that stay first of their kind; every other occurrence goes.
-    stay = stay.select("place.row", "place.line_no", "stays")
-    judged = places.join(stay, ["row", "line_no"], "left")
-    goes = F.col("node").isNotNull() & F.col("stays").isNull()
+    stay = firsts.groupBy("component").agg(F.min("place").alias("place")).select("place.row", "place.line_no")
+    goes = occurrences.select("row", "line_no").join(stay, ["row", "line_no"], "left_anti")
+    goes = goes.groupBy("row").agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
     return (
-        judged.groupBy("row")
-        .agg(
-            F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.count("node").alias("n_lines"),
-            F.array_sort(F.collect_list(F.when(goes, F.col("line_no")))).alias("dropped"),
-        )
+        places.select("row", "doc_id", "text_hash", F.size("lines").cast("long").alias("n_lines"))
+        .join(goes, "row", "left")
+        .withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
         .select("doc_id", "text_hash", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
     )
 

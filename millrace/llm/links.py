@@ -27,6 +27,8 @@ REGION_ITEMS = 256
 # shingles, and every item outside the region's largest component visits all of them.
 TILE_ITEMS = 1024
 TILE_SHINGLES = 2_000_000
+# Candidates of the last check go as pairs where a tile has at most so many for each of its items.
+FEW = 2
 # Edges that a task contracts at a time.
 CHUNK_EDGES = 500_000
 # The rounds end when fewer than one in so many of a round's candidates are links; the last check
@@ -313,15 +315,16 @@ def _meets(large: np.ndarray, own: int, block: int) -> np.ndarray:
 
 
 def _meetings(batches: Iterator[pa.RecordBatch], ratio: float, least: float):
-    """Tables of items that meet, and their candidates as indices. Holds one tile's home and one batch."""
+    """Tables of items that meet, how many of their first items have been in one before, and their candidates as
+    indices. Holds one tile's home and one batch."""
     home = None
     for visiting, table in homes_first(batches):
         tile = table.column("tile").to_numpy()
         if not visiting:
             home = table.slice(int(np.searchsorted(tile, tile[-1])))
-            yield table, _pairs(table, "tile", ratio, least)
+            yield table, 0, _pairs(table, "tile", ratio, least)
         elif home is not None and home.column("tile")[0].as_py() == tile[0]:
-            yield pa.concat_tables([home, table]), _visits(home, table, ratio, least)
+            yield pa.concat_tables([home, table]), home.num_rows, _visits(home, table, ratio, least)
 
 
 def _by_tile(rows: DataFrame, *order: str) -> DataFrame:
@@ -334,7 +337,7 @@ def crossing_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
     """All candidates between different components; rows (region, node, n, sketch, component)."""
 
     def scan(batches):
-        for table, found in _meetings(batches, ratio, least):
+        for table, _, found in _meetings(batches, ratio, least):
             node = table.column("node").to_numpy()
             for i, j, estimate in found:
                 yield _emit(node, i, j, estimate)
@@ -345,19 +348,42 @@ def crossing_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
 MET = "tile long, block long, own long, large boolean, node long, component long"
 
 
-def crossing_items(rows: DataFrame, ratio: float, least: float) -> DataFrame:
-    """The items of ``tiles`` that ``crossing_pairs`` are of: no more rows than the tiles have."""
+def _few_or_met(table: pa.Table, before: int, found, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates (i, j) of the tiles that have at most ``few`` for each item, and a mask of the items that
+    the other tiles' candidates are of. Holds no more candidates than that."""
+    _, of = np.unique(table.column("tile").to_numpy(), return_inverse=True)
+    most = few * np.bincount(of[before:], minlength=of.max() + 1)
+    count, met, held = np.zeros(len(most), np.int64), np.zeros(len(of), bool), []
+    for i, j, _ in found:
+        count += np.bincount(of[i], minlength=len(count))
+        many = (count > most)[of[i]]
+        met[i[many]] = met[j[many]] = True
+        held.append((i[~many], j[~many]))
+    i, j = (np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+    many = (count > most)[of[i]]
+    met[i[many]] = met[j[many]] = True
+    return i[~many], j[~many], met
+
+
+def crossing_items(rows: DataFrame, ratio: float, least: float, few: int = 0) -> DataFrame:
+    """What ``crossing_pairs`` finds, as rows of MET, a and b that are no more than a few for each row of ``tiles``: of a
+    tile with at most ``few`` candidates for each item the pairs (a, b), of another the items (MET)."""
     names = [c.split()[0] for c in MET.split(", ")]
+    kinds = [pa.bool_() if c.endswith("boolean") else pa.int64() for c in MET.split(", ")]
 
     def scan(batches):
-        for table, found in _meetings(batches, ratio, least):
-            met = np.zeros(table.num_rows, bool)
-            for i, j, _ in found:
-                met[i] = met[j] = True
+        for table, before, found in _meetings(batches, ratio, least):
+            i, j, met = _few_or_met(table, before, found, few)
+            if len(i):
+                ends = _emit(table.column("node").to_numpy(), i, j, np.zeros(len(i)))
+                none = [pa.nulls(len(i), kind) for kind in kinds]
+                yield pa.RecordBatch.from_arrays([*none, ends.column("a"), ends.column("b")], [*names, "a", "b"])
             if met.any():
-                yield from table.select(names).filter(pa.array(met)).combine_chunks().to_batches()
+                for batch in table.select(names).filter(pa.array(met)).combine_chunks().to_batches():
+                    none = pa.nulls(batch.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*batch.columns, none, none], [*names, "a", "b"])
 
-    return _by_tile(tiles(rows), "n", "node").mapInArrow(scan, MET).distinct()
+    return _by_tile(tiles(rows), "n", "node").mapInArrow(scan, f"{MET}, a long, b long").distinct()
 
 
 class _Home:
@@ -478,7 +504,7 @@ def components(
     edges (a, b) that hold without a check.
     In each round the closest candidates that span each region are checked on the full sets,
     and the links are united. When a round finds few, all remaining candidates between
-    components are checked once, in the uncut regions. Pairs within a component need no check: they
+    components are checked once, from the uncut regions. Pairs within a component need no check: they
     change nothing.
     """
     ratio = hundredths / 100
@@ -498,13 +524,16 @@ def components(
             known = stages.write(connected(_between(links, known), stages), "known")
         if count * LINKS_OF <= chosen.count():
             break
-    stages.drop("regions", "tried")
+    stages.drop("regions")
     whole = stages.write(_crossing(forest.withColumnRenamed("key", "region"), known, items), "whole")
-    met = stages.write(crossing_items(whole, ratio, least), "met")
+    met = stages.write(crossing_items(whole, ratio, least, FEW), "met")
     stages.drop("whole")
-    more = stages.write(crossing_links(met, items, shingles, hundredths), "links")
+    # A pair meets in the tiles of all keys it shares, and is checked once.
+    pairs = met.where("tile is null").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    many = crossing_links(met.where("tile is not null").drop("a", "b"), items, shingles, hundredths)
+    more = stages.write(verified(pairs, items, shingles, hundredths).union(many), "links")
     found = stages.write(connected(_between(more, known), stages), "components")
-    stages.drop("met", "links", "known", "edges")
+    stages.drop("met", "links", "known", "edges", "tried")
     return found
 
 

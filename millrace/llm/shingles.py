@@ -32,15 +32,30 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+def _polynomials(units: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hashes of all windows of ``width`` units, led by the width; windows of one, two, four ...
+    units are put together."""
+    total, covered = np.full(len(units) + 1, width, np.uint64), 0
+    part, length = units, 1  # windows of ``length`` units
+    power = np.array([_BASE])  # _BASE ** length, modulo 2 ** 64
+    while True:
+        if width & length:
+            # A window's first ``covered`` units are in ``total``.
+            count = len(units) - covered - length + 1
+            total = total[:count] * power + part[covered : covered + count]
+            covered += length
+        if covered == width:
+            return total
+        part = part[:-length] * power + part[length:]
+        power, length = power * power, 2 * length
+
+
 def _windows(units: np.ndarray, width: int) -> np.ndarray:
     """Distinct hashes of all windows; a shorter sequence is one window, an empty one none."""
     if not len(units):
         return np.empty(0, np.uint64)
     width = min(width, len(units))
-    total = np.full(len(units) - width + 1, width, np.uint64)
-    for k in range(width):
-        total = total * _BASE + units[k : len(units) - width + 1 + k]
-    return np.unique(mixed(total))
+    return np.unique(mixed(_polynomials(units, width)))
 
 
 def word_shingles(text: str, width: int = 5) -> np.ndarray:
@@ -58,10 +73,8 @@ def char_windows(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of lines that have at least one, one line after the other, and each
     line's first place among them."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * _MIX
-    count = len(points) - width + 1
-    total = np.full(count, width, np.uint64)
-    for k in range(width):
-        total = total * _BASE + points[k : count + k]
+    total = _polynomials(points, width)
+    count = len(total)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     ends = lengths.cumsum()
     inside = np.ones(count, bool)

@@ -250,6 +250,28 @@ def test_crossing_pairs_meet_in_tiles(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_few_candidates_go_as_pairs_and_many_as_items(spark, monkeypatch):
+    """Every pair that is alike is a row or has both ends in a tile's items; rows stay in proportion to the tiles'."""
+    monkeypatch.setattr(links, "TILE_ITEMS", 16)
+    rng = random.Random(10)
+    rows = []
+    for k in range(400):
+        region, component = (7, rng.choice([1, 1, 2, k])) if k < 200 else (k // 5, k)
+        sketch = b"aaaaaaaa" if 100 < k < 200 else bytes(rng.choice(b"abc") for _ in range(8))
+        rows.append((region, k, 100 + rng.randrange(60), sketch, component))
+    df = spark.createDataFrame(rows, "region long, node long, n long, sketch binary, component long").repartition(3)
+    want = {(r.a, r.b) for r in links.crossing_pairs(df, 0.75, 0.64).collect()}
+    got = links.crossing_items(df, 0.75, 0.64, 2).collect()
+    pairs = {(r.a, r.b) for r in got if r.tile is None}
+    met = defaultdict(set)
+    for r in got:
+        if r.tile is not None:
+            met[r.tile].add(r.node)
+    assert pairs and met and pairs <= want
+    assert all(any({a, b} <= nodes for nodes in met.values()) for a, b in want - pairs)
+    assert len(got) <= 3 * links.tiles(df).count()
+
+
 def brute_lines(rows):
     places, first = [], {}
     for i, text in sorted(rows):
