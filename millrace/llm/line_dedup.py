@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import links
 from millrace.llm.common import Stages
-from millrace.llm.shingles import Forest, char_shingles, char_windows
+from millrace.llm.shingles import Forest, char_shingles, char_windows, distinct_counts
 
 WIDTH = 8
 HUNDREDTHS = 80
@@ -61,12 +63,12 @@ def _sketches(batches):
         lines = batch.column("text").to_pylist()
         for part in _chunks(lines):
             hashes, starts = char_windows(lines[part], WIDTH)
-            n = [len(np.unique(x)) for x in np.split(hashes, starts[1:])]
+            n = distinct_counts(hashes, starts)
             minima = BANDS.minima_of(hashes, starts)
             sketch, deep = BANDS.bytes_of(minima, hashes, starts), BANDS.keys_of(minima).T
             cut = batch.slice(part.start, part.stop - part.start)
             yield pa.RecordBatch.from_arrays(
-                [cut.column("node"), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()),
+                [cut.column("node"), pa.array(n), pa.array(sketch, pa.binary()),
                  pa.array(list(deep), pa.list_(pa.int64())), cut.column("text")],
                 ["node", "n", "sketch", "deep", "text"],
             )
@@ -76,15 +78,34 @@ def _shingles(line: str) -> np.ndarray:
     return char_shingles(line, WIDTH)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, row, lines) of each document, ``lines`` being its lines that aren't blank as (line_no, line)."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    numbered = F.transform(F.split(text, "\n"), lambda x, k: F.struct(k.alias("line_no"), x.alias("line")))
-    kept = F.filter(numbered, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
-    return docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-        F.monotonically_increasing_id().alias("row"), kept.alias("lines"),
-    )
+def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """The lines that aren't blank: place of the text, line_no, line, and two hashes."""
+    split = pc.split_pattern(texts, "\n")
+    lines, text = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    line_no = np.arange(len(lines)) - text.searchsorted(text)
+    kept = ~pc.or_(pc.equal(lines, ""), pc.ascii_is_space(lines)).to_numpy(zero_copy_only=False)
+    lines = lines.filter(pa.array(kept))
+    digests = b"".join(map(xxhash.xxh3_128_digest, lines.cast(pa.binary()).to_pylist()))
+    return text[kept], line_no[kept].astype(np.int32), lines, np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
+def _places(batches):
+    for batch in batches:
+        text, line_no, _, hashes = _lines(batch.column("text"))
+        starts = text.searchsorted(np.arange(batch.num_rows + 1)).astype(np.int32)
+        # A second hash tells lines apart that share the first.
+        columns = [pa.array(line_no), *(pa.array(np.ascontiguousarray(hashes[:, k])) for k in range(2))]
+        lines = pa.StructArray.from_arrays(columns, ["line_no", "node", "other"])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("doc_id", "text_hash", "row")), pa.ListArray.from_arrays(pa.array(starts), lines)],
+            ["doc_id", "text_hash", "row", "lines"],
+        )
+
+
+def _texts(batches):
+    for batch in batches:
+        _, _, lines, hashes = _lines(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hashes[:, 0])), lines], ["node", "line"])
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,15 +118,19 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     empty table gives no rows.
     """
     stages = Stages(docs.sparkSession, "line-dedup")
-    lines = _lines(docs, id_col, text_col)
-    # A second hash tells lines apart that share the first.
-    hashed = F.transform("lines", lambda x: F.struct(
-        x["line_no"].alias("line_no"), F.xxhash64(x["line"]).alias("node"), F.xxhash64(F.lit(1), x["line"]).alias("other")
-    ))
-    places = stages.write(lines.withColumn("lines", hashed), "places")
-    texts = lines.select(F.explode("lines.line").alias("line")).distinct().select(F.xxhash64("line").alias("node"), "line")
-    texts = stages.write(texts, "texts")
-    forest = stages.write(links.shared_keys(texts.mapInArrow(_keys, "key long, node long")), "forest")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+        F.monotonically_increasing_id().alias("row"), text,
+    )
+    places = stages.write(
+        rows.mapInArrow(
+            _places, "doc_id long, text_hash long, row long, lines array<struct<line_no: int, node: long, other: long>>"
+        ),
+        "places",
+    )
+    texts = stages.write(docs.select(text).mapInArrow(_texts, "node long, line string").distinct(), "texts")
+    forest = stages.write(links.shared_keys(texts, _keys), "forest")
     items = texts.join(forest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.min("line").alias("text"), F.max("line").alias("last")
     )

@@ -1,8 +1,8 @@
 """Near-duplicate links from sketches: shared keys, candidate regions, exact checks, components.
 
 Every step is a sort or hash exchange of narrow rows. A region (the items that share one key)
-is read as a sorted stream; only its items' sketches are compared, and in each round at most a
-spanning forest of its candidates leaves it. The rounds see crowded regions in parts. All further candidates follow
+is read as a sorted stream; only its items' sketches are compared, and at first at most a
+spanning forest of its candidates leaves it. Crowded regions are then seen in parts. All further candidates follow
 when components are known, from whole regions, and then only across components. They are compared
 where they meet, and of their links too no more than a forest leaves a region, so neither a group of
 copies nor one of texts just below the threshold becomes the square of its size.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Stages, runs
 from millrace.llm.shingles import TREE_MASK, similar
 
-# For the rounds, a region with more items than this is cut by its deeper key, and then into random
+# For the first check, a region with more items than this is cut by its deeper key, and then into random
 # blocks that differ from key to key.
 REGION_ITEMS = 256
 # For the last check nothing is cut: a larger region is dealt to tiles of about so many items or
@@ -31,9 +31,10 @@ TILE_SHINGLES = 2_000_000
 FEW = 2
 # Edges that a task contracts at a time.
 CHUNK_EDGES = 500_000
-# The rounds end when fewer than one in so many of a round's candidates are links; the last check
-# does the rest.
-LINKS_OF = 10
+# Keys travel in packs of one part of the keys; a task makes packs of so many keys at a time.
+PACK_KEYS = 200_000
+LEAST_PARTS = 1024
+PARTS_PER_PARTITION = 16
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,38 +110,71 @@ def connected(edges: DataFrame, stages: Stages) -> DataFrame:
     )
 
 
+def _packs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) as rows (part, keys, nodes), a part being that of its keys."""
+
+    def packs(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        part = ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        order = part.argsort(kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        offsets = pa.array(np.append(starts, len(keys)).astype(np.int32))
+        lists = (pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (keys, nodes))
+        return pa.RecordBatch.from_arrays([pa.array(found), *lists], ["part", "keys", "nodes"])
+
+    held, count = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node")])
+        count += batch.num_rows
+        if count >= PACK_KEYS:
+            yield packs(*map(np.concatenate, zip(*held)))
+            held, count = [], 0
+    if count:
+        yield packs(*map(np.concatenate, zip(*held)))
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in runs(batches, "key"):
-        keys, nodes = table.column("key").to_numpy(), table.column("node").to_numpy()
+    for table in runs(batches, "part"):
+        keys, nodes = (
+            np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column(c).chunks]) for c in ("keys", "nodes")
+        )
+        # Most keys have one node; only the others are put in order by node too.
+        order = keys.argsort()
+        same = np.diff(keys[order]) == 0
+        order = order[np.append(False, same) | np.append(same, False)]
+        keys, nodes = keys[order], nodes[order]
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
         keys, nodes = keys[fresh], nodes[fresh]
-        same = keys[1:] == keys[:-1]
-        keep = np.zeros(len(keys), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        sizes = np.diff(np.append(starts, len(keys)))
+        size = np.repeat(sizes, sizes)
+        keep = size > 1
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(nodes[keep])], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (keys, nodes, size)], ["key", "node", "size"])
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """Rows (key, node) whose key at least two nodes have, each once."""
-    return (
-        rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
-    )
+def shared_keys(rows: DataFrame, keyed: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows (key, node, size) of the keys that at least two nodes have, each once. ``size``: how many nodes.
+
+    ``keyed`` makes batches (key, node) of those of ``rows``. Keys are exchanged in packs: a row for each key and
+    node would cost more than the keys themselves.
+    """
+    parts = max(LEAST_PARTS, PARTS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = rows.mapInArrow(lambda batches: _packs(keyed(batches), parts), "part int, keys array<long>, nodes array<long>")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "key long, node long, size long")
 
 
 def regions(forest: DataFrame, items: DataFrame) -> DataFrame:
     """(region, node): adaptive depth, the deeper key where many items share one."""
     tree = F.col("key").bitwiseAND(TREE_MASK).cast("int")
-    deep = forest.join(items.select("node", "deep"), "node").select("key", "node", F.get("deep", tree).alias("deep"))
-    crowded = forest.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > REGION_ITEMS)
-    deeper = deep.join(crowded, "key", "left").withColumn(
-        "region", F.when(F.col("size").isNull(), F.col("key")).otherwise(F.col("deep"))
-    ).select("region", "node")
+    crowded = forest.where(F.col("size") > REGION_ITEMS).drop("size")
+    deeper = crowded.join(items.select("node", "deep"), "node").select(F.get("deep", tree).alias("region"), "node")
     full = deeper.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > REGION_ITEMS)
     blocks = F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("size") / F.lit(REGION_ITEMS)))
-    return (
+    calm = forest.where(F.col("size") <= REGION_ITEMS).select(F.col("key").alias("region"), "node")
+    return calm.union(
         deeper.join(full, "region", "left")
         .select(
             F.when(F.col("size").isNull(), F.col("region"))
@@ -245,22 +279,27 @@ def closest_pairs(rows: DataFrame, ratio: float, least: float) -> DataFrame:
     return found.select("a", "b").distinct()
 
 
-def tiles(rows: DataFrame) -> DataFrame:
-    """(tile, block, own, large, node, component, n, sketch) of whole regions.
+def crowds(rows: DataFrame) -> DataFrame:
+    """(region, blocks, largest) of the regions of several tiles: how many, and the largest component."""
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(TILE_ITEMS), F.sum("n") / F.lit(TILE_SHINGLES)))
+    several = rows.groupBy("region").agg(blocks.alias("blocks")).where("blocks > 1")
+    parts = rows.join(several.select("region"), "region", "left_semi").groupBy("region", "component").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("region").agg(F.max(F.struct("size", "component"))["component"].alias("largest"))
+    return several.join(largest, "region")
+
+
+def tiles(rows: DataFrame, several: DataFrame | None = None) -> DataFrame:
+    """(tile, block, own, large, node, component, n, sketch) of whole regions. ``several``: what ``crowds`` finds.
 
     An item is at home in the tile of its ``own`` block. In a region of several tiles each item
     outside the largest component (``large``) visits the other tiles. So any two items of different
-    components meet, and the copies are the other components' items times the tiles.
+    components meet, and the copies are the other components' items times the tiles. In a region of one
+    tile nothing visits, and no component counts as the largest.
     """
-    parts = rows.groupBy("region", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
-    whole = parts.groupBy("region").agg(
-        F.sum("size").alias("size"), F.sum("shingles").alias("shingles"),
-        F.max(F.struct("size", "component"))["component"].alias("largest"),
-    )
-    blocks = F.ceil(F.greatest(F.col("size") / F.lit(TILE_ITEMS), F.col("shingles") / F.lit(TILE_SHINGLES)))
-    whole = whole.select("region", "largest", blocks.alias("blocks"))
-    dealt = rows.join(whole, "region").withColumns({
-        "own": F.pmod(F.xxhash64("node", "region"), F.col("blocks")), "large": F.col("component") == F.col("largest"),
+    dealt = rows.join(crowds(rows) if several is None else several, "region", "left")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumns({
+        "own": F.pmod(F.xxhash64("node", "region"), F.col("blocks")),
+        "large": F.coalesce(F.col("component") == F.col("largest"), F.lit(False)),
     })
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     dealt = dealt.withColumn("block", F.explode(F.when(F.col("large"), F.array("own")).otherwise(every)))
@@ -365,7 +404,7 @@ def _few_or_met(table: pa.Table, before: int, found, few: int) -> tuple[np.ndarr
     return i[~many], j[~many], met
 
 
-def crossing_items(rows: DataFrame, ratio: float, least: float, few: int = 0) -> DataFrame:
+def crossing_items(rows: DataFrame, ratio: float, least: float, few: int = 0, several: DataFrame | None = None) -> DataFrame:
     """What ``crossing_pairs`` finds, as rows of MET, a and b that are no more than a few for each row of ``tiles``: of a
     tile with at most ``few`` candidates for each item the pairs (a, b), of another the items (MET)."""
     names = [c.split()[0] for c in MET.split(", ")]
@@ -383,7 +422,7 @@ def crossing_items(rows: DataFrame, ratio: float, least: float, few: int = 0) ->
                     none = pa.nulls(batch.num_rows, pa.int64())
                     yield pa.RecordBatch.from_arrays([*batch.columns, none, none], [*names, "a", "b"])
 
-    return _by_tile(tiles(rows), "n", "node").mapInArrow(scan, f"{MET}, a long, b long").distinct()
+    return _by_tile(tiles(rows, several), "n", "node").mapInArrow(scan, f"{MET}, a long, b long").distinct()
 
 
 class _Home:
@@ -500,34 +539,29 @@ def components(
 ) -> DataFrame:
     """(node, component) of the linked nodes.
 
-    ``forest``: (key, node) with shared keys. ``items``: (node, n, sketch, deep, text). ``given``:
+    ``forest``: (key, node, size) with shared keys. ``items``: (node, n, sketch, deep, text). ``given``:
     edges (a, b) that hold without a check.
-    In each round the closest candidates that span each region are checked on the full sets,
-    and the links are united. When a round finds few, all remaining candidates between
+    First the closest candidates that span each region are checked on the full sets, and the links
+    are united. A second round would find none that is new: what spans a region closest after some of its
+    components are united is part of what spanned it before. Then all remaining candidates between
     components are checked once, from the uncut regions. Pairs within a component need no check: they
     change nothing.
     """
     ratio = hundredths / 100
     rows = stages.write(regions(forest, items), "regions")
-    start = _sketched(rows.withColumn("component", F.col("node")), items)
     known = None if given is None else stages.write(connected(given, stages), "known")
-    tried = None
-    while True:
-        labelled = start if known is None else stages.write(_crossing(rows, known, items), "labelled")
-        chosen = closest_pairs(labelled, ratio, least)
-        chosen = stages.write(chosen if tried is None else chosen.join(tried, ["a", "b"], "left_anti"), "tried")
-        stages.drop("labelled")
-        links = stages.write(verified(chosen, items, shingles, hundredths), "links")
-        tried = chosen if tried is None else tried.union(chosen)
-        count = links.count()
-        if count or known is None:
-            known = stages.write(connected(_between(links, known), stages), "known")
-        if count * LINKS_OF <= chosen.count():
-            break
-    stages.drop("regions")
+    if known is None:
+        labelled = _sketched(rows.withColumn("component", F.col("node")), items)
+    else:
+        labelled = stages.write(_crossing(rows, known, items), "labelled")
+    tried = stages.write(closest_pairs(labelled, ratio, least), "tried")
+    stages.drop("labelled", "regions")
+    links = stages.write(verified(tried, items, shingles, hundredths), "links")
+    known = stages.write(connected(_between(links, known), stages), "known")
     whole = stages.write(_crossing(forest.withColumnRenamed("key", "region"), known, items), "whole")
-    met = stages.write(crossing_items(whole, ratio, least, FEW), "met")
-    stages.drop("whole")
+    several = stages.write(crowds(whole), "crowds")
+    met = stages.write(crossing_items(whole, ratio, least, FEW, several), "met")
+    stages.drop("whole", "crowds")
     # A pair meets in the tiles of all keys it shares, and is checked once.
     pairs = met.where("tile is null").select("a", "b").join(tried, ["a", "b"], "left_anti")
     many = crossing_links(met.where("tile is not null").drop("a", "b"), items, shingles, hundredths)

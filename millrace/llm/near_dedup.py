@@ -40,6 +40,13 @@ def _signatures(batches):
         )
 
 
+def _keys(batches):
+    for batch in batches:
+        keys, nodes = batch.column("keys"), batch.column("node").to_numpy()
+        lengths = keys.value_lengths().to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.repeat(nodes, lengths))], ["key", "node"])
+
+
 def _set_hash(shingles: np.ndarray) -> bytes:
     import xxhash
 
@@ -96,7 +103,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         member.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b").distinct(), "given"
     )
     own = signed.where("keys is not null").withColumnRenamed("doc_id", "least").join(sets, ["set_hash", "least"])
-    forest = stages.write(links.shared_keys(own.select(F.explode("keys").alias("key"), "node")), "forest")
+    forest = stages.write(links.shared_keys(own.select("keys", "node"), _keys), "forest")
     shared = sets.join(forest.select("node").distinct(), "node", "left_semi").withColumnRenamed("least", "doc_id")
     items = rows.join(shared, "doc_id").select("node", "set_hash", "text")
     items = items.mapInArrow(_sketches, "node long, n long, sketch binary, deep array<long>, text string")

@@ -28,8 +28,11 @@ _words = WordHashes()
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(32))) * _MIX
-    return values ^ (values >> np.uint64(29))
+    moved = values >> np.uint64(32)
+    moved ^= values
+    moved *= _MIX
+    moved ^= moved >> np.uint64(29)
+    return moved
 
 
 def _polynomials(units: np.ndarray, width: int) -> np.ndarray:
@@ -42,11 +45,13 @@ def _polynomials(units: np.ndarray, width: int) -> np.ndarray:
         if width & length:
             # A window's first ``covered`` units are in ``total``.
             count = len(units) - covered - length + 1
-            total = total[:count] * power + part[covered : covered + count]
+            total = total[:count] * power
+            total += part[covered : covered + count]
             covered += length
         if covered == width:
             return total
-        part = part[:-length] * power + part[length:]
+        after, part = part[length:], part[:-length] * power
+        part += after
         power, length = power * power, 2 * length
 
 
@@ -55,7 +60,16 @@ def _windows(units: np.ndarray, width: int) -> np.ndarray:
     if not len(units):
         return np.empty(0, np.uint64)
     width = min(width, len(units))
-    return np.unique(mixed(_polynomials(units, width)))
+    values = mixed(_polynomials(units, width))
+    values.sort()
+    return values[_firsts(values)]
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Which of the sorted values differ from the one before."""
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return first
 
 
 def word_shingles(text: str, width: int = 5) -> np.ndarray:
@@ -83,11 +97,23 @@ def char_windows(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed(total[inside]), np.concatenate([[0], (lengths - width + 1).cumsum()[:-1]])
 
 
+def distinct_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The number of distinct hashes of each of the sets that begin at ``starts``."""
+    values = hashes.copy()
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(values)]):
+        values[start:end].sort()
+    first = _firsts(values)
+    first[starts] = True
+    return np.add.reduceat(first, starts, dtype=np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
     """100 * intersection >= hundredths * union, and not both empty."""
     if not len(a) or not len(b):
         return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = np.count_nonzero(both[1:] == both[:-1])
     return 100 * common >= hundredths * (len(a) + len(b) - common)
 
 

@@ -8,12 +8,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import exact_dedup, line_dedup, links, near_dedup
 from millrace.llm.common import Stages
 from millrace.llm.links import connected
-from millrace.llm.shingles import char_shingles, char_windows
+from millrace.llm.shingles import char_shingles, char_windows, distinct_counts
 
 
 def word_set(text):
@@ -316,6 +317,50 @@ def test_line_stages_go_when_used_up(spark, edge, monkeypatch):
     assert columns["regions"] == ["region", "node"]
 
 
+def test_closest_candidates_are_proposed_once(spark, monkeypatch):
+    """Every candidate of a second round would be one of the first: the last check follows the first round."""
+    calls, closest = [], links.closest_pairs
+    monkeypatch.setattr(links, "closest_pairs", lambda *x: calls.append(1) or closest(*x))
+    lines = [f"A line of family {k // 4} that is long enough to be compared with others, copy {k % 4}" for k in range(80)]
+    found = line_dedup.decisions(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.dropped for r in found.collect()} == brute_lines(list(enumerate(lines)))
+    assert len(calls) == 1
+
+
+def test_keys_travel_in_packs(spark):
+    """Keys of several nodes are found from fewer rows than there are keys; a node counts once for a key."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(n)) for k, n in zip(rng.integers(-(2**62), 2**62, 400)[rng.integers(0, 400, 20_000)], rng.integers(0, 300, 20_000))]
+    rows += [(int(k), 7) for k in rng.integers(-(2**62), 2**62, 20_000)] + [(5, 9), (5, 9)]
+    want = defaultdict(set)
+    for key, node in rows:
+        want[key].add(node)
+    df = spark.createDataFrame(rows, "key long, node long").coalesce(2)
+    got = [tuple(r) for r in links.shared_keys(df, iter).collect()]
+    assert sorted(got) == sorted((k, n, len(nodes)) for k, nodes in want.items() if len(nodes) > 1 for n in nodes)
+    batches = [pa.RecordBatch.from_pylist([{"key": k, "node": n} for k, n in rows])]
+    packs = list(links._packs(iter(batches), 64))
+    assert sum(x.num_rows for x in packs) == 64 and sum(len(x.column("keys").flatten()) for x in packs) == len(rows)
+    assert links.shared_keys(df.limit(0), iter).count() == 0
+
+
+def test_lines_of_texts():
+    """Blank lines are those of ASCII white space alone; every other line counts, with its place."""
+    texts = ["", "\n", "a\n \t\x0b\x0c\r\n\nb\n", "\u00a0", "\x1c\n\x00", "a", "x\r\ny"]
+    text, line_no, lines, hashes = line_dedup._lines(pa.array(texts))
+    want = [(t, k, x) for t, whole in enumerate(texts) for k, x in enumerate(whole.split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
+    assert list(zip(text.tolist(), line_no.tolist(), lines.to_pylist())) == want
+    assert len({tuple(x) for x in hashes.tolist()}) == len({x for _, _, x in want})
+    assert all(len(x) == 0 for x in line_dedup._lines(pa.array(["", " "])))
+
+
+def test_distinct_counts():
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 9, n).astype(np.uint64) for n in (1, 5, 30, 2)]
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    assert distinct_counts(np.concatenate(sets), starts).tolist() == [len(set(x.tolist())) for x in sets]
+
+
 def test_line_edges(spark, edge, empty):
     rows = line_dedup.decisions(edge).collect()
     assert len(rows) == 14
