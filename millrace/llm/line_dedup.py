@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import links
-from millrace.llm.common import Stages
-from millrace.llm.shingles import Forest, char_shingles, char_windows, distinct_counts
+from millrace.llm.common import Stages, runs
+from millrace.llm.shingles import Forest, char_shingles, distinct_counts, similar_lines, text_windows
 
 WIDTH = 8
 HUNDREDTHS = 80
@@ -27,49 +27,142 @@ LEAST_ESTIMATE = 0.7
 LEAST_SHINGLES = 4
 # Code points of the lines whose windows are hashed at once; their values stay in a core's cache.
 CHUNK_POINTS = 32_768
+# Packs of lines are larger than those of keys, so that few rows are exchanged.
+LEAST_PARTS = 64
+PARTS_PER_PARTITION = 4
+PACKS = "part int, nodes binary, others binary, sizes binary, bytes binary"
+PACK_COLUMNS = [c.split()[0] for c in PACKS.split(", ")]
+PLACES = "doc_id long, text_hash long, row long, lines array<struct<line_no: int, node: long, other: long>>"
 
 
-def _chunks(lines: list[str]):
+def _joined(column: pa.Array, dtype: type) -> np.ndarray:
+    """The values of all rows of a column of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def _cut(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` from each start to the next."""
+    offsets = (starts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The lines of so many bytes that follow each other in ``data``."""
+    offsets = np.append(0, sizes.cumsum()).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _buffers(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where lines begin and end in their bytes, and the bytes. There must be a line that isn't empty."""
+    _, ends, data = lines.buffers()
+    return np.frombuffer(ends, np.int32)[lines.offset : lines.offset + len(lines) + 1], np.frombuffer(data, np.uint8)
+
+
+def _packs(nodes: np.ndarray, others: np.ndarray, lines: pa.Array, parts: int) -> pa.RecordBatch:
+    """Lines, each once, as one row for each part of their nodes."""
+    part = links.part_of(nodes, parts)
+    order = np.lexsort((others, nodes, part))
+    order = order[np.append(True, (np.diff(nodes[order]) != 0) | (np.diff(others[order]) != 0))]
+    found, starts = np.unique(part[order], return_index=True)
+    starts = np.append(starts, len(order))
+    ends, data = _buffers(lines.take(pa.array(order)))
+    columns = (_cut(x, starts) for x in (nodes[order], others[order], np.diff(ends)))
+    # A pack goes through a table, an exchange and three tasks.
+    cuts = ends[starts].tolist()
+    small = [pa.compress(data[x:y], "zstd", asbytes=True) for x, y in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(found), *columns, pa.array(small, pa.binary())], PACK_COLUMNS)
+
+
+def _unpacked(packs: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """Nodes and lines of all packs."""
+    sizes = [np.frombuffer(x, np.int32) for x in packs.column("sizes").to_pylist()]
+    small = packs.column("bytes").to_pylist()
+    data = b"".join(pa.decompress(x, int(n.sum()), "zstd", asbytes=True) for x, n in zip(small, sizes))
+    lines = _strings(np.frombuffer(data, np.uint8), np.concatenate([np.empty(0, np.int32), *sizes]))
+    return _joined(packs.column("nodes"), np.int64), lines
+
+
+def _chunks(lengths: list[int]):
     """Slices of successive lines of about ``CHUNK_POINTS`` code points, or of one longer line."""
     start, points = 0, 0
-    for k, line in enumerate(lines):
-        if points and points + len(line) > CHUNK_POINTS:
+    for k, length in enumerate(lengths):
+        if points and points + length > CHUNK_POINTS:
             yield slice(start, k)
             start, points = k, 0
-        points += len(line)
-    if start < len(lines):
-        yield slice(start, len(lines))
+        points += length
+    if start < len(lengths):
+        yield slice(start, len(lengths))
+
+
+def _windowed(lines: pa.Array):
+    """Slices of lines that have windows, with the windows' hashes and each line's first place among them."""
+    if not len(lines):
+        return
+    lengths, (ends, data) = pc.utf8_length(lines).to_numpy(), _buffers(lines)
+    for part in _chunks(lengths.tolist()):
+        text = data[ends[part.start] : ends[part.stop]].tobytes().decode()
+        yield part, *text_windows(text, lengths[part], WIDTH)
 
 
 def _keys(batches):
     for batch in batches:
+        nodes, lines = _unpacked(batch)
         # Fewer windows have fewer distinct shingles than LEAST_SHINGLES.
-        found = {
-            node: line
-            for node, line in zip(batch.column("node").to_pylist(), batch.column("line").to_pylist())
-            if len(line) >= WIDTH + LEAST_SHINGLES - 1
-        }
-        nodes, lines = np.fromiter(found, np.int64, len(found)), list(found.values())
-        for part in _chunks(lines):
-            minima = BANDS.minima_of(*char_windows(lines[part], WIDTH), slice(0, BANDS.shallow))
-            keys = BANDS.keys_of(minima)
+        long = np.asarray(pc.utf8_length(lines)) >= WIDTH + LEAST_SHINGLES - 1
+        nodes, lines = nodes[long], lines.filter(pa.array(long))
+        for part, hashes, starts in _windowed(lines):
+            keys = BANDS.keys_of(BANDS.minima_of(hashes, starts, slice(0, BANDS.shallow)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.T.ravel()), pa.array(np.repeat(nodes[part], BANDS.trees))], ["key", "node"]
             )
 
 
-def _sketches(batches):
+def _wanted(batches, parts: int):
+    """The nodes of a forest in packs without lines."""
+
+    def packs(nodes: np.ndarray) -> pa.RecordBatch:
+        nodes = np.unique(nodes)
+        part = links.part_of(nodes, parts)
+        order = part.argsort(kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        none = pa.nulls(len(found), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found), _cut(nodes[order], np.append(starts, len(nodes))), none, none, none], PACK_COLUMNS
+        )
+
+    held, count = [], 0
     for batch in batches:
-        lines = batch.column("text").to_pylist()
-        for part in _chunks(lines):
-            hashes, starts = char_windows(lines[part], WIDTH)
+        held.append(batch.column("node").to_numpy())
+        count += batch.num_rows
+        if count >= links.PACK_KEYS:
+            yield packs(np.concatenate(held))
+            held, count = [], 0
+    if count:
+        yield packs(np.concatenate(held))
+
+
+def _items(batches):
+    """Sketches of the lines whose nodes are wanted in their part, each once. Lines that share a hash with another are
+    left out."""
+    for table in runs(batches, "part"):
+        whole = np.asarray(table.column("bytes").is_valid())
+        packs, wanted = table.filter(pa.array(whole)), table.filter(pa.array(~whole))
+        (nodes, lines), others = _unpacked(packs), _joined(packs.column("others"), np.int64)
+        kept = np.flatnonzero(np.isin(nodes, _joined(wanted.column("nodes"), np.int64)))
+        if not len(kept):
+            continue
+        kept = kept[np.lexsort((others[kept], nodes[kept]))]
+        first = np.append(True, np.diff(nodes[kept]) != 0)
+        another = np.append(False, np.diff(others[kept]) != 0) & ~first
+        kept = kept[first][~np.logical_or.reduceat(another, np.flatnonzero(first))]
+        nodes, lines = nodes[kept], lines.take(pa.array(kept))
+        for part, hashes, starts in _windowed(lines):
             n = distinct_counts(hashes, starts)
             minima = BANDS.minima_of(hashes, starts)
             sketch, deep = BANDS.bytes_of(minima, hashes, starts), BANDS.keys_of(minima).T
-            cut = batch.slice(part.start, part.stop - part.start)
+            deep = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS.trees), pa.array(deep.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [cut.column("node"), pa.array(n), pa.array(sketch, pa.binary()),
-                 pa.array(list(deep), pa.list_(pa.int64())), cut.column("text")],
+                [pa.array(nodes[part]), pa.array(n), pa.array(sketch, pa.binary()), deep, lines[part]],
                 ["node", "n", "sketch", "deep", "text"],
             )
 
@@ -78,6 +171,14 @@ def _shingles(line: str) -> np.ndarray:
     return char_shingles(line, WIDTH)
 
 
+def _similar(first: list[str], second: list[str]) -> np.ndarray:
+    """Which pairs of lines are linked, by all their windows; every line has one."""
+    found = [np.empty(0, bool)]
+    for part in _chunks([len(x) + len(y) for x, y in zip(first, second)]):
+        found.append(similar_lines(first[part], second[part], WIDTH, HUNDREDTHS))
+    return np.concatenate(found)
+
+
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """The lines that aren't blank: place of the text, line_no, line, and two hashes."""
     split = pc.split_pattern(texts, "\n")
@@ -89,23 +190,31 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarra
     return text[kept], line_no[kept].astype(np.int32), lines, np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
-def _places(batches):
+def _split(batches, parts: int):
+    """The places of each text's lines, and the lines of a batch in packs."""
+
+    def batch_of(kind: str, found: pa.RecordBatch) -> pa.RecordBatch:
+        rows = found.num_rows
+        own = [found.column(c.name) if c.name in found.schema.names else pa.nulls(rows, c.type) for c in schema]
+        return pa.RecordBatch.from_arrays([*own, pa.array([kind] * rows)], [*schema.names, "kind"])
+
+    line = pa.struct([("line_no", pa.int32()), ("node", pa.int64()), ("other", pa.int64())])
+    schema = pa.schema([
+        *((c, pa.int64()) for c in ("doc_id", "text_hash", "row")), ("lines", pa.list_(line)),
+        ("part", pa.int32()), *((c, pa.binary()) for c in PACK_COLUMNS[1:]),
+    ])
     for batch in batches:
-        text, line_no, _, hashes = _lines(batch.column("text"))
+        text, line_no, lines, hashes = _lines(batch.column("text"))
         starts = text.searchsorted(np.arange(batch.num_rows + 1)).astype(np.int32)
         # A second hash tells lines apart that share the first.
-        columns = [pa.array(line_no), *(pa.array(np.ascontiguousarray(hashes[:, k])) for k in range(2))]
-        lines = pa.StructArray.from_arrays(columns, ["line_no", "node", "other"])
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "text_hash", "row")), pa.ListArray.from_arrays(pa.array(starts), lines)],
+        nodes, others = (np.ascontiguousarray(hashes[:, k]) for k in range(2))
+        places = pa.StructArray.from_arrays([pa.array(x) for x in (line_no, nodes, others)], ["line_no", "node", "other"])
+        yield batch_of("places", pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("doc_id", "text_hash", "row")), pa.ListArray.from_arrays(pa.array(starts), places)],
             ["doc_id", "text_hash", "row", "lines"],
-        )
-
-
-def _texts(batches):
-    for batch in batches:
-        _, _, lines, hashes = _lines(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hashes[:, 0])), lines], ["node", "line"])
+        ))
+        if len(lines):
+            yield batch_of("texts", _packs(nodes, others, lines, parts))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,25 +232,20 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
         F.monotonically_increasing_id().alias("row"), text,
     )
-    places = stages.write(
-        rows.mapInArrow(
-            _places, "doc_id long, text_hash long, row long, lines array<struct<line_no: int, node: long, other: long>>"
-        ),
-        "places",
-    )
-    texts = stages.write(docs.select(text).mapInArrow(_texts, "node long, line string").distinct(), "texts")
-    forest = stages.write(links.shared_keys(texts, _keys), "forest")
-    items = texts.join(forest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-        F.min("line").alias("text"), F.max("line").alias("last")
-    )
+    # Lines travel in packs, as their keys do, and meet the forest's nodes in the part of their node.
+    parts = max(LEAST_PARTS, PARTS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    split = rows.mapInArrow(lambda batches: _split(batches, parts), f"{PLACES}, {PACKS}, kind string")
+    places, texts = stages.write_kinds(split, {"places": PLACES, "texts": PACKS})
+    forest = stages.write(links.shared_keys(texts.select("nodes", "sizes", "bytes"), _keys), "forest")
+    wanted = forest.select("node").mapInArrow(lambda batches: _wanted(batches, parts), PACKS)
     items = stages.write(
-        items.where("text = last").select("node", "text").mapInArrow(
-            _sketches, "node long, n long, sketch binary, deep array<long>, text string"
+        texts.union(wanted).repartition("part").sortWithinPartitions("part").mapInArrow(
+            _items, "node long, n long, sketch binary, deep array<long>, text string"
         ),
         "items",
     )
     stages.drop("texts")
-    found = links.components(forest, items, _shingles, HUNDREDTHS, stages, LEAST_ESTIMATE)
+    found = links.components(forest, items, _shingles, HUNDREDTHS, stages, LEAST_ESTIMATE, None, _similar)
     stages.drop("forest", "items")
     # A line that occurs once and is like no other stays; only the others are compared.
     times = places.select(F.explode("lines.node").alias("node")).groupBy("node").agg(F.count("*").alias("times"))

@@ -110,11 +110,16 @@ def connected(edges: DataFrame, stages: Stages) -> DataFrame:
     )
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each of the hashed ``keys``."""
+    return ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
 def _packs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, node) as rows (part, keys, nodes), a part being that of its keys."""
 
     def packs(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        part = ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        part = part_of(keys, parts)
         order = part.argsort(kind="stable")
         found, starts = np.unique(part[order], return_index=True)
         offsets = pa.array(np.append(starts, len(keys)).astype(np.int32))
@@ -505,14 +510,21 @@ def crossing_links(met: DataFrame, items: DataFrame, shingles: Callable[[str], n
     return _by_tile(texts, "node").mapInArrow(scan, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, items: DataFrame, shingles: Callable[[str], np.ndarray], hundredths: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts have sets of ``shingles`` that are similar enough."""
+def verified(
+    pairs: DataFrame, items: DataFrame, shingles: Callable[[str], np.ndarray], hundredths: int,
+    alike: Callable[[list[str], list[str]], np.ndarray] | None = None,
+) -> DataFrame:
+    """The pairs (a, b) whose whole texts have sets of ``shingles`` that are similar enough. ``alike`` says the same of
+    many pairs of texts at once."""
 
     def scan(batches):
         last, y = None, None
         for batch in batches:
             ok = []
             text_a, text_b = batch.column("text_a"), batch.column("text_b")
+            if alike is not None:
+                yield batch.select(["a", "b"]).filter(pa.array(alike(text_a.to_pylist(), text_b.to_pylist())))
+                continue
             for k, b in enumerate(batch.column("b").to_pylist()):
                 if b != last:
                     last, y = b, shingles(text_b[k].as_py())
@@ -536,11 +548,12 @@ def components(
     stages: Stages,
     least: float,
     given: DataFrame | None = None,
+    alike: Callable[[list[str], list[str]], np.ndarray] | None = None,
 ) -> DataFrame:
     """(node, component) of the linked nodes.
 
     ``forest``: (key, node, size) with shared keys. ``items``: (node, n, sketch, deep, text). ``given``:
-    edges (a, b) that hold without a check.
+    edges (a, b) that hold without a check. ``alike``: as for ``verified``.
     First the closest candidates that span each region are checked on the full sets, and the links
     are united. A second round would find none that is new: what spans a region closest after some of its
     components are united is part of what spanned it before. Then all remaining candidates between
@@ -556,7 +569,7 @@ def components(
         labelled = stages.write(_crossing(rows, known, items), "labelled")
     tried = stages.write(closest_pairs(labelled, ratio, least), "tried")
     stages.drop("labelled", "regions")
-    links = stages.write(verified(tried, items, shingles, hundredths), "links")
+    links = stages.write(verified(tried, items, shingles, hundredths, alike), "links")
     known = stages.write(connected(_between(links, known), stages), "known")
     whole = stages.write(_crossing(forest.withColumnRenamed("key", "region"), known, items), "whole")
     several = stages.write(crowds(whole), "crowds")
@@ -565,7 +578,7 @@ def components(
     # A pair meets in the tiles of all keys it shares, and is checked once.
     pairs = met.where("tile is null").select("a", "b").join(tried, ["a", "b"], "left_anti")
     many = crossing_links(met.where("tile is not null").drop("a", "b"), items, shingles, hundredths)
-    more = stages.write(verified(pairs, items, shingles, hundredths).union(many), "links")
+    more = stages.write(verified(pairs, items, shingles, hundredths, alike).union(many), "links")
     found = stages.write(connected(_between(more, known), stages), "components")
     stages.drop("met", "links", "known", "edges", "tried")
     return found

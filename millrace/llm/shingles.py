@@ -86,10 +86,15 @@ def char_shingles(text: str, width: int = 8) -> np.ndarray:
 def char_windows(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of lines that have at least one, one line after the other, and each
     line's first place among them."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * _MIX
+    return text_windows("".join(lines), np.fromiter(map(len, lines), np.int64, len(lines)), width)
+
+
+def text_windows(text: str, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``char_windows`` of the lines of so many code points that follow each other in ``text``."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * _MIX
     total = _polynomials(points, width)
     count = len(total)
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    lengths = lengths.astype(np.int64)
     ends = lengths.cumsum()
     inside = np.ones(count, bool)
     for k in range(1, width):
@@ -117,6 +122,28 @@ def similar(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
     return 100 * common >= hundredths * (len(a) + len(b) - common)
 
 
+def similar_lines(first: list[str], second: list[str], width: int, hundredths: int) -> np.ndarray:
+    """``similar`` for each pair of lines that have at least one window."""
+    bits = np.uint64(max(1, len(first).bit_length()))  # of each hash, for the number of its pair
+
+    def sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, starts = char_windows(lines, width)
+        pair = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(hashes))))
+        values = (pair << (np.uint64(64) - bits)) | (hashes >> bits)
+        values.sort()
+        values = values[_firsts(values)]
+        return values, count_of(values)
+
+    def count_of(values: np.ndarray) -> np.ndarray:
+        return np.bincount((values >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(first))
+
+    (a, n), (b, m) = sets(first), sets(second)
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = count_of(both[1:][both[1:] == both[:-1]])
+    return 100 * common >= hundredths * (n + m - common)
+
+
 def _least(a: np.ndarray, b: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     least = np.full(len(a), np.iinfo(np.uint64).max)
     for start in range(0, len(shingles), 1024):

@@ -14,7 +14,7 @@ import pytest
 from millrace.llm import exact_dedup, line_dedup, links, near_dedup
 from millrace.llm.common import Stages
 from millrace.llm.links import connected
-from millrace.llm.shingles import char_shingles, char_windows, distinct_counts
+from millrace.llm.shingles import char_shingles, char_windows, distinct_counts, similar, similar_lines
 
 
 def word_set(text):
@@ -354,6 +354,44 @@ def test_lines_of_texts():
     assert all(len(x) == 0 for x in line_dedup._lines(pa.array(["", " "])))
 
 
+def test_lines_travel_in_packs(spark, monkeypatch):
+    """Texts are read and split once, lines go in few rows, and those that share a hash with another have no sketch."""
+    lines = ["a line that is long enough \U0001f600", "short", "another line of some length", "a line that is long enough \U0001f600"]
+    nodes, others = np.array([1 << 40, 2 << 40, 65 << 40, 1 << 40]), np.array([7, 8, 9, 7])
+    packs = line_dedup._packs(nodes, others, pa.array(lines), 64)
+    assert packs.num_rows <= 3
+    found, texts = line_dedup._unpacked(packs)
+    assert dict(zip(found.tolist(), texts.to_pylist())) == dict(zip(nodes.tolist(), lines)) and len(found) == 3
+    clash = line_dedup._packs(nodes[2:3], others[:1], pa.array(["the other line of that hash"]), 64)
+    wanted = list(line_dedup._wanted(iter([pa.RecordBatch.from_arrays([pa.array(nodes[[0, 2, 0]])], ["node"])]), 64))
+    for more, want in (([packs], [lines[0], lines[2]]), ([clash], [lines[0]])):
+        table = pa.Table.from_batches([packs, *more, *wanted]).sort_by("part").combine_chunks()
+        rows = [r for x in line_dedup._items(iter(table.to_batches())) for r in x.to_pylist()]
+        long = [r["text"] for r in rows if len(r["text"]) > 8]
+        assert sorted(long) == sorted(want)
+    whole = line_dedup._split
+    docs = spark.createDataFrame([(k, f"line {k} of some length\nthe same line in all") for k in range(40)], "doc_id long, text string")
+    count = spark.sparkContext.accumulator(0)
+
+    def split(batches, parts):
+        for batch in batches:
+            count.add(batch.num_rows)
+            yield from whole(iter([batch]), parts)
+
+    monkeypatch.setattr(line_dedup, "_split", split)
+    assert {r.doc_id: r.dropped for r in line_dedup.decisions(docs).collect()} == brute_lines([tuple(r) for r in docs.collect()])
+    assert count.value == 40
+
+
+def test_similar_lines_equal_single_ones():
+    rng = random.Random(6)
+    first = ["".join(rng.choice("ab\u00e9\U0001f600") for _ in range(rng.randrange(8, 60))) for _ in range(200)]
+    second = [x if k % 3 else x[: len(x) - k % 7] + "tail" * (k % 2) + x[:8] for k, x in enumerate(first)]
+    want = [similar(char_shingles(x), char_shingles(y), 80) for x, y in zip(first, second)]
+    assert similar_lines(first, second, 8, 80).tolist() == want and 0 < sum(want) < 200
+    assert line_dedup._similar(first, second).tolist() == want and len(line_dedup._similar([], [])) == 0
+
+
 def test_distinct_counts():
     rng = np.random.default_rng(5)
     sets = [rng.integers(0, 9, n).astype(np.uint64) for n in (1, 5, 30, 2)]
